@@ -103,3 +103,205 @@ FROM facts GROUP BY column_name"""
 SQL: dict[str, str] = {}
 
 SQL["column_profile"] = column_profile_sql(dirty_facts())
+
+
+# --------------------------------------------------------------- profile
+def numeric_sql(blank_as_zero: bool) -> str:
+    x = "CASE WHEN is_num THEN num WHEN NOT present THEN 0.0 END" if blank_as_zero else \
+        "CASE WHEN is_num THEN num END"
+    d = ("CASE WHEN is_num THEN TRY_CAST(value AS DECIMAL(24,6)) WHEN NOT present THEN 0 END" if blank_as_zero
+         else "CASE WHEN is_num THEN TRY_CAST(value AS DECIMAL(24,6)) END")
+    return dirty_facts() + f""", xs AS (SELECT column_name, n, {x} AS x, {d} AS d FROM facts),
+g AS (SELECT column_name, sum(n) AS cnt, min(x) AS min_value, max(x) AS max_value,
+  CAST(sum(d * n) * 1000000 AS HUGEINT) AS s_micro, count(*) FILTER (WHERE d IS NULL) AS undec,
+  sum(x * n) / sum(n) AS dmean, sum(CASE WHEN x < 0 THEN n ELSE 0 END) / sum(n) AS negative_value_ratio
+FROM xs WHERE x IS NOT NULL GROUP BY column_name),
+m AS (SELECT *, sign(s_micro) * ((2 * abs(s_micro) + cnt) // (2 * cnt)) AS m_micro FROM g)
+SELECT column_name, CAST(cnt AS BIGINT) AS numeric_count, min_value, max_value,
+  round(CASE WHEN undec = 0 THEN CAST((CASE WHEN m_micro < 0 THEN '-' ELSE '' END)
+      || CAST(abs(m_micro) // 1000000 AS VARCHAR) || '.' || lpad(CAST(abs(m_micro) % 1000000 AS VARCHAR), 6, '0')
+      AS DOUBLE) ELSE dmean END, 6) AS mean,
+  negative_value_ratio
+FROM m"""
+
+
+SQL["numeric_stats"] = numeric_sql(False)
+SQL["numeric_stats_blank_as_zero"] = numeric_sql(True)
+
+SQL["categorical_top3"] = dirty_facts() + f""", p AS (SELECT column_name, value, n FROM facts WHERE present),
+ranked AS (SELECT column_name, value, n,
+  row_number() OVER (PARTITION BY column_name ORDER BY n DESC, value ASC) AS rank FROM p),
+d AS (SELECT column_name, count(*) AS distinct_values FROM p GROUP BY column_name)
+SELECT column_name, CAST(distinct_values AS BIGINT) AS distinct_values, CAST(rank AS BIGINT) AS rank,
+  value, CAST(n AS BIGINT) AS n
+FROM ranked JOIN d USING (column_name) WHERE rank <= {G.TOP_K}"""
+
+
+def name_has(tokens) -> str:
+    return "(" + " OR ".join(f"contains(lower(column_name), {q(t)})" for t in tokens) + ")"
+
+
+ID_COL = f"(lower(column_name) = {q(G.ID_COLUMN_NAME)} OR {name_has(G.ID_COLUMN_SUBSTRINGS)})"
+TDATE = f"(ts IS NOT NULL AND NOT {ID_COL} AND (NOT year_only OR {name_has(G.YEAR_COLUMN_TOKENS)}))"
+ISO_FMT = "'%Y-%m-%dT%H:%M:%S.%gZ'"
+
+
+def temporal_sql(prefix: str, as_of: str) -> str:
+    return prefix + f""", t AS (
+SELECT column_name, CAST(sum(n) AS BIGINT) AS row_count,
+  CAST(sum(CASE WHEN {TDATE} THEN n ELSE 0 END) AS BIGINT) AS date_count,
+  min(CASE WHEN {TDATE} THEN ts END) AS min_ts, max(CASE WHEN {TDATE} THEN ts END) AS max_ts,
+  sum(CASE WHEN {TDATE} AND ts > TIMESTAMP '{as_of}' THEN n ELSE 0 END) AS future_count,
+  sum(CASE WHEN {TDATE} AND ts < TIMESTAMP '{as_of}' - INTERVAL {G.STALE_DAYS} DAY THEN n ELSE 0 END) AS stale_count
+FROM facts GROUP BY column_name)
+SELECT column_name, row_count, date_count, strftime(min_ts, {ISO_FMT}) AS min_timestamp,
+  strftime(max_ts, {ISO_FMT}) AS max_timestamp,
+  future_count / date_count AS future_timestamp_ratio, stale_count / date_count AS stale_record_ratio
+FROM t WHERE date_count > 0 AND date_count * 1000 >= row_count * {int(round(G.TEMPORAL_MIN_COVERAGE * 1000))}"""
+
+
+SQL["temporal_stats"] = temporal_sql(dirty_facts(), AS_OF_ORDERS)
+
+SQL["pattern_stats"] = dirty_facts() + """, t AS (SELECT column_name,
+  sum(CASE WHEN present THEN n ELSE 0 END) AS present_count, sum(CASE WHEN is_code THEN n ELSE 0 END) AS match_count
+FROM facts GROUP BY column_name)
+SELECT column_name, CAST(match_count AS BIGINT) AS match_count, match_count / present_count AS regex_match_ratio
+FROM t WHERE match_count > 0"""
+
+FLAGS_SELECT = f"""SELECT coalesce(bool_or({name_has(G.KYC_TOKENS)}), false) AS kyc_fields_present,
+  coalesce(bool_or({name_has(G.MONETARY_TOKENS)}), false) AS monetary_fields_present,
+  coalesce(bool_or({name_has(G.PERSONAL_TOKENS)}), false) AS personal_data_present"""
+
+SQL["compliance_flags"] = with_(DIRTY, cells("dirty", DIRTY_COLUMNS)) + \
+    FLAGS_SELECT + " FROM (SELECT DISTINCT column_name FROM cells)"
+
+SQL["dataset_summary"] = with_(DIRTY) + f"""SELECT 'dirty_payments' AS dataset_name,
+  CAST(count(*) AS BIGINT) AS row_count, CAST({len(DIRTY_COLUMNS)} AS BIGINT) AS column_count,
+  {q(G.DEFAULT_DOMAIN)} AS detected_domain FROM dirty"""
+
+SQL["duplicate_rows"] = with_(DIRTY) + """, c AS (SELECT (SELECT count(*) FROM dirty) AS row_count,
+  (SELECT count(*) FROM (SELECT DISTINCT * FROM dirty)) AS distinct_rows)
+SELECT CAST(row_count AS BIGINT) AS row_count, CAST(distinct_rows AS BIGINT) AS distinct_rows,
+  CAST(row_count - distinct_rows AS BIGINT) AS duplicate_rows, row_count > distinct_rows AS duplicates_detected FROM c"""
+
+
+def dependent_nulls_sql() -> str:
+    miss = ", ".join(f"({c} IS NULL OR {c} = '') AS {c}" for c in DIRTY_COLUMNS)
+    parts = []
+    for a in DIRTY_COLUMNS:
+        for b in DIRTY_COLUMNS:
+            if a != b:
+                parts.append(f"SELECT {q(a)} AS a, {q(b)} AS b, CAST(count(*) FILTER (WHERE {a}) AS BIGINT) AS a_missing, "
+                             f"count(*) FILTER (WHERE {a} AND NOT {b}) AS violations FROM m")
+    return with_(DIRTY, f"m AS (SELECT {miss} FROM dirty)", "pairs AS (" + "\nUNION ALL ".join(parts) + ")") + \
+        "SELECT a, b, a_missing FROM pairs WHERE a_missing > 0 AND violations = 0"
+
+
+SQL["dependent_nulls"] = dependent_nulls_sql()
+
+
+# ----------------------------------------------------------------- rules
+def _range_sql():
+    has, bad = [], []
+    for token, lo, hi in G.DEFAULT_RANGE_RULES:
+        m = f"contains(lower(column_name), {q(token.lower())})"
+        cond = " OR ".join(([f"num < {float(lo)}"] if lo is not None else [])
+                           + ([f"num > {float(hi)}"] if hi is not None else [])) or "false"
+        has.append(m)
+        bad.append(f"WHEN {m} THEN ({cond})")
+    return "(" + " OR ".join(has) + ")", "(CASE " + " ".join(bad) + " ELSE false END)"
+
+
+RANGE_HAS, RANGE_BAD = _range_sql()
+FRESH = f"TIMESTAMP '{AS_OF_ORDERS}' - INTERVAL {G.FRESHNESS_YEARS} YEAR"
+
+SUMMARY = f"""summary0 AS (
+SELECT column_name, CAST(sum(n) AS BIGINT) AS rows,
+  CAST(sum(CASE WHEN present THEN n ELSE 0 END) AS BIGINT) AS present,
+  CAST(count(*) FILTER (WHERE present) AS BIGINT) AS distinct_values,
+  bool_and(CASE WHEN present THEN is_num END) AS all_num,
+  bool_and(CASE WHEN present THEN ts IS NOT NULL END) AS all_date,
+  CAST(sum(CASE WHEN is_num THEN n ELSE 0 END) AS BIGINT) AS num,
+  CAST(sum(CASE WHEN is_num AND num < 0 THEN n ELSE 0 END) AS BIGINT) AS negative,
+  CAST(sum(CASE WHEN is_num AND {RANGE_HAS} THEN n ELSE 0 END) AS BIGINT) AS range_eligible,
+  CAST(sum(CASE WHEN is_num AND {RANGE_HAS} AND {RANGE_BAD} THEN n ELSE 0 END) AS BIGINT) AS range_bad,
+  CAST(sum(CASE WHEN present AND ts IS NOT NULL THEN n ELSE 0 END) AS BIGINT) AS dates_any,
+  CAST(sum(CASE WHEN is_currency THEN n ELSE 0 END) AS BIGINT) AS currency,
+  CAST(sum(CASE WHEN {TDATE} THEN n ELSE 0 END) AS BIGINT) AS tdates,
+  CAST(sum(CASE WHEN {TDATE} AND ts > TIMESTAMP '{AS_OF_ORDERS}' THEN n ELSE 0 END) AS BIGINT) AS future,
+  CAST(sum(CASE WHEN {TDATE} AND NOT is_iso THEN n ELSE 0 END) AS BIGINT) AS non_iso,
+  CAST(sum(CASE WHEN {TDATE} AND ts < {FRESH} THEN n ELSE 0 END) AS BIGINT) AS stale
+FROM facts GROUP BY column_name),
+summary AS (SELECT *,
+  CASE WHEN coalesce(all_num, true) THEN 'numeric' WHEN coalesce(all_date, true) THEN 'datetime' ELSE 'string' END
+    AS inferred_data_type,
+  (tdates > 0 AND tdates * 1000 >= rows * {int(round(G.TEMPORAL_MIN_COVERAGE * 1000))}) AS is_temporal,
+  num * 2 > present AS numeric_majority, dates_any * 2 > present AS date_majority
+FROM summary0)"""
+
+
+def _rule(dim, rid, where, bad, elig):
+    return (f"SELECT {q(dim)} AS dimension, {q(rid)} AS rule, column_name, CAST({bad} AS BIGINT) AS bad, "
+            f"CAST({elig} AS BIGINT) AS eligible, distinct_values FROM summary WHERE {where}")
+
+
+COLUMN_RULES = "column_rules AS (" + "\nUNION ALL ".join([
+    _rule("Completeness", "missing_values", "true", "rows - present", "rows"),
+    _rule("Accuracy", "out_of_range", "range_eligible > 0", "range_bad", "range_eligible"),
+    _rule("Accuracy", "negative_amount", f"{name_has(G.MONETARY_TOKENS)} AND num > 0", "negative", "num"),
+    _rule("Accuracy", "future_timestamp", "is_temporal", "future", "tdates"),
+    _rule("Consistency", "numeric_as_string", "inferred_data_type = 'string' AND numeric_majority",
+          "present - num - currency", "present"),
+    _rule("Consistency", "datetime_as_string",
+          "inferred_data_type = 'string' AND NOT numeric_majority AND date_majority", "present - dates_any", "present"),
+    _rule("Validity", "currency_symbol", "numeric_majority AND present > 0", "currency", "present"),
+    _rule("Validity", "non_iso_date", "is_temporal", "non_iso", "tdates"),
+    _rule("Timeliness", "stale_records", "is_temporal", "stale", "tdates"),
+]) + ")"
+
+PAN_VALUES = ", ".join(f"({q(b)}, {lo}, {hi})" for b, lo, hi in G.PAN_LENGTHS)
+PAN_RULE = f"""pan_rule AS (
+SELECT 'Validity' AS dimension, 'pan_length' AS rule, 'card_number' AS column_name,
+  CAST(coalesce(sum(CASE WHEN len < min_len OR len > max_len THEN 1 ELSE 0 END), 0) AS BIGINT) AS bad,
+  CAST(count(*) AS BIGINT) AS eligible, CAST(count(DISTINCT brand || ':' || len) AS BIGINT) AS distinct_values
+FROM (SELECT lower(trim(card_brand)) AS brand, length(regexp_replace(card_number, '[^0-9]', '', 'g')) AS len
+      FROM dirty WHERE card_number IS NOT NULL AND card_number <> '' AND card_brand IS NOT NULL AND card_brand <> '') x
+JOIN (VALUES {PAN_VALUES}) b(brand, min_len, max_len) USING (brand))"""
+
+DUP_RULES = """dup_rules AS (
+SELECT 'Uniqueness' AS dimension, 'duplicate_rows' AS rule, '*' AS column_name,
+  CAST((SELECT count(*) FROM dirty) - (SELECT count(*) FROM (SELECT DISTINCT * FROM dirty)) AS BIGINT) AS bad,
+  CAST((SELECT count(*) FROM dirty) AS BIGINT) AS eligible,
+  CAST((SELECT count(*) FROM (SELECT DISTINCT * FROM dirty)) AS BIGINT) AS distinct_values
+UNION ALL
+SELECT 'Uniqueness', 'duplicate_key', 'txn_id',
+  CAST((SELECT count(*) FROM dirty) - (SELECT count(*) FROM (SELECT DISTINCT txn_id FROM dirty)) AS BIGINT),
+  CAST((SELECT count(*) FROM dirty) AS BIGINT),
+  CAST((SELECT count(*) FROM (SELECT DISTINCT txn_id FROM dirty)) AS BIGINT))"""
+
+ORPHAN_RULE = """child AS (SELECT client_id AS k, count(*) AS c FROM dirty
+  WHERE client_id IS NOT NULL AND client_id <> '' GROUP BY client_id),
+parent_keys AS (SELECT DISTINCT CAST(c_custkey AS VARCHAR) AS k FROM customer WHERE c_custkey IS NOT NULL),
+orphan_rule AS (
+SELECT 'Integrity' AS dimension, 'orphan_keys' AS rule, 'client_id' AS column_name,
+  CAST(coalesce(sum(CASE WHEN parent_keys.k IS NULL THEN c END), 0) AS BIGINT) AS bad,
+  CAST(coalesce(sum(c), 0) AS BIGINT) AS eligible, CAST(count(*) AS BIGINT) AS distinct_values
+FROM child LEFT JOIN parent_keys ON child.k = parent_keys.k)"""
+
+ALL_RULES = ("rules AS (SELECT * FROM column_rules UNION ALL SELECT * FROM pan_rule UNION ALL "
+             "SELECT * FROM dup_rules UNION ALL SELECT * FROM orphan_rule)")
+
+
+def rules_prefix() -> str:
+    return with_(DIRTY, cells("dirty", DIRTY_COLUMNS), freq(), facts(), SUMMARY, COLUMN_RULES, PAN_RULE,
+                 DUP_RULES, ORPHAN_RULE, ALL_RULES)
+
+
+RULE_OUT = "SELECT dimension, rule, column_name, bad, eligible FROM rules"
+for _name, _rules in [("rule_completeness", ["missing_values"]), ("rule_range", ["out_of_range"]),
+                      ("rule_negative_amount", ["negative_amount"]), ("rule_future_dates", ["future_timestamp"]),
+                      ("rule_mixed_type", ["numeric_as_string", "datetime_as_string"]),
+                      ("rule_currency_symbol", ["currency_symbol"]), ("rule_non_iso_date", ["non_iso_date"]),
+                      ("rule_pan_length", ["pan_length"]), ("rule_freshness", ["stale_records"]),
+                      ("rule_orphans", ["orphan_keys"]), ("rule_uniqueness", ["duplicate_rows", "duplicate_key"])]:
+    SQL[_name] = rules_prefix() + RULE_OUT + " WHERE rule IN (" + ", ".join(q(r) for r in _rules) + ")"

@@ -67,22 +67,35 @@ def column_profile(facts: DataFrame, by=(), columns=None) -> DataFrame:
     )
 
 
+MEAN_DECIMAL = "decimal(24,6)"   # exact mean path: up to 18 integer digits, 6 decimals
+
+
 def numeric_stats(facts: DataFrame, by=(), blank_as_zero: bool = False) -> DataFrame:
     """min / max / mean / negative ratio over number-like values, for every column having one.
 
-    ``blank_as_zero`` counts missing cells as 0, as coercing a blank to a number does.
+    The mean is an exact decimal sum (value as DECIMAL(24,6) times its count)
+    divided by the count, rounded half-up to 6 decimals, so it does not depend
+    on summation order; a column holding a value outside DECIMAL(24,6) falls
+    back to a double sum.  ``blank_as_zero`` counts missing cells as 0, as
+    coercing a blank to a number does.
     """
     by = list(by)
     x = F.when(F.col("is_num"), F.col("num"))
+    d = F.when(F.col("is_num"), F.col("value").try_cast(MEAN_DECIMAL))
     if blank_as_zero:
         x = x.when(~F.col("present"), F.lit(0.0))
-    f = facts.select(*by, "column_name", "n", x.alias("x")).where(F.col("x").isNotNull())
+        d = d.when(~F.col("present"), F.lit(0).cast(MEAN_DECIMAL))
+    f = (facts.select(*by, "column_name", "n", x.alias("x"), d.alias("d"))
+         .where(F.col("x").isNotNull()))
     cnt = F.sum("n")
+    exact_sum = F.try_sum(F.col("d") * F.col("n").cast("decimal(13,0)"))
+    exact_ok = (F.count_if(F.col("d").isNull()) == 0) & exact_sum.isNotNull()
+    mean = F.when(exact_ok, (exact_sum / cnt).cast("double")).otherwise(F.sum(F.col("x") * F.col("n")) / cnt)
     return (f.groupBy(*by, "column_name").agg(
         cnt.cast("bigint").alias("numeric_count"),
         F.min("x").alias("min_value"),
         F.max("x").alias("max_value"),
-        (F.sum(F.col("x") * F.col("n")) / cnt).alias("mean"),
+        mean.alias("mean"),
         (_n_if(F.col("x") < 0) / cnt).alias("negative_value_ratio"),
     ))
 

@@ -9,23 +9,160 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from qualitas.operators import cells as C
-from qualitas.operators import profile as P
+from qualitas.operators import crosscol, findings, profile as P, rules as R, score as S
+from qualitas.plans.audit import Audit
 from qualitas.sources.tables import load_dirty_payments, table
 
 AS_OF_ORDERS = "2000-06-01"
 AS_OF_EVENTS = "2024-01-20"
+RULE_COLUMNS = ["dimension", "rule", "column_name", "bad", "eligible"]
+
+
+def _dirty(spark, sf_dir):
+    return load_dirty_payments(spark, sf_dir)
+
+
+def _dirty_audit(spark, sf_dir) -> Audit:
+    return Audit(_dirty(spark, sf_dir), "dirty_payments", as_of=AS_OF_ORDERS, keys=["txn_id"],
+                 parents={"client_id": (table(spark, sf_dir, "customer"), "c_custkey")})
 
 
 def _dirty_facts(spark, sf_dir):
-    return C.facts(C.frequency(load_dirty_payments(spark, sf_dir)))
+    return C.facts(C.frequency(_dirty(spark, sf_dir)))
 
 
-def column_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    prof = P.column_profile(_dirty_facts(spark, sf_dir))
+def _profile_flat(prof: DataFrame) -> DataFrame:
     return prof.select("column_name", "inferred_data_type", "null_count", "null_ratio", "unique_count",
                        "unique_ratio", F.array_join("sample_values_masked", ",").alias("sample_values_masked"))
 
 
+# ------------------------------------------------------------------ profile
+def column_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _profile_flat(P.column_profile(_dirty_facts(spark, sf_dir)))
+
+
+def _numeric_flat(df: DataFrame) -> DataFrame:
+    return df.select("column_name", "numeric_count", "min_value", "max_value",
+                     F.round("mean", 6).alias("mean"), "negative_value_ratio")
+
+
+def numeric_stats(spark, sf_dir):
+    return _numeric_flat(P.numeric_stats(_dirty_facts(spark, sf_dir)))
+
+
+def numeric_stats_blank_as_zero(spark, sf_dir):
+    return _numeric_flat(P.numeric_stats(_dirty_facts(spark, sf_dir), blank_as_zero=True))
+
+
+def categorical_top3(spark, sf_dir):
+    return P.categorical_stats(_dirty_facts(spark, sf_dir))
+
+
+def _temporal_flat(df):
+    return df.select("column_name", "row_count", "date_count", "min_timestamp", "max_timestamp",
+                     "future_timestamp_ratio", "stale_record_ratio")
+
+
+def temporal_stats(spark, sf_dir):
+    return _temporal_flat(P.temporal_stats(_dirty_facts(spark, sf_dir), AS_OF_ORDERS))
+
+
+def pattern_stats(spark, sf_dir):
+    return P.pattern_stats(_dirty_facts(spark, sf_dir))
+
+
+def compliance_flags(spark, sf_dir):
+    return _dirty_audit(spark, sf_dir).flags
+
+
+def dataset_summary(spark, sf_dir):
+    return _dirty_audit(spark, sf_dir).dataset.select("dataset_name", "row_count", "column_count",
+                                                      "detected_domain")
+
+
+def duplicate_rows(spark, sf_dir):
+    return crosscol.duplicate_summary(_dirty(spark, sf_dir))
+
+
+def dependent_nulls(spark, sf_dir):
+    return crosscol.dependent_nulls(_dirty(spark, sf_dir))
+
+
+# -------------------------------------------------------------------- rules
+def _column_rule(*names):
+    def q(spark, sf_dir):
+        a = _dirty_audit(spark, sf_dir)
+        return R.column_rules(a.summary).where(F.col("rule").isin(*names)).select(*RULE_COLUMNS)
+    return q
+
+
+def rule_pan_length(spark, sf_dir):
+    return R.pan_length_rule(_dirty(spark, sf_dir)).select(*RULE_COLUMNS)
+
+
+def rule_orphans(spark, sf_dir):
+    return R.orphan_rule(_dirty(spark, sf_dir), "client_id", table(spark, sf_dir, "customer"),
+                         "c_custkey").select(*RULE_COLUMNS)
+
+
+def rule_uniqueness(spark, sf_dir):
+    d = _dirty(spark, sf_dir)
+    return R.duplicate_rule(d).unionByName(R.duplicate_rule(d, ["txn_id"])).select(*RULE_COLUMNS)
+
+
+# ------------------------------------------------------- findings and scores
+def issues(spark, sf_dir):
+    return _dirty_audit(spark, sf_dir).issues.select(
+        "dimension", "rule", "column_name", "issue", "description", "bad", "eligible")
+
+
+def reportable_issues(spark, sf_dir):
+    return findings.reportable(_dirty_audit(spark, sf_dir).issues).select(
+        "dimension", "rule", "column_name", "issue", "description")
+
+
+def remediation_actions(spark, sf_dir):
+    return _dirty_audit(spark, sf_dir).actions
+
+
+def compliance_risks(spark, sf_dir):
+    return _dirty_audit(spark, sf_dir).risks
+
+
+def dimension_scores(spark, sf_dir):
+    return _dirty_audit(spark, sf_dir).scores.select("dimension", "bad", "eligible", "score")
+
+
+def composite_score(spark, sf_dir):
+    return _dirty_audit(spark, sf_dir).composite.select("composite_dqs")
+
+
 QUERIES = {
     "column_profile": column_profile,
+    "numeric_stats": numeric_stats,
+    "numeric_stats_blank_as_zero": numeric_stats_blank_as_zero,
+    "categorical_top3": categorical_top3,
+    "temporal_stats": temporal_stats,
+    "pattern_stats": pattern_stats,
+    "compliance_flags": compliance_flags,
+    "dataset_summary": dataset_summary,
+    "duplicate_rows": duplicate_rows,
+    "dependent_nulls": dependent_nulls,
+    "rule_completeness": _column_rule("missing_values"),
+    "rule_range": _column_rule("out_of_range"),
+    "rule_negative_amount": _column_rule("negative_amount"),
+    "rule_future_dates": _column_rule("future_timestamp"),
+    "rule_mixed_type": _column_rule("numeric_as_string", "datetime_as_string"),
+    "rule_currency_symbol": _column_rule("currency_symbol"),
+    "rule_non_iso_date": _column_rule("non_iso_date"),
+    "rule_pan_length": rule_pan_length,
+    "rule_freshness": _column_rule("stale_records"),
+    "rule_orphans": rule_orphans,
+    "rule_uniqueness": rule_uniqueness,
+    "issues": issues,
+    "reportable_issues": reportable_issues,
+    "remediation_actions": remediation_actions,
+    "compliance_risks": compliance_risks,
+    "dimension_scores": dimension_scores,
+    "composite_score": composite_score,
 }
