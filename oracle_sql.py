@@ -305,3 +305,237 @@ for _name, _rules in [("rule_completeness", ["missing_values"]), ("rule_range",
                       ("rule_pan_length", ["pan_length"]), ("rule_freshness", ["stale_records"]),
                       ("rule_orphans", ["orphan_keys"]), ("rule_uniqueness", ["duplicate_rows", "duplicate_key"])]:
     SQL[_name] = rules_prefix() + RULE_OUT + " WHERE rule IN (" + ", ".join(q(r) for r in _rules) + ")"
+
+
+# -------------------------------------------------------- findings, scores
+from qualitas.operators.findings import RISK_TEXT, RULE_TEXT  # noqa: E402
+
+TEXTS = "texts AS (SELECT * FROM (VALUES " + ", ".join(
+    "(" + ", ".join(q(x) for x in row) + ")" for row in RULE_TEXT) + \
+    ") t(rule, issue, phrase, all_phrase, action, action_template))"
+DIMS = "dims AS (SELECT * FROM (VALUES " + ", ".join(
+    f"({q(d)}, {i})" for i, d in enumerate(G.DIMENSIONS)) + ") d(dimension, dim_order))"
+RISKS = "risks AS (SELECT * FROM (VALUES " + ", ".join(
+    f"({q(r)}, {q(c)}, {s}, {q(t)})" for r, c, s, t in RISK_TEXT) + ") r(rule, column_class, severity, risk))"
+
+
+def pct_sql(bad: str, elig: str) -> str:
+    h = f"((CAST({bad} AS HUGEINT) * 20000 + {elig}) // (2 * CAST({elig} AS HUGEINT)))"
+    return f"(CAST({h} // 100 AS VARCHAR) || '.' || lpad(CAST({h} % 100 AS VARCHAR), 2, '0') || '%')"
+
+
+FOUND = f"""found AS (
+SELECT r.dimension, r.rule, r.column_name, t.issue,
+  CASE WHEN r.bad = r.eligible
+       THEN 'All ' || r.column_name || ' values are ' || t.all_phrase || ' (' || CAST(r.distinct_values AS VARCHAR)
+            || ' distinct values observed)'
+       ELSE CAST(r.bad AS VARCHAR) || CASE WHEN r.bad = 1 THEN ' record (' ELSE ' records (' END
+            || {pct_sql('r.bad', 'r.eligible')} || CASE WHEN r.bad = 1 THEN ') has ' ELSE ') have ' END
+            || replace(t.phrase, '{{column}}', r.column_name) END AS description,
+  r.bad, r.eligible
+FROM rules r JOIN texts t ON r.rule = t.rule WHERE r.bad > 0)"""
+
+HEALTHY = f"""healthy AS (
+SELECT dimension, CAST(NULL AS VARCHAR) AS rule, CAST(NULL AS VARCHAR) AS column_name,
+  {q(G.HEALTHY_ISSUE)} AS issue, {q(G.HEALTHY_DESCRIPTION)} AS description,
+  CAST(0 AS BIGINT) AS bad, CAST(0 AS BIGINT) AS eligible
+FROM dims WHERE dimension NOT IN (SELECT dimension FROM found))"""
+
+
+def findings_prefix() -> str:
+    return rules_prefix().rstrip() + ",\n" + ",\n".join([TEXTS, DIMS, RISKS, FOUND, HEALTHY]) + "\n"
+
+
+SQL["issues"] = findings_prefix() + "SELECT * FROM found UNION ALL SELECT * FROM healthy"
+SQL["reportable_issues"] = findings_prefix() + "SELECT dimension, rule, column_name, issue, description FROM found"
+
+
+def priority_sql() -> str:
+    parts = " ".join(f"WHEN CAST(bad AS HUGEINT) * 100 >= CAST(eligible AS HUGEINT) * {int(round(s * 100))} THEN {i + 1}"
+                     for i, s in enumerate(G.PRIORITY_SHARE_BUCKETS))
+    return f"(CASE {parts} ELSE 5 END)"
+
+
+ACTIONS = f"""actions AS (
+SELECT pr.rule, t.action, CAST(pr.priority AS INTEGER) AS priority,
+  replace(t.action_template, '{{columns}}', pr.columns) AS description
+FROM (SELECT rule, min({priority_sql()}) AS priority,
+        array_to_string(list_sort(list_distinct(list(column_name))), ', ') AS columns
+      FROM rules WHERE bad > 0 GROUP BY rule) pr JOIN texts t ON pr.rule = t.rule)"""
+
+SQL["remediation_actions"] = findings_prefix().rstrip() + ",\n" + ACTIONS + "\nSELECT * FROM actions"
+
+RISK_ROWS = f"""risk_rows AS (
+SELECT DISTINCT CAST(k.severity AS INTEGER) AS severity, k.risk
+FROM rules JOIN risks k ON rules.rule = k.rule
+WHERE rules.bad > 0 AND (CASE k.column_class WHEN 'kyc' THEN {name_has(G.KYC_TOKENS)}
+                                             WHEN 'personal' THEN {name_has(G.PERSONAL_TOKENS)}
+                                             WHEN 'monetary' THEN {name_has(G.MONETARY_TOKENS)} ELSE true END))"""
+
+SQL["compliance_risks"] = findings_prefix().rstrip() + ",\n" + RISK_ROWS + "\nSELECT * FROM risk_rows"
+
+SCORES = """sums AS (SELECT dimension, sum(bad) AS bad, sum(eligible) AS eligible FROM rules GROUP BY dimension),
+scores AS (
+SELECT d.dimension, d.dim_order, CAST(coalesce(s.bad, 0) AS BIGINT) AS bad, CAST(coalesce(s.eligible, 0) AS BIGINT) AS eligible,
+  CAST(CASE WHEN coalesce(s.eligible, 0) > 0
+       THEN (CAST(s.eligible - s.bad AS HUGEINT) * 2000000 + s.eligible) // (2 * CAST(s.eligible AS HUGEINT))
+       ELSE 1000000 END AS BIGINT) AS score_ppm
+FROM dims d LEFT JOIN sums s ON d.dimension = s.dimension),
+composite AS (SELECT (sum(score_ppm) * 2 + count(*)) // (2 * count(*)) AS composite_ppm FROM scores)"""
+
+SQL["dimension_scores"] = findings_prefix().rstrip() + ",\n" + SCORES + \
+    "\nSELECT dimension, bad, eligible, score_ppm / 1000000 AS score FROM scores"
+SQL["composite_score"] = findings_prefix().rstrip() + ",\n" + SCORES + \
+    "\nSELECT composite_ppm / 1000000 AS composite_dqs FROM composite"
+
+
+# ------------------------------------------- documents, report, merge
+from qualitas.plans import report as _R  # noqa: E402
+
+ACTIONS_SQL = ACTIONS
+ANALYSIS_SUMMARY = """analysis AS (
+SELECT 'dirty_payments' AS dataset_name, 'success' AS status, c.composite_ppm / 1000000 AS composite_dqs,
+  CAST((SELECT count(*) FROM found) + (SELECT count(*) FROM healthy) AS BIGINT) AS issue_count,
+  CAST((SELECT count(*) FROM actions) AS BIGINT) AS action_count,
+  CAST((SELECT count(*) FROM risk_rows) AS BIGINT) AS risk_count,
+  (c.composite_ppm BETWEEN 0 AND 1000000 AND (SELECT coalesce(bool_and(priority BETWEEN 1 AND 5), true) FROM actions))
+    AS accepted
+FROM composite c)"""
+
+
+def analysis_prefix() -> str:
+    return findings_prefix().rstrip() + ",\n" + ",\n".join([ACTIONS_SQL, RISK_ROWS, SCORES, ANALYSIS_SUMMARY]) + "\n"
+
+
+SQL["contract_quarantine"] = analysis_prefix() + """SELECT dataset_name, status, composite_dqs, issue_count, action_count,
+  risk_count, accepted, CASE WHEN accepted THEN NULL ELSE 'rejected' END AS reason FROM analysis"""
+
+SQL["audit_merge"] = analysis_prefix().rstrip() + f""",
+profile AS (SELECT 'dirty_payments' AS dataset_name, CAST(count(*) AS BIGINT) AS row_count,
+  CAST({len(DIRTY_COLUMNS)} AS BIGINT) AS column_count, {q(G.DEFAULT_DOMAIN)} AS detected_domain FROM dirty)
+SELECT p.dataset_name, p.row_count, p.column_count, p.detected_domain, a.status, a.composite_dqs,
+  a.issue_count, a.action_count, a.risk_count
+FROM profile p LEFT JOIN analysis a ON p.dataset_name = a.dataset_name"""
+
+
+def _fixed(h: str, decimals: int) -> str:
+    unit = 10 ** decimals
+    return f"(CAST({h} // {unit} AS VARCHAR) || '.' || lpad(CAST({h} % {unit} AS VARCHAR), {decimals}, '0'))"
+
+
+NL = "chr(10)"
+_score1 = "((composite_ppm * 2000 + 1000000) // 2000000)"
+_score0 = "((composite_ppm * 200 + 1000000) // 2000000)"
+REPORT_LINES = f"""lines AS (
+SELECT 0 AS sec, 0 AS k1, '' AS k2, '' AS k3,
+  {q(_R.REPORT_TITLE)} || {q(_R.REPORT_GENERATED)} || '{AS_OF_ORDERS} 00:00:00' || {NL} || {q(_R.REPORT_SCORE)}
+  || {_fixed(_score1, 1)} || '%' || {NL} || {q(_R.REPORT_ISSUES)} AS text FROM composite
+UNION ALL
+SELECT 1, d.dim_order, coalesce(i.rule, ''), coalesce(i.column_name, ''),
+  '### ' || i.dimension || {NL} || '- **Issue**: ' || i.issue || {NL} || '- **Impact**: ' || i.description || {NL}
+  || '- **Columns**: ' || coalesce(i.column_name, '') || {NL} || {NL}
+FROM (SELECT * FROM found UNION ALL SELECT * FROM healthy) i JOIN dims d ON i.dimension = d.dimension
+UNION ALL SELECT 2, 0, '', '', {q(_R.REPORT_ACTIONS)}
+UNION ALL
+SELECT 3, priority, rule, '', '- **[Priority ' || CAST(priority AS VARCHAR) || ']** ' || action || ': ' || description || {NL}
+FROM actions
+UNION ALL SELECT 4, 0, '', '', {q(_R.REPORT_RISKS)}
+UNION ALL SELECT 5, severity, risk, '', '- ' || risk || {NL} FROM risk_rows)"""
+
+SQL["remediation_report"] = analysis_prefix().rstrip() + ",\n" + REPORT_LINES + f"""
+SELECT 'dirty_payments' AS dataset_name,
+  replace({q(_R.REPORT_FILE)}, '{{score}}', CAST((SELECT {_score0} FROM composite) AS VARCHAR)) AS file_name,
+  string_agg(text, '' ORDER BY sec, k1, k2, k3, text) AS markdown FROM lines"""
+
+# ----------------------------------------------------------------- windows
+SQL["transcripts_tail"] = """WITH r AS (
+  SELECT conv_id, turn, coalesce(role, '') || ': ' || coalesce(text, '') AS line,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rk FROM conversations),
+c AS (SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id)
+SELECT r.conv_id, CAST(c.n AS BIGINT) AS n_messages, CAST(count(*) AS BIGINT) AS kept_messages,
+  string_agg(line, chr(10) ORDER BY turn) AS transcript
+FROM r JOIN c ON r.conv_id = c.conv_id WHERE rk <= 4 GROUP BY r.conv_id, c.n"""
+
+SQL["audit_history_latest"] = f"""WITH runs AS (
+  SELECT event_type AS dataset_name, CAST(ts AS DATE) AS run_date, max(ts) AS ingestion_timestamp,
+         count(*) AS row_count FROM events GROUP BY event_type, CAST(ts AS DATE)),
+r AS (SELECT *, row_number() OVER (PARTITION BY dataset_name ORDER BY ingestion_timestamp DESC) AS rk FROM runs)
+SELECT dataset_name, strftime(run_date, '%Y-%m-%d') AS run_date, strftime(ingestion_timestamp, {ISO_FMT}) AS ingestion_timestamp,
+  CAST(row_count AS BIGINT) AS row_count FROM r WHERE rk = 1"""
+
+# ------------------------------------------------- evaluation, predicates
+SQL["detector_evaluation"] = """WITH d AS (SELECT doc_id, count(*) OVER (PARTITION BY text) > 1 AS p FROM documents),
+j AS (SELECT p, quality = 0 AS t FROM d JOIN labels USING (doc_id)),
+c AS (SELECT CAST(count(*) FILTER (WHERE p AND t) AS BIGINT) AS tp, CAST(count(*) FILTER (WHERE p AND NOT t) AS BIGINT) AS fp,
+             CAST(count(*) FILTER (WHERE NOT p AND t) AS BIGINT) AS fn, CAST(count(*) FILTER (WHERE NOT p AND NOT t) AS BIGINT) AS tn FROM j)
+SELECT tp, fp, fn, tn,
+  CASE WHEN tp + fp > 0 THEN tp / (tp + fp) END AS precision,
+  CASE WHEN tp + fn > 0 THEN tp / (tp + fn) END AS recall,
+  CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) END AS f1 FROM c"""
+
+_QUAD = r"^(\d+)\.(\d+)\.(\d+)\.(\d+)$"
+_BLOCKED = ", ".join(q(h) for h in G.BLOCKED_HOSTS)
+SQL["public_url_filter"] = f"""WITH u AS (
+  SELECT page_id, url, lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*):', 1)) AS proto,
+    lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\\[[^\\]]*\\]|[^/?#:]*)', 1)) AS host
+  FROM pages),
+o AS (SELECT *, regexp_matches(host, {q(_QUAD)}) AS quad,
+    TRY_CAST(regexp_extract(host, {q(_QUAD)}, 1) AS INTEGER) AS o1, TRY_CAST(regexp_extract(host, {q(_QUAD)}, 2) AS INTEGER) AS o2,
+    TRY_CAST(regexp_extract(host, {q(_QUAD)}, 3) AS INTEGER) AS o3, TRY_CAST(regexp_extract(host, {q(_QUAD)}, 4) AS INTEGER) AS o4
+  FROM u)
+SELECT page_id, url, coalesce(proto IN ('http', 'https') AND host <> '' AND host NOT IN ({_BLOCKED})
+  AND NOT (quad AND (o1 > 255 OR o2 > 255 OR o3 > 255 OR o4 > 255 OR o1 IN (10, 0) OR (o1 = 172 AND o2 BETWEEN 16 AND 31)
+           OR (o1 = 192 AND o2 = 168) OR (o1 = 169 AND o2 = 254))), false) AS is_public
+FROM o"""
+
+SQL["audit_target_filter"] = f"""WITH n AS (SELECT p_brand AS target_name FROM part UNION SELECT p_type FROM part
+  UNION SELECT c_mktsegment FROM customer)
+SELECT target_name, coalesce(regexp_matches(target_name, {q(G.TABLE_NAME_PATTERN)}), false) AS is_valid FROM n"""
+
+# ------------------------------------------------------ typed table profiles
+LINEITEM_COLUMNS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
+                    "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
+ORDERS_COLUMNS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
+EVENTS_COLUMNS = ["event_id", "user_id", "event_type", "value", "props"]
+
+SQL["profile_lineitem"] = column_profile_sql(table_facts("lineitem", LINEITEM_COLUMNS))
+
+
+def numeric_group_sql(keys: str) -> str:
+    """Numeric stats over ``facts`` grouped by ``keys`` (with the exact decimal mean)."""
+    return f"""xs AS (SELECT {keys}, n, CASE WHEN is_num THEN num END AS x,
+    CASE WHEN is_num THEN TRY_CAST(value AS DECIMAL(24,6)) END AS d FROM facts),
+ng AS (SELECT {keys}, sum(n) AS cnt, min(x) AS min_value, max(x) AS max_value,
+  CAST(sum(d * n) * 1000000 AS HUGEINT) AS s_micro, count(*) FILTER (WHERE d IS NULL) AS undec,
+  sum(x * n) / sum(n) AS dmean, sum(CASE WHEN x < 0 THEN n ELSE 0 END) AS negative_count
+FROM xs WHERE x IS NOT NULL GROUP BY {keys}),
+nm AS (SELECT *, sign(s_micro) * ((2 * abs(s_micro) + cnt) // (2 * cnt)) AS m_micro FROM ng),
+num_stats AS (SELECT {keys}, min_value, max_value, CAST(negative_count AS BIGINT) AS negative_count,
+  round(CASE WHEN undec = 0 THEN CAST((CASE WHEN m_micro < 0 THEN '-' ELSE '' END)
+      || CAST(abs(m_micro) // 1000000 AS VARCHAR) || '.' || lpad(CAST(abs(m_micro) % 1000000 AS VARCHAR), 6, '0')
+      AS DOUBLE) ELSE dmean END, 6) AS mean FROM nm)"""
+
+
+def profile_group_sql(keys: str) -> str:
+    return f"""prof AS (SELECT {keys},
+  CASE WHEN coalesce(bool_and(CASE WHEN present THEN is_num END), true) THEN 'numeric'
+       WHEN coalesce(bool_and(CASE WHEN present THEN ts IS NOT NULL END), true) THEN 'datetime'
+       ELSE 'string' END AS inferred_data_type,
+  CAST(sum(n) AS BIGINT) AS row_count,
+  CAST(sum(n) - sum(CASE WHEN present THEN n ELSE 0 END) AS BIGINT) AS null_count,
+  CAST(count(*) FILTER (WHERE present) AS BIGINT) AS unique_count
+FROM facts GROUP BY {keys})"""
+
+
+SQL["profile_orders_typed"] = table_facts("orders", ORDERS_COLUMNS).rstrip() + ",\n" + \
+    numeric_group_sql("column_name") + ",\n" + profile_group_sql("column_name") + """
+SELECT p.column_name, p.inferred_data_type, p.null_count, p.unique_count, s.min_value, s.max_value, s.mean
+FROM prof p LEFT JOIN num_stats s ON p.column_name = s.column_name"""
+
+SQL["windowed_profile"] = with_(
+    cells("events", EVENTS_COLUMNS, cast=True, extra="date_trunc('day', ts) AS window_start, "),
+    freq("window_start, "), facts("window_start, ")).rstrip() + ",\n" + \
+    numeric_group_sql("window_start, column_name") + ",\n" + profile_group_sql("window_start, column_name") + f"""
+SELECT strftime(p.window_start, {ISO_FMT}) AS window_start, p.column_name, p.row_count, p.null_count, p.unique_count,
+  s.min_value, s.max_value, s.mean, coalesce(s.negative_count, CAST(0 AS BIGINT)) AS negative_count
+FROM prof p LEFT JOIN num_stats s ON p.window_start = s.window_start AND p.column_name = s.column_name"""

@@ -9,9 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from qualitas.operators import cells as C
-from qualitas.operators import crosscol, findings, profile as P, rules as R, score as S
+from qualitas.functions.urls import is_public_url, is_valid_table_name
+from qualitas.operators import crosscol, findings, profile as P, rules as R, score as S, windows as W
+from qualitas.plans import document as D
 from qualitas.plans.audit import Audit
+from qualitas.plans.report import remediation_report as _report
 from qualitas.sources.tables import load_dirty_payments, table
+from qualitas.streaming.windowed import windowed_profile as _windowed
 
 AS_OF_ORDERS = "2000-06-01"
 AS_OF_EVENTS = "2024-01-20"
@@ -137,6 +141,91 @@ def composite_score(spark, sf_dir):
     return _dirty_audit(spark, sf_dir).composite.select("composite_dqs")
 
 
+# ------------------------------------------------- documents, report, merge
+def _analysis_summary(a: Audit) -> DataFrame:
+    parsed = D.parse_analysis(D.analysis_json(a).withColumn("dataset_name", F.lit(a.name)))
+    return D.validate_analysis(parsed).select(
+        "dataset_name", "status", "composite_dqs",
+        F.size("data_quality_issues").cast("bigint").alias("issue_count"),
+        F.size("remediation_actions").cast("bigint").alias("action_count"),
+        F.size("regulatory_compliance_risks").cast("bigint").alias("risk_count"),
+        "accepted", "reason")
+
+
+def contract_quarantine(spark, sf_dir):
+    return _analysis_summary(_dirty_audit(spark, sf_dir))
+
+
+def audit_merge(spark, sf_dir):
+    a = _dirty_audit(spark, sf_dir)
+    profile = a.dataset.select("dataset_name", "row_count", "column_count", "detected_domain")
+    analysis = _analysis_summary(a).select("dataset_name", "status", "composite_dqs", "issue_count",
+                                           "action_count", "risk_count")
+    return D.merge_profile_analysis(profile, analysis, "dataset_name")
+
+
+def remediation_report(spark, sf_dir):
+    a = _dirty_audit(spark, sf_dir)
+    return _report(a.name, a.as_of, a.composite, a.issues, a.actions, a.risks)
+
+
+# ------------------------------------------------------------ windows
+def transcripts_tail(spark, sf_dir):
+    return W.transcripts_tail(table(spark, sf_dir, "conversations"), keep=4)
+
+
+def audit_history_latest(spark, sf_dir):
+    """Daily audit runs of ``events`` per event type, and the latest run of each."""
+    ev = table(spark, sf_dir, "events")
+    runs = ev.groupBy(F.col("event_type").alias("dataset_name"), F.to_date("ts").alias("run_date")).agg(
+        F.max("ts").alias("ingestion_timestamp"), F.count(F.lit(1)).cast("bigint").alias("row_count"))
+    latest = W.latest_per_key(runs, "dataset_name", "ingestion_timestamp")
+    return latest.select("dataset_name", F.date_format("run_date", "yyyy-MM-dd").alias("run_date"),
+                         F.date_format("ingestion_timestamp", D.ISO).alias("ingestion_timestamp"), "row_count")
+
+
+# --------------------------------------------------- evaluation, predicates
+def detector_evaluation(spark, sf_dir):
+    """Duplicate-text detector on ``documents`` scored against ``labels.quality == 0``."""
+    docs = table(spark, sf_dir, "documents")
+    pred = crosscol.duplicate_flags(docs, ["text"], "doc_id")
+    truth = table(spark, sf_dir, "labels").select("doc_id", (F.col("quality") == 0).alias("low_quality"))
+    return S.detector_evaluation(pred, truth, "doc_id", "is_duplicate", "low_quality")
+
+
+def public_url_filter(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    return pages.select("page_id", "url", is_public_url(F.col("url")).alias("is_public"))
+
+
+def audit_target_filter(spark, sf_dir):
+    """Candidate table names (brands, part types, market segments) checked against the name grammar."""
+    part, cust = table(spark, sf_dir, "part"), table(spark, sf_dir, "customer")
+    names = (part.select(F.col("p_brand").alias("target_name"))
+             .unionByName(part.select(F.col("p_type").alias("target_name")))
+             .unionByName(cust.select(F.col("c_mktsegment").alias("target_name"))).distinct())
+    return names.select("target_name", is_valid_table_name(F.col("target_name")).alias("is_valid"))
+
+
+# ------------------------------------------------------ typed table profiles
+def profile_lineitem(spark, sf_dir):
+    return _profile_flat(P.column_profile(C.facts(C.frequency(table(spark, sf_dir, "lineitem")))))
+
+
+def profile_orders_typed(spark, sf_dir):
+    facts = C.facts(C.frequency(table(spark, sf_dir, "orders")))
+    prof = P.column_profile(facts)
+    num = P.numeric_stats(facts)
+    return prof.join(num, "column_name", "left").select(
+        "column_name", "inferred_data_type", "null_count", "unique_count", "min_value", "max_value",
+        F.round("mean", 6).alias("mean"))
+
+
+def windowed_profile(spark, sf_dir):
+    out = _windowed(table(spark, sf_dir, "events"), "ts", "1 day")
+    return out.withColumn("mean", F.round("mean", 6))
+
+
 QUERIES = {
     "column_profile": column_profile,
     "numeric_stats": numeric_stats,
@@ -165,4 +254,15 @@ QUERIES = {
     "compliance_risks": compliance_risks,
     "dimension_scores": dimension_scores,
     "composite_score": composite_score,
+    "contract_quarantine": contract_quarantine,
+    "audit_merge": audit_merge,
+    "remediation_report": remediation_report,
+    "transcripts_tail": transcripts_tail,
+    "audit_history_latest": audit_history_latest,
+    "detector_evaluation": detector_evaluation,
+    "public_url_filter": public_url_filter,
+    "audit_target_filter": audit_target_filter,
+    "profile_lineitem": profile_lineitem,
+    "profile_orders_typed": profile_orders_typed,
+    "windowed_profile": windowed_profile,
 }
