@@ -30,7 +30,7 @@ class Audit:
                  range_rules=G.DEFAULT_RANGE_RULES, keys=None, parents: dict | None = None,
                  pan_columns=("card_brand", "card_number"), dependent_null_columns=None,
                  freshness_years: int = G.FRESHNESS_YEARS, weights: dict | None = None,
-                 dataset_id: str | None = None):
+                 dataset_id: str | None = None, checkpoint_rules: bool = True):
         src = df.select(*[F.col(f"`{c}`") for c in columns]) if columns else df
         self.source = cap_rows(src, sample_rows)
         self.name = name
@@ -46,6 +46,7 @@ class Audit:
         self.freshness_years = freshness_years
         self.weights = weights
         self.dataset_id = dataset_id
+        self.checkpoint_rules = checkpoint_rules
         self.spark = df.sparkSession
 
     # ------------------------------------------------------------ shared scan
@@ -124,6 +125,12 @@ class Audit:
         out = parts[0]
         for p in parts[1:]:
             out = out.unionByName(p)
+        if self.checkpoint_rules:
+            # the rule table is tiny (rules x columns); a reliable checkpoint cuts the
+            # lineage every finding, score and report is built on
+            from qualitas.session import ensure_checkpoint_dir
+            ensure_checkpoint_dir(self.spark)
+            out = out.checkpoint(eager=True)
         return out
 
     @cached_property

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 ISO = "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"
 
-PROFILE_SCHEMA = T._parse_datatype_string(
+PROFILE_SCHEMA = (
     "dataset struct<dataset_id:string, dataset_name:string, row_count:bigint, column_count:bigint, "
     "detected_domain:string, ingestion_timestamp:string>, "
     "columns array<struct<column_name:string, inferred_data_type:string, null_count:bigint, null_ratio:double, "
@@ -27,7 +27,7 @@ PROFILE_SCHEMA = T._parse_datatype_string(
     "compliance_flags struct<kyc_fields_present:boolean, monetary_fields_present:boolean, "
     "personal_data_present:boolean>")
 
-ANALYSIS_SCHEMA = T._parse_datatype_string(
+ANALYSIS_SCHEMA = (
     "status string, "
     "data_quality_issues array<struct<dimension:string, issue:string, affected_columns:array<string>, "
     "description:string>>, "

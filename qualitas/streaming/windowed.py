@@ -39,7 +39,9 @@ def stream_profile(stream: DataFrame, ts_col: str, window: str = "1 day", waterm
                    columns=None) -> DataFrame:
     """Streaming per-window profile; emit with outputMode('append') once the watermark passes a window."""
     cols = [c for c in (columns or stream.columns) if c != ts_col]
-    wm = stream.withWatermark(ts_col, watermark)
+    # watermarks need TIMESTAMP; a TIMESTAMP_NTZ column is read as wall clock in the session zone
+    # (the window start is formatted back in the same zone, so the wall clock is kept)
+    wm = stream.withColumn(ts_col, F.col(ts_col).cast("timestamp")).withWatermark(ts_col, watermark)
     cells = C.cells(wm, cols, by=[ts_col])
     v = F.col("value")
     num = F.when(is_present(v) & is_number_like(v), v.try_cast("double"))
