@@ -23,26 +23,34 @@ _TEMPORAL = (T.DateType, T.TimestampType, T.TimestampNTZType)
 
 
 def _cell_facts(field: T.StructField):
-    """(text, present, is_num, num, is_date) column expressions for one column."""
+    """(distinct key, present, is_num, num, is_date) column expressions for one column.
+
+    Typed columns never render a value as text here: a typed non-NULL value is
+    present (its text is never empty) and is hashed as it is.
+    """
     c = F.col(f"`{field.name}`")
-    v = as_text(field)
     dt = field.dataType
-    present = is_present(v)
     if isinstance(dt, _INTEGRAL):
-        return v, present, c.isNotNull(), c.cast("double"), F.lit(False)
+        return c, c.isNotNull(), c.isNotNull(), c.cast("double"), F.lit(False)
     if isinstance(dt, _FRACTIONAL):
         finite = c.isNotNull() & ~F.isnan(c) & (F.abs(c) != F.lit(float("inf")))
-        return v, present, finite, F.when(finite, c.cast("double")), F.lit(False)
+        return c, c.isNotNull(), finite, F.when(finite, c.cast("double")), F.lit(False)
     if isinstance(dt, _TEMPORAL):
-        return v, present, F.lit(False), F.lit(None).cast("double"), c.isNotNull()
+        return c, c.isNotNull(), F.lit(False), F.lit(None).cast("double"), c.isNotNull()
     if isinstance(dt, T.BooleanType):
-        return v, present, F.lit(False), F.lit(None).cast("double"), F.lit(False)
+        return c, c.isNotNull(), F.lit(False), F.lit(None).cast("double"), F.lit(False)
+    v = as_text(field)
+    present = is_present(v)
     num_like = present & is_number_like(v)
     return v, present, num_like, F.when(num_like, v.try_cast("double")), present & is_likely_date(v)
 
 
-def approx_profile(df: DataFrame, columns=None, k: int = G.TOP_K, rsd: float = 0.02) -> DataFrame:
-    """Per column: inferred type, null and approximate distinct counts, numeric stats, approximate top-k."""
+def approx_profile(df: DataFrame, columns=None, k: int = G.TOP_K, rsd: float = 0.02,
+                   tracked: int = 1000) -> DataFrame:
+    """Per column: inferred type, null and approximate distinct counts, numeric stats, approximate top-k.
+
+    ``tracked`` bounds the frequent-items sketch per column (memory and merge cost per task).
+    """
     fields = {f.name: f for f in df.schema.fields}
     cols = list(columns or df.columns)
     aggs = [F.count(F.lit(1)).alias("rows")]
@@ -57,8 +65,9 @@ def approx_profile(df: DataFrame, columns=None, k: int = G.TOP_K, rsd: float = 0
             F.min(num).alias(f"mn{i}"), F.max(num).alias(f"mx{i}"),
             F.avg(num).alias(f"av{i}"), F.count(num).alias(f"nc{i}"),
             F.count_if(num < 0).alias(f"ng{i}"),
-            F.slice(F.filter(F.expr(f"approx_top_k(CASE WHEN {_present_sql(c)} THEN {_text_sql(fields[c])} END, "
-                                    f"{int(k) + 1})"), lambda e: e["item"].isNotNull()), 1, int(k)).alias(f"t{i}"),
+            F.slice(F.filter(F.expr(f"approx_top_k(CASE WHEN {_present_sql(fields[c])} THEN {_item_sql(fields[c])} END, "
+                                    f"{int(k) + 1}, {int(tracked)})"), lambda e: e["item"].isNotNull()), 1, int(k))
+            .alias(f"t{i}"),
         ]
     wide = df.agg(*aggs)
     entries = [F.struct(
@@ -68,7 +77,8 @@ def approx_profile(df: DataFrame, columns=None, k: int = G.TOP_K, rsd: float = 0
         F.col(f"mn{i}").alias("min_value"), F.col(f"mx{i}").alias("max_value"),
         F.col(f"av{i}").alias("mean"), F.col(f"nc{i}").alias("numeric_count"),
         F.col(f"ng{i}").alias("negatives"),
-        F.transform(F.col(f"t{i}"), lambda e: F.struct(e["item"].alias("value"), e["count"].alias("n")))
+        F.transform(F.col(f"t{i}"), lambda e: F.struct(_item_text(fields[c], e["item"]).alias("value"),
+                                                       e["count"].alias("n")))
         .alias("top_values")) for i, c in enumerate(cols)]
     long = wide.select("rows", F.explode(F.array(*entries)).alias("e")).select("rows", "e.*")
     rows = F.col("rows")
@@ -86,15 +96,23 @@ def approx_profile(df: DataFrame, columns=None, k: int = G.TOP_K, rsd: float = 0
         "top_values", rows.cast("bigint").alias("row_count"))
 
 
-def _text_sql(field: T.StructField) -> str:
+def _item_sql(field: T.StructField) -> str:
+    """Top-k item: the typed value for atomic types, JSON text for nested ones."""
     name = f"`{field.name}`"
-    dt = field.dataType
-    if isinstance(dt, (T.StructType, T.ArrayType, T.MapType)):
+    if isinstance(field.dataType, (T.StructType, T.ArrayType, T.MapType)):
         return f"to_json({name})"
-    if isinstance(dt, T.StringType):
-        return name
-    return f"CAST({name} AS STRING)"
+    if isinstance(field.dataType, T.BinaryType):
+        return f"base64({name})"
+    return name
+
 
+def _item_text(field: T.StructField, item):
+    return item if isinstance(field.dataType, (T.StringType, T.StructType, T.ArrayType, T.MapType, T.BinaryType)) \
+        else item.cast("string")
 
-def _present_sql(c: str) -> str:
-    return f"(`{c}` IS NOT NULL AND CAST(`{c}` AS STRING) <> '')"
+
+def _present_sql(field: T.StructField) -> str:
+    name = f"`{field.name}`"
+    if isinstance(field.dataType, T.StringType):
+        return f"({name} IS NOT NULL AND {name} <> '')"
+    return f"({name} IS NOT NULL)"

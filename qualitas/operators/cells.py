@@ -31,7 +31,7 @@ def cells(df: DataFrame, columns=None, by=()) -> DataFrame:
     cols = profiled_columns(df, columns, by)
     fields = {f.name: f for f in df.schema.fields}
     wide = df.select(*[F.col(f"`{b}`") for b in by], *[as_text(fields[c]).alias(c) for c in cols])
-    return wide.unpivot(by, cols, "column_name", "value")
+    return wide.unpivot([F.col(f"`{b}`") for b in by], [F.col(f"`{c}`") for c in cols], "column_name", "value")
 
 
 def frequency(df: DataFrame, columns=None, by=()) -> DataFrame:

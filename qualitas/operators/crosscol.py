@@ -8,9 +8,14 @@ from qualitas.functions.predicates import as_text, is_present
 
 
 def _key_columns(df: DataFrame, keys=None):
+    """(original names, text expressions aliased to safe positional names ``_k0, _k1, ...``)."""
     fields = {f.name: f for f in df.schema.fields}
     names = list(keys) if keys else list(df.columns)
-    return names, [as_text(fields[c]).alias(c) for c in names]
+    return names, [as_text(fields[c]).alias(f"_k{i}") for i, c in enumerate(names)]
+
+
+def _safe(names):
+    return [f"_k{i}" for i in range(len(names))]
 
 
 def duplicate_summary(df: DataFrame, keys=None) -> DataFrame:
@@ -21,7 +26,7 @@ def duplicate_summary(df: DataFrame, keys=None) -> DataFrame:
     reaches a single reducer.
     """
     names, exprs = _key_columns(df, keys)
-    g = df.select(*exprs).groupBy(*names).agg(F.count(F.lit(1)).alias("c"))
+    g = df.select(*exprs).groupBy(*_safe(names)).agg(F.count(F.lit(1)).alias("c"))
     return g.agg(
         F.coalesce(F.sum("c"), F.lit(0)).cast("bigint").alias("row_count"),
         F.count(F.lit(1)).cast("bigint").alias("distinct_rows"),
@@ -37,10 +42,11 @@ def duplicate_flags(df: DataFrame, keys, id_col: str) -> DataFrame:
     back; rows are never collected per key.
     """
     names, exprs = _key_columns(df, keys)
-    counts = df.select(*exprs).groupBy(*names).agg(F.count(F.lit(1)).alias("_c"))
-    rows = df.select(F.col(id_col), *exprs)
-    return (rows.join(counts, names, "left")
-            .select(id_col, (F.col("_c") > 1).alias("is_duplicate")))
+    safe = _safe(names)
+    counts = df.select(*exprs).groupBy(*safe).agg(F.count(F.lit(1)).alias("_c"))
+    rows = df.select(F.col(f"`{id_col}`").alias("_id"), *exprs)
+    return (rows.join(counts, safe, "left")
+            .select(F.col("_id").alias(id_col), (F.col("_c") > 1).alias("is_duplicate")))
 
 
 def dependent_nulls(df: DataFrame, columns=None) -> DataFrame:
