@@ -221,6 +221,22 @@ def profile_orders_typed(spark, sf_dir):
         F.round("mean", 6).alias("mean"))
 
 
+def profile_lineitem_approx(spark, sf_dir):
+    """One-pass approximate profile (HyperLogLog distinct, approximate top-k): no DuckDB twin."""
+    from qualitas.operators.approx import approx_profile
+    return approx_profile(table(spark, sf_dir, "lineitem")).select(
+        "column_name", "inferred_data_type", "null_count", "approx_unique_count", "numeric_count",
+        "min_value", "max_value", "negative_value_ratio")
+
+
+def profile_document(spark, sf_dir):
+    """The nested profile document (JSON text) of the dirty-payments audit: no DuckDB twin."""
+    a = _dirty_audit(spark, sf_dir)
+    a.dataset_id = "dirty_payments"
+    a.materialize()            # eight document parts share one checkpointed facts table
+    return D.profile_json(a).select(F.lit(a.name).alias("dataset_name"), "json")
+
+
 def windowed_profile(spark, sf_dir):
     out = _windowed(table(spark, sf_dir, "events"), "ts", "1 day")
     return out.withColumn("mean", F.round("mean", 6))
@@ -265,4 +281,6 @@ QUERIES = {
     "profile_lineitem": profile_lineitem,
     "profile_orders_typed": profile_orders_typed,
     "windowed_profile": windowed_profile,
+    "profile_lineitem_approx": profile_lineitem_approx,
+    "profile_document": profile_document,
 }

@@ -153,3 +153,12 @@ def merge_profile_analysis(profile: DataFrame, analysis: DataFrame, on: str = "d
             + [F.coalesce(F.col(f"a.`{c}`"), F.col(f"p.`{c}`")).alias(c) for c in clash]
             + [F.col(f"a.`{c}`") for c in analysis.columns if c not in clash and c != on])
     return p.join(a, on, "left").select(on, *keep)
+
+
+def pick_analysis(docs: DataFrame, json_col: str = "json") -> DataFrame:
+    """Nested-result pick: the ``genai_insights`` object when the document has one, else the document.
+
+    Returns the picked object as JSON text in ``json_col`` (other columns kept).
+    """
+    inner = F.get_json_object(F.col(json_col), "$.genai_insights")
+    return docs.withColumn(json_col, F.coalesce(inner, F.col(json_col)))

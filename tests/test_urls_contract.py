@@ -61,3 +61,10 @@ def test_merge_analysis_wins_and_profile_alone(spark):
     m = {r.dataset_name: r for r in D.merge_profile_analysis(prof, ana).collect()}
     assert m["a"].domain == "API Source" and m["a"].composite == 0.9
     assert m["b"].domain == "Unknown" and m["b"].composite is None
+
+
+def test_pick_nested_result(spark):
+    docs = spark.createDataFrame([("a", json.dumps({"genai_insights": {"composite_dqs": 0.7}, "other": 1})),
+                                  ("b", json.dumps({"composite_dqs": 0.9}))], "dataset_name string, json string")
+    got = {r.dataset_name: json.loads(r.json) for r in D.pick_analysis(docs).collect()}
+    assert got == {"a": {"composite_dqs": 0.7}, "b": {"composite_dqs": 0.9}}
