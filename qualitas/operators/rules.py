@@ -170,3 +170,75 @@ def orphan_rule(df: DataFrame, column: str, parent: DataFrame, parent_column: st
         F.count(F.lit(1)).cast("bigint").alias("distinct_values"),
     ).select(F.lit("Integrity").alias("dimension"), F.lit("orphan_keys").alias("rule"),
              F.lit(column).alias("column_name"), "bad", "eligible", "distinct_values")
+
+
+def row_rules(df: DataFrame, keys=None, parents: dict | None = None, pan_columns=None) -> DataFrame:
+    """Row rules: duplicate rows, duplicate keys and card-number lengths in ONE scan; orphans per parent.
+
+    The first three are ``groupBy(key).count()`` over different keys, so they
+    are one grouping-sets aggregation (Spark expands each row once per set,
+    combines map-side so a hot key collapses to one row per task, and
+    shuffles once) followed by one global conditional aggregation, read as
+    three rule rows.  Each key is packed into a single struct column, so the
+    grouping id stays small however wide the table is.  The card-brand
+    lengths are a fixed CASE over the brand (no join).  Orphans need the
+    parent keys and keep their own pre-aggregated anti-match (``orphan_rule``).
+    """
+    parents = parents or {}
+    fields = {f.name: f for f in df.schema.fields}
+    names = list(df.columns)
+    texts = {c: as_text(fields[c]) for c in names}
+    proj = [F.struct(*[texts[c].alias(f"_k{i}") for i, c in enumerate(names)]).alias("_row")]
+    sets = [["_row"]]
+    if keys:
+        proj.append(F.struct(*[texts[c].alias(f"_k{i}") for i, c in enumerate(keys)]).alias("_key"))
+        sets.append(["_key"])
+    brand, number = pan_columns if pan_columns else (None, None)
+    with_pan = brand in fields and number in fields
+    if with_pan:
+        ok = is_present(texts[number]) & is_present(texts[brand])
+        proj.append(F.when(ok, F.lower(F.trim(texts[brand]))).alias("_brand"))
+        proj.append(F.when(ok, F.length(F.regexp_replace(texts[number], "[^0-9]", ""))).alias("_digits"))
+        sets.append(["_brand", "_digits"])
+    group_cols = [c for st in sets for c in st]
+
+    def gid(members):
+        return sum(1 << (len(group_cols) - 1 - i) for i, c in enumerate(group_cols) if c not in members)
+
+    g = (df.select(*proj).groupingSets(sets, *group_cols)
+         .agg(F.count(F.lit(1)).alias("c"), F.grouping_id().alias("_gid")))
+    in_set = {name: F.col("_gid") == gid(members)
+              for name, members in (("row", ["_row"]), ("key", ["_key"]), ("pan", ["_brand", "_digits"]))}
+
+    def n_if(cond):
+        return F.coalesce(F.sum(F.when(cond, F.col("c"))), F.lit(0)).cast("bigint")
+
+    aggs = [n_if(in_set["row"]).alias("row_n"), F.count_if(in_set["row"]).cast("bigint").alias("row_d")]
+    if keys:
+        aggs += [n_if(in_set["key"]).alias("key_n"), F.count_if(in_set["key"]).cast("bigint").alias("key_d")]
+    if with_pan:
+        lo = hi = None
+        for b, mn, mx in G.PAN_LENGTHS:
+            lo = F.when(F.col("_brand") == b, F.lit(mn)) if lo is None else lo.when(F.col("_brand") == b, F.lit(mn))
+            hi = F.when(F.col("_brand") == b, F.lit(mx)) if hi is None else hi.when(F.col("_brand") == b, F.lit(mx))
+        known = in_set["pan"] & lo.isNotNull()
+        aggs += [n_if(known).alias("pan_n"), F.count_if(known).cast("bigint").alias("pan_d"),
+                 n_if(known & ((F.col("_digits") < lo) | (F.col("_digits") > hi))).alias("pan_bad")]
+    t = g.agg(*aggs)
+    L = F.lit
+
+    def rule_row(dim, rule, column, bad, eligible, distinct):
+        return F.struct(L(dim).alias("dimension"), L(rule).alias("rule"), L(column).alias("column_name"),
+                        bad.alias("bad"), eligible.alias("eligible"), distinct.alias("distinct_values"))
+
+    rows = [rule_row("Uniqueness", "duplicate_rows", "*", F.col("row_n") - F.col("row_d"), F.col("row_n"),
+                     F.col("row_d"))]
+    if keys:
+        rows.append(rule_row("Uniqueness", "duplicate_key", ",".join(keys), F.col("key_n") - F.col("key_d"),
+                             F.col("key_n"), F.col("key_d")))
+    if with_pan:
+        rows.append(rule_row("Validity", "pan_length", number, F.col("pan_bad"), F.col("pan_n"), F.col("pan_d")))
+    out = t.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+    for col, (parent, parent_col) in parents.items():
+        out = out.unionByName(orphan_rule(df, col, parent, parent_col))
+    return out

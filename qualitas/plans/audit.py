@@ -112,19 +112,8 @@ class Audit:
 
     @cached_property
     def rules(self) -> DataFrame:
-        parts = [R.column_rules(self.summary)]
-        cols = set(self.source.columns)
-        brand, number = self.pan_columns if self.pan_columns else (None, None)
-        if brand in cols and number in cols:
-            parts.append(R.pan_length_rule(self.source, brand, number))
-        parts.append(R.duplicate_rule(self.source))
-        if self.keys:
-            parts.append(R.duplicate_rule(self.source, self.keys))
-        for col, (parent, parent_col) in self.parents.items():
-            parts.append(R.orphan_rule(self.source, col, parent, parent_col))
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
+        out = R.column_rules(self.summary).unionByName(
+            R.row_rules(self.source, keys=self.keys, parents=self.parents, pan_columns=self.pan_columns))
         if self.checkpoint_rules:
             # the rule table is tiny (rules x columns); a reliable checkpoint cuts the
             # lineage every finding, score and report is built on
