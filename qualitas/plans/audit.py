@@ -52,7 +52,7 @@ class Audit:
     # ------------------------------------------------------------ shared scan
     @cached_property
     def facts(self) -> DataFrame:
-        return C.facts(C.frequency(self.source), day_first=self.day_first)
+        return C.facts_of(self.source, day_first=self.day_first)
 
     def materialize(self, eager: bool = True) -> "Audit":
         """Checkpoint the facts table (reliable checkpoint in ``spark.checkpoint.dir``)."""

@@ -32,7 +32,7 @@ def _dirty_audit(spark, sf_dir) -> Audit:
 
 
 def _dirty_facts(spark, sf_dir):
-    return C.facts(C.frequency(_dirty(spark, sf_dir)))
+    return C.facts_of(_dirty(spark, sf_dir))
 
 
 def _profile_flat(prof: DataFrame) -> DataFrame:
@@ -209,11 +209,11 @@ def audit_target_filter(spark, sf_dir):
 
 # ------------------------------------------------------ typed table profiles
 def profile_lineitem(spark, sf_dir):
-    return _profile_flat(P.column_profile(C.facts(C.frequency(table(spark, sf_dir, "lineitem")))))
+    return _profile_flat(P.column_profile(C.facts_of(table(spark, sf_dir, "lineitem"))))
 
 
 def profile_orders_typed(spark, sf_dir):
-    facts = C.facts(C.frequency(table(spark, sf_dir, "orders")))
+    facts = C.facts_of(table(spark, sf_dir, "orders"))
     prof = P.column_profile(facts)
     num = P.numeric_stats(facts)
     return prof.join(num, "column_name", "left").select(

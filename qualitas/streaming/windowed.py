@@ -22,7 +22,7 @@ def windowed_profile(df: DataFrame, ts_col: str, window: str = "1 day", columns=
     """Exact per-window column profile: rows, nulls, distinct, numeric min/max/mean, negatives."""
     cols = [c for c in (columns or df.columns) if c != ts_col]
     keyed = df.withColumn("window_start", F.window(F.col(ts_col), window).start).drop(ts_col)
-    facts = C.facts(C.frequency(keyed, cols, by=["window_start"]))
+    facts = C.facts_of(keyed, cols, by=["window_start"])
     prof = P.column_profile(facts, by=["window_start"])
     num = P.numeric_stats(facts, by=["window_start"])
     neg = facts.where(F.col("is_num") & (F.col("num") < 0)).groupBy("window_start", "column_name").agg(

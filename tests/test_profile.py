@@ -101,3 +101,19 @@ def test_nested_json_column_profiled_as_text(spark):
     df = spark.createDataFrame([({"k": 1},), ({"k": 1},), (None,)], "m map<string,int>")
     prof = _profile(df)
     assert prof["m"].unique_count == 1 and prof["m"].null_count == 1
+
+
+def test_typed_fast_path_equals_text_grammar(spark):
+    from conftest import SF001
+    from qualitas.sources.tables import table
+    extra = spark.createDataFrame(
+        [(2024, 1.5, float("nan"), True, dt.date(2024, 1, 2)), (-7, float("inf"), 2.0, False, None),
+         (2101, None, -0.0, None, dt.date(1999, 12, 31)), (None, 1e7, 3.25, True, dt.date(2100, 1, 1))],
+        "year_no int, x double, y double, flag boolean, d date")
+    dec = spark.createDataFrame([(2024,), (5,)], "v int").select(F.col("v").cast("decimal(10,0)").alias("v"),
+                                                                 (F.col("v") / 4).cast("decimal(10,2)").alias("w"))
+    for df in (table(spark, SF001, "lineitem"), table(spark, SF001, "orders"), table(spark, SF001, "events"),
+               extra, dec):
+        fast = C.facts_of(df)
+        slow = C.facts(C.frequency(df))
+        assert fast.exceptAll(slow).count() == 0 and slow.exceptAll(fast).count() == 0
