@@ -73,14 +73,19 @@ def dependent_nulls(df: DataFrame, columns=None) -> DataFrame:
         for w in range(len(words)):
             aggs.append(F.bit_and(F.when(F.col(f"m{i}"), F.col(f"w{w}"))).alias(f"a{i}_{w}"))
     wide = bits.agg(*aggs)
-    entries = []
-    for i in range(k):
-        for j in range(k):
-            if i == j:
-                continue
-            w, pos = j // 63, j % 63
-            implied = F.shiftright(F.col(f"a{i}_{w}"), pos).bitwiseAND(F.lit(1)) == 1
-            entries.append(F.struct(F.lit(names[i]).alias("a"), F.lit(names[j]).alias("b"),
-                                    F.col(f"c{i}").alias("a_missing"), implied.alias("implied")))
-    pairs = wide.select(F.explode(F.array(*entries)).alias("p")).select("p.*")
-    return pairs.where((F.col("a_missing") > 0) & F.col("implied")).select("a", "b", "a_missing")
+    # one row per column a (k structs of ceil(k/63) words), then the set bits of a's AND-mask are
+    # the columns b: O(k * words) expressions, not one per pair
+    per_a = wide.select(F.explode(F.array(*[
+        F.struct(F.lit(i).alias("i"), F.col(f"c{i}").alias("a_missing"),
+                 F.array(*[F.col(f"a{i}_{w}") for w in range(len(words))]).alias("words"))
+        for i in range(k)])).alias("r")).select("r.*").where(F.col("a_missing") > 0)
+    names_arr = F.array(*[F.lit(n) for n in names])
+
+    def implied(j):
+        word = F.element_at(F.col("words"), (j / 63).cast("int") + 1)
+        shifted = F.call_function("shiftright", word, (j % 63).cast("int"))
+        return (j != F.col("i")) & (shifted.bitwiseAND(F.lit(1)) == 1)
+
+    pairs = per_a.select("i", "a_missing", F.explode(F.filter(F.sequence(F.lit(0), F.lit(k - 1)), implied)).alias("j"))
+    return pairs.select(F.element_at(names_arr, F.col("i") + 1).alias("a"),
+                        F.element_at(names_arr, F.col("j") + 1).alias("b"), "a_missing")

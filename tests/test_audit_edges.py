@@ -61,3 +61,15 @@ def test_profile_document_round_trip(spark):
                         "composite_dqs", "dimension_scores"}
     assert list(ana["dimension_scores"]) == ["Completeness", "Accuracy", "Consistency", "Validity", "Timeliness",
                                              "Uniqueness", "Integrity"]
+
+
+def test_dependent_nulls_wide_table(spark):
+    from qualitas.operators.crosscol import dependent_nulls
+    k = 130                       # three mask words
+    cols = [f"c{i}" for i in range(k)]
+    row_a = [None if i in (0, 64, 129) else "x" for i in range(k)]
+    row_b = [None if i in (64, 129) else "y" for i in range(k)]
+    row_c = ["z"] * k
+    df = spark.createDataFrame([row_a, row_b, row_c], ", ".join(f"{c} string" for c in cols))
+    got = sorted((r.a, r.b, r.a_missing) for r in dependent_nulls(df).collect())
+    assert got == [("c0", "c129", 1), ("c0", "c64", 1), ("c129", "c64", 2), ("c64", "c129", 2)]
