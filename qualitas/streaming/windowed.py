@@ -65,3 +65,27 @@ def run_stream_profile(spark, source_path: str, schema, ts_col: str, sink_table:
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
     return spark.table(sink_table)
+
+
+def stream_profile_to_history(spark, source_path: str, schema, ts_col: str, history_path: str, checkpoint: str,
+                              window: str = "1 day", watermark: str = "1 hour", columns=None, dataset_name=None,
+                              available_now: bool = True):
+    """Append closed windows of the streaming profile to a parquet history table.
+
+    ``foreachBatch`` writes each micro-batch into its own ``batch_id``
+    partition with dynamic partition overwrite, so a batch replayed after a
+    failure replaces its own output instead of duplicating it (exactly-once
+    with the checkpointed offsets).
+    """
+    name = dataset_name or source_path
+
+    def write(batch_df, batch_id):
+        (batch_df.withColumn("dataset_name", F.lit(name)).withColumn("batch_id", F.lit(int(batch_id)))
+         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("batch_id").parquet(history_path))
+
+    stream = spark.readStream.schema(schema).parquet(source_path)
+    writer = (stream_profile(stream, ts_col, window, watermark, columns).writeStream.outputMode("append")
+              .foreachBatch(write).option("checkpointLocation", checkpoint))
+    writer = writer.trigger(availableNow=True) if available_now else writer
+    return writer.start()
