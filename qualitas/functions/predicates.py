@@ -43,20 +43,31 @@ def is_year_only(v: Column) -> Column:
     return F.coalesce(v.rlike(G.DATE_PATTERN_YEAR), F.lit(False))
 
 
-def parse_timestamp(v: Column, day_first: bool = False) -> Column:
-    """Parse a date-like string as TIMESTAMP_NTZ, or NULL.
+_SLASH_FULL = r"^(\d{2})/(\d{2})/(\d{4})$"
+_MONTH_YEAR_FULL = r"^(\d{2})/(\d{4})$"
+# a time of day followed by an explicit zone: Z, UTC/GMT or a numeric offset
+_ZONE_SUFFIX = r"\d:\d{2}(:\d{2}(\.\d+)?)?\s*(Z|UTC|GMT|[+-]\d{1,2}(:?\d{2})?)$"
+
 
-    One parser per prefix pattern.  ISO values go through the cast grammar
-    (an explicit zone is honoured and converted to the session zone); the
-    slash forms use one strict format each, so an impossible calendar date
-    such as 02/30/2024 is refused.  A bare year counts up to YEAR_MAX.
+def parse_timestamp(v: Column, day_first: bool = False) -> Column:
+    """Parse a date-like string as TIMESTAMP_NTZ (wall clock), or NULL.
+
+    One parser per prefix pattern, independent of the session time zone:
+    ISO values go through the cast grammar (a value with an explicit zone is
+    converted to the session zone's wall clock); ``MM/DD/YYYY`` (or
+    ``DD/MM/YYYY`` with ``day_first``), ``MM/YYYY`` and a bare year up to
+    YEAR_MAX are rewritten to ISO text and cast, so an impossible calendar
+    date such as 02/30/2024 is refused.
     """
-    slash_fmt = "dd/MM/yyyy" if day_first else "MM/dd/yyyy"
-    iso = F.when(v.rlike(G.DATE_PATTERN_ISO), v.try_cast("timestamp"))
-    slash = F.when(v.rlike(G.DATE_PATTERN_SLASH), F.try_to_timestamp(v, F.lit(slash_fmt)))
-    month_year = F.when(v.rlike(G.DATE_PATTERN_MONTH_YEAR), F.try_to_timestamp(v, F.lit("MM/yyyy")))
-    year = F.when(is_year_only(v) & (v.try_cast("int") <= G.YEAR_MAX),
-                  F.try_to_timestamp(v, F.lit("yyyy")))
+    ntz = lambda c: c.try_cast("timestamp_ntz")
+    iso = F.when(v.rlike(G.DATE_PATTERN_ISO),
+                 F.when(v.rlike(_ZONE_SUFFIX), v.try_cast("timestamp").cast("timestamp_ntz")).otherwise(ntz(v)))
+    g = lambda pattern, i: F.regexp_extract(v, pattern, i)
+    month, day = (g(_SLASH_FULL, 2), g(_SLASH_FULL, 1)) if day_first else (g(_SLASH_FULL, 1), g(_SLASH_FULL, 2))
+    slash = F.when(v.rlike(_SLASH_FULL), ntz(F.concat(g(_SLASH_FULL, 3), F.lit("-"), month, F.lit("-"), day)))
+    month_year = F.when(v.rlike(_MONTH_YEAR_FULL),
+                        ntz(F.concat(g(_MONTH_YEAR_FULL, 2), F.lit("-"), g(_MONTH_YEAR_FULL, 1), F.lit("-01"))))
+    year = F.when(is_year_only(v) & (v.try_cast("int") <= G.YEAR_MAX), ntz(F.concat(v, F.lit("-01-01"))))
     return F.coalesce(iso, slash, month_year, year).cast("timestamp_ntz")
 
 

@@ -92,9 +92,9 @@ def facts(freq: DataFrame, day_first: bool = False, code_pattern: str = G.CODE_P
               .otherwise(num_text))
     year_only = F.when(kind == "i", year_text).when(kind.isin("f", "t", "b"), F.lit(False)).otherwise(year_text)
     year_ts = F.when(year_text & (v.try_cast("int") <= G.YEAR_MAX),
-                     F.try_to_timestamp(v, F.lit("yyyy"))).cast("timestamp_ntz")
+                     F.concat(v, F.lit("-01-01")).try_cast("timestamp_ntz"))
     ts = F.when(~present, F.lit(None).cast("timestamp_ntz")) \
-        .when(kind == "t", v.try_cast("timestamp").cast("timestamp_ntz")) \
+        .when(kind == "t", v.try_cast("timestamp_ntz")) \
         .when(kind == "i", year_ts) \
         .when(kind.isin("f", "b"), F.lit(None).cast("timestamp_ntz")) \
         .otherwise(parse_timestamp(v, day_first))

@@ -130,11 +130,12 @@ def top_values_nested(categorical: DataFrame, by=()) -> DataFrame:
 
 
 def _as_of_lit(as_of) -> "F.Column":
+    """``as_of`` as a TIMESTAMP_NTZ literal built from text, so no time zone is involved."""
     if isinstance(as_of, str):
         as_of = _dt.datetime.fromisoformat(as_of)
     elif isinstance(as_of, _dt.date) and not isinstance(as_of, _dt.datetime):
         as_of = _dt.datetime(as_of.year, as_of.month, as_of.day)
-    return F.lit(as_of).cast("timestamp_ntz")
+    return F.lit(as_of.strftime("%Y-%m-%d %H:%M:%S.%f")).cast("timestamp_ntz")
 
 
 def date_facts(facts: DataFrame) -> DataFrame:

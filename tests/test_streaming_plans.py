@@ -85,3 +85,17 @@ def test_stream_history_sink_is_idempotent(spark):
     # a second run over the same checkpoint has nothing new to emit
     stream_profile_to_history(spark, src, schema, "ts", hist, ckpt, dataset_name="events").awaitTermination()
     assert spark.read.parquet(hist).count() == n
+
+
+def test_results_do_not_depend_on_session_time_zone(spark):
+    import __spark_entry__ as E
+    q = E.queries()
+    names = ["temporal_stats", "rule_freshness", "remediation_report", "windowed_profile", "audit_history_latest"]
+    base = {n: sorted(map(tuple, q[n](spark, SF001).collect())) for n in names}
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+        other = {n: sorted(map(tuple, q[n](spark, SF001).collect())) for n in names}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    assert other == base
