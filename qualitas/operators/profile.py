@@ -138,16 +138,15 @@ def _as_of_lit(as_of) -> "F.Column":
     return F.lit(as_of.strftime("%Y-%m-%d %H:%M:%S.%f")).cast("timestamp_ntz")
 
 
-def date_facts(facts: DataFrame) -> DataFrame:
-    """Facts restricted to values that count as dates for temporal statistics.
+def temporal_date(name=None) -> "F.Column":
+    """A fact row is a date for temporal statistics and the date rules.
 
     Id-like columns are skipped; a bare year counts only in a column whose
     name suggests a date or year.
     """
-    name = F.col("column_name")
-    ok = (F.col("ts").isNotNull() & ~is_id_column(name)
-          & (~F.col("year_only") | is_year_column(name)))
-    return facts.where(ok)
+    name = F.col("column_name") if name is None else name
+    return (F.col("ts").isNotNull() & ~is_id_column(name)
+            & (~F.col("year_only") | is_year_column(name)))
 
 
 def temporal_stats(facts: DataFrame, as_of, by=(),
@@ -155,9 +154,7 @@ def temporal_stats(facts: DataFrame, as_of, by=(),
     """min / max timestamp, future and stale ratios for columns whose dates cover >= 10 % of rows."""
     by = list(by)
     as_of_c = _as_of_lit(as_of)
-    name = F.col("column_name")
-    is_date = (F.col("ts").isNotNull() & ~is_id_column(name)
-               & (~F.col("year_only") | is_year_column(name)))
+    is_date = temporal_date()
     agg = facts.groupBy(*by, "column_name").agg(
         F.sum("n").cast("bigint").alias("row_count"),
         _n_if(is_date).alias("date_count"),

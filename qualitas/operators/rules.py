@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from qualitas.functions import grammar as G
-from qualitas.functions.predicates import as_text, is_id_column, is_present, is_year_column, name_has_any
-from qualitas.operators.profile import _as_of_lit
+from qualitas.functions.predicates import as_text, is_present, name_has_any
+from qualitas.operators.profile import _as_of_lit, temporal_date
 
 RULE_SCHEMA = ("dimension string, rule string, column_name string, bad bigint, eligible bigint, "
                "distinct_values bigint")
@@ -22,13 +22,6 @@ def _n_if(cond):
     return F.sum(F.when(cond, F.col("n")).otherwise(F.lit(0))).cast("bigint")
 
 
-def temporal_date(name=None):
-    """Value counts as a date for temporal statistics and the date rules."""
-    name = F.col("column_name") if name is None else name
-    return (F.col("ts").isNotNull() & ~is_id_column(name)
-            & (~F.col("year_only") | is_year_column(name)))
-
-
 def range_violation(range_rules=G.DEFAULT_RANGE_RULES):
     """(has_rule, violates) for a number-like value, rule picked by column-name token."""
     name = F.lower(F.col("column_name"))
