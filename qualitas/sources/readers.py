@@ -53,6 +53,26 @@ def read_json_documents(spark: SparkSession, path: str, first_row_columns: bool
     return df.select(*[F.col(f"`{r['k']}`") for r in keys])
 
 
+class ConnectorMissingError(RuntimeError):
+    pass
+
+
+def read_mongo(spark: SparkSession, uri: str, database: str, collection: str) -> DataFrame:
+    """Document collection through the MongoDB Spark connector, where that connector is deployed.
+
+    Without the connector on the classpath a ``ConnectorMissingError`` says so;
+    exported collections can always be read with ``read_json_documents``.
+    """
+    try:
+        return (spark.read.format("mongodb").option("connection.uri", uri).option("database", database)
+                .option("collection", collection).load())
+    except Exception as e:  # noqa: BLE001
+        if "mongodb" in str(e).lower() and ("not found" in str(e).lower() or "failed to find" in str(e).lower()):
+            raise ConnectorMissingError("the MongoDB Spark connector is not on the classpath; "
+                                        "read an export with read_json_documents instead") from e
+        raise
+
+
 def read_table(spark: SparkSession, name: str) -> DataFrame:
     """Catalog table by (possibly dotted) name; refuses names outside the table-name grammar."""
     import re

@@ -96,3 +96,15 @@ def test_latest_per_key(spark):
     h = spark.createDataFrame([("a", 1, 10), ("a", 3, 30), ("b", 2, 20)], "dataset_name string, ingestion_timestamp int, v int")
     got = {r.dataset_name: r.v for r in W.latest_per_key(h).collect()}
     assert got == {"a": 30, "b": 20}
+
+
+def test_mongo_without_connector_says_so(spark):
+    with pytest.raises(readers.ConnectorMissingError):
+        readers.read_mongo(spark, "mongodb://example.invalid:27017", "db", "coll")
+
+
+def test_table_name_gate(spark):
+    with pytest.raises(ValueError):
+        readers.read_table(spark, "bad-name; drop")
+    spark.range(3).createOrReplaceTempView("qualitas_t1")
+    assert readers.read_table(spark, "qualitas_t1").count() == 3
