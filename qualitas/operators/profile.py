@@ -70,34 +70,47 @@ def column_profile(facts: DataFrame, by=(), columns=None) -> DataFrame:
 MEAN_DECIMAL = "decimal(24,6)"   # exact mean path: up to 18 integer digits, 6 decimals
 
 
-def numeric_stats(facts: DataFrame, by=(), blank_as_zero: bool = False) -> DataFrame:
-    """min / max / mean / negative ratio over number-like values, for every column having one.
+def numeric_inputs(facts: DataFrame, blank_as_zero: bool = False):
+    """``(x, d)``: the value as a double and as an exact decimal, NULL where not number-like.
 
-    The mean is an exact decimal sum (value as DECIMAL(24,6) times its count)
-    divided by the count, rounded half-up to 6 decimals, so it does not depend
-    on summation order; a column holding a value outside DECIMAL(24,6) falls
-    back to a double sum.  ``blank_as_zero`` counts missing cells as 0, as
-    coercing a blank to a number does.
+    ``blank_as_zero`` counts missing cells as 0, as coercing a blank to a number does.
     """
-    by = list(by)
     x = F.when(F.col("is_num"), F.col("num"))
     d = F.when(F.col("is_num"), F.col("value").try_cast(MEAN_DECIMAL))
     if blank_as_zero:
         x = x.when(~F.col("present"), F.lit(0.0))
         d = d.when(~F.col("present"), F.lit(0).cast(MEAN_DECIMAL))
-    f = (facts.select(*by, "column_name", "n", x.alias("x"), d.alias("d"))
-         .where(F.col("x").isNotNull()))
-    cnt = F.sum("n")
+    return x.alias("x"), d.alias("d")
+
+
+def numeric_aggregates() -> list:
+    """Aggregates over rows carrying ``x``, ``d`` and ``n`` (see ``numeric_inputs``).
+
+    The mean is an exact decimal sum (value as DECIMAL(24,6) times its count)
+    divided by the count, rounded half-up to 6 decimals, so it does not depend
+    on summation order; a column holding a value outside DECIMAL(24,6) falls
+    back to a double sum.  Conditional aggregates (not a row filter) keep the
+    frequency subtree shareable with other branches of the same query.
+    """
+    has_x = F.col("x").isNotNull()
+    cnt = F.sum(F.when(has_x, F.col("n")))
     exact_sum = F.try_sum(F.col("d") * F.col("n").cast("decimal(13,0)"))
-    exact_ok = (F.count_if(F.col("d").isNull()) == 0) & exact_sum.isNotNull()
-    mean = F.when(exact_ok, (exact_sum / cnt).cast("double")).otherwise(F.sum(F.col("x") * F.col("n")) / cnt)
-    return (f.groupBy(*by, "column_name").agg(
-        cnt.cast("bigint").alias("numeric_count"),
-        F.min("x").alias("min_value"),
-        F.max("x").alias("max_value"),
-        mean.alias("mean"),
-        (_n_if(F.col("x") < 0) / cnt).alias("negative_value_ratio"),
-    ))
+    exact_ok = (F.count_if(has_x & F.col("d").isNull()) == 0) & exact_sum.isNotNull()
+    mean = F.when(exact_ok, (exact_sum / cnt).cast("double")).otherwise(
+        F.sum(F.when(has_x, F.col("x") * F.col("n"))) / cnt)
+    return [cnt.cast("bigint").alias("numeric_count"),
+            F.min("x").alias("min_value"),
+            F.max("x").alias("max_value"),
+            mean.alias("mean"),
+            (_n_if(F.col("x") < 0) / cnt).alias("negative_value_ratio"),
+            _n_if(F.col("x") < 0).alias("negative_count")]
+
+
+def numeric_stats(facts: DataFrame, by=(), blank_as_zero: bool = False) -> DataFrame:
+    """min / max / mean / negative ratio over number-like values, for every column having one."""
+    by = list(by)
+    f = facts.select(*by, "column_name", "n", *numeric_inputs(facts, blank_as_zero))
+    return f.groupBy(*by, "column_name").agg(*numeric_aggregates()).where(F.col("numeric_count") > 0)
 
 
 def categorical_stats(facts: DataFrame, by=(), k: int = G.TOP_K) -> DataFrame:
@@ -109,12 +122,18 @@ def categorical_stats(facts: DataFrame, by=(), k: int = G.TOP_K) -> DataFrame:
     distinct values still ships only k rows per task.
     """
     by = list(by)
-    present = facts.where("present").select(*by, "column_name", "value", "n")
-    w = Window.partitionBy(*by, "column_name").orderBy(F.col("n").desc(), F.col("value").asc())
-    top = (present.withColumn("rank", F.row_number().over(w))
-           .where(F.col("rank") <= k)
+    present = F.col("present")
+    # missing values are ranked after every present one and dropped after the limit (instead of a
+    # filter that Catalyst would push below the frequency aggregate, breaking exchange reuse)
+    w = Window.partitionBy(*by, "column_name").orderBy(present.desc(), F.col("n").desc(), F.col("value").asc())
+    top = (facts.select(*by, "column_name", "value", "n", "present")
+           .withColumn("rank", F.row_number().over(w))
+           .where((F.col("rank") <= k) & F.col("present"))
            .withColumn("rank", F.col("rank").cast("bigint")))
-    distinct = present.groupBy(*by, "column_name").agg(F.count(F.lit(1)).alias("distinct_values"))
+    # `n > 0` always holds; referencing n keeps this branch's frequency aggregate identical to the
+    # top-k branch's, so both read one exchange (ReusedExchange) instead of scanning twice
+    distinct = facts.groupBy(*by, "column_name").agg(
+        F.count_if(present & (F.col("n") > 0)).alias("distinct_values"))
     return top.join(distinct, [*by, "column_name"]).select(
         *by, "column_name", "distinct_values", "rank", "value", F.col("n").cast("bigint").alias("n"))
 

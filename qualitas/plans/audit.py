@@ -148,3 +148,25 @@ def audit(df: DataFrame, name: str, *, as_of=None, **kw) -> Audit:
     if as_of is None:
         as_of = _dt.datetime.now().replace(microsecond=0)
     return Audit(df, name, as_of=as_of, **kw)
+
+
+def _attach_document_methods():
+    """Convenience views on an Audit: documents and the Markdown report."""
+    from qualitas.plans import document as D
+    from qualitas.plans.report import remediation_report
+
+    def profile_document(self) -> DataFrame:
+        return D.profile_json(self).select(F.lit(self.name).alias("dataset_name"), "json")
+
+    def analysis_document(self) -> DataFrame:
+        return D.analysis_json(self).select(F.lit(self.name).alias("dataset_name"), "json")
+
+    def report(self) -> DataFrame:
+        return remediation_report(self.name, self.as_of, self.composite, self.issues, self.actions, self.risks)
+
+    Audit.profile_document = profile_document
+    Audit.analysis_document = analysis_document
+    Audit.report = report
+
+
+_attach_document_methods()

@@ -110,8 +110,9 @@ def rule_orphans(spark, sf_dir):
 
 
 def rule_uniqueness(spark, sf_dir):
-    d = _dirty(spark, sf_dir)
-    return R.duplicate_rule(d).unionByName(R.duplicate_rule(d, ["txn_id"])).select(*RULE_COLUMNS)
+    """Duplicate rows and duplicate keys from one grouping-sets scan."""
+    rows = R.row_rules(_dirty(spark, sf_dir), keys=["txn_id"])
+    return rows.where(F.col("dimension") == "Uniqueness").select(*RULE_COLUMNS)
 
 
 # ------------------------------------------------------- findings and scores
@@ -201,8 +202,7 @@ def public_url_filter(spark, sf_dir):
 def audit_target_filter(spark, sf_dir):
     """Candidate table names (brands, part types, market segments) checked against the name grammar."""
     part, cust = table(spark, sf_dir, "part"), table(spark, sf_dir, "customer")
-    names = (part.select(F.col("p_brand").alias("target_name"))
-             .unionByName(part.select(F.col("p_type").alias("target_name")))
+    names = (part.select(F.explode(F.array("p_brand", "p_type")).alias("target_name"))
              .unionByName(cust.select(F.col("c_mktsegment").alias("target_name"))).distinct())
     return names.select("target_name", is_valid_table_name(F.col("target_name")).alias("is_valid"))
 

@@ -19,16 +19,21 @@ ISO = "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"
 
 
 def windowed_profile(df: DataFrame, ts_col: str, window: str = "1 day", columns=None) -> DataFrame:
-    """Exact per-window column profile: rows, nulls, distinct, numeric min/max/mean, negatives."""
+    """Exact per-window column profile: rows, nulls, distinct, numeric min/max/mean, negatives.
+
+    One frequency table keyed by (window, column, value) and ONE aggregation
+    per (window, column) for all statistics.
+    """
     cols = [c for c in (columns or df.columns) if c != ts_col]
     keyed = df.withColumn("window_start", F.window(F.col(ts_col), window).start).drop(ts_col)
     facts = C.facts_of(keyed, cols, by=["window_start"])
-    prof = P.column_profile(facts, by=["window_start"])
-    num = P.numeric_stats(facts, by=["window_start"])
-    neg = facts.where(F.col("is_num") & (F.col("num") < 0)).groupBy("window_start", "column_name").agg(
-        F.sum("n").cast("bigint").alias("negative_count"))
-    out = (prof.join(num, ["window_start", "column_name"], "left")
-           .join(neg, ["window_start", "column_name"], "left"))
+    present = F.col("present")
+    f = facts.select("window_start", "column_name", "n", "present", *P.numeric_inputs(facts))
+    out = f.groupBy("window_start", "column_name").agg(
+        F.sum("n").cast("bigint").alias("row_count"),
+        (F.sum("n") - F.sum(F.when(present, F.col("n")).otherwise(F.lit(0)))).cast("bigint").alias("null_count"),
+        F.count_if(present).cast("bigint").alias("unique_count"),
+        *P.numeric_aggregates())
     return out.select(
         F.date_format("window_start", ISO).alias("window_start"), "column_name", "row_count", "null_count",
         "unique_count", "min_value", "max_value", "mean",
