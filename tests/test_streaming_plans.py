@@ -99,3 +99,18 @@ def test_results_do_not_depend_on_session_time_zone(spark):
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
     assert other == base
+
+
+def test_each_source_scanned_once(spark):
+    import re
+
+    import __spark_entry__ as E
+    q = E.queries()
+    for name, table_name in [("categorical_top3", "orders"), ("windowed_profile", "events"),
+                             ("profile_orders_typed", "orders"), ("rule_uniqueness", "orders"),
+                             ("numeric_stats", "orders")]:
+        df = q[name](spark, SF001)
+        df.collect()
+        final = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        scans = re.findall(r"FileScan parquet .*?/(\w+)\.parquet", final)
+        assert scans.count(table_name) == 1, (name, scans)
