@@ -13,10 +13,16 @@ from qualitas.functions import grammar as G
 CSV_GLOB = "*.[cC][sS][vV]"
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Header row gives the names; every value stays text; all rows kept; only *.csv files."""
+def read_csv(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
+    """Header row gives the names; every value stays text; all rows kept; only *.csv files.
+
+    Quotes are escaped by doubling them (RFC 4180).  ``multiline=True``
+    accepts line breaks inside quoted fields, at the price of reading each
+    file in one task (such a file cannot be split), so it is off by default.
+    """
     return (spark.read.option("pathGlobFilter", CSV_GLOB)
-            .csv(path, header=True, inferSchema=False, mode="PERMISSIVE"))
+            .csv(path, header=True, inferSchema=False, mode="PERMISSIVE", quote='"', escape='"',
+                 multiLine=multiline))
 
 
 class NotAnArrayError(ValueError):

@@ -108,3 +108,13 @@ def test_table_name_gate(spark):
         readers.read_table(spark, "bad-name; drop")
     spark.range(3).createOrReplaceTempView("qualitas_t1")
     assert readers.read_table(spark, "qualitas_t1").count() == 3
+
+
+def test_csv_quoting(spark):
+    d = tempfile.mkdtemp(prefix="qualitas-quote-")
+    with open(os.path.join(d, "q.CSV"), "w") as f:
+        f.write('id,name,note\n1,"Doe, Jane","said ""hi"""\n2,,"two\nlines"\n')
+    flat = readers.read_csv(spark, d).orderBy("id").collect()
+    assert flat[0].name == "Doe, Jane" and flat[0].note == 'said "hi"'
+    multi = readers.read_csv(spark, d, multiline=True).orderBy("id").collect()
+    assert len(multi) == 2 and multi[1].note == "two\nlines" and multi[1].name is None
