@@ -57,8 +57,8 @@ class Audit:
     def materialize(self, eager: bool = True) -> "Audit":
         """Checkpoint the facts table (reliable checkpoint in ``spark.checkpoint.dir``)."""
         from qualitas.session import ensure_checkpoint_dir
-        ensure_checkpoint_dir(self.spark)
-        self.__dict__["facts"] = self.facts.checkpoint(eager=eager)
+        if ensure_checkpoint_dir(self.spark) is not None:
+            self.__dict__["facts"] = self.facts.checkpoint(eager=eager)
         return self
 
     # ---------------------------------------------------------------- profile
@@ -118,8 +118,8 @@ class Audit:
             # the rule table is tiny (rules x columns); a reliable checkpoint cuts the
             # lineage every finding, score and report is built on
             from qualitas.session import ensure_checkpoint_dir
-            ensure_checkpoint_dir(self.spark)
-            out = out.checkpoint(eager=True)
+            if ensure_checkpoint_dir(self.spark) is not None:
+                out = out.checkpoint(eager=True)
         return out
 
     @cached_property

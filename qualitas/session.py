@@ -24,13 +24,16 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the cluster's checkpoint folder (``spark.checkpoint.dir``).
+def ensure_checkpoint_dir(spark: SparkSession) -> str | None:
+    """Return the cluster's checkpoint folder (``spark.checkpoint.dir``), or None without a SparkContext.
 
     A cluster names a shared folder there; only when it is unset (local tests)
     is a fresh folder under the system temp dir used.
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001  (remote session: no checkpointing from the client)
+        return None
     current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if current:
         if not sc.getCheckpointDir():
