@@ -242,6 +242,24 @@ def windowed_profile(spark, sf_dir):
     return out.withColumn("mean", F.round("mean", 6))
 
 
+def windowed_profile_stream(spark, sf_dir):
+    """X1 as a Structured Streaming job: closed daily windows of ``events`` written to a history table.
+
+    Runs with ``availableNow`` over the events file, writes through
+    ``foreachBatch`` into a fresh folder under the session's checkpoint
+    folder, and returns that table (approximate distinct counts: no DuckDB twin).
+    """
+    import uuid
+    from qualitas.session import ensure_checkpoint_dir
+    from qualitas.streaming.windowed import stream_profile_to_history
+    root = ensure_checkpoint_dir(spark).rstrip("/")
+    run = f"{root}/windowed-profile-{uuid.uuid4().hex}"
+    schema = table(spark, sf_dir, "events").schema
+    stream_profile_to_history(spark, sf_dir, schema, "ts", f"{run}/history", f"{run}/checkpoint",
+                              dataset_name="events", file_glob="events.parquet").awaitTermination()
+    return spark.read.parquet(f"{run}/history").drop("batch_id", "dataset_name")
+
+
 QUERIES = {
     "column_profile": column_profile,
     "numeric_stats": numeric_stats,
@@ -283,4 +301,5 @@ QUERIES = {
     "windowed_profile": windowed_profile,
     "profile_lineitem_approx": profile_lineitem_approx,
     "profile_document": profile_document,
+    "windowed_profile_stream": windowed_profile_stream,
 }

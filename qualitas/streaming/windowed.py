@@ -74,7 +74,7 @@ def run_stream_profile(spark, source_path: str, schema, ts_col: str, sink_table:
 
 def stream_profile_to_history(spark, source_path: str, schema, ts_col: str, history_path: str, checkpoint: str,
                               window: str = "1 day", watermark: str = "1 hour", columns=None, dataset_name=None,
-                              available_now: bool = True):
+                              available_now: bool = True, file_glob: str | None = None):
     """Append closed windows of the streaming profile to a parquet history table.
 
     ``foreachBatch`` writes each micro-batch into its own ``batch_id``
@@ -89,7 +89,10 @@ def stream_profile_to_history(spark, source_path: str, schema, ts_col: str, hist
          .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("batch_id").parquet(history_path))
 
-    stream = spark.readStream.schema(schema).parquet(source_path)
+    reader = spark.readStream.schema(schema)
+    if file_glob:
+        reader = reader.option("pathGlobFilter", file_glob)
+    stream = reader.parquet(source_path)
     writer = (stream_profile(stream, ts_col, window, watermark, columns).writeStream.outputMode("append")
               .foreachBatch(write).option("checkpointLocation", checkpoint))
     writer = writer.trigger(availableNow=True) if available_now else writer
