@@ -116,3 +116,16 @@ def facts(freq: DataFrame, day_first: bool = False, code_pattern: str = G.CODE_P
 def facts_of(df: DataFrame, columns=None, by=(), day_first: bool = False) -> DataFrame:
     """``facts(frequency(df))`` with the typed fast path taken from ``df``'s schema."""
     return facts(frequency(df, columns, by), day_first=day_first, kinds=column_kinds(df, columns, by))
+
+
+def cell_facts(df: DataFrame, columns=None, by=(), day_first: bool = False) -> DataFrame:
+    """Per-CELL facts (``n = 1`` per row), for the approximate audit.
+
+    No value shuffle at all: every statistic that is a weighted sum over
+    ``facts`` is the same sum over cells, aggregated per column with a
+    map-side partial aggregate (one row per column per task).  Only
+    distinct counts and top values need the values themselves; the
+    approximate audit takes those from sketches.
+    """
+    c = cells(df, columns, by).withColumn("n", F.lit(1).cast("bigint"))
+    return facts(c, day_first=day_first, kinds=column_kinds(df, columns, by))

@@ -24,18 +24,26 @@ def _ratio(num, den):
     return F.when(den > 0, num / den).otherwise(F.lit(0.0))
 
 
-def column_profile(facts: DataFrame, by=(), columns=None) -> DataFrame:
+def distinct_present(approx: bool = False, rsd: float = 0.02) -> "F.Column":
+    """Distinct present values of a column: rows of the frequency table, or a HyperLogLog estimate over cells."""
+    if approx:
+        return F.approx_count_distinct(F.when(F.col("present"), F.col("value")), rsd).cast("bigint")
+    return F.count_if(F.col("present") & (F.col("n") > 0)).cast("bigint")
+
+
+def column_profile(facts: DataFrame, by=(), columns=None, approx: bool = False) -> DataFrame:
     """Per column: inferred type, null and distinct counts and ratios, masked samples.
 
     ``columns`` (list of names, schema-sized) keeps columns of an empty
-    dataset in the output with zero counts.
+    dataset in the output with zero counts.  ``approx=True`` reads per-cell
+    facts and estimates the distinct count.
     """
     by = list(by)
     present = F.col("present")
     agg = (facts.groupBy(*by, "column_name").agg(
         F.sum("n").cast("bigint").alias("row_count"),
         _n_if(present).alias("present_count"),
-        F.count_if(present).cast("bigint").alias("unique_count"),
+        distinct_present(approx).alias("unique_count"),
         F.bool_and(F.when(present, F.col("is_num"))).alias("_all_num"),
         F.bool_and(F.when(present, F.col("ts").isNotNull())).alias("_all_date"),
     ))
@@ -138,6 +146,23 @@ def categorical_stats(facts: DataFrame, by=(), k: int = G.TOP_K) -> DataFrame:
         *by, "column_name", "distinct_values", "rank", "value", F.col("n").cast("bigint").alias("n"))
 
 
+def approx_categorical_stats(cell_facts: DataFrame, by=(), k: int = G.TOP_K, tracked: int = 1000) -> DataFrame:
+    """Approximate twin of ``categorical_stats`` over per-cell facts: HLL distinct count, sketch top-k."""
+    by = list(by)
+    # a few spare items, so that ties at the k-th place are broken by value as in the exact path
+    top = F.expr(f"approx_top_k(CASE WHEN present THEN value END, {int(k) + 8}, {int(tracked)})")
+    agg = cell_facts.groupBy(*by, "column_name").agg(distinct_present(True).alias("distinct_values"),
+                                                     top.alias("_top"))
+    ranked = F.array_sort(F.transform(F.filter("_top", lambda e: e["item"].isNotNull()),
+                                      lambda e: F.struct((-e["count"]).alias("neg"), e["item"].alias("item"),
+                                                         e["count"].alias("count"))))
+    items = F.slice(ranked, 1, int(k))
+    return (agg.where(F.col("distinct_values") > 0)
+            .select(*by, "column_name", "distinct_values", F.posexplode(items).alias("_pos", "_e"))
+            .select(*by, "column_name", "distinct_values", (F.col("_pos") + 1).cast("bigint").alias("rank"),
+                    F.col("_e.item").alias("value"), F.col("_e.count").cast("bigint").alias("n")))
+
+
 def top_values_nested(categorical: DataFrame, by=()) -> DataFrame:
     """One row per column with ``top_values: array<struct<value, n>>`` (at most k entries)."""
     by = list(by)

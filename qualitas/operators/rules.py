@@ -40,8 +40,13 @@ def range_violation(range_rules=G.DEFAULT_RANGE_RULES):
 
 
 def column_summary(facts: DataFrame, as_of, by=(), freshness_years: int = G.FRESHNESS_YEARS,
-                   range_rules=G.DEFAULT_RANGE_RULES) -> DataFrame:
-    """Every per-column count the column rules need, in one pass over the facts."""
+                   range_rules=G.DEFAULT_RANGE_RULES, approx: bool = False) -> DataFrame:
+    """Every per-column count the column rules need, in one pass over the facts.
+
+    Over per-cell facts (``approx=True``) every count is still exact; only
+    ``distinct_values`` (used in wording) is an estimate.
+    """
+    from qualitas.operators.profile import distinct_present
     by = list(by)
     as_of_c = _as_of_lit(as_of)
     td = temporal_date()
@@ -49,7 +54,7 @@ def column_summary(facts: DataFrame, as_of, by=(), freshness_years: int = G.FRES
     agg = facts.groupBy(*by, "column_name").agg(
         F.sum("n").cast("bigint").alias("rows"),
         _n_if(F.col("present")).alias("present"),
-        F.count_if(F.col("present")).cast("bigint").alias("distinct_values"),
+        distinct_present(approx).alias("distinct_values"),
         F.bool_and(F.when(F.col("present"), F.col("is_num"))).alias("all_num"),
         F.bool_and(F.when(F.col("present"), F.col("ts").isNotNull())).alias("all_date"),
         _n_if(F.col("is_num")).alias("num"),

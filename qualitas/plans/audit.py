@@ -30,7 +30,7 @@ class Audit:
                  range_rules=G.DEFAULT_RANGE_RULES, keys=None, parents: dict | None = None,
                  pan_columns=("card_brand", "card_number"), dependent_null_columns=None,
                  freshness_years: int = G.FRESHNESS_YEARS, weights: dict | None = None,
-                 dataset_id: str | None = None, checkpoint_rules: bool = True):
+                 dataset_id: str | None = None, checkpoint_rules: bool = True, approx: bool = False):
         src = df.select(*[F.col(f"`{c}`") for c in columns]) if columns else df
         self.source = cap_rows(src, sample_rows)
         self.name = name
@@ -47,11 +47,15 @@ class Audit:
         self.weights = weights
         self.dataset_id = dataset_id
         self.checkpoint_rules = checkpoint_rules
+        self.approx = approx
         self.spark = df.sparkSession
 
     # ------------------------------------------------------------ shared scan
     @cached_property
     def facts(self) -> DataFrame:
+        """Per-value facts (exact) or per-cell facts (``approx``: no value shuffle)."""
+        if self.approx:
+            return C.cell_facts(self.source, day_first=self.day_first)
         return C.facts_of(self.source, day_first=self.day_first)
 
     def materialize(self, eager: bool = True) -> "Audit":
@@ -64,7 +68,7 @@ class Audit:
     # ---------------------------------------------------------------- profile
     @cached_property
     def columns(self) -> DataFrame:
-        return P.column_profile(self.facts, columns=list(self.source.columns))
+        return P.column_profile(self.facts, columns=list(self.source.columns), approx=self.approx)
 
     @cached_property
     def numeric(self) -> DataFrame:
@@ -72,6 +76,8 @@ class Audit:
 
     @cached_property
     def categorical(self) -> DataFrame:
+        if self.approx:
+            return P.approx_categorical_stats(self.facts)
         return P.categorical_stats(self.facts)
 
     @cached_property
@@ -108,7 +114,7 @@ class Audit:
     @cached_property
     def summary(self) -> DataFrame:
         return R.column_summary(self.facts, self.as_of, freshness_years=self.freshness_years,
-                                range_rules=self.range_rules)
+                                range_rules=self.range_rules, approx=self.approx)
 
     @cached_property
     def rules(self) -> DataFrame:
