@@ -31,24 +31,19 @@ def distinct_present(approx: bool = False, rsd: float = 0.02) -> "F.Column":
     return F.count_if(F.col("present") & (F.col("n") > 0)).cast("bigint")
 
 
-def column_profile(facts: DataFrame, by=(), columns=None, approx: bool = False) -> DataFrame:
-    """Per column: inferred type, null and distinct counts and ratios, masked samples.
+def profile_aggregates(approx: bool = False) -> list:
+    present = F.col("present")
+    return [F.sum("n").cast("bigint").alias("row_count"),
+            _n_if(present).alias("present_count"),
+            distinct_present(approx).alias("unique_count"),
+            F.bool_and(F.when(present, F.col("is_num"))).alias("_all_num"),
+            F.bool_and(F.when(present, F.col("ts").isNotNull())).alias("_all_date")]
 
-    ``columns`` (list of names, schema-sized) keeps columns of an empty
-    dataset in the output with zero counts.  ``approx=True`` reads per-cell
-    facts and estimates the distinct count.
-    """
+
+def profile_finish(agg: DataFrame, by=(), columns=None) -> DataFrame:
     by = list(by)
-    present = F.col("present")
-    agg = (facts.groupBy(*by, "column_name").agg(
-        F.sum("n").cast("bigint").alias("row_count"),
-        _n_if(present).alias("present_count"),
-        distinct_present(approx).alias("unique_count"),
-        F.bool_and(F.when(present, F.col("is_num"))).alias("_all_num"),
-        F.bool_and(F.when(present, F.col("ts").isNotNull())).alias("_all_date"),
-    ))
     if columns is not None and not by:
-        spark = facts.sparkSession
+        spark = agg.sparkSession
         names = spark.createDataFrame([(c, i) for i, c in enumerate(columns)],
                                       "column_name string, ordinal int")
         agg = names.join(agg, "column_name", "left").select(
@@ -75,6 +70,17 @@ def column_profile(facts: DataFrame, by=(), columns=None, approx: bool = False)
     )
 
 
+def column_profile(facts: DataFrame, by=(), columns=None, approx: bool = False) -> DataFrame:
+    """Per column: inferred type, null and distinct counts and ratios, masked samples.
+
+    ``columns`` (list of names, schema-sized) keeps columns of an empty
+    dataset in the output with zero counts.  ``approx=True`` reads per-cell
+    facts and estimates the distinct count.
+    """
+    agg = facts.groupBy(*by, "column_name").agg(*profile_aggregates(approx))
+    return profile_finish(agg, by, columns)
+
+
 MEAN_DECIMAL = "decimal(24,6)"   # exact mean path: up to 18 integer digits, 6 decimals
 
 
@@ -114,11 +120,18 @@ def numeric_aggregates() -> list:
             _n_if(F.col("x") < 0).alias("negative_count")]
 
 
+NUMERIC_COLUMNS = ["numeric_count", "min_value", "max_value", "mean", "negative_value_ratio", "negative_count"]
+
+
+def numeric_finish(agg: DataFrame, by=()) -> DataFrame:
+    return agg.where(F.col("numeric_count") > 0).select(*by, "column_name", *NUMERIC_COLUMNS)
+
+
 def numeric_stats(facts: DataFrame, by=(), blank_as_zero: bool = False) -> DataFrame:
     """min / max / mean / negative ratio over number-like values, for every column having one."""
     by = list(by)
     f = facts.select(*by, "column_name", "n", *numeric_inputs(facts, blank_as_zero))
-    return f.groupBy(*by, "column_name").agg(*numeric_aggregates()).where(F.col("numeric_count") > 0)
+    return numeric_finish(f.groupBy(*by, "column_name").agg(*numeric_aggregates()), by)
 
 
 def categorical_stats(facts: DataFrame, by=(), k: int = G.TOP_K) -> DataFrame:
@@ -146,13 +159,14 @@ def categorical_stats(facts: DataFrame, by=(), k: int = G.TOP_K) -> DataFrame:
         *by, "column_name", "distinct_values", "rank", "value", F.col("n").cast("bigint").alias("n"))
 
 
-def approx_categorical_stats(cell_facts: DataFrame, by=(), k: int = G.TOP_K, tracked: int = 1000) -> DataFrame:
-    """Approximate twin of ``categorical_stats`` over per-cell facts: HLL distinct count, sketch top-k."""
-    by = list(by)
+def approx_top_aggregates(k: int = G.TOP_K, tracked: int = 1000) -> list:
     # a few spare items, so that ties at the k-th place are broken by value as in the exact path
     top = F.expr(f"approx_top_k(CASE WHEN present THEN value END, {int(k) + 8}, {int(tracked)})")
-    agg = cell_facts.groupBy(*by, "column_name").agg(distinct_present(True).alias("distinct_values"),
-                                                     top.alias("_top"))
+    return [distinct_present(True).alias("distinct_values"), top.alias("_top")]
+
+
+def approx_categorical_finish(agg: DataFrame, by=(), k: int = G.TOP_K) -> DataFrame:
+    by = list(by)
     ranked = F.array_sort(F.transform(F.filter("_top", lambda e: e["item"].isNotNull()),
                                       lambda e: F.struct((-e["count"]).alias("neg"), e["item"].alias("item"),
                                                          e["count"].alias("count"))))
@@ -163,6 +177,12 @@ def approx_categorical_stats(cell_facts: DataFrame, by=(), k: int = G.TOP_K, tra
                     F.col("_e.item").alias("value"), F.col("_e.count").cast("bigint").alias("n")))
 
 
+def approx_categorical_stats(cell_facts: DataFrame, by=(), k: int = G.TOP_K, tracked: int = 1000) -> DataFrame:
+    """Approximate twin of ``categorical_stats`` over per-cell facts: HLL distinct count, sketch top-k."""
+    agg = cell_facts.groupBy(*by, "column_name").agg(*approx_top_aggregates(k, tracked))
+    return approx_categorical_finish(agg, by, k)
+
+
 def top_values_nested(categorical: DataFrame, by=()) -> DataFrame:
     """One row per column with ``top_values: array<struct<value, n>>`` (at most k entries)."""
     by = list(by)
@@ -193,21 +213,19 @@ def temporal_date(name=None) -> "F.Column":
             & (~F.col("year_only") | is_year_column(name)))
 
 
-def temporal_stats(facts: DataFrame, as_of, by=(),
-                   min_coverage: float = G.TEMPORAL_MIN_COVERAGE) -> DataFrame:
-    """min / max timestamp, future and stale ratios for columns whose dates cover >= 10 % of rows."""
-    by = list(by)
+def temporal_aggregates(as_of) -> list:
     as_of_c = _as_of_lit(as_of)
     is_date = temporal_date()
-    agg = facts.groupBy(*by, "column_name").agg(
-        F.sum("n").cast("bigint").alias("row_count"),
-        _n_if(is_date).alias("date_count"),
-        F.min(F.when(is_date, F.col("ts"))).alias("min_ts"),
-        F.max(F.when(is_date, F.col("ts"))).alias("max_ts"),
-        _n_if(is_date & (F.col("ts") > as_of_c)).alias("future_count"),
-        _n_if(is_date & (F.col("ts") < as_of_c - F.expr(f"INTERVAL {G.STALE_DAYS} DAYS")))
-        .alias("stale_count"),
-    )
+    return [F.sum("n").cast("bigint").alias("row_count"),
+            _n_if(is_date).alias("date_count"),
+            F.min(F.when(is_date, F.col("ts"))).alias("min_ts"),
+            F.max(F.when(is_date, F.col("ts"))).alias("max_ts"),
+            _n_if(is_date & (F.col("ts") > as_of_c)).alias("future_count"),
+            _n_if(is_date & (F.col("ts") < as_of_c - F.expr(f"INTERVAL {G.STALE_DAYS} DAYS"))).alias("stale_count")]
+
+
+def temporal_finish(agg: DataFrame, by=(), min_coverage: float = G.TEMPORAL_MIN_COVERAGE) -> DataFrame:
+    by = list(by)
     # coverage test in exact integer arithmetic: dates / rows >= min_coverage
     scale = 1000
     need = int(round(min_coverage * scale))
@@ -224,17 +242,29 @@ def temporal_stats(facts: DataFrame, as_of, by=(),
     )
 
 
-def pattern_stats(facts: DataFrame, by=()) -> DataFrame:
-    """Share of present values matching the code pattern; only columns with a match."""
+def temporal_stats(facts: DataFrame, as_of, by=(),
+                   min_coverage: float = G.TEMPORAL_MIN_COVERAGE) -> DataFrame:
+    """min / max timestamp, future and stale ratios for columns whose dates cover >= 10 % of rows."""
+    agg = facts.groupBy(*by, "column_name").agg(*temporal_aggregates(as_of))
+    return temporal_finish(agg, by, min_coverage)
+
+
+def pattern_aggregates() -> list:
+    return [_n_if(F.col("present")).alias("present_count"), _n_if(F.col("is_code")).alias("match_count")]
+
+
+def pattern_finish(agg: DataFrame, by=()) -> DataFrame:
     by = list(by)
-    agg = facts.groupBy(*by, "column_name").agg(
-        _n_if(F.col("present")).alias("present_count"),
-        _n_if(F.col("is_code")).alias("match_count"))
     return (agg.where(F.col("match_count") > 0)
             .select(*by, "column_name", "match_count",
                     (F.col("match_count") / F.col("present_count")).alias("regex_match_ratio")))
 
 
+def pattern_stats(facts: DataFrame, by=()) -> DataFrame:
+    """Share of present values matching the code pattern; only columns with a match."""
+    return pattern_finish(facts.groupBy(*by, "column_name").agg(*pattern_aggregates()), by)
+
+
 def compliance_flags(column_names: DataFrame, by=()) -> DataFrame:
     """KYC / monetary / personal-data flags: does any column name carry the tokens."""
     by = list(by)

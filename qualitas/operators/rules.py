@@ -39,19 +39,14 @@ def range_violation(range_rules=G.DEFAULT_RANGE_RULES):
     return has, (F.coalesce(bad, F.lit(False)) if bad is not None else F.lit(False))
 
 
-def column_summary(facts: DataFrame, as_of, by=(), freshness_years: int = G.FRESHNESS_YEARS,
-                   range_rules=G.DEFAULT_RANGE_RULES, approx: bool = False) -> DataFrame:
-    """Every per-column count the column rules need, in one pass over the facts.
-
-    Over per-cell facts (``approx=True``) every count is still exact; only
-    ``distinct_values`` (used in wording) is an estimate.
-    """
+def summary_aggregates(as_of, freshness_years: int = G.FRESHNESS_YEARS, range_rules=G.DEFAULT_RANGE_RULES,
+                       approx: bool = False) -> list:
+    """Every per-column count the column rules need (exact also over per-cell facts)."""
     from qualitas.operators.profile import distinct_present
-    by = list(by)
     as_of_c = _as_of_lit(as_of)
     td = temporal_date()
     has_rule, violates = range_violation(range_rules)
-    agg = facts.groupBy(*by, "column_name").agg(
+    return [
         F.sum("n").cast("bigint").alias("rows"),
         _n_if(F.col("present")).alias("present"),
         distinct_present(approx).alias("distinct_values"),
@@ -67,18 +62,38 @@ def column_summary(facts: DataFrame, as_of, by=(), freshness_years: int = G.FRES
         _n_if(td & (F.col("ts") > as_of_c)).alias("future"),
         _n_if(td & ~F.col("is_iso")).alias("non_iso"),
         _n_if(td & (F.col("ts") < as_of_c - F.expr(f"INTERVAL {int(freshness_years)} YEARS"))).alias("stale"),
-    )
+    ]
+
+
+SUMMARY_COLUMNS = ["rows", "present", "distinct_values", "all_num", "all_date", "num", "negative", "range_eligible",
+                   "range_bad", "dates_any", "currency", "tdates", "future", "non_iso", "stale"]
+
+
+def summary_finish(agg: DataFrame, by=()) -> DataFrame:
     inferred = (F.when(F.coalesce(F.col("all_num"), F.lit(True)), F.lit("numeric"))
                 .when(F.coalesce(F.col("all_date"), F.lit(True)), F.lit("datetime"))
                 .otherwise(F.lit("string")))
     scale = 1000
     need = int(round(G.TEMPORAL_MIN_COVERAGE * scale))
     temporal = (F.col("tdates") > 0) & (F.col("tdates") * scale >= F.col("rows") * need)
-    return agg.select("*", inferred.alias("inferred_data_type"), temporal.alias("is_temporal"),
+    return agg.select(*by, "column_name", *SUMMARY_COLUMNS, inferred.alias("inferred_data_type"),
+                      temporal.alias("is_temporal"),
                       (F.col("num") * 2 > F.col("present")).alias("numeric_majority"),
                       (F.col("dates_any") * 2 > F.col("present")).alias("date_majority"))
 
 
+def column_summary(facts: DataFrame, as_of, by=(), freshness_years: int = G.FRESHNESS_YEARS,
+                   range_rules=G.DEFAULT_RANGE_RULES, approx: bool = False) -> DataFrame:
+    """Every per-column count the column rules need, in one pass over the facts.
+
+    Over per-cell facts (``approx=True``) every count is still exact; only
+    ``distinct_values`` (used in wording) is an estimate.
+    """
+    by = list(by)
+    agg = facts.groupBy(*by, "column_name").agg(*summary_aggregates(as_of, freshness_years, range_rules, approx))
+    return summary_finish(agg, by)
+
+
 def column_rules(summary: DataFrame, by=()) -> DataFrame:
     """Column rules R1-R7, R9 as long rows (one per applicable rule and column)."""
     by = list(by)

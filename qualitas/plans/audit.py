@@ -65,27 +65,58 @@ class Audit:
             self.__dict__["facts"] = self.facts.checkpoint(eager=eager)
         return self
 
+    @cached_property
+    def per_column(self) -> DataFrame:
+        """Approximate mode: ONE aggregation of the per-cell facts per column, for every statistic.
+
+        One scan and one tiny shuffle feed the profile, numeric, temporal,
+        pattern, top-value and rule-summary outputs; the result (one row per
+        column) is checkpointed so they all read it.
+        """
+        f = self.facts.select("*", *P.numeric_inputs(self.facts, self.blank_as_zero))
+        seen, aggs = set(), []
+        for a in [*P.profile_aggregates(True), *P.numeric_aggregates(), *P.temporal_aggregates(self.as_of),
+                  *P.pattern_aggregates(), *P.approx_top_aggregates(),
+                  *R.summary_aggregates(self.as_of, self.freshness_years, self.range_rules, approx=True)]:
+            name = str(a).rsplit(" AS ", 1)[-1].rstrip("'>`").lstrip("`")
+            if name not in seen:              # same name = same aggregate across the statistics
+                seen.add(name)
+                aggs.append(a)
+        wide = f.groupBy("column_name").agg(*aggs)
+        from qualitas.session import ensure_checkpoint_dir
+        if self.checkpoint_rules and ensure_checkpoint_dir(self.spark) is not None:
+            wide = wide.checkpoint(eager=True)
+        return wide
+
     # ---------------------------------------------------------------- profile
     @cached_property
     def columns(self) -> DataFrame:
-        return P.column_profile(self.facts, columns=list(self.source.columns), approx=self.approx)
+        if self.approx:
+            return P.profile_finish(self.per_column, columns=list(self.source.columns))
+        return P.column_profile(self.facts, columns=list(self.source.columns))
 
     @cached_property
     def numeric(self) -> DataFrame:
+        if self.approx:
+            return P.numeric_finish(self.per_column)
         return P.numeric_stats(self.facts, blank_as_zero=self.blank_as_zero)
 
     @cached_property
     def categorical(self) -> DataFrame:
         if self.approx:
-            return P.approx_categorical_stats(self.facts)
+            return P.approx_categorical_finish(self.per_column)
         return P.categorical_stats(self.facts)
 
     @cached_property
     def temporal(self) -> DataFrame:
+        if self.approx:
+            return P.temporal_finish(self.per_column)
         return P.temporal_stats(self.facts, self.as_of)
 
     @cached_property
     def patterns(self) -> DataFrame:
+        if self.approx:
+            return P.pattern_finish(self.per_column)
         return P.pattern_stats(self.facts)
 
     @cached_property
@@ -113,8 +144,10 @@ class Audit:
     # ------------------------------------------------------------------ rules
     @cached_property
     def summary(self) -> DataFrame:
+        if self.approx:
+            return R.summary_finish(self.per_column)
         return R.column_summary(self.facts, self.as_of, freshness_years=self.freshness_years,
-                                range_rules=self.range_rules, approx=self.approx)
+                                range_rules=self.range_rules)
 
     @cached_property
     def rules(self) -> DataFrame:
