@@ -18,6 +18,7 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
              .config("spark.ui.showConsoleProgress", "false")
              .config("spark.driver.memory", os.environ.get("QUALITAS_DRIVER_MEMORY", "16g"))
              .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+             .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
              .getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
