@@ -539,3 +539,8 @@ SQL["windowed_profile"] = with_(
 SELECT strftime(p.window_start, {ISO_FMT}) AS window_start, p.column_name, p.row_count, p.null_count, p.unique_count,
   s.min_value, s.max_value, s.mean, coalesce(s.negative_count, CAST(0 AS BIGINT)) AS negative_count
 FROM prof p LEFT JOIN num_stats s ON p.window_start = s.window_start AND p.column_name = s.column_name"""
+
+from qualitas.operators.findings import NO_RISK  # noqa: E402
+
+SQL["headline_risk"] = findings_prefix().rstrip() + ",\n" + RISK_ROWS + f"""
+SELECT coalesce((SELECT risk FROM risk_rows ORDER BY severity, risk LIMIT 1), {q(NO_RISK)}) AS headline_risk"""

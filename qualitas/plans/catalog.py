@@ -134,6 +134,12 @@ def compliance_risks(spark, sf_dir):
     return _dirty_audit(spark, sf_dir).risks
 
 
+def headline_risk(spark, sf_dir):
+    """T5: the first compliance risk by severity, else the default text."""
+    from qualitas.plans.report import first_risk
+    return first_risk(_dirty_audit(spark, sf_dir).risks)
+
+
 def dimension_scores(spark, sf_dir):
     return _dirty_audit(spark, sf_dir).scores.select("dimension", "bad", "eligible", "score")
 
@@ -286,6 +292,7 @@ QUERIES = {
     "reportable_issues": reportable_issues,
     "remediation_actions": remediation_actions,
     "compliance_risks": compliance_risks,
+    "headline_risk": headline_risk,
     "dimension_scores": dimension_scores,
     "composite_score": composite_score,
     "contract_quarantine": contract_quarantine,
