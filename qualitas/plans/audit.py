@@ -9,6 +9,12 @@ Plan shape (one scan of the source for all value statistics):
 
 ``materialize()`` checkpoints ``facts`` into the cluster's checkpoint folder,
 so the many small results reuse it and lineage is cut (survives executor loss).
+The rule table (at most rules x columns rows) is checkpointed once; every
+finding, score and report reads it.
+
+Approximate mode (``approx=True``): per-cell facts aggregated once per column
+(``per_column``, no value shuffle); distinct counts and top values come from
+sketches, every other count stays exact.
 """
 from __future__ import annotations
 
