@@ -1,10 +1,11 @@
-"""Session construction for tests and the bench, and the shared checkpoint folder."""
+"""Session construction for tests and the bench, and the shared folder for checkpoints and written tables."""
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str = "qualitas") -> SparkSession:
@@ -25,21 +26,49 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str | None:
-    """Return the cluster's checkpoint folder (``spark.checkpoint.dir``), or None without a SparkContext.
+def shared_folder(spark: SparkSession, configured: str | None = None, master: str | None = None) -> str:
+    """The folder that the driver and all executors share, as the session names it in ``spark.checkpoint.dir``.
 
-    A cluster names a shared folder there; only when it is unset (local tests)
-    is a fresh folder under the system temp dir used.
+    Where the setting is missing, a local master gets a fresh temporary folder; any other master is refused,
+    since its executors would each write to a disk of their own.  ``configured`` and ``master`` stand in for
+    the session's own values in tests.
     """
+    sc = spark.sparkContext
+    configured = configured or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if configured:
+        return configured.rstrip("/")
+    master = master or sc.master
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError(f"spark.checkpoint.dir is not set on {master}: name a folder that all executors share")
+    path = tempfile.mkdtemp(prefix="qualitas-shared-")
+    sc.setCheckpointDir(path)
+    return path
+
+
+def ensure_checkpoint_dir(spark: SparkSession) -> str | None:
+    """Point ``checkpoint()`` at the shared folder; None without a SparkContext (remote session)."""
     try:
         sc = spark.sparkContext
     except Exception:  # noqa: BLE001  (remote session: no checkpointing from the client)
         return None
-    current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if current:
-        if not sc.getCheckpointDir():
-            sc.setCheckpointDir(current)
-        return current
-    path = tempfile.mkdtemp(prefix="qualitas-ckpt-")
-    sc.setCheckpointDir(path)
-    return path
+    folder = shared_folder(spark)
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(folder)
+    return folder
+
+
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A fresh path below the shared folder, for tables and files that one call writes."""
+    return f"{shared_folder(spark)}/qualitas-work/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, path: str) -> DataFrame:
+    """Write ``df`` to ``path`` and read it back: cuts the lineage, and lets later joins split skewed sides."""
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a table or folder that :func:`work_folder` named, in whatever store it is."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
