@@ -7,16 +7,24 @@ import numpy as np
 import pyarrow as pa
 from public_tokenizers import path as tokenizer_file
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from qualitas.llm import bpe_tree
+from qualitas.llm import best_fit_packing, bpe_tree, token_files
 from qualitas.llm.batches import flat_map
 from qualitas.llm.bpe import ID, encoder
+from qualitas.session import work_folder
 from qualitas.sources.tables import table
 
 BYTE_BPE = tokenizer_file("byte_bpe_50k.json")
 WORD_BPE = tokenizer_file("word_bpe_49k.json")
 
 
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its place in a sequence of at most 2048 tokens."""
+    items = best_fit_packing.pieces(table(spark, sf_dir, "documents"), BYTE_BPE, separator=0, capacity=2048)
+    return best_fit_packing.pack(best_fit_packing.with_crc32(items), capacity=2048)
+
+
 def op9_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the ids and of the decoded text of every document."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()),
@@ -35,8 +43,17 @@ def op9_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts.mapInArrow(digests, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as the written token files give it back."""
+    folder = work_folder(spark, "token-files")
+    token_files.write(table(spark, sf_dir, "documents"), folder, WORD_BPE, end_id=2)
+    return token_files.read(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 QUERIES = {
+    "op2_best_fit_packing": op2_best_fit_packing,
     "op9_bpe_tree": op9_bpe_tree,
+    "op10_token_files": op10_token_files,
 }
 
 SQL: dict[str, str] = {}
