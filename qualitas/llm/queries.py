@@ -9,7 +9,7 @@ from public_tokenizers import path as tokenizer_file
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from qualitas.llm import best_fit_packing, bpe_tree, token_files
+from qualitas.llm import best_fit_packing, bpe_tree, token_files, url_filter
 from qualitas.llm.batches import flat_map
 from qualitas.llm.bpe import ID, encoder
 from qualitas.session import work_folder
@@ -25,6 +25,37 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing.pack(best_fit_packing.with_crc32(items), capacity=2048)
 
 
+#: The rules that op8 applies.
+URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
+             ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, longest fitting rule and verdict of every page's URL."""
+    folder = work_folder(spark, "url-rules")
+    url_filter.build(spark.createDataFrame(URL_RULES, "host string, path string, verdict string"), folder)
+    urls = table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_filter.judge(urls, folder, default="allow").drop("url")
+
+
+_URL_RULES = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
+
+OP8_SQL = rf"""
+WITH parts AS (
+  SELECT page_id, translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1),
+                            'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path
+  FROM pages),
+rules(rule_host, rule_path, says) AS (VALUES {_URL_RULES}),
+fitting AS (
+  SELECT page_id, rule_host || rule_path AS rule, says,
+         row_number() OVER (PARTITION BY page_id ORDER BY length(rule_host || rule_path) DESC) AS place
+  FROM parts JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path))
+SELECT p.page_id, host, path, rule, coalesce(says, 'allow') AS verdict
+FROM parts p LEFT JOIN fitting f ON p.page_id = f.page_id AND place = 1
+"""
+
+
 def op9_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the ids and of the decoded text of every document."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()),
@@ -52,8 +83,9 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op8_url_filter": op8_url_filter,
     "op9_bpe_tree": op9_bpe_tree,
     "op10_token_files": op10_token_files,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op8_url_filter": OP8_SQL}
