@@ -9,7 +9,7 @@ from public_tokenizers import path as tokenizer_file
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from qualitas.llm import best_fit_packing, bpe_tree, token_files, url_filter
+from qualitas.llm import best_fit_packing, bpe_tree, token_files, url_filter, warc
 from qualitas.llm.batches import flat_map
 from qualitas.llm.bpe import ID, encoder
 from qualitas.session import work_folder
@@ -25,6 +25,19 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing.pack(best_fit_packing.with_crc32(items), capacity=2048)
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's record as read back from the archives; digests and lengths of the payloads that are there."""
+    folder = work_folder(spark, "warc")
+    warc.register(spark)
+    warc.deduplicated(table(spark, sf_dir, "pages"), min_bytes=0).write.format("warc").mode("append").save(folder)
+    there = F.col("record_type") == "response"
+    return spark.read.format("warc").load(folder).where(F.col("record_type").isin("response", "revisit")).select(
+        warc.page_of(F.col("record_id")).alias("page_id"),
+        F.when(there, F.octet_length("payload").cast("long")).otherwise(F.col("payload_bytes")).alias("payload_bytes"),
+        F.when(there, warc.base32_column(F.sha1("payload"))).otherwise(F.col("payload_digest")).alias("payload_digest"),
+        "record_type", warc.page_of(F.col("refers_to")).alias("refers_to"))
+
+
 #: The rules that op8 applies.
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
              ("com", "/fr/", "allow"), ("com", "/de/", "block")]
@@ -83,6 +96,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op4_warc": op4_warc,
     "op8_url_filter": op8_url_filter,
     "op9_bpe_tree": op9_bpe_tree,
     "op10_token_files": op10_token_files,
