@@ -9,7 +9,7 @@ from public_tokenizers import path as tokenizer_file
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from qualitas.llm import best_fit_packing, bpe_tree, token_files, url_filter, warc
+from qualitas.llm import best_fit_packing, bpe_tree, imatch, token_files, url_filter, warc
 from qualitas.llm.batches import flat_map
 from qualitas.llm.bpe import ID, encoder
 from qualitas.session import work_folder
@@ -38,6 +38,79 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         "record_type", warc.page_of(F.col("refers_to")).alias("refers_to"))
 
 
+def op7_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, and their likeness."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    words = imatch.lexicon(docs)
+    printed = docs.withColumn("fingerprint", imatch.fingerprint(F.col("text"), words))
+    changed = (imatch.with_next(printed, ["text", "fingerprint"])
+               .withColumn("edited", imatch.edited(F.col("text"), F.col("next_text")))
+               .withColumn("edited_fingerprint", imatch.fingerprint(F.col("edited"), words)))
+    return changed.select(
+        "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
+        "fingerprint", "edited_fingerprint",
+        imatch.likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
+        imatch.likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"))
+
+
+OP7_SQL = rf"""
+WITH docs AS (
+  SELECT doc_id, coalesce(text, '') AS text,
+         coalesce(lead(text) OVER (ORDER BY doc_id), first_value(text) OVER (ORDER BY doc_id), '') AS next_text
+  FROM documents),
+versions AS (
+  SELECT doc_id, 'own' AS kind, text FROM docs
+  UNION ALL
+  SELECT doc_id, 'edited', substr(text, 1, length(text) - length(text) // 2) || substr(next_text, 1, length(text) // 2)
+  FROM docs),
+terms AS (
+  SELECT doc_id, kind, term, ('0x' || substr(md5(term), 1, 15))::BIGINT AS hash
+  FROM (SELECT DISTINCT doc_id, kind, unnest(string_split_regex(
+          translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{imatch.NOT_TERMS}')) AS term
+        FROM versions)
+  WHERE term <> ''),
+places AS (
+  SELECT DISTINCT hash & {(1 << imatch.BITS) - 1} AS place
+  FROM (SELECT term, any_value(hash) AS hash, count(*) AS df FROM terms WHERE kind = 'own' GROUP BY term)
+  WHERE df BETWEEN pow((SELECT count(*) FROM documents), {1 - imatch.HIGH})
+               AND pow((SELECT count(*) FROM documents), {1 - imatch.LOW})),
+subsets(subset, first, mask, value) AS (VALUES {", ".join(
+    f"({i}, {first}, {(1 << width) - 1}, {value})" for i, (first, width, value) in enumerate(imatch.SUBSETS))}),
+parts AS (
+  SELECT doc_id, kind, subset, substr(md5(string_agg(term, ' ' ORDER BY term)), 1, 16) AS part
+  FROM terms JOIN places ON hash & {(1 << imatch.BITS) - 1} = place
+  JOIN subsets ON (hash >> first) & mask = value
+  GROUP BY ALL),
+known AS (SELECT DISTINCT doc_id, kind FROM terms JOIN places ON hash & {(1 << imatch.BITS) - 1} = place),
+printed AS (
+  SELECT v.doc_id, v.kind, CASE WHEN any_value(k.doc_id) IS NULL THEN '=' || md5(any_value(v.text))
+         ELSE string_agg(coalesce(p.part, ''), '-' ORDER BY s.subset) END AS print
+  FROM versions v CROSS JOIN subsets s
+  LEFT JOIN parts p ON p.doc_id = v.doc_id AND p.kind = v.kind AND p.subset = s.subset
+  LEFT JOIN known k ON k.doc_id = v.doc_id AND k.kind = v.kind
+  GROUP BY v.doc_id, v.kind),
+rows AS (
+  SELECT o.doc_id, length(d.text) AS n_chars, sha256(v.text) AS edited_sha256, o.print AS fingerprint,
+         e.print AS edited_fingerprint,
+         coalesce(lead(o.print) OVER (ORDER BY o.doc_id), first_value(o.print) OVER (ORDER BY o.doc_id)) AS next_print
+  FROM printed o JOIN printed e ON o.doc_id = e.doc_id AND o.kind = 'own' AND e.kind = 'edited'
+  JOIN docs d ON d.doc_id = o.doc_id JOIN versions v ON v.doc_id = o.doc_id AND v.kind = 'edited'),
+near AS (
+  SELECT doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
+         list_zip(string_split(fingerprint, '-'), string_split(edited_fingerprint, '-')) AS e,
+         list_zip(string_split(fingerprint, '-'), string_split(next_print, '-')) AS n, next_print
+  FROM rows)
+SELECT doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
+       CASE WHEN fingerprint = edited_fingerprint THEN 1.0::DOUBLE ELSE
+         len(list_filter(e, lambda x: x[1] = x[2] AND x[1] <> ''))::DOUBLE
+         / len(list_filter(e, lambda x: coalesce(x[1], '') <> '' OR coalesce(x[2], '') <> '')) END AS near_edited,
+       CASE WHEN fingerprint = next_print THEN 1.0::DOUBLE ELSE
+         len(list_filter(n, lambda x: x[1] = x[2] AND x[1] <> ''))::DOUBLE
+         / len(list_filter(n, lambda x: coalesce(x[1], '') <> '' OR coalesce(x[2], '') <> '')) END AS near_next
+FROM near
+"""
+
+
 #: The rules that op8 applies.
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
              ("com", "/fr/", "allow"), ("com", "/de/", "block")]
@@ -97,9 +170,10 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op4_warc": op4_warc,
+    "op7_imatch": op7_imatch,
     "op8_url_filter": op8_url_filter,
     "op9_bpe_tree": op9_bpe_tree,
     "op10_token_files": op10_token_files,
 }
 
-SQL: dict[str, str] = {"op8_url_filter": OP8_SQL}
+SQL: dict[str, str] = {"op7_imatch": OP7_SQL, "op8_url_filter": OP8_SQL}
