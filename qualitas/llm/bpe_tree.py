@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from qualitas.llm.batches import flat_map
-from qualitas.llm.bpe import ID, encoder, lettered, unlettered
+from qualitas.llm.bpe import ID, encoder, unlettered
 
 #: Texts with more code points are cut into parts of about this many.
 LEAF_CHARS = 16_384
@@ -44,7 +44,7 @@ def join_sides(left: np.ndarray, right: np.ndarray, merge, bytes_of) -> np.ndarr
     width = 2
     while len(left) and len(right):
         a, b = left[-width:], right[:width]
-        again = np.array(merge(lettered(b"".join([bytes_of[i] for i in (*a.tolist(), *b.tolist())]))), ID)
+        again = np.array(merge(b"".join([bytes_of[i] for i in (*a.tolist(), *b.tolist())])), ID)
         starts_alike = len(a) == len(left) or again[0] == a[0]
         ends_alike = len(b) == len(right) or again[-1] == b[-1]
         if starts_alike and ends_alike:
@@ -101,7 +101,7 @@ def cut(text: str, enc, leaf: int) -> list[tuple[int, str, bytes]]:
 def leaf_ids(enc, kind: str, chunk: bytes) -> bytes:
     if kind == "text":
         return enc.encode(chunk.decode())
-    tokens = [lettered(chunk)] if kind == "half" else chunk.decode().split(" ")
+    tokens = [chunk] if kind == "half" else map(unlettered, chunk.decode().split(" "))
     return b"".join(np.array(enc.merge(t), ID).tobytes() for t in tokens)
 
 
@@ -150,11 +150,20 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     return short.unionAll(long)
 
 
-def decode(encoded: DataFrame, tokenizer: str) -> DataFrame:
-    """``doc_id, ids, text``: the text that the ids stand for, special tokens included."""
-    schema = pa.schema([*_IDS, ("text", pa.string())])
+def decode(encoded: DataFrame, tokenizer: str, made=None, made_ddl: str = "ids binary, text string") -> DataFrame:
+    """``doc_id`` and what ``made(ids, text)`` gives, in the columns of ``made_ddl``; the ids and the text by default.
+
+    The text is what the ids stand for, special tokens included.
+    """
+    columns = [c.split() for c in made_ddl.split(", ")]
+    types = {"binary": pa.binary(), "string": pa.string(), "long": pa.int64()}
+    schema = pa.schema([("doc_id", pa.int64()), *((name, types[kind]) for name, kind in columns)])
 
     def texts(batches):
         enc = encoder(tokenizer)
-        yield from flat_map(batches, schema, lambda doc_id, ids: ((doc_id, ids, enc.decode(ids)),))
-    return encoded.select("doc_id", "ids").mapInArrow(texts, "doc_id long, ids binary, text string")
+
+        def row(doc_id, ids):
+            text = enc.decode(ids)
+            yield (doc_id, *(made(ids, text) if made else (ids, text)))
+        yield from flat_map(batches, schema, row)
+    return encoded.select("doc_id", "ids").mapInArrow(texts, f"doc_id long, {made_ddl}")

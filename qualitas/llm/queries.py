@@ -1,16 +1,15 @@
 """The registered queries of the ten operators, and DuckDB SQL where it can express them."""
 from __future__ import annotations
 
+import functools
 import hashlib
 
 import numpy as np
-import pyarrow as pa
 from public_tokenizers import path as tokenizer_file
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from qualitas.llm import best_fit_packing, bpe_tree, imatch, token_files, url_filter, warc
-from qualitas.llm.batches import flat_map
 from qualitas.llm.bpe import ID, encoder
 from qualitas.session import work_folder
 from qualitas.sources.tables import table
@@ -142,22 +141,21 @@ FROM parts p LEFT JOIN fitting f ON p.page_id = f.page_id AND place = 1
 """
 
 
-def op9_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Digests of the ids and of the decoded text of every document."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()),
-                        ("decoded_sha256", pa.string())])
+@functools.cache
+def _decimal(tokenizer: str) -> list[str]:
+    return [str(i) for i in range(encoder(tokenizer).size)]
+
 
-    def digests(batches):
-        decimal = [str(i) for i in range(len(encoder(BYTE_BPE).bytes_of))]
+def _digests(ids: bytes, text: str) -> tuple[int, str, str]:
+    decimal, numbers = _decimal(BYTE_BPE), np.frombuffer(ids, ID).tolist()
+    return (len(numbers), hashlib.sha256(",".join([decimal[i] for i in numbers]).encode()).hexdigest(),
+            hashlib.sha256(text.encode()).hexdigest())
 
-        def row(doc_id, ids, text):
-            numbers = np.frombuffer(ids, ID).tolist()
-            yield (doc_id, len(numbers), hashlib.sha256(",".join([decimal[i] for i in numbers]).encode()).hexdigest(),
-                   hashlib.sha256(text.encode()).hexdigest())
-        yield from flat_map(batches, schema, row)
 
-    texts = bpe_tree.decode(bpe_tree.encode(table(spark, sf_dir, "documents"), BYTE_BPE), BYTE_BPE)
-    return texts.mapInArrow(digests, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+def op9_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the ids and of the decoded text of every document."""
+    return bpe_tree.decode(bpe_tree.encode(table(spark, sf_dir, "documents"), BYTE_BPE), BYTE_BPE, _digests,
+                           "n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -65,7 +65,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_col: str
 
     def files(batches):
         enc, part = encoder(tokenizer), TaskContext.get().partitionId()
-        dtype = id_type(max(enc.tokenizer.get_vocab_size(with_added_tokens=True), end_id + 1))
+        dtype = id_type(max(enc.size, end_id + 1))
         end = np.array([end_id], ID).tobytes()
         os.makedirs(local, exist_ok=True)
         name = f"{local}/{part_name(part)}"
