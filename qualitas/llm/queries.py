@@ -9,7 +9,7 @@ from public_tokenizers import path as tokenizer_file
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from qualitas.llm import best_fit_packing, bpe_tree, imatch, token_files, url_filter, warc
+from qualitas.llm import best_fit_packing, bpe_tree, imatch, superminhash, token_files, url_filter, warc
 from qualitas.llm.bpe import ID, encoder
 from qualitas.session import work_folder
 from qualitas.sources.tables import table
@@ -37,6 +37,12 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         "record_type", warc.page_of(F.col("refers_to")).alias("refers_to"))
 
 
+def op6_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate class of every document, by 2-word shingles at a similarity of 0.8."""
+    found = superminhash.near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
+    return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+
+
 def op7_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and of its edited text, and their likeness."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
@@ -168,6 +174,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op4_warc": op4_warc,
+    "op6_superminhash": op6_superminhash,
     "op7_imatch": op7_imatch,
     "op8_url_filter": op8_url_filter,
     "op9_bpe_tree": op9_bpe_tree,
