@@ -9,7 +9,7 @@ from public_tokenizers import path as tokenizer_file
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from qualitas.llm import best_fit_packing, bpe_tree, imatch, superminhash, token_files, url_filter, warc
+from qualitas.llm import best_fit_packing, bpe_tree, imatch, pii_weak, superminhash, token_files, url_filter, warc
 from qualitas.llm.bpe import ID, encoder
 from qualitas.session import work_folder
 from qualitas.sources.tables import table
@@ -24,6 +24,19 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing.pack(best_fit_packing.with_crc32(items), capacity=2048)
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document: counts and digest of the base spans, and all spans."""
+    docs = table(spark, sf_dir, "documents")
+    found = pii_weak.find(docs, pii_weak.train(pii_weak.vote_counts(docs)))
+    base = F.filter("spans", lambda s: s["base"])
+    listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(
+        ":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    number = lambda kind: F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long")
+    counts = [number(kind).alias(f"n_{kind}") for kind in pii_weak.BASE_KINDS]
+    return found.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"),
+                        listed(F.col("spans")).alias("spans"))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's record as read back from the archives; digests and lengths of the payloads that are there."""
     folder = work_folder(spark, "warc")
@@ -173,6 +186,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_pii": op3_pii,
     "op4_warc": op4_warc,
     "op6_superminhash": op6_superminhash,
     "op7_imatch": op7_imatch,
