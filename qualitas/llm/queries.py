@@ -9,7 +9,9 @@ from public_tokenizers import path as tokenizer_file
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from qualitas.llm import best_fit_packing, bpe_tree, imatch, pii_weak, superminhash, token_files, url_filter, warc
+from qualitas.llm import (
+    best_fit_packing, bpe_tree, hamming_topk, imatch, mil_quality, pii_weak, superminhash, token_files, url_filter, warc,
+)
 from qualitas.llm.bpe import ID, encoder
 from qualitas.session import work_folder
 from qualitas.sources.tables import table
@@ -18,6 +20,25 @@ BYTE_BPE = tokenizer_file("byte_bpe_50k.json")
 WORD_BPE = tokenizer_file("word_bpe_49k.json")
 
 
+#: A document is good from this score on.
+ACCEPT = 0.7
+
+
+def learnable(labels: DataFrame) -> DataFrame:
+    """The labels that may be learnt from; the others are held out."""
+    return labels.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2)
+
+
+def op1_mil_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document."""
+    docs = table(spark, sf_dir, "documents")
+    model = mil_quality.train(docs, learnable(table(spark, sf_dir, "labels")))
+    scored = mil_quality.score(docs, model)
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    return scored.select("doc_id", held_out.alias("held_out"), "score",
+                         (F.col("score") >= ACCEPT).cast("int").alias("predicted"))
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every piece of every document with its place in a sequence of at most 2048 tokens."""
     items = best_fit_packing.pieces(table(spark, sf_dir, "documents"), BYTE_BPE, separator=0, capacity=2048)
@@ -50,6 +71,25 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         "record_type", warc.page_of(F.col("refers_to")).alias("refers_to"))
 
 
+def op5_hamming_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest sign codes for every vector whose id is divisible by 100, among all vectors."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return hamming_topk.top_k(vectors, vectors.where("vec_id % 100 = 0"), k=10)
+
+
+OP5_SQL = """
+WITH codes AS (
+  SELECT vec_id, array_to_string(list_transform(embedding, lambda x: CASE WHEN x > 0 THEN '1' ELSE '0' END), '') AS code
+  FROM embeddings WHERE embedding IS NOT NULL),
+pairs AS (
+  SELECT q.vec_id AS query_id, r.vec_id AS neighbour_id, hamming(q.code, r.code)::INTEGER AS distance
+  FROM codes q, codes r WHERE q.vec_id % 100 = 0),
+ranked AS (
+  SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbour_id))::INTEGER AS rank FROM pairs)
+SELECT query_id, rank, neighbour_id, distance FROM ranked WHERE rank <= 10
+"""
+
+
 def op6_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate class of every document, by 2-word shingles at a similarity of 0.8."""
     found = superminhash.near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
@@ -185,9 +225,11 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_mil_quality": op1_mil_quality,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_pii": op3_pii,
     "op4_warc": op4_warc,
+    "op5_hamming_topk": op5_hamming_topk,
     "op6_superminhash": op6_superminhash,
     "op7_imatch": op7_imatch,
     "op8_url_filter": op8_url_filter,
@@ -195,4 +237,4 @@ QUERIES = {
     "op10_token_files": op10_token_files,
 }
 
-SQL: dict[str, str] = {"op7_imatch": OP7_SQL, "op8_url_filter": OP8_SQL}
+SQL: dict[str, str] = {"op5_hamming_topk": OP5_SQL, "op7_imatch": OP7_SQL, "op8_url_filter": OP8_SQL}
