@@ -12,9 +12,10 @@ space; a shorter document is one shingle), as 64-bit hashes.  Two documents are
 2. Equal sets form one group, represented by its smallest document id; only these go on.
 3. Each run of ``rows`` places is a band; documents with an equal band share a bucket.  In each bucket all members
    are paired with one hub.  Pairs are verified on the full sets, links are joined into components, and buckets
-   whose members are still in several components get another hub out of the largest one, for the others only.  What
-   is open after ``hub_rounds`` is compared pair by pair across components (with the exact bound that linked sets
-   have sizes within ``percent`` of each other), so a bucket of any size loses no link.
+   whose members are still in several components get another hub out of the largest one, for the others only.  In
+   what is open after ``hub_rounds`` the full set of every member outside the largest component is counted against
+   an inverted index of all members, in blocks of bounded size; a block gives one link per member and component, so
+   a bucket of any size loses no link, and no pairs are listed.
 4. Links are joined by union-find within each partition and by alternating star steps between them.
 
 With 42 bands of 5 rows a pair at a similarity of 0.8 shares no bucket once in 18 million.
@@ -39,7 +40,9 @@ from qualitas.session import remove, work_folder, written
 
 BANDS, ROWS = 42, 5
 PERCENT = 80
-HUB_ROUNDS = 4
+HUB_ROUNDS = 2
+#: Shingles of a bucket's members that one block holds, about.
+BLOCK_SHINGLES = 1 << 20
 #: Texts hashed at once, and elements ranked at once: bounds of a task's memory.
 TEXT_BYTES = 1 << 19
 ELEMENTS = 1 << 16
@@ -237,6 +240,58 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Da
     return both.select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long")
 
 
+def block_links(outside: list[tuple[int, int, np.ndarray]], members: list[tuple[int, int, np.ndarray]], percent: int):
+    """Links of a block: for each ``(node, component, set)`` outside, one to each other component it is similar to."""
+    if not members:
+        return
+    sizes = np.array([len(x) for _, _, x in members])
+    components = np.array([c for _, c, _ in members])
+    hashes = np.concatenate([x for _, _, x in members])
+    order = np.argsort(hashes, kind="stable")
+    hashes, owner = hashes[order], np.repeat(np.arange(len(members)), sizes)[order]
+    for node, component, x in outside:
+        first, last = np.searchsorted(hashes, x, "left"), np.searchsorted(hashes, x, "right")
+        many = last - first
+        at = np.repeat(first - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())
+        common = np.bincount(owner[at], minlength=len(members))
+        linked = np.flatnonzero((100 * common >= percent * (len(x) + sizes - common)) & (components != component))
+        _, one = np.unique(components[linked], return_index=True)
+        for i in linked[one].tolist():
+            yield node, members[i][0]
+
+
+def compared(open_: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links ``a, b`` between components within buckets: ``key, node, n, component, main`` of their members.
+
+    Outside members and all members of a bucket are dealt into chunks by hash; every pair of chunks is a block.
+    """
+    outside = F.col("component") != F.col("main")
+    chunks = lambda n: F.greatest(F.ceil(n / BLOCK_SHINGLES), F.lit(1)).cast("int")
+    sizes = open_.groupBy("key").agg(chunks(F.sum("n")).alias("of_members"),
+                                     chunks(F.sum(F.when(outside, F.col("n")))).alias("of_outside"))
+    mine = lambda of, salt: F.pmod(F.xxhash64("node", F.lit(salt)), F.col(of)).cast("int")
+    every = lambda of: F.sequence(F.lit(0), F.col(of) - 1)
+    block = lambda o, m, role: F.struct(o.alias("o"), m.alias("m"), F.lit(role).alias("outside"))
+    roles = F.concat(
+        F.transform(every("of_outside"), lambda o: block(o, mine("of_members", 1), False)),
+        F.when(outside, F.transform(every("of_members"), lambda m: block(mine("of_outside", 2), m, True)))
+        .otherwise(F.array().cast("array<struct<o:int,m:int,outside:boolean>>")))
+    rows = (open_.join(sizes, "key").select("key", "node", "component", F.explode(roles).alias("r"))
+            .join(texts, "node").select("key", "r.o", "r.m", "r.outside", "node", "component", "text"))
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def links(block: pa.Table) -> pa.Table:
+        sides: dict[bool, list] = {True: [], False: []}
+        for part in block.to_batches(max_chunksize=500):
+            rows = [part[c].to_pylist() for c in ("outside", "node", "component", "text")]
+            for role, node, component, x in zip(*rows[:3], shingle_sets(rows[3], words), strict=True):
+                sides[role].append((node, component, x))
+        found = list(block_links(sides[True], sides[False], percent))
+        return pa.Table.from_pydict({"a": [a for a, _ in found], "b": [b for _, b in found]}, schema=schema)
+
+    return rows.groupBy("key", "o", "m").applyInArrow(links, "a long, b long")
+
+
 # -- components -----------------------------------------------------------------------------------------------
 
 def _forest(batches):
@@ -313,16 +368,14 @@ def near_duplicates(docs: DataFrame, words: int = 2, percent: int = PERCENT, ban
 
     tested, links = [], []
 
-    def try_pairs(pairs: DataFrame) -> bool:
-        """Verify what hasn't been tested yet; False if that is nothing."""
+    def try_pairs(pairs: DataFrame) -> None:
+        """Verify what hasn't been tested yet."""
         ordered = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
         if tested:
             ordered = ordered.join(reduce(DataFrame.unionAll, tested), ["a", "b"], "left_anti")
         tested.append(written(ordered, f"{folder}/pairs-{len(tested)}"))
-        if tested[-1].isEmpty():
-            return False
-        links.append(written(verified(tested[-1], texts, words, percent), f"{folder}/links-{len(links)}"))
-        return True
+        if not tested[-1].isEmpty():
+            links.append(written(verified(tested[-1], texts, words, percent), f"{folder}/links-{len(links)}"))
 
     component = None
     try_pairs(members.select(F.col("node").alias("a"), F.col("hub").alias("b")))
@@ -342,19 +395,12 @@ def near_duplicates(docs: DataFrame, words: int = 2, percent: int = PERCENT, ban
         if largest.isEmpty():
             break
         open_ = within.join(largest, "key")
-        outside = open_.where("component <> main")
-        if turn < hub_rounds:
-            pairs = outside.select(F.col("node").alias("a"), F.col("hub").alias("b"))
+        if turn == hub_rounds:
+            links.append(written(compared(open_, texts, words, percent), f"{folder}/links-last"))
+            component = written(components(reduce(DataFrame.unionAll, links), f"{folder}/components-last"),
+                                f"{folder}/component-last")
         else:
-            other = open_.select("key", *[F.col(c).alias(f"{c}_2") for c in ("node", "n", "component")])
-            pairs = (outside.join(other, "key").where("component <> component_2")
-                     .where(F.least("n", "n_2") * 100 >= F.greatest("n", "n_2") * percent)
-                     .select(F.col("node").alias("a"), F.col("node_2").alias("b")))
-        if not try_pairs(pairs) and turn == hub_rounds:
-            break
-    else:
-        component = written(components(reduce(DataFrame.unionAll, links), f"{folder}/components-last"),
-                            f"{folder}/component-last")
+            try_pairs(open_.where("component <> main").select(F.col("node").alias("a"), F.col("hub").alias("b")))
     classes = groups.select("digest", "node")
     if component is not None:
         classes = (classes.join(component, "node", "left")

@@ -87,9 +87,10 @@ def varied(rng, words, share):
     return " ".join(rng.choice("abcdefgh") * 3 if rng.random() < share else w for w in words)
 
 
-@pytest.mark.parametrize("hub_rounds", [0, 1, 4])
-def test_large_groups_of_near_copies(spark, hub_rounds):
+@pytest.mark.parametrize(("hub_rounds", "block"), [(0, 1 << 20), (0, 300), (2, 1 << 20)])
+def test_large_groups_of_near_copies(spark, monkeypatch, hub_rounds, block):
     """Variants of a few texts, many of them below the threshold to any one hub."""
+    monkeypatch.setattr(smh, "BLOCK_SHINGLES", block)
     rng = random.Random(11)
     rows = [(5, ""), (6, None), (7, "  "), (8, "one"), (3, "ONE"), (9, "one two"), (9, "one two")]
     for g in range(3):
