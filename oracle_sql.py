@@ -1,7 +1,9 @@
 """DuckDB oracle SQL for every registered query (see ``__spark_entry__.oracle_sql``).
 
-Written independently of the Spark code path: plain SQL over the driver's
-views, sharing only the grammar constants (regexes, tokens, thresholds).
+Plain SQL over the driver's views.  The SQL is written apart from the Spark
+code; the grammar's constants (patterns, tokens, thresholds) and the wording
+are shared, so a wrong constant would be wrong on both sides: those are held
+against literal cases by the tests.
 """
 from __future__ import annotations
 
@@ -55,7 +57,8 @@ def freq(extra: str = "") -> str:
 NUM = q(G.NUMBER_PATTERN)
 TS = f"""CAST(coalesce(
       CASE WHEN regexp_matches(value, {q(G.DATE_PATTERN_ISO)}) THEN TRY_CAST(value AS TIMESTAMP) END,
-      CASE WHEN regexp_matches(value, {q(G.DATE_PATTERN_SLASH)}) THEN try_strptime(value, '%m/%d/%Y') END,
+      CASE WHEN regexp_matches(value, {q(G.DATE_PATTERN_SLASH)}) THEN try_strptime(value, ['%m/%d/%Y',
+        '%m/%d/%Y %H:%M', '%m/%d/%Y %H:%M:%S', '%m/%d/%Y %I:%M %p', '%m/%d/%Y %I:%M:%S %p']) END,
       CASE WHEN regexp_matches(value, {q(G.DATE_PATTERN_MONTH_YEAR)}) THEN try_strptime(value, '%m/%Y') END,
       CASE WHEN regexp_matches(value, {q(G.DATE_PATTERN_YEAR)}) AND TRY_CAST(value AS INTEGER) <= {G.YEAR_MAX}
            THEN try_strptime(value, '%Y') END) AS TIMESTAMP)"""
@@ -407,8 +410,20 @@ def analysis_prefix() -> str:
     return findings_prefix().rstrip() + ",\n" + ",\n".join([ACTIONS_SQL, RISK_ROWS, SCORES, ANALYSIS_SUMMARY]) + "\n"
 
 
-SQL["contract_quarantine"] = analysis_prefix() + """SELECT dataset_name, status, composite_dqs, issue_count, action_count,
-  risk_count, accepted, CASE WHEN accepted THEN NULL ELSE 'rejected' END AS reason FROM analysis"""
+# the engine's own document breaks no rule, so there is no reason to give
+SQL["contract_own_document"] = analysis_prefix() + """SELECT dataset_name, status, composite_dqs, issue_count, action_count,
+  risk_count, accepted, CAST(NULL AS VARCHAR) AS reason FROM analysis"""
+
+SQL["contract_quarantine"] = """WITH d AS (SELECT o_orderkey, o_orderkey AS k FROM orders),
+r AS (SELECT *, CASE WHEN k % 4 = 0 THEN 'missing data_quality_issues' WHEN k % 9 = 0 THEN 'missing remediation_actions'
+    WHEN k % 11 = 0 THEN 'missing dimension_scores' WHEN k % 13 = 0 THEN 'missing composite_dqs'
+    WHEN k % 10 = 0 THEN 'composite_dqs outside 0..1' WHEN k % 17 = 0 THEN 'issue without dimension'
+    WHEN k % 19 = 0 THEN 'action without text' WHEN k % 7 = 0 THEN 'priority outside 1..5' END AS reason FROM d)
+SELECT o_orderkey, CASE WHEN k % 6 = 0 THEN 'success' ELSE 'done' END AS status,
+  CASE WHEN k % 13 = 0 THEN NULL WHEN k % 10 = 0 THEN 1.25::DOUBLE ELSE (k % 100) / 100 END AS composite_dqs,
+  CAST(CASE WHEN k % 4 = 0 THEN 0 ELSE 2 END AS BIGINT) AS issue_count,
+  CAST(CASE WHEN k % 9 = 0 THEN 0 ELSE 1 END AS BIGINT) AS action_count,
+  CAST(CASE WHEN k % 6 = 0 THEN 0 ELSE 1 END AS BIGINT) AS risk_count, reason IS NULL AS accepted, reason FROM r"""
 
 SQL["audit_merge"] = analysis_prefix().rstrip() + f""",
 profile AS (SELECT 'dirty_payments' AS dataset_name, CAST(count(*) AS BIGINT) AS row_count,
@@ -444,17 +459,22 @@ UNION ALL SELECT 5, severity, risk, '', '- ' || risk || {NL} FROM risk_rows)"""
 
 SQL["remediation_report"] = analysis_prefix().rstrip() + ",\n" + REPORT_LINES + f"""
 SELECT 'dirty_payments' AS dataset_name,
-  replace({q(_R.REPORT_FILE)}, '{{score}}', CAST((SELECT {_score0} FROM composite) AS VARCHAR)) AS file_name,
+  replace({q(_R.REPORT_FILE.replace("{prefix}", _R.REPORT_PREFIX))}, '{{score}}', CAST((SELECT {_score0} FROM composite) AS VARCHAR)) AS file_name,
   string_agg(text, '' ORDER BY sec, k1, k2, k3, text) AS markdown FROM lines"""
 
 # ----------------------------------------------------------------- windows
-SQL["transcripts_tail"] = """WITH r AS (
-  SELECT conv_id, turn, coalesce(role, '') || ': ' || coalesce(text, '') AS line,
-         row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rk FROM conversations),
+def transcripts_sql(keep: int) -> str:
+    return f"""WITH m AS (
+  SELECT conv_id, turn, coalesce(role, '') || ': ' || coalesce(text, '') AS line FROM conversations),
+r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC NULLS LAST, line DESC) AS rk FROM m),
 c AS (SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id)
 SELECT r.conv_id, CAST(c.n AS BIGINT) AS n_messages, CAST(count(*) AS BIGINT) AS kept_messages,
-  string_agg(line, chr(10) ORDER BY turn) AS transcript
-FROM r JOIN c ON r.conv_id = c.conv_id WHERE rk <= 4 GROUP BY r.conv_id, c.n"""
+  string_agg(line, chr(10) ORDER BY rk DESC) AS transcript
+FROM r JOIN c ON r.conv_id IS NOT DISTINCT FROM c.conv_id WHERE rk <= {keep} GROUP BY r.conv_id, c.n"""
+
+
+SQL["transcripts_tail"] = transcripts_sql(G.TRANSCRIPT_KEEP)
+SQL["transcripts_tail_4"] = transcripts_sql(4)
 
 SQL["audit_history_latest"] = f"""WITH runs AS (
   SELECT event_type AS dataset_name, CAST(ts AS DATE) AS run_date, max(ts) AS ingestion_timestamp,
@@ -544,3 +564,54 @@ from qualitas.operators.findings import NO_RISK  # noqa: E402
 
 SQL["headline_risk"] = findings_prefix().rstrip() + ",\n" + RISK_ROWS + f"""
 SELECT coalesce((SELECT risk FROM risk_rows ORDER BY severity, risk LIMIT 1), {q(NO_RISK)}) AS headline_risk"""
+
+
+# ------------------------------------------------ sources, sinks, streams, documents
+for _name in ("source_csv", "source_json_documents", "source_json_array"):
+    SQL[_name] = SQL["column_profile"]            # what was landed must profile as the table it came from
+
+SQL["sink_audit_history"] = f"""SELECT 'lineitem' AS dataset_name, CAST((SELECT count(*) FROM lineitem) AS BIGINT) AS row_count,
+  CAST({len(LINEITEM_COLUMNS)} AS BIGINT) AS column_count, {q(G.DEFAULT_DOMAIN)} AS detected_domain,
+  '2000-06-01T00:00:00.000Z' AS ingestion_timestamp
+UNION ALL SELECT 'orders', CAST((SELECT count(*) FROM orders) AS BIGINT), CAST({len(ORDERS_COLUMNS)} AS BIGINT),
+  {q(G.DEFAULT_DOMAIN)}, '2000-01-01T00:00:00.000Z'"""
+
+SQL["windowed_profile_stream"] = f"""SELECT window_start, column_name, row_count, null_count, min_value, max_value,
+  negative_count FROM ({SQL["windowed_profile"]})"""
+
+SQL["profile_lineitem_approx"] = table_facts("lineitem", LINEITEM_COLUMNS) + """
+SELECT column_name,
+  CASE WHEN coalesce(bool_and(CASE WHEN present THEN is_num END), true) THEN 'numeric'
+       WHEN coalesce(bool_and(CASE WHEN present THEN ts IS NOT NULL END), true) THEN 'datetime'
+       ELSE 'string' END AS inferred_data_type,
+  CAST(sum(CASE WHEN present THEN 0 ELSE n END) AS BIGINT) AS null_count,
+  sum(CASE WHEN present THEN 0 ELSE n END) / sum(n) AS null_ratio,
+  CAST(sum(CASE WHEN is_num THEN n ELSE 0 END) AS BIGINT) AS numeric_count,
+  min(num) AS min_value, max(num) AS max_value,
+  CASE WHEN bool_or(is_num) THEN sum(CASE WHEN num < 0 THEN n ELSE 0 END) / sum(CASE WHEN is_num THEN n ELSE 0 END) END
+    AS negative_value_ratio,
+  CAST(sum(n) AS BIGINT) AS row_count
+FROM facts GROUP BY column_name"""
+
+SQL["profile_document"] = f"""SELECT 'dirty_payments' AS dataset_name, d.row_count, p.column_name, p.inferred_data_type,
+  p.null_count, p.null_ratio, p.unique_count, p.sample_values_masked AS samples, n.min_value, n.max_value,
+  n.negative_value_ratio, c.top_values, t.min_timestamp, t.max_timestamp, m.regex_match_ratio,
+  coalesce(x.missing_with, '') AS missing_with, u.duplicates_detected, f.kyc_fields_present
+FROM ({SQL["column_profile"]}) p
+LEFT JOIN ({SQL["numeric_stats"]}) n USING (column_name)
+LEFT JOIN (SELECT column_name, string_agg(value || '=' || n, ',' ORDER BY rank) AS top_values
+           FROM ({SQL["categorical_top3"]}) GROUP BY column_name) c USING (column_name)
+LEFT JOIN ({SQL["temporal_stats"]}) t USING (column_name)
+LEFT JOIN ({SQL["pattern_stats"]}) m USING (column_name)
+LEFT JOIN (SELECT a AS column_name, string_agg(b, ',' ORDER BY b) AS missing_with
+           FROM ({SQL["dependent_nulls"]}) GROUP BY a) x USING (column_name)
+CROSS JOIN ({SQL["dataset_summary"]}) d CROSS JOIN ({SQL["duplicate_rows"]}) u CROSS JOIN ({SQL["compliance_flags"]}) f"""
+
+# every value of a column breaks its rule
+_OLD_ORDERS = """dirty AS (SELECT CAST(o_orderkey AS VARCHAR) AS txn_id, '' AS email,
+  strftime(o_orderdate, '%m/%d/%Y') AS txn_date FROM orders)"""
+SQL["issues_all_values"] = with_(
+    _OLD_ORDERS, cells("dirty", ["txn_id", "email", "txn_date"]), freq(), facts(),
+    SUMMARY.replace(AS_OF_ORDERS, "2031-01-01"), COLUMN_RULES, DUP_RULES,
+    "rules AS (SELECT * FROM column_rules UNION ALL SELECT * FROM dup_rules)", TEXTS, FOUND) + \
+    "SELECT dimension, rule, column_name, issue, description FROM found"

@@ -19,7 +19,7 @@ CODE_PATTERN = r"^[A-Z]{3}\d+"
 
 # Column-name tests (lower-cased names, substring match).
 ID_COLUMN_NAME = "id"
-ID_COLUMN_SUBSTRINGS = ("_id", "client_id")
+ID_COLUMN_SUBSTRINGS = ("_id",)
 YEAR_COLUMN_TOKENS = ("year", "date", "time", "at")
 KYC_TOKENS = ("kyc", "address")
 MONETARY_TOKENS = ("amount", "price")

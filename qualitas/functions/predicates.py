@@ -39,12 +39,18 @@ def to_number(v: Column) -> Column:
     return F.when(is_number_like(v), v.try_cast("double"))
 
 
+def whole(pattern: str) -> str:
+    """The pattern with its ``$`` at the very end of the text, not before a last line break."""
+    return pattern.removesuffix("$") + r"\z"
+
+
 def is_year_only(v: Column) -> Column:
-    return F.coalesce(v.rlike(G.DATE_PATTERN_YEAR), F.lit(False))
+    return F.coalesce(v.rlike(whole(G.DATE_PATTERN_YEAR)), F.lit(False))
 
 
-_SLASH_FULL = r"^(\d{2})/(\d{2})/(\d{4})$"
-_MONTH_YEAR_FULL = r"^(\d{2})/(\d{4})$"
+# a date in slashes, alone or followed by a time of day
+_SLASH = (r"^(\d{2})/(\d{2})/(\d{4})(?: +(\d{1,2}):(\d{2})(?::(\d{2})(\.\d{1,9})?)?(?: *([AaPp])[Mm])?)?\s*\z")
+_MONTH_YEAR = r"^(\d{2})/(\d{4})\s*\z"
 # a time of day followed by an explicit zone: Z, UTC/GMT or a numeric offset
 _ZONE_SUFFIX = r"\d:\d{2}(:\d{2}(\.\d+)?)?\s*(Z|UTC|GMT|[+-]\d{1,2}(:?\d{2})?)$"
 
@@ -55,18 +61,27 @@ def parse_timestamp(v: Column, day_first: bool = False) -> Column:
     One parser per prefix pattern, independent of the session time zone:
     ISO values go through the cast grammar (a value with an explicit zone is
     converted to the session zone's wall clock); ``MM/DD/YYYY`` (or
-    ``DD/MM/YYYY`` with ``day_first``), ``MM/YYYY`` and a bare year up to
-    YEAR_MAX are rewritten to ISO text and cast, so an impossible calendar
-    date such as 02/30/2024 is refused.
+    ``DD/MM/YYYY`` with ``day_first``), alone or with a time of day in 24
+    hours or with AM/PM, ``MM/YYYY`` and a bare year up to YEAR_MAX are
+    rewritten to ISO text and cast, so an impossible calendar date such as
+    02/30/2024, or anything else behind the date, is refused.
     """
     ntz = lambda c: c.try_cast("timestamp_ntz")
     iso = F.when(v.rlike(G.DATE_PATTERN_ISO),
                  F.when(v.rlike(_ZONE_SUFFIX), v.try_cast("timestamp").cast("timestamp_ntz")).otherwise(ntz(v)))
-    g = lambda pattern, i: F.regexp_extract(v, pattern, i)
-    month, day = (g(_SLASH_FULL, 2), g(_SLASH_FULL, 1)) if day_first else (g(_SLASH_FULL, 1), g(_SLASH_FULL, 2))
-    slash = F.when(v.rlike(_SLASH_FULL), ntz(F.concat(g(_SLASH_FULL, 3), F.lit("-"), month, F.lit("-"), day)))
-    month_year = F.when(v.rlike(_MONTH_YEAR_FULL),
-                        ntz(F.concat(g(_MONTH_YEAR_FULL, 2), F.lit("-"), g(_MONTH_YEAR_FULL, 1), F.lit("-01"))))
+    part = lambda i: F.regexp_extract(v, _SLASH, i)
+    month, day = (part(2), part(1)) if day_first else (part(1), part(2))
+    hour, half = part(4).try_cast("int"), F.lower(part(8))
+    hour = (F.when(half == "", hour).when(~hour.between(1, 12), F.lit(None))
+            .otherwise(hour % 12 + F.when(half == "p", 12).otherwise(0)))
+    clock = F.when(part(4) == "", F.lit("")).otherwise(F.concat(
+        F.lit(" "), F.lpad(hour.cast("string"), 2, "0"), F.lit(":"), part(5), F.lit(":"),
+        F.when(part(6) == "", F.lit("00")).otherwise(part(6)), part(7)))
+    slash = F.when(v.rlike(G.DATE_PATTERN_SLASH) & v.rlike(_SLASH), ntz(
+        F.concat(part(3), F.lit("-"), month, F.lit("-"), day, clock)))
+    both = lambda i: F.regexp_extract(v, _MONTH_YEAR, i)
+    month_year = F.when(v.rlike(G.DATE_PATTERN_MONTH_YEAR) & v.rlike(_MONTH_YEAR),
+                        ntz(F.concat(both(2), F.lit("-"), both(1), F.lit("-01"))))
     year = F.when(is_year_only(v) & (v.try_cast("int") <= G.YEAR_MAX), ntz(F.concat(v, F.lit("-01-01"))))
     return F.coalesce(iso, slash, month_year, year).cast("timestamp_ntz")
 

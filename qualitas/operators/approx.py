@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from qualitas.functions import grammar as G
 from qualitas.functions.predicates import as_text, is_likely_date, is_number_like, is_present
+from qualitas.operators.profile import TRACKED, approx_top, ranked_items
 
 _INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.DecimalType)
 _FRACTIONAL = (T.FloatType, T.DoubleType)
@@ -45,11 +46,12 @@ def _cell_facts(field: T.StructField):
     return v, present, num_like, F.when(num_like, v.try_cast("double")), present & is_likely_date(v)
 
 
-def approx_profile(df: DataFrame, columns=None, k: int = G.TOP_K, rsd: float = 0.02,
-                   tracked: int = 1000) -> DataFrame:
+def approx_profile(df: DataFrame, columns=None, k: int | None = G.TOP_K, rsd: float = 0.02,
+                   tracked: int = TRACKED) -> DataFrame:
     """Per column: inferred type, null and approximate distinct counts, numeric stats, approximate top-k.
 
-    ``tracked`` bounds the frequent-items sketch per column (memory and merge cost per task).
+    ``tracked`` bounds the frequent-items sketch per column (memory and merge cost per task); ``k=None`` leaves the
+    sketch and the ``top_values`` column out.
     """
     fields = {f.name: f for f in df.schema.fields}
     cols = list(columns or df.columns)
@@ -65,10 +67,10 @@ def approx_profile(df: DataFrame, columns=None, k: int = G.TOP_K, rsd: float = 0
             F.min(num).alias(f"mn{i}"), F.max(num).alias(f"mx{i}"),
             F.avg(num).alias(f"av{i}"), F.count(num).alias(f"nc{i}"),
             F.count_if(num < 0).alias(f"ng{i}"),
-            F.slice(F.filter(F.expr(f"approx_top_k(CASE WHEN {_present_sql(fields[c])} THEN {_item_sql(fields[c])} END, "
-                                    f"{int(k) + 1}, {int(tracked)})"), lambda e: e["item"].isNotNull()), 1, int(k))
-            .alias(f"t{i}"),
         ]
+        if k is not None:
+            aggs.append(approx_top(f"CASE WHEN {_present_sql(fields[c])} THEN {_item_sql(fields[c])} END", k, tracked)
+                        .alias(f"t{i}"))
     wide = df.agg(*aggs)
     entries = [F.struct(
         F.lit(c).alias("column_name"), F.lit(i).alias("ordinal"),
@@ -77,9 +79,8 @@ def approx_profile(df: DataFrame, columns=None, k: int = G.TOP_K, rsd: float = 0
         F.col(f"mn{i}").alias("min_value"), F.col(f"mx{i}").alias("max_value"),
         F.col(f"av{i}").alias("mean"), F.col(f"nc{i}").alias("numeric_count"),
         F.col(f"ng{i}").alias("negatives"),
-        F.transform(F.col(f"t{i}"), lambda e: F.struct(_item_text(fields[c], e["item"]).alias("value"),
-                                                       e["count"].alias("n")))
-        .alias("top_values")) for i, c in enumerate(cols)]
+        *([_top_values(F.col(f"t{i}"), fields[c], k)] if k is not None else []))
+        for i, c in enumerate(cols)]
     long = wide.select("rows", F.explode(F.array(*entries)).alias("e")).select("rows", "e.*")
     rows = F.col("rows")
     inferred = (F.when(F.coalesce("all_num", F.lit(True)), F.lit("numeric"))
@@ -93,7 +94,13 @@ def approx_profile(df: DataFrame, columns=None, k: int = G.TOP_K, rsd: float = 0
         ratio(F.col("approx_unique"), rows).alias("unique_ratio"),
         F.col("numeric_count").cast("bigint").alias("numeric_count"), "min_value", "max_value", "mean",
         F.when(F.col("numeric_count") > 0, F.col("negatives") / F.col("numeric_count")).alias("negative_value_ratio"),
-        "top_values", rows.cast("bigint").alias("row_count"))
+        *(["top_values"] if k is not None else []), rows.cast("bigint").alias("row_count"))
+
+
+def _top_values(top, field: T.StructField, k: int):
+    """The sketch's top k as ``array<struct<value, n>>``, values as text."""
+    return F.transform(ranked_items(top, k), lambda e: F.struct(
+        _item_text(field, e["item"]).alias("value"), e["count"].alias("n"))).alias("top_values")
 
 
 def _item_sql(field: T.StructField) -> str:

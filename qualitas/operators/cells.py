@@ -1,6 +1,6 @@
 """Cells, frequency table and per-value facts: the shared scan of every profile.
 
-    cells  = df as text -> unpivot -> (*by, column_name, value)
+    cells  = df as text -> a row per cell (*by, column_name, value)
     freq   = cells.groupBy(*by, column_name, value).count()       one shuffle, map-side combine
     facts  = freq + presence / number / date / pattern flags        scalars once per DISTINCT value
 
@@ -32,7 +32,9 @@ def cells(df: DataFrame, columns=None, by=()) -> DataFrame:
     cols = profiled_columns(df, columns, by)
     fields = {f.name: f for f in df.schema.fields}
     wide = df.select(*[F.col(f"`{b}`") for b in by], *[as_text(fields[c]).alias(c) for c in cols])
-    return wide.unpivot([F.col(f"`{b}`") for b in by], [F.col(f"`{c}`") for c in cols], "column_name", "value")
+    # not DataFrame.unpivot: whole-stage code of a wide aggregate on top of it does not compile (Spark 4.1)
+    return wide.select(*[F.col(f"`{b}`") for b in by], F.inline(F.array(*[
+        F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").alias("value")) for c in cols])))
 
 
 def frequency(df: DataFrame, columns=None, by=()) -> DataFrame:
@@ -42,6 +44,37 @@ def frequency(df: DataFrame, columns=None, by=()) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("n")))
 
 
+#: Values up to this many bytes are their own key.
+KEY_BYTES = 64
+
+
+def value_key(value):
+    """A value's key: itself, or for a long one its first characters and a digest, so no long text is shuffled."""
+    return F.when(F.octet_length(value) <= KEY_BYTES, value).otherwise(
+        F.concat(F.substring(value, 1, 40), F.lit("\u0000"), F.sha2(value, 256)))
+
+
+def value_counts(df: DataFrame, columns=None, by=()) -> DataFrame:
+    """``(*by, column_name, value, n)`` of present values, long ones as their keys: one shuffle, combined map-side."""
+    c = cells(df, columns, by)
+    return (c.where(is_present(F.col("value"))).select(*by, "column_name", value_key(F.col("value")).alias("value"))
+            .groupBy(*by, "column_name", "value").agg(F.count(F.lit(1)).alias("n")))
+
+
+def distinct_counts(counts: DataFrame, by=()) -> DataFrame:
+    """``(*by, column_name, distinct_values)`` of ``value_counts``."""
+    # `n > 0` always holds; with it this branch reads the same exchange as one that ranks values by n
+    return counts.groupBy(*by, "column_name").agg(F.count_if(F.col("n") > 0).cast("bigint").alias("distinct_values"))
+
+
+def long_values(df: DataFrame, keys: DataFrame, columns=None) -> DataFrame:
+    """The texts of long keys: ``(column_name, key, text)``; ``keys`` holds k values a column, so it is broadcast."""
+    wanted = keys.where(F.octet_length("value") > KEY_BYTES).select("column_name", F.col("value").alias("key"))
+    long = cells(df, columns).where(F.octet_length("value") > KEY_BYTES).withColumn("key", value_key(F.col("value")))
+    return (long.join(F.broadcast(wanted), ["column_name", "key"]).groupBy("column_name", "key")
+            .agg(F.first("value").alias("text")))
+
+
 _KINDS = (("i", (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.DecimalType)),
           ("f", (T.FloatType, T.DoubleType)),
           ("t", (T.DateType, T.TimestampType, T.TimestampNTZType)),
@@ -58,6 +91,11 @@ def column_kinds(df: DataFrame, columns=None, by=()) -> dict:
     return out
 
 
+#: All date patterns start so.  The parser behind it is called as a function of its own (a lambda): written into the
+#: generated code of the cells it makes a method too large for the JVM to compile.
+_DATE_START = r"^\d\d"
+
+
 def facts(freq: DataFrame, day_first: bool = False, code_pattern: str = G.CODE_PATTERN,
           kinds: dict | None = None) -> DataFrame:
     """Per distinct value: presence, number, date and pattern facts.
@@ -97,7 +135,8 @@ def facts(freq: DataFrame, day_first: bool = False, code_pattern: str = G.CODE_P
         .when(kind == "t", v.try_cast("timestamp_ntz")) \
         .when(kind == "i", year_ts) \
         .when(kind.isin("f", "b"), F.lit(None).cast("timestamp_ntz")) \
-        .otherwise(parse_timestamp(v, day_first))
+        .otherwise(F.element_at(F.transform(F.array(F.when(kind == "s", v)), lambda x: F.when(
+            x.rlike(_DATE_START), parse_timestamp(x, day_first))), 1))
     text_only = lambda pattern: F.when(kind == "s", present & F.coalesce(v.rlike(pattern), F.lit(False))) \
         .otherwise(F.lit(False))
     return freq.select(
@@ -119,13 +158,12 @@ def facts_of(df: DataFrame, columns=None, by=(), day_first: bool = False) -> Dat
 
 
 def cell_facts(df: DataFrame, columns=None, by=(), day_first: bool = False) -> DataFrame:
-    """Per-CELL facts (``n = 1`` per row), for the approximate audit.
+    """Per-CELL facts (``n = 1`` per row): what every statistic but distinct counts and top values is made from.
 
-    No value shuffle at all: every statistic that is a weighted sum over
-    ``facts`` is the same sum over cells, aggregated per column with a
-    map-side partial aggregate (one row per column per task).  Only
-    distinct counts and top values need the values themselves; the
-    approximate audit takes those from sketches.
+    No value shuffle at all: a weighted sum over ``facts`` is the same sum
+    over cells, aggregated per column with a map-side partial aggregate (one
+    row per column per task).  Distinct counts and top values come from
+    ``value_counts``, or from sketches in an approximate audit.
     """
     c = cells(df, columns, by).withColumn("n", F.lit(1).cast("bigint"))
     return facts(c, day_first=day_first, kinds=column_kinds(df, columns, by))

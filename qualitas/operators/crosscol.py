@@ -14,19 +14,22 @@ def _key_columns(df: DataFrame, keys=None):
     return names, [as_text(fields[c]).alias(f"_k{i}") for i, c in enumerate(names)]
 
 
-def _safe(names):
-    return [f"_k{i}" for i in range(len(names))]
+def row_digest(texts) -> "F.Column":
+    """256-bit digest of a row: its values with their lengths, NULL apart from the empty text."""
+    parts = [F.coalesce(F.concat(F.octet_length(t).cast("string"), F.lit(":"), t), F.lit("-")) for t in texts]
+    return F.unhex(F.sha2(F.concat(*parts), 256))
 
 
 def duplicate_summary(df: DataFrame, keys=None) -> DataFrame:
     """One row: rows, distinct rows (or keys), duplicates = rows - distinct.
 
-    ``groupBy(keys).count()`` with map-side combine: a key held by a third of
-    all rows leaves each map task as one partial count, so the skew never
-    reaches a single reducer.
+    ``groupBy(digest).count()`` with map-side combine: a shuffled row is a
+    digest and a count, and a key held by a third of all rows leaves each map
+    task as one partial count, so the skew never reaches a single reducer.
     """
-    names, exprs = _key_columns(df, keys)
-    g = df.select(*exprs).groupBy(*_safe(names)).agg(F.count(F.lit(1)).alias("c"))
+    fields = {f.name: f for f in df.schema.fields}
+    digest = row_digest([as_text(fields[c]) for c in (keys or df.columns)])
+    g = df.select(digest.alias("_row")).groupBy("_row").agg(F.count(F.lit(1)).alias("c"))
     return g.agg(
         F.coalesce(F.sum("c"), F.lit(0)).cast("bigint").alias("row_count"),
         F.count(F.lit(1)).cast("bigint").alias("distinct_rows"),
@@ -35,18 +38,25 @@ def duplicate_summary(df: DataFrame, keys=None) -> DataFrame:
              (F.col("row_count") > F.col("distinct_rows")).alias("duplicates_detected"))
 
 
-def duplicate_flags(df: DataFrame, keys, id_col: str) -> DataFrame:
-    """Per row ``(id_col, is_duplicate)``: the row's key occurs more than once.
+def duplicate_evaluation(df: DataFrame, keys, truth: DataFrame, on: str, truth_col: str) -> DataFrame:
+    """Labelled rows by ``(is_duplicate, truth)``: ``predicted, actual, n``, for the detector "its key occurs twice".
 
-    Key counts come from a partially aggregated ``groupBy`` and are joined
-    back; rows are never collected per key.
+    The labels are counted by id and joined to the rows' digests; one
+    aggregation by digest then has the copies of a key and its labels, so
+    copies are never joined back to rows.  A NULL in a key is a value like
+    any other; a label that is NULL counts as false.
     """
-    names, exprs = _key_columns(df, keys)
-    safe = _safe(names)
-    counts = df.select(*exprs).groupBy(*safe).agg(F.count(F.lit(1)).alias("_c"))
-    rows = df.select(F.col(f"`{id_col}`").alias("_id"), *exprs)
-    return (rows.join(counts, safe, "left")
-            .select(F.col("_id").alias(id_col), (F.col("_c") > 1).alias("is_duplicate")))
+    fields = {f.name: f for f in df.schema.fields}
+    rows = df.select(F.col(f"`{on}`").alias("_id"), row_digest([as_text(fields[k]) for k in keys]).alias("_key"))
+    actual = F.coalesce(F.col(truth_col).cast("boolean"), F.lit(False))
+    labels = truth.groupBy(F.col(f"`{on}`").alias("_id")).agg(
+        F.count_if(actual).alias("_true"), F.count_if(~actual).alias("_false"))
+    by_key = rows.join(labels, "_id", "left").groupBy("_key").agg(
+        F.count(F.lit(1)).alias("_copies"), F.sum("_true").alias("_true"), F.sum("_false").alias("_false"))
+    sides = F.array(F.struct(F.lit(True).alias("actual"), F.col("_true").alias("n")),
+                    F.struct(F.lit(False).alias("actual"), F.col("_false").alias("n")))
+    return (by_key.select((F.col("_copies") > 1).alias("predicted"), F.explode(sides).alias("s"))
+            .groupBy("predicted", "s.actual").agg(F.coalesce(F.sum("s.n"), F.lit(0)).cast("bigint").alias("n")))
 
 
 def dependent_nulls(df: DataFrame, columns=None) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Column, numeric, categorical, temporal and pattern statistics from ``facts``.
+"""Column, numeric, categorical, temporal and pattern statistics from ``facts`` (per cell or per distinct value).
 
 Every function groups by ``(*by, column_name)``: a handful of groups, each fed
 by a partial aggregate per map task, so the second shuffle is tiny whatever
@@ -31,16 +31,29 @@ def distinct_present(approx: bool = False, rsd: float = 0.02) -> "F.Column":
     return F.count_if(F.col("present") & (F.col("n") > 0)).cast("bigint")
 
 
-def profile_aggregates(approx: bool = False) -> list:
+def named(aggregates: dict) -> list:
+    """Aggregates ``{name: column}`` as aliased columns."""
+    return [c.alias(n) for n, c in aggregates.items()]
+
+
+def profile_aggregates() -> dict:
+    """Everything of a column profile but the distinct count."""
     present = F.col("present")
-    return [F.sum("n").cast("bigint").alias("row_count"),
-            _n_if(present).alias("present_count"),
-            distinct_present(approx).alias("unique_count"),
-            F.bool_and(F.when(present, F.col("is_num"))).alias("_all_num"),
-            F.bool_and(F.when(present, F.col("ts").isNotNull())).alias("_all_date")]
+    return {"row_count": F.sum("n").cast("bigint"),
+            "present_count": _n_if(present),
+            "_all_num": F.bool_and(F.when(present, F.col("is_num"))),
+            "_all_date": F.bool_and(F.when(present, F.col("ts").isNotNull()))}
+
+
+def with_distinct(agg: DataFrame, distinct: DataFrame, by=()) -> DataFrame:
+    """Per-column aggregates with ``unique_count`` from ``cells.distinct_counts`` (0 where a column has no value)."""
+    keys = [*by, "column_name"]
+    joined = agg.join(distinct.select(*keys, F.col("distinct_values").alias("unique_count")), keys, "left")
+    return joined.withColumn("unique_count", F.coalesce("unique_count", F.lit(0).cast("bigint")))
 
 
-def profile_finish(agg: DataFrame, by=(), columns=None) -> DataFrame:
+def profile_finish(agg: DataFrame, by=(), columns=None, also=()) -> DataFrame:
+    """Column profile of finished aggregates; ``also`` names further aggregates to keep."""
     by = list(by)
     if columns is not None and not by:
         spark = agg.sparkSession
@@ -50,7 +63,7 @@ def profile_finish(agg: DataFrame, by=(), columns=None) -> DataFrame:
             "column_name", "ordinal",
             *[F.coalesce(F.col(c), F.lit(0).cast("bigint")).alias(c)
               for c in ("row_count", "present_count", "unique_count")],
-            "_all_num", "_all_date")
+            "_all_num", "_all_date", *also)
     rows = F.col("row_count")
     null_count = (rows - F.col("present_count")).alias("null_count")
     inferred = (F.when(F.coalesce(F.col("_all_num"), F.lit(True)), F.lit("numeric"))
@@ -66,18 +79,24 @@ def profile_finish(agg: DataFrame, by=(), columns=None) -> DataFrame:
         F.array_repeat(F.lit(G.MASK),
                        F.least(F.lit(G.SAMPLE_COUNT), F.col("present_count")).cast("int"))
         .alias("sample_values_masked"),
-        "row_count", "present_count",
+        "row_count", "present_count", *also,
     )
 
 
-def column_profile(facts: DataFrame, by=(), columns=None, approx: bool = False) -> DataFrame:
+def column_profile(facts: DataFrame, by=(), columns=None, approx: bool = False,
+                   distinct: DataFrame | None = None) -> DataFrame:
     """Per column: inferred type, null and distinct counts and ratios, masked samples.
 
     ``columns`` (list of names, schema-sized) keeps columns of an empty
-    dataset in the output with zero counts.  ``approx=True`` reads per-cell
-    facts and estimates the distinct count.
+    dataset in the output with zero counts.  ``facts`` are per distinct
+    value; over per-cell facts give ``distinct`` (``cells.distinct_counts``),
+    or ``approx=True`` to estimate it.
     """
-    agg = facts.groupBy(*by, "column_name").agg(*profile_aggregates(approx))
+    agg = facts.groupBy(*by, "column_name")
+    if distinct is not None:
+        agg = with_distinct(agg.agg(*named(profile_aggregates())), distinct, by)
+    else:
+        agg = agg.agg(*named(profile_aggregates()), distinct_present(approx).alias("unique_count"))
     return profile_finish(agg, by, columns)
 
 
@@ -97,7 +116,7 @@ def numeric_inputs(facts: DataFrame, blank_as_zero: bool = False):
     return x.alias("x"), d.alias("d")
 
 
-def numeric_aggregates() -> list:
+def numeric_aggregates() -> dict:
     """Aggregates over rows carrying ``x``, ``d`` and ``n`` (see ``numeric_inputs``).
 
     The mean is an exact decimal sum (value as DECIMAL(24,6) times its count)
@@ -112,12 +131,8 @@ def numeric_aggregates() -> list:
     exact_ok = (F.count_if(has_x & F.col("d").isNull()) == 0) & exact_sum.isNotNull()
     mean = F.when(exact_ok, (exact_sum / cnt).cast("double")).otherwise(
         F.sum(F.when(has_x, F.col("x") * F.col("n"))) / cnt)
-    return [cnt.cast("bigint").alias("numeric_count"),
-            F.min("x").alias("min_value"),
-            F.max("x").alias("max_value"),
-            mean.alias("mean"),
-            (_n_if(F.col("x") < 0) / cnt).alias("negative_value_ratio"),
-            _n_if(F.col("x") < 0).alias("negative_count")]
+    return {"numeric_count": cnt.cast("bigint"), "min_value": F.min("x"), "max_value": F.max("x"), "mean": mean,
+            "negative_value_ratio": _n_if(F.col("x") < 0) / cnt, "negative_count": _n_if(F.col("x") < 0)}
 
 
 NUMERIC_COLUMNS = ["numeric_count", "min_value", "max_value", "mean", "negative_value_ratio", "negative_count"]
@@ -131,7 +146,7 @@ def numeric_stats(facts: DataFrame, by=(), blank_as_zero: bool = False) -> DataF
     """min / max / mean / negative ratio over number-like values, for every column having one."""
     by = list(by)
     f = facts.select(*by, "column_name", "n", *numeric_inputs(facts, blank_as_zero))
-    return numeric_finish(f.groupBy(*by, "column_name").agg(*numeric_aggregates()), by)
+    return numeric_finish(f.groupBy(*by, "column_name").agg(*named(numeric_aggregates())), by)
 
 
 def categorical_stats(facts: DataFrame, by=(), k: int = G.TOP_K) -> DataFrame:
@@ -159,27 +174,51 @@ def categorical_stats(facts: DataFrame, by=(), k: int = G.TOP_K) -> DataFrame:
         *by, "column_name", "distinct_values", "rank", "value", F.col("n").cast("bigint").alias("n"))
 
 
-def approx_top_aggregates(k: int = G.TOP_K, tracked: int = 1000) -> list:
-    # a few spare items, so that ties at the k-th place are broken by value as in the exact path
-    top = F.expr(f"approx_top_k(CASE WHEN present THEN value END, {int(k) + 8}, {int(tracked)})")
-    return [distinct_present(True).alias("distinct_values"), top.alias("_top")]
+def top_values(counts: DataFrame, by=(), k: int = G.TOP_K) -> DataFrame:
+    """The k most frequent values of each column from ``cells.value_counts`` (ties: value ascending).
+
+    ``(*by, column_name, rank, value, n)``; a WindowGroupLimit keeps k rows
+    per column in each task before the shuffle.
+    """
+    w = Window.partitionBy(*by, "column_name").orderBy(F.col("n").desc(), F.col("value").asc())
+    return (counts.withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= k)
+            .select(*by, "column_name", "rank", "value", F.col("n").cast("bigint").alias("n")))
+
+
+#: Items that a frequent-items sketch tracks in a column, and how many more than k it is asked for, so that ties at
+#: the k-th place are broken by value as in the exact path.
+TRACKED, SPARE = 1000, 8
+
+
+def approx_top(item_sql: str, k: int = G.TOP_K, tracked: int = TRACKED) -> "F.Column":
+    """Sketch of a column's frequent items; ``ranked_items`` reads the top k out of it."""
+    return F.expr(f"approx_top_k({item_sql}, {int(k) + SPARE}, {int(tracked)})")
+
+
+def ranked_items(top, k: int = G.TOP_K) -> "F.Column":
+    """The k most frequent items of a sketch as ``array<struct<neg, item, count>>``, ties by item."""
+    ranked = F.array_sort(F.transform(F.filter(top, lambda e: e["item"].isNotNull()), lambda e: F.struct(
+        (-e["count"]).alias("neg"), e["item"].alias("item"), e["count"].alias("count"))))
+    return F.slice(ranked, 1, int(k))
+
+
+def approx_top_aggregates(k: int = G.TOP_K, tracked: int = TRACKED) -> dict:
+    return {"distinct_values": distinct_present(True),
+            "_top": approx_top("CASE WHEN present THEN value END", k, tracked)}
 
 
 def approx_categorical_finish(agg: DataFrame, by=(), k: int = G.TOP_K) -> DataFrame:
     by = list(by)
-    ranked = F.array_sort(F.transform(F.filter("_top", lambda e: e["item"].isNotNull()),
-                                      lambda e: F.struct((-e["count"]).alias("neg"), e["item"].alias("item"),
-                                                         e["count"].alias("count"))))
-    items = F.slice(ranked, 1, int(k))
+    items = ranked_items("_top", k)
     return (agg.where(F.col("distinct_values") > 0)
             .select(*by, "column_name", "distinct_values", F.posexplode(items).alias("_pos", "_e"))
             .select(*by, "column_name", "distinct_values", (F.col("_pos") + 1).cast("bigint").alias("rank"),
                     F.col("_e.item").alias("value"), F.col("_e.count").cast("bigint").alias("n")))
 
 
-def approx_categorical_stats(cell_facts: DataFrame, by=(), k: int = G.TOP_K, tracked: int = 1000) -> DataFrame:
+def approx_categorical_stats(cell_facts: DataFrame, by=(), k: int = G.TOP_K, tracked: int = TRACKED) -> DataFrame:
     """Approximate twin of ``categorical_stats`` over per-cell facts: HLL distinct count, sketch top-k."""
-    agg = cell_facts.groupBy(*by, "column_name").agg(*approx_top_aggregates(k, tracked))
+    agg = cell_facts.groupBy(*by, "column_name").agg(*named(approx_top_aggregates(k, tracked)))
     return approx_categorical_finish(agg, by, k)
 
 
@@ -213,15 +252,15 @@ def temporal_date(name=None) -> "F.Column":
             & (~F.col("year_only") | is_year_column(name)))
 
 
-def temporal_aggregates(as_of) -> list:
+def temporal_aggregates(as_of) -> dict:
     as_of_c = _as_of_lit(as_of)
     is_date = temporal_date()
-    return [F.sum("n").cast("bigint").alias("row_count"),
-            _n_if(is_date).alias("date_count"),
-            F.min(F.when(is_date, F.col("ts"))).alias("min_ts"),
-            F.max(F.when(is_date, F.col("ts"))).alias("max_ts"),
-            _n_if(is_date & (F.col("ts") > as_of_c)).alias("future_count"),
-            _n_if(is_date & (F.col("ts") < as_of_c - F.expr(f"INTERVAL {G.STALE_DAYS} DAYS"))).alias("stale_count")]
+    return {"row_count": F.sum("n").cast("bigint"),
+            "date_count": _n_if(is_date),
+            "min_ts": F.min(F.when(is_date, F.col("ts"))),
+            "max_ts": F.max(F.when(is_date, F.col("ts"))),
+            "future_count": _n_if(is_date & (F.col("ts") > as_of_c)),
+            "stale_count": _n_if(is_date & (F.col("ts") < as_of_c - F.expr(f"INTERVAL {G.STALE_DAYS} DAYS")))}
 
 
 def temporal_finish(agg: DataFrame, by=(), min_coverage: float = G.TEMPORAL_MIN_COVERAGE) -> DataFrame:
@@ -245,12 +284,12 @@ def temporal_finish(agg: DataFrame, by=(), min_coverage: float = G.TEMPORAL_MIN_
 def temporal_stats(facts: DataFrame, as_of, by=(),
                    min_coverage: float = G.TEMPORAL_MIN_COVERAGE) -> DataFrame:
     """min / max timestamp, future and stale ratios for columns whose dates cover >= 10 % of rows."""
-    agg = facts.groupBy(*by, "column_name").agg(*temporal_aggregates(as_of))
+    agg = facts.groupBy(*by, "column_name").agg(*named(temporal_aggregates(as_of)))
     return temporal_finish(agg, by, min_coverage)
 
 
-def pattern_aggregates() -> list:
-    return [_n_if(F.col("present")).alias("present_count"), _n_if(F.col("is_code")).alias("match_count")]
+def pattern_aggregates() -> dict:
+    return {"present_count": _n_if(F.col("present")), "match_count": _n_if(F.col("is_code"))}
 
 
 def pattern_finish(agg: DataFrame, by=()) -> DataFrame:
@@ -262,7 +301,7 @@ def pattern_finish(agg: DataFrame, by=()) -> DataFrame:
 
 def pattern_stats(facts: DataFrame, by=()) -> DataFrame:
     """Share of present values matching the code pattern; only columns with a match."""
-    return pattern_finish(facts.groupBy(*by, "column_name").agg(*pattern_aggregates()), by)
+    return pattern_finish(facts.groupBy(*by, "column_name").agg(*named(pattern_aggregates())), by)
 
 
 def compliance_flags(column_names: DataFrame, by=()) -> DataFrame:

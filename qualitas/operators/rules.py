@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from qualitas.functions import grammar as G
 from qualitas.functions.predicates import as_text, is_present, name_has_any
-from qualitas.operators.profile import _as_of_lit, temporal_date
+from qualitas.operators.crosscol import row_digest
+from qualitas.operators.profile import _as_of_lit, named, temporal_date
 
 RULE_SCHEMA = ("dimension string, rule string, column_name string, bad bigint, eligible bigint, "
                "distinct_values bigint")
@@ -39,33 +40,30 @@ def range_violation(range_rules=G.DEFAULT_RANGE_RULES):
     return has, (F.coalesce(bad, F.lit(False)) if bad is not None else F.lit(False))
 
 
-def summary_aggregates(as_of, freshness_years: int = G.FRESHNESS_YEARS, range_rules=G.DEFAULT_RANGE_RULES,
-                       approx: bool = False) -> list:
-    """Every per-column count the column rules need (exact also over per-cell facts)."""
-    from qualitas.operators.profile import distinct_present
+def summary_aggregates(as_of, freshness_years: int = G.FRESHNESS_YEARS, range_rules=G.DEFAULT_RANGE_RULES) -> dict:
+    """Every per-column count the column rules need."""
     as_of_c = _as_of_lit(as_of)
     td = temporal_date()
     has_rule, violates = range_violation(range_rules)
-    return [
-        F.sum("n").cast("bigint").alias("rows"),
-        _n_if(F.col("present")).alias("present"),
-        distinct_present(approx).alias("distinct_values"),
-        F.bool_and(F.when(F.col("present"), F.col("is_num"))).alias("all_num"),
-        F.bool_and(F.when(F.col("present"), F.col("ts").isNotNull())).alias("all_date"),
-        _n_if(F.col("is_num")).alias("num"),
-        _n_if(F.col("is_num") & (F.col("num") < 0)).alias("negative"),
-        _n_if(F.col("is_num") & has_rule).alias("range_eligible"),
-        _n_if(F.col("is_num") & has_rule & violates).alias("range_bad"),
-        _n_if(F.col("present") & F.col("ts").isNotNull()).alias("dates_any"),
-        _n_if(F.col("is_currency")).alias("currency"),
-        _n_if(td).alias("tdates"),
-        _n_if(td & (F.col("ts") > as_of_c)).alias("future"),
-        _n_if(td & ~F.col("is_iso")).alias("non_iso"),
-        _n_if(td & (F.col("ts") < as_of_c - F.expr(f"INTERVAL {int(freshness_years)} YEARS"))).alias("stale"),
-    ]
-
-
-SUMMARY_COLUMNS = ["rows", "present", "distinct_values", "all_num", "all_date", "num", "negative", "range_eligible",
+    return {
+        "rows": F.sum("n").cast("bigint"),
+        "present": _n_if(F.col("present")),
+        "all_num": F.bool_and(F.when(F.col("present"), F.col("is_num"))),
+        "all_date": F.bool_and(F.when(F.col("present"), F.col("ts").isNotNull())),
+        "num": _n_if(F.col("is_num")),
+        "negative": _n_if(F.col("is_num") & (F.col("num") < 0)),
+        "range_eligible": _n_if(F.col("is_num") & has_rule),
+        "range_bad": _n_if(F.col("is_num") & has_rule & violates),
+        "dates_any": _n_if(F.col("present") & F.col("ts").isNotNull()),
+        "currency": _n_if(F.col("is_currency")),
+        "tdates": _n_if(td),
+        "future": _n_if(td & (F.col("ts") > as_of_c)),
+        "non_iso": _n_if(td & ~F.col("is_iso")),
+        "stale": _n_if(td & (F.col("ts") < as_of_c - F.expr(f"INTERVAL {int(freshness_years)} YEARS"))),
+    }
+
+
+SUMMARY_COLUMNS = ["rows", "present", "all_num", "all_date", "num", "negative", "range_eligible",
                    "range_bad", "dates_any", "currency", "tdates", "future", "non_iso", "stale"]
 
 
@@ -83,17 +81,27 @@ def summary_finish(agg: DataFrame, by=()) -> DataFrame:
 
 
 def column_summary(facts: DataFrame, as_of, by=(), freshness_years: int = G.FRESHNESS_YEARS,
-                   range_rules=G.DEFAULT_RANGE_RULES, approx: bool = False) -> DataFrame:
-    """Every per-column count the column rules need, in one pass over the facts.
-
-    Over per-cell facts (``approx=True``) every count is still exact; only
-    ``distinct_values`` (used in wording) is an estimate.
-    """
+                   range_rules=G.DEFAULT_RANGE_RULES) -> DataFrame:
+    """Every per-column count the column rules need, in one pass over the (per-cell) facts."""
     by = list(by)
-    agg = facts.groupBy(*by, "column_name").agg(*summary_aggregates(as_of, freshness_years, range_rules, approx))
+    agg = facts.groupBy(*by, "column_name").agg(*named(summary_aggregates(as_of, freshness_years, range_rules)))
     return summary_finish(agg, by)
 
 
+def with_distinct(rules: DataFrame, distinct: DataFrame, by=()) -> DataFrame:
+    """Column rules with ``distinct_values`` (used in wording) from ``cells.distinct_counts``; 0 without values."""
+    return (rules.drop("distinct_values").join(distinct, [*by, "column_name"], "left")
+            .withColumn("distinct_values", F.coalesce("distinct_values", F.lit(0).cast("bigint"))))
+
+
+def rule_columns(rule: str, names, range_rules=G.DEFAULT_RANGE_RULES) -> list[str]:
+    """The columns that a column rule can apply to by their name; the others needn't be read."""
+    tokens = {"out_of_range": [t for t, _, _ in range_rules], "negative_amount": G.MONETARY_TOKENS}.get(rule)
+    if rule in ("future_timestamp", "non_iso_date", "stale_records"):
+        return [n for n in names if n.lower() != G.ID_COLUMN_NAME and not any(t in n.lower() for t in G.ID_COLUMN_SUBSTRINGS)]
+    return [n for n in names if tokens is None or any(t.lower() in n.lower() for t in tokens)]
+
+
 def column_rules(summary: DataFrame, by=()) -> DataFrame:
     """Column rules R1-R7, R9 as long rows (one per applicable rule and column)."""
     by = list(by)
@@ -121,9 +129,10 @@ def column_rules(summary: DataFrame, by=()) -> DataFrame:
         rule("Validity", "non_iso_date", c("is_temporal"), c("non_iso"), c("tdates")),
         rule("Timeliness", "stale_records", c("is_temporal"), c("stale"), c("tdates")),
     ]
-    return (summary.select(*by, "column_name", "distinct_values",
+    return (summary.select(*by, "column_name",
                            F.explode(F.filter(F.array(*candidates), lambda x: x.isNotNull())).alias("r"))
-            .select(*by, "r.dimension", "r.rule", "column_name", "r.bad", "r.eligible", "distinct_values"))
+            .select(*by, "r.dimension", "r.rule", "column_name", "r.bad", "r.eligible",
+                    F.lit(0).cast("bigint").alias("distinct_values")))
 
 
 def pan_length_rule(df: DataFrame, brand_col: str = "card_brand", number_col: str = "card_number") -> DataFrame:
@@ -192,8 +201,8 @@ def row_rules(df: DataFrame, keys=None, parents: dict | None = None, pan_columns
     are one grouping-sets aggregation (Spark expands each row once per set,
     combines map-side so a hot key collapses to one row per task, and
     shuffles once) followed by one global conditional aggregation, read as
-    three rule rows.  Each key is packed into a single struct column, so the
-    grouping id stays small however wide the table is.  The card-brand
+    three rule rows.  Rows and keys are grouped by their 256-bit digest, so a
+    shuffled row holds a digest and a count however wide the table is.  The card-brand
     lengths are a fixed CASE over the brand (no join).  Orphans need the
     parent keys and keep their own pre-aggregated anti-match (``orphan_rule``).
     """
@@ -201,10 +210,10 @@ def row_rules(df: DataFrame, keys=None, parents: dict | None = None, pan_columns
     fields = {f.name: f for f in df.schema.fields}
     names = list(df.columns)
     texts = {c: as_text(fields[c]) for c in names}
-    proj = [F.struct(*[texts[c].alias(f"_k{i}") for i, c in enumerate(names)]).alias("_row")]
+    proj = [row_digest([texts[c] for c in names]).alias("_row")]
     sets = [["_row"]]
     if keys:
-        proj.append(F.struct(*[texts[c].alias(f"_k{i}") for i, c in enumerate(keys)]).alias("_key"))
+        proj.append(row_digest([texts[c] for c in keys]).alias("_key"))
         sets.append(["_key"])
     brand, number = pan_columns if pan_columns else (None, None)
     with_pan = brand in fields and number in fields

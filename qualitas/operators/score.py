@@ -6,6 +6,8 @@ to 6 decimals in exact integer arithmetic (parts per million).
 """
 from __future__ import annotations
 
+from decimal import ROUND_HALF_UP, Decimal
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,25 +31,33 @@ def dimension_scores(rule_rows: DataFrame) -> DataFrame:
 
 
 def composite_score(scores: DataFrame, weights: dict | None = None) -> DataFrame:
-    """Weighted average of the dimension scores; integer weights, default all 1."""
+    """Weighted average of the dimension scores; weights in steps of a millionth, default all 1."""
     spark = scores.sparkSession
     w = weights or {d: 1 for d in G.DIMENSIONS}
-    wdf = spark.createDataFrame([(d, int(w.get(d, 0))) for d in G.DIMENSIONS], "dimension string, weight bigint")
+    micro = [(d, int((Decimal(str(w.get(d, 0))) * PPM).to_integral_value(ROUND_HALF_UP))) for d in G.DIMENSIONS]
+    wdf = spark.createDataFrame(micro, "dimension string, weight bigint")
     j = scores.join(F.broadcast(wdf), "dimension")
-    agg = j.agg(F.sum(F.col("weight") * F.col("score_ppm")).alias("num"), F.sum("weight").alias("den"))
+    agg = j.agg(F.sum(F.col("weight").cast("decimal(30,0)") * F.col("score_ppm")).alias("num"),
+                F.sum("weight").alias("den"))
     ppm = scaled_ratio(F.col("num"), F.col("den"), 1)
     return agg.select(ppm.alias("composite_ppm"), (ppm / PPM).alias("composite_dqs"))
 
 
-def detector_evaluation(pred: DataFrame, truth: DataFrame, on, pred_col: str, truth_col: str) -> DataFrame:
-    """Confusion counts, precision, recall and F1 of a row-level detector against labels."""
-    p, t = F.col(pred_col), F.col(truth_col)
-    j = pred.select(*([on] if isinstance(on, str) else on), pred_col).join(
-        truth.select(*([on] if isinstance(on, str) else on), truth_col), on)
-    agg = j.agg(F.count_if(p & t).cast("bigint").alias("tp"), F.count_if(p & ~t).cast("bigint").alias("fp"),
-                F.count_if(~p & t).cast("bigint").alias("fn"), F.count_if(~p & ~t).cast("bigint").alias("tn"))
+def confusion(counts: DataFrame) -> DataFrame:
+    """Confusion counts, precision, recall and F1 from rows ``predicted, actual, n``."""
+    p, t = F.col("predicted"), F.col("actual")
+    n = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("n"))), F.lit(0)).cast("bigint")
+    agg = counts.agg(n(p & t).alias("tp"), n(p & ~t).alias("fp"), n(~p & t).alias("fn"), n(~p & ~t).alias("tn"))
     tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
     return agg.select("tp", "fp", "fn", "tn",
                       F.try_divide(tp, tp + fp).alias("precision"),
                       F.try_divide(tp, tp + fn).alias("recall"),
                       F.try_divide(2 * tp, 2 * tp + fp + fn).alias("f1"))
+
+
+def detector_evaluation(pred: DataFrame, truth: DataFrame, on, pred_col: str, truth_col: str) -> DataFrame:
+    """Evaluation of a row-level detector against labels; NULL counts as false on either side."""
+    keys = [on] if isinstance(on, str) else list(on)
+    false = lambda c: F.coalesce(F.col(c).cast("boolean"), F.lit(False))
+    j = pred.select(*keys, false(pred_col).alias("predicted")).join(truth.select(*keys, false(truth_col).alias("actual")), keys)
+    return confusion(j.groupBy("predicted", "actual").agg(F.count(F.lit(1)).alias("n")))

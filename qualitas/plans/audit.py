@@ -1,20 +1,19 @@
-"""``audit(df, name, ...)``: every profile, rule and score of one dataset as lazy DataFrames.
+"""``audit(df, name, ...)``: every profile, rule and score of one dataset as DataFrames.
 
-Plan shape (one scan of the source for all value statistics):
+Plan shape:
 
-    source --unpivot--> cells --groupBy(column, value)--> freq --project--> facts   (shuffle 1)
-    facts --groupBy(column)--> profile | numeric | temporal | patterns | summary  (tiny shuffles)
-    facts --WindowGroupLimit--> top-k values
-    source --groupBy(key)--> duplicates | orphans | card-number lengths         (row rules)
+    source --unpivot--> cells --project--> facts per cell --groupBy(column)--> ``per_column``
+        one shuffle of at most one row per column and task; it feeds the profile, numeric, temporal and pattern
+        statistics and all column rules, exactly; a single output prunes the other aggregates away
+    cells --groupBy(column, value key)--> ``counts``       distinct counts and top values only
+    source --groupBy(row digest)--> duplicates | card-number lengths;  child keys --> orphans
 
-``materialize()`` checkpoints ``facts`` into the cluster's checkpoint folder,
-so the many small results reuse it and lineage is cut (survives executor loss).
-The rule table (at most rules x columns rows) is checkpointed once; every
-finding, score and report reads it.
+``materialize()`` writes the small results (``per_column``, top values, distinct counts) into the cluster's
+checkpoint folder, so all outputs read them and lineage is cut (survives executor loss).  The rule table (at most
+rules x columns rows) is checkpointed when it is first used; every finding, score and report reads it.
 
-Approximate mode (``approx=True``): per-cell facts aggregated once per column
-(``per_column``, no value shuffle); distinct counts and top values come from
-sketches, every other count stays exact.
+Approximate mode (``approx=True``): distinct counts and top values come from sketches in ``per_column``, so values
+are never shuffled; every other count is as exact as without.
 """
 from __future__ import annotations
 
@@ -27,18 +26,18 @@ from pyspark.sql import functions as F
 from qualitas.functions import grammar as G
 from qualitas.operators import cells as C
 from qualitas.operators import crosscol, findings, profile as P, rules as R, score as S
-from qualitas.sources.readers import cap_rows
+from qualitas.session import ensure_checkpoint_dir
 
 
 class Audit:
     def __init__(self, df: DataFrame, name: str, *, as_of, columns=None, domain: str = G.DEFAULT_DOMAIN,
-                 sample_rows: int | None = None, blank_as_zero: bool = False, day_first: bool = False,
+                 sample_fraction: float | None = None, sample_seed: int = 0, blank_as_zero: bool = False, day_first: bool = False,
                  range_rules=G.DEFAULT_RANGE_RULES, keys=None, parents: dict | None = None,
                  pan_columns=("card_brand", "card_number"), dependent_null_columns=None,
                  freshness_years: int = G.FRESHNESS_YEARS, weights: dict | None = None,
                  dataset_id: str | None = None, checkpoint_rules: bool = True, approx: bool = False):
         src = df.select(*[F.col(f"`{c}`") for c in columns]) if columns else df
-        self.source = cap_rows(src, sample_rows)
+        self.source = src if sample_fraction is None else src.sample(float(sample_fraction), int(sample_seed))
         self.name = name
         self.as_of = as_of
         self.domain = domain
@@ -59,82 +58,84 @@ class Audit:
     # ------------------------------------------------------------ shared scan
     @cached_property
     def facts(self) -> DataFrame:
-        """Per-value facts (exact) or per-cell facts (``approx``: no value shuffle)."""
-        if self.approx:
-            return C.cell_facts(self.source, day_first=self.day_first)
-        return C.facts_of(self.source, day_first=self.day_first)
-
-    def materialize(self, eager: bool = True) -> "Audit":
-        """Checkpoint the facts table (reliable checkpoint in ``spark.checkpoint.dir``)."""
-        from qualitas.session import ensure_checkpoint_dir
-        if ensure_checkpoint_dir(self.spark) is not None:
-            self.__dict__["facts"] = self.facts.checkpoint(eager=eager)
+        """Facts of every cell."""
+        return C.cell_facts(self.source, day_first=self.day_first)
+
+    def _small(self, df: DataFrame) -> DataFrame:
+        """A table of a few rows per column, checkpointed where the session has a place for it."""
+        return df.checkpoint(eager=True) if ensure_checkpoint_dir(self.spark) is not None else df
+
+    def materialize(self) -> "Audit":
+        """Compute the small per-column results once, into the checkpoint folder."""
+        self.__dict__["per_column"] = self._small(self.per_column)
+        if not self.approx:
+            self.__dict__["categorical"] = self._small(self.categorical)
+            self.__dict__["distinct"] = self.categorical.select("column_name", "distinct_values").distinct()
         return self
 
     @cached_property
     def per_column(self) -> DataFrame:
-        """Approximate mode: ONE aggregation of the per-cell facts per column, for every statistic.
-
-        One scan and one tiny shuffle feed the profile, numeric, temporal,
-        pattern, top-value and rule-summary outputs; the result (one row per
-        column) is checkpointed so they all read it.
-        """
+        """Every per-column aggregate in one scan and one shuffle of a row per column and task."""
+        aggregates = {**P.profile_aggregates(), **P.numeric_aggregates(), **P.temporal_aggregates(self.as_of),
+                      **P.pattern_aggregates(),
+                      **R.summary_aggregates(self.as_of, self.freshness_years, self.range_rules)}
+        if self.approx:
+            aggregates |= P.approx_top_aggregates()
         f = self.facts.select("*", *P.numeric_inputs(self.facts, self.blank_as_zero))
-        seen, aggs = set(), []
-        for a in [*P.profile_aggregates(True), *P.numeric_aggregates(), *P.temporal_aggregates(self.as_of),
-                  *P.pattern_aggregates(), *P.approx_top_aggregates(),
-                  *R.summary_aggregates(self.as_of, self.freshness_years, self.range_rules, approx=True)]:
-            name = str(a).rsplit(" AS ", 1)[-1].rstrip("'>`").lstrip("`")
-            if name not in seen:              # same name = same aggregate across the statistics
-                seen.add(name)
-                aggs.append(a)
-        wide = f.groupBy("column_name").agg(*aggs)
-        from qualitas.session import ensure_checkpoint_dir
-        if self.checkpoint_rules and ensure_checkpoint_dir(self.spark) is not None:
-            wide = wide.checkpoint(eager=True)
-        return wide
+        wide = f.groupBy("column_name").agg(*P.named(aggregates))
+        return self._small(wide) if self.approx and self.checkpoint_rules else wide
+
+    @cached_property
+    def counts(self) -> DataFrame:
+        """How often each present value occurs (long ones by digest): the only shuffle of values."""
+        return C.value_counts(self.source)
+
+    @cached_property
+    def distinct(self) -> DataFrame:
+        if self.approx:
+            return self.per_column.select("column_name", "distinct_values")
+        return C.distinct_counts(self.counts)
 
     # ---------------------------------------------------------------- profile
     @cached_property
     def columns(self) -> DataFrame:
-        if self.approx:
-            return P.profile_finish(self.per_column, columns=list(self.source.columns))
-        return P.column_profile(self.facts, columns=list(self.source.columns))
+        return P.profile_finish(P.with_distinct(self.per_column.drop("distinct_values"), self.distinct),
+                                columns=list(self.source.columns))
 
     @cached_property
     def numeric(self) -> DataFrame:
-        if self.approx:
-            return P.numeric_finish(self.per_column)
-        return P.numeric_stats(self.facts, blank_as_zero=self.blank_as_zero)
+        return P.numeric_finish(self.per_column)
 
     @cached_property
     def categorical(self) -> DataFrame:
+        """Top values and distinct counts; long texts are fetched for the top values alone."""
         if self.approx:
             return P.approx_categorical_finish(self.per_column)
-        return P.categorical_stats(self.facts)
+        top = P.top_values(self.counts).join(C.distinct_counts(self.counts), "column_name")
+        texts = C.long_values(self.source, top)
+        return (top.join(texts, (top["column_name"] == texts["column_name"]) & (top["value"] == texts["key"]), "left")
+                .select(top["column_name"], "distinct_values", "rank",
+                        F.coalesce("text", "value").alias("value"), "n"))
 
     @cached_property
     def temporal(self) -> DataFrame:
-        if self.approx:
-            return P.temporal_finish(self.per_column)
-        return P.temporal_stats(self.facts, self.as_of)
+        return P.temporal_finish(self.per_column)
 
     @cached_property
     def patterns(self) -> DataFrame:
-        if self.approx:
-            return P.pattern_finish(self.per_column)
-        return P.pattern_stats(self.facts)
+        return P.pattern_finish(self.per_column)
 
     @cached_property
     def flags(self) -> DataFrame:
-        return P.compliance_flags(self.columns.select("column_name"))
+        names = self.spark.createDataFrame([(c,) for c in self.source.columns], "column_name string")
+        return P.compliance_flags(names)
 
     @cached_property
     def dataset(self) -> DataFrame:
         """A1: id, name, row and column counts, domain, ingestion time (= as_of)."""
         ncols = len(self.source.columns)
         ds_id = F.lit(self.dataset_id) if self.dataset_id else F.expr("uuid()")
-        return self.columns.agg(F.coalesce(F.max("row_count"), F.lit(0)).cast("bigint").alias("row_count")).select(
+        return self.source.agg(F.count(F.lit(1)).cast("bigint").alias("row_count")).select(
             ds_id.alias("dataset_id"), F.lit(self.name).alias("dataset_name"), "row_count",
             F.lit(ncols).cast("bigint").alias("column_count"), F.lit(self.domain).alias("detected_domain"),
             P._as_of_lit(self.as_of).alias("ingestion_timestamp"))
@@ -150,22 +151,13 @@ class Audit:
     # ------------------------------------------------------------------ rules
     @cached_property
     def summary(self) -> DataFrame:
-        if self.approx:
-            return R.summary_finish(self.per_column)
-        return R.column_summary(self.facts, self.as_of, freshness_years=self.freshness_years,
-                                range_rules=self.range_rules)
+        return R.summary_finish(self.per_column)
 
     @cached_property
     def rules(self) -> DataFrame:
-        out = R.column_rules(self.summary).unionByName(
+        out = R.with_distinct(R.column_rules(self.summary), self.distinct).unionByName(
             R.row_rules(self.source, keys=self.keys, parents=self.parents, pan_columns=self.pan_columns))
-        if self.checkpoint_rules:
-            # the rule table is tiny (rules x columns); a reliable checkpoint cuts the
-            # lineage every finding, score and report is built on
-            from qualitas.session import ensure_checkpoint_dir
-            if ensure_checkpoint_dir(self.spark) is not None:
-                out = out.checkpoint(eager=True)
-        return out
+        return self._small(out) if self.checkpoint_rules else out
 
     @cached_property
     def issues(self) -> DataFrame:

@@ -8,14 +8,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from qualitas.operators import cells as C
 from qualitas.functions.urls import is_public_url, is_valid_table_name
 from qualitas.operators import crosscol, findings, profile as P, rules as R, score as S, windows as W
+from qualitas.operators.approx import approx_profile
 from qualitas.plans import document as D
 from qualitas.plans.audit import Audit
-from qualitas.plans.report import remediation_report as _report
+from qualitas.plans.report import (
+    append_history, first_risk, read_reports, remediation_report as _report, write_profile_json, write_reports,
+)
+from qualitas.session import work_folder
+from qualitas.sources.readers import CORRUPT, read_csv, read_json_array, read_json_documents
 from qualitas.sources.tables import load_dirty_payments, table
-from qualitas.streaming.windowed import windowed_profile as _windowed
+from qualitas.streaming.windowed import latest_windows, stream_profile_to_history, windowed_profile as _windowed
 
 AS_OF_ORDERS = "2000-06-01"
 AS_OF_EVENTS = "2024-01-20"
@@ -26,13 +30,14 @@ def _dirty(spark, sf_dir):
     return load_dirty_payments(spark, sf_dir)
 
 
-def _dirty_audit(spark, sf_dir) -> Audit:
+def _dirty_audit(spark, sf_dir, **options) -> Audit:
     return Audit(_dirty(spark, sf_dir), "dirty_payments", as_of=AS_OF_ORDERS, keys=["txn_id"],
-                 parents={"client_id": (table(spark, sf_dir, "customer"), "c_custkey")})
+                 parents={"client_id": (table(spark, sf_dir, "customer"), "c_custkey")}, **options)
 
 
-def _dirty_facts(spark, sf_dir):
-    return C.facts_of(_dirty(spark, sf_dir))
+def _land(spark: SparkSession, name: str) -> str:
+    """A fresh folder in the shared folder, for what a query writes before it reads it back."""
+    return work_folder(spark, name)
 
 
 def _profile_flat(prof: DataFrame) -> DataFrame:
@@ -42,7 +47,7 @@ def _profile_flat(prof: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------ profile
 def column_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _profile_flat(P.column_profile(_dirty_facts(spark, sf_dir)))
+    return _profile_flat(_dirty_audit(spark, sf_dir).columns)
 
 
 def _numeric_flat(df: DataFrame) -> DataFrame:
@@ -51,15 +56,15 @@ def _numeric_flat(df: DataFrame) -> DataFrame:
 
 
 def numeric_stats(spark, sf_dir):
-    return _numeric_flat(P.numeric_stats(_dirty_facts(spark, sf_dir)))
+    return _numeric_flat(_dirty_audit(spark, sf_dir).numeric)
 
 
 def numeric_stats_blank_as_zero(spark, sf_dir):
-    return _numeric_flat(P.numeric_stats(_dirty_facts(spark, sf_dir), blank_as_zero=True))
+    return _numeric_flat(_dirty_audit(spark, sf_dir, blank_as_zero=True).numeric)
 
 
 def categorical_top3(spark, sf_dir):
-    return P.categorical_stats(_dirty_facts(spark, sf_dir))
+    return _dirty_audit(spark, sf_dir).categorical
 
 
 def _temporal_flat(df):
@@ -68,11 +73,11 @@ def _temporal_flat(df):
 
 
 def temporal_stats(spark, sf_dir):
-    return _temporal_flat(P.temporal_stats(_dirty_facts(spark, sf_dir), AS_OF_ORDERS))
+    return _temporal_flat(_dirty_audit(spark, sf_dir).temporal)
 
 
 def pattern_stats(spark, sf_dir):
-    return P.pattern_stats(_dirty_facts(spark, sf_dir))
+    return _dirty_audit(spark, sf_dir).patterns
 
 
 def compliance_flags(spark, sf_dir):
@@ -95,7 +100,9 @@ def dependent_nulls(spark, sf_dir):
 # -------------------------------------------------------------------- rules
 def _column_rule(*names):
     def q(spark, sf_dir):
-        a = _dirty_audit(spark, sf_dir)
+        columns = _dirty(spark, sf_dir).columns
+        wanted = [c for c in columns if any(c in R.rule_columns(n, columns) for n in names)]
+        a = _dirty_audit(spark, sf_dir, columns=wanted)
         return R.column_rules(a.summary).where(F.col("rule").isin(*names)).select(*RULE_COLUMNS)
     return q
 
@@ -136,7 +143,6 @@ def compliance_risks(spark, sf_dir):
 
 def headline_risk(spark, sf_dir):
     """T5: the first compliance risk by severity, else the default text."""
-    from qualitas.plans.report import first_risk
     return first_risk(_dirty_audit(spark, sf_dir).risks)
 
 
@@ -149,20 +155,56 @@ def composite_score(spark, sf_dir):
 
 
 # ------------------------------------------------- documents, report, merge
-def _analysis_summary(a: Audit) -> DataFrame:
-    parsed = D.parse_analysis(D.analysis_json(a).withColumn("dataset_name", F.lit(a.name)))
-    return D.validate_analysis(parsed).select(
-        "dataset_name", "status", "composite_dqs",
-        F.size("data_quality_issues").cast("bigint").alias("issue_count"),
-        F.size("remediation_actions").cast("bigint").alias("action_count"),
-        F.size("regulatory_compliance_risks").cast("bigint").alias("risk_count"),
+def _contract_summary(docs: DataFrame, key: str) -> DataFrame:
+    """``docs`` (key, json) through pick, contract and range checks."""
+    count = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("bigint")
+    checked = D.validate_analysis(D.parse_analysis(D.pick_analysis(docs)))
+    return checked.select(
+        key, "status", "composite_dqs", count("data_quality_issues").alias("issue_count"),
+        count("remediation_actions").alias("action_count"), count("regulatory_compliance_risks").alias("risk_count"),
         "accepted", "reason")
 
 
-def contract_quarantine(spark, sf_dir):
+def _analysis_summary(a: Audit) -> DataFrame:
+    return _contract_summary(D.analysis_json(a).withColumn("dataset_name", F.lit(a.name)), "dataset_name")
+
+
+def contract_own_document(spark, sf_dir):
+    """The analysis document that the engine writes passes its own contract."""
     return _analysis_summary(_dirty_audit(spark, sf_dir))
 
 
+def order_documents(orders: DataFrame) -> DataFrame:
+    """An analysis document for every order, many of them broken in one way or several (by the order's key).
+
+    Fields are missing (4th, 9th, 11th, 13th key), a score lies outside 0..1 (10th), priorities are 0 or 6 (7th),
+    an issue lacks its dimension (17th) or an action its text (19th); the 3rd are nested, the 5th carry unknown
+    fields, the 6th lack optional ones.
+    """
+    k = F.col("o_orderkey")
+    gone = lambda n, c: F.when(k % n != 0, c)
+    issues = F.array(F.struct(gone(17, F.lit("Validity")).alias("dimension"), F.col("o_orderstatus").alias("issue"),
+                              F.array(F.lit("o_totalprice")).alias("affected_columns")),
+                     F.struct(F.lit("Accuracy").alias("dimension"), F.lit("late").alias("issue"),
+                              F.array(F.lit("o_orderdate")).alias("affected_columns")))
+    priority = F.when(k % 14 == 0, 0).when(k % 7 == 0, 6).otherwise(1 + k % 5)
+    actions = F.array(F.struct(gone(19, F.col("o_orderpriority")).alias("action"), priority.cast("int").alias("priority")))
+    composite = F.when(k % 10 == 0, F.lit(1.25)).otherwise((k % 100) / 100)
+    document = F.struct(
+        gone(6, F.lit("done")).alias("status"), gone(4, issues).alias("data_quality_issues"),
+        gone(9, actions).alias("remediation_actions"), gone(6, F.array(F.lit("risk"))).alias("regulatory_compliance_risks"),
+        gone(13, composite).alias("composite_dqs"),
+        gone(11, F.create_map(F.lit("Validity"), F.lit(0.5))).alias("dimension_scores"),
+        F.when(k % 5 == 0, F.col("o_orderkey")).alias("unknown_field"))
+    nested = F.to_json(F.struct(document.alias("genai_insights"), F.lit(1).alias("other")))
+    return orders.select("o_orderkey", F.when(k % 3 == 0, nested).otherwise(F.to_json(document)).alias("json"))
+
+
+def contract_quarantine(spark, sf_dir):
+    """Contract, range and nested-result checks over a document for every order: accepted and rejected with reason."""
+    return _contract_summary(order_documents(table(spark, sf_dir, "orders")), "o_orderkey")
+
+
 def audit_merge(spark, sf_dir):
     a = _dirty_audit(spark, sf_dir)
     profile = a.dataset.select("dataset_name", "row_count", "column_count", "detected_domain")
@@ -172,12 +214,65 @@ def audit_merge(spark, sf_dir):
 
 
 def remediation_report(spark, sf_dir):
+    """The report as the report sink writes it and gives it back."""
     a = _dirty_audit(spark, sf_dir)
-    return _report(a.name, a.as_of, a.composite, a.issues, a.actions, a.risks)
+    folder = _land(spark, "reports")
+    write_reports(_report(a.name, a.as_of, a.composite, a.issues, a.actions, a.risks), folder)
+    return read_reports(spark, folder)
+
+
+def issues_all_values(spark, sf_dir):
+    """Findings on columns whose every value breaks the rule ("All ... values"): old order dates, no customer at all."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("txn_id"),
+                                                   F.lit("").alias("email"),
+                                                   F.date_format("o_orderdate", "MM/dd/yyyy").alias("txn_date"))
+    a = Audit(orders, "orders", as_of="2031-01-01", keys=["txn_id"])
+    return findings.reportable(a.issues).select("dimension", "rule", "column_name", "issue", "description")
+
+
+# ------------------------------------------------------- sources and sinks
+def source_csv(spark, sf_dir):
+    """The fixture landed as CSV files and profiled through the CSV reader."""
+    folder = _land(spark, "csv")
+    _dirty(spark, sf_dir).write.csv(folder, header=True, quote='"', escape='"')
+    read = read_csv(spark, folder)
+    return _profile_flat(Audit(read, "csv", as_of=AS_OF_ORDERS, columns=[c for c in read.columns if c != CORRUPT]).columns)
+
+
+def source_json_documents(spark, sf_dir):
+    """The fixture landed as JSON lines, NULL fields left out, and profiled through the document reader."""
+    folder = _land(spark, "json-lines")
+    _dirty(spark, sf_dir).write.json(folder)
+    return _profile_flat(Audit(read_json_documents(spark, folder), "json", as_of=AS_OF_ORDERS).columns)
+
+
+def source_json_array(spark, sf_dir):
+    """The fixture landed as JSON arrays of about 10,000 records each and profiled through the payload reader."""
+    folder, rows = _land(spark, "json-arrays"), _dirty(spark, sf_dir)
+    arrays = F.greatest(F.lit(1), F.ceil(rows.agg(F.count(F.lit(1))).scalar() / 10_000))
+    (rows.select(F.to_json(F.struct("*")).alias("record"), F.pmod(F.xxhash64("txn_id"), arrays).alias("payload"))
+     .groupBy("payload").agg(F.concat(F.lit("["), F.array_join(F.collect_list("record"), ","), F.lit("]")).alias("value"))
+     .select("value").write.text(folder))
+    return _profile_flat(Audit(read_json_array(spark, folder), "array", as_of=AS_OF_ORDERS).columns)
+
+
+def sink_audit_history(spark, sf_dir):
+    """Two audits of ``lineitem`` and one of ``orders`` appended to a history table, and the latest of each dataset."""
+    folder = _land(spark, "history")
+    for name, as_of in (("lineitem", "2000-01-01"), ("orders", "2000-01-01"), ("lineitem", "2000-06-01")):
+        append_history(Audit(table(spark, sf_dir, name), name, as_of=as_of).dataset.drop("dataset_id"), folder)
+    history = spark.read.parquet(folder)
+    return W.latest_per_key(history, "dataset_name", "ingestion_timestamp").select(
+        "dataset_name", "row_count", "column_count", "detected_domain",
+        F.date_format("ingestion_timestamp", D.ISO).alias("ingestion_timestamp"))
 
 
 # ------------------------------------------------------------ windows
 def transcripts_tail(spark, sf_dir):
+    return W.transcripts_tail(table(spark, sf_dir, "conversations"))
+
+
+def transcripts_tail_4(spark, sf_dir):
     return W.transcripts_tail(table(spark, sf_dir, "conversations"), keep=4)
 
 
@@ -194,10 +289,9 @@ def audit_history_latest(spark, sf_dir):
 # --------------------------------------------------- evaluation, predicates
 def detector_evaluation(spark, sf_dir):
     """Duplicate-text detector on ``documents`` scored against ``labels.quality == 0``."""
-    docs = table(spark, sf_dir, "documents")
-    pred = crosscol.duplicate_flags(docs, ["text"], "doc_id")
     truth = table(spark, sf_dir, "labels").select("doc_id", (F.col("quality") == 0).alias("low_quality"))
-    return S.detector_evaluation(pred, truth, "doc_id", "is_duplicate", "low_quality")
+    return S.confusion(crosscol.duplicate_evaluation(table(spark, sf_dir, "documents"), ["text"], truth, "doc_id",
+                                                     "low_quality"))
 
 
 def public_url_filter(spark, sf_dir):
@@ -215,32 +309,32 @@ def audit_target_filter(spark, sf_dir):
 
 # ------------------------------------------------------ typed table profiles
 def profile_lineitem(spark, sf_dir):
-    return _profile_flat(P.column_profile(C.facts_of(table(spark, sf_dir, "lineitem"))))
+    return _profile_flat(Audit(table(spark, sf_dir, "lineitem"), "lineitem", as_of=AS_OF_ORDERS).columns)
 
 
 def profile_orders_typed(spark, sf_dir):
-    facts = C.facts_of(table(spark, sf_dir, "orders"))
-    prof = P.column_profile(facts)
-    num = P.numeric_stats(facts)
-    return prof.join(num, "column_name", "left").select(
-        "column_name", "inferred_data_type", "null_count", "unique_count", "min_value", "max_value",
-        F.round("mean", 6).alias("mean"))
+    a = Audit(table(spark, sf_dir, "orders"), "orders", as_of=AS_OF_ORDERS)
+    both = P.profile_finish(P.with_distinct(a.per_column, a.distinct), also=("min_value", "max_value", "mean"))
+    return both.select("column_name", "inferred_data_type", "null_count", "unique_count", "min_value", "max_value",
+                       F.round("mean", 6).alias("mean"))
 
 
 def profile_lineitem_approx(spark, sf_dir):
-    """One-pass approximate profile (HyperLogLog distinct, approximate top-k): no DuckDB twin."""
-    from qualitas.operators.approx import approx_profile
-    return approx_profile(table(spark, sf_dir, "lineitem")).select(
-        "column_name", "inferred_data_type", "null_count", "approx_unique_count", "numeric_count",
-        "min_value", "max_value", "negative_value_ratio")
+    """One-pass profile: its exact columns (the sketches are held against exact results by tests)."""
+    return approx_profile(table(spark, sf_dir, "lineitem"), k=None).select(
+        "column_name", "inferred_data_type", "null_count", "null_ratio", "numeric_count",
+        "min_value", "max_value", "negative_value_ratio", "row_count")
 
 
 def profile_document(spark, sf_dir):
-    """The nested profile document (JSON text) of the dirty-payments audit: no DuckDB twin."""
+    """The nested profile document of the fixture, written by the profile sink, read back and flattened."""
     a = _dirty_audit(spark, sf_dir)
     a.dataset_id = "dirty_payments"
-    a.materialize()            # eight document parts share one checkpointed facts table
-    return D.profile_json(a).select(F.lit(a.name).alias("dataset_name"), "json")
+    a.materialize()            # eight document parts share the small per-column results
+    folder = _land(spark, "profiles")
+    write_profile_json(D.profile_json(a).select(F.lit(a.name).alias("dataset_name"), "json"), folder)
+    doc = spark.read.schema("json string, dataset_name string").json(folder)
+    return D.flat_profile(doc)
 
 
 def windowed_profile(spark, sf_dir):
@@ -249,21 +343,13 @@ def windowed_profile(spark, sf_dir):
 
 
 def windowed_profile_stream(spark, sf_dir):
-    """X1 as a Structured Streaming job: closed daily windows of ``events`` written to a history table.
-
-    Runs with ``availableNow`` over the events file, writes through
-    ``foreachBatch`` into a fresh folder under the session's checkpoint
-    folder, and returns that table (approximate distinct counts: no DuckDB twin).
-    """
-    import uuid
-    from qualitas.session import ensure_checkpoint_dir
-    from qualitas.streaming.windowed import stream_profile_to_history
-    root = ensure_checkpoint_dir(spark).rstrip("/")
-    run = f"{root}/windowed-profile-{uuid.uuid4().hex}"
-    schema = table(spark, sf_dir, "events").schema
-    stream_profile_to_history(spark, sf_dir, schema, "ts", f"{run}/history", f"{run}/checkpoint",
-                              dataset_name="events", file_glob="events.parquet").awaitTermination()
-    return spark.read.parquet(f"{run}/history").drop("batch_id", "dataset_name")
+    """X1 as a Structured Streaming job: daily windows of ``events`` streamed into a history table, the last state
+    of each (its exact columns)."""
+    folder = _land(spark, "windowed-profile")
+    stream_profile_to_history(spark, f"{sf_dir.rstrip('/')}/events.parquet", table(spark, sf_dir, "events").schema, "ts",
+                              f"{folder}/history", f"{folder}/checkpoint", dataset_name="events").awaitTermination()
+    return latest_windows(spark.read.parquet(f"{folder}/history")).select(
+        "window_start", "column_name", "row_count", "null_count", "min_value", "max_value", "negative_count")
 
 
 QUERIES = {
@@ -296,9 +382,16 @@ QUERIES = {
     "dimension_scores": dimension_scores,
     "composite_score": composite_score,
     "contract_quarantine": contract_quarantine,
+    "contract_own_document": contract_own_document,
     "audit_merge": audit_merge,
     "remediation_report": remediation_report,
+    "issues_all_values": issues_all_values,
+    "source_csv": source_csv,
+    "source_json_documents": source_json_documents,
+    "source_json_array": source_json_array,
+    "sink_audit_history": sink_audit_history,
     "transcripts_tail": transcripts_tail,
+    "transcripts_tail_4": transcripts_tail_4,
     "audit_history_latest": audit_history_latest,
     "detector_evaluation": detector_evaluation,
     "public_url_filter": public_url_filter,

@@ -77,6 +77,27 @@ def profile_json(a) -> DataFrame:
                   ("compliance_flags", flags)])
 
 
+def flat_profile(docs: DataFrame, json_col: str = "json") -> DataFrame:
+    """A row per column of parsed profile documents, with its statistics from every part of the document."""
+    p = docs.select("dataset_name", F.from_json(F.col(json_col), PROFILE_SCHEMA).alias("p"))
+    c = p.select("dataset_name", "p.*").withColumn("c", F.explode("columns"))
+    of = lambda part: F.try_element_at(F.col(part), F.col("c.column_name"))
+    top = F.array_join(F.transform(of("categorical_stats")["top_values"], lambda t: F.concat(
+        t["value"], F.lit("="), t["n"].cast("string"))), ",")
+    missing_with = F.array_join(F.transform(F.filter(F.col("cross_column_stats.dependent_nulls"), lambda d: (
+        d["a"] == F.col("c.column_name"))), lambda d: d["b"]), ",")
+    return c.select(
+        "dataset_name", F.col("dataset.row_count").alias("row_count"), "c.column_name", "c.inferred_data_type",
+        "c.null_count", "c.null_ratio", "c.unique_count", F.array_join("c.sample_values_masked", ",").alias("samples"),
+        of("numeric_stats")["min_value"].alias("min_value"), of("numeric_stats")["max_value"].alias("max_value"),
+        of("numeric_stats")["negative_value_ratio"].alias("negative_value_ratio"), top.alias("top_values"),
+        of("temporal_stats")["min_timestamp"].alias("min_timestamp"),
+        of("temporal_stats")["max_timestamp"].alias("max_timestamp"),
+        of("patterns")["regex_match_ratio"].alias("regex_match_ratio"), missing_with.alias("missing_with"),
+        F.col("cross_column_stats.duplicates_detected").alias("duplicates_detected"),
+        F.col("compliance_flags.kyc_fields_present").alias("kyc_fields_present"))
+
+
 def analysis_json(a) -> DataFrame:
     """The analysis document (issues, actions, risks, scores) of an ``Audit`` as one JSON text."""
     iss = a.issues.agg(F.to_json(F.transform(

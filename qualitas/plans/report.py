@@ -15,11 +15,12 @@ REPORT_SCORE = "**Composite DQ Score**: "
 REPORT_ISSUES = "\n## 🚨 Critical Issues\n"
 REPORT_ACTIONS = "\n## ✅ Recommended Actions\n"
 REPORT_RISKS = "\n## ⚖️ Compliance & Risks\n"
-REPORT_FILE = "DQS_Audit_Report_{score}%.md"
+REPORT_FILE = "{prefix}_{score}%.md"
+REPORT_PREFIX = "Audit_Report"
 
 
 def remediation_report(name: str, as_of, composite: DataFrame, issues: DataFrame, actions: DataFrame,
-                       risks: DataFrame) -> DataFrame:
+                       risks: DataFrame, file_prefix: str = REPORT_PREFIX) -> DataFrame:
     """One row ``dataset_name, file_name, markdown`` for an audited dataset.
 
     All lines (header, issues in dimension order, actions by priority, risks
@@ -58,7 +59,8 @@ def remediation_report(name: str, as_of, composite: DataFrame, issues: DataFrame
         F.array_join(F.transform(F.array_sort(F.collect_list("e")), lambda e: e["text"]), "").alias("markdown"),
         F.max("score0").alias("score0"))
     return folded.select(L(name).alias("dataset_name"),
-                         F.replace(L(REPORT_FILE), L("{score}"), F.col("score0").cast("string")).alias("file_name"),
+                         F.replace(L(REPORT_FILE.replace("{prefix}", file_prefix)), L("{score}"),
+                                   F.col("score0").cast("string")).alias("file_name"),
                          "markdown")
 
 
@@ -74,8 +76,15 @@ def write_profile_json(df: DataFrame, path: str, mode: str = "append") -> None:
 
 
 def write_reports(report: DataFrame, path: str, mode: str = "append") -> None:
-    """One Markdown text per dataset, in folders partitioned by dataset."""
-    report.select("dataset_name", "markdown").write.mode(mode).partitionBy("dataset_name").text(path)
+    """One Markdown text per dataset and file name, in folders named by both."""
+    (report.select("dataset_name", "file_name", "markdown").write.mode(mode)
+     .partitionBy("dataset_name", "file_name").text(path))
+
+
+def read_reports(spark, path: str) -> DataFrame:
+    """``dataset_name, file_name, markdown`` of written reports."""
+    texts = spark.read.schema("value string, dataset_name string, file_name string").text(path, wholetext=True)
+    return texts.select("dataset_name", "file_name", F.regexp_replace("value", r"\n\z", "").alias("markdown"))
 
 
 def append_history(rows: DataFrame, path: str) -> None:

@@ -1,62 +1,86 @@
 """Readers for the audit sources: CSV files, JSON payloads and documents, tables.
 
-Every reader returns a lazy DataFrame; nothing is collected.  A row cap is a
-separate, explicit step (``cap_rows``) and is off unless asked for.
+Every reader returns a lazy DataFrame; of the data only headers and first
+characters are looked at beforehand.
 """
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from qualitas.functions import grammar as G
 
-CSV_GLOB = "*.[cC][sS][vV]"
+#: Column that holds a CSV row whose number of fields differs from the header's; NULL for sound rows.
+CORRUPT = "_corrupt_record"
+
+
+class NotCsvError(ValueError):
+    pass
+
 
+def data_files(spark: SparkSession, path: str) -> list[str]:
+    """The data files at or below ``path`` (hidden and marker files left out), from the store's listing."""
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found, files = fs.listFiles(jvm_path, True), []
+    while found.hasNext():
+        at = found.next().getPath()
+        if not at.getName().startswith(("_", ".")):
+            files.append(at.toString())
+    return sorted(files)
 
-def read_csv(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
-    """Header row gives the names; every value stays text; all rows kept; only *.csv files.
 
+def read_csv(spark: SparkSession, path: str, multiline: bool = False, schema: T.StructType | None = None) -> DataFrame:
+    """Header row gives the names; every value stays text; all rows kept.
+
+    A path or a folder holding anything but ``.csv`` files is refused.  All
+    files must have the same header (a clash fails when the file is read),
+    which ``schema`` can state beforehand.  Rows with more or fewer fields
+    than the header keep what they have and are kept whole in
+    ``_corrupt_record``, which an audit reports like any other column.
     Quotes are escaped by doubling them (RFC 4180).  ``multiline=True``
     accepts line breaks inside quoted fields, at the price of reading each
     file in one task (such a file cannot be split), so it is off by default.
     """
-    return (spark.read.option("pathGlobFilter", CSV_GLOB)
-            .csv(path, header=True, inferSchema=False, mode="PERMISSIVE", quote='"', escape='"',
-                 multiLine=multiline))
+    other = [f for f in data_files(spark, path) if not f.lower().endswith(".csv")]
+    if other:
+        raise NotCsvError(f"not a .csv file: {other[0]}")
+    options = dict(header=True, quote='"', escape='"', multiLine=multiline)
+    names = schema.fieldNames() if schema else spark.read.csv(path, inferSchema=False, **options).columns
+    strings = T.StructType([T.StructField(n, T.StringType()) for n in (*names, CORRUPT)])
+    return spark.read.schema(strings).csv(path, enforceSchema=False, mode="PERMISSIVE",
+                                          columnNameOfCorruptRecord=CORRUPT, **options)
 
 
 class NotAnArrayError(ValueError):
     pass
 
 
-def read_json_array(spark: SparkSession, paths) -> DataFrame:
+def read_json_array(spark: SparkSession, paths, schema: T.StructType | None = None) -> DataFrame:
     """Landed REST payloads: each file must hold one JSON array of records.
 
     Values keep their text form (``primitivesAsString``); nested objects stay
-    structs and are profiled through ``to_json``.  A file whose first
-    character is not ``[`` is refused, as a non-array response is.
+    structs and are profiled through ``to_json``.  If any file's first
+    character is not ``[`` the read is refused, as a non-array response is;
+    one job looks at all files.  ``schema`` saves the pass that infers it.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
-    for p in paths:
-        head = (spark.read.text(p).where(F.trim("value") != "").limit(1)
-                .select(F.substring(F.ltrim("value"), 1, 1).alias("c")).collect())
-        if head and head[0]["c"] != "[":
-            raise NotAnArrayError(f"{p}: payload is not a JSON array")
-    return spark.read.json(paths, multiLine=True, primitivesAsString=True)
-
+    first = F.regexp_extract("value", r"^\s*(\S)", 1)
+    bad = (spark.read.text(paths, wholetext=True).select(first.alias("c"), F.col("_metadata.file_path").alias("f"))
+           .where("c NOT IN ('[', '')").agg(F.min("f")).first()[0])
+    if bad:
+        raise NotAnArrayError(f"{bad}: payload is not a JSON array")
+    reader = spark.read.schema(schema) if schema else spark.read
+    return reader.json(paths, multiLine=True, primitivesAsString=True)
 
-def read_json_documents(spark: SparkSession, path: str, first_row_columns: bool = False) -> DataFrame:
-    """Exported document collection (JSON lines).
 
-    ``first_row_columns`` keeps only the keys of the first document, as a
-    profiler that takes its column list from row 0 does.
-    """
-    df = spark.read.json(path, primitivesAsString=True)
-    if not first_row_columns:
-        return df
-    first = spark.read.text(path).where(F.trim("value") != "").limit(1)
-    keys = first.select(F.explode(F.json_object_keys("value")).alias("k")).collect()
-    return df.select(*[F.col(f"`{r['k']}`") for r in keys])
+def read_json_documents(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+    """Exported document collection (JSON lines); ``schema`` saves the pass that infers it."""
+    reader = spark.read.schema(schema) if schema else spark.read
+    return reader.json(path, primitivesAsString=True)
 
 
 class ConnectorMissingError(RuntimeError):
@@ -81,8 +105,7 @@ def read_mongo(spark: SparkSession, uri: str, database: str, collection: str) ->
 
 def read_table(spark: SparkSession, name: str) -> DataFrame:
     """Catalog table by (possibly dotted) name; refuses names outside the table-name grammar."""
-    import re
-    if not re.match(G.TABLE_NAME_PATTERN, name):
+    if not re.fullmatch(G.TABLE_NAME_PATTERN, name):
         raise ValueError(f"invalid table name: {name!r}")
     return spark.table(name)
 
@@ -91,16 +114,10 @@ def read_jdbc(spark: SparkSession, url: str, table: str, properties: dict | None
               partition_column: str | None = None, lower: int | None = None,
               upper: int | None = None, num_partitions: int | None = None) -> DataFrame:
     """Relational table over JDBC; give a partition column to read in parallel."""
-    import re
-    if not re.match(G.TABLE_NAME_PATTERN, table):
+    if not re.fullmatch(G.TABLE_NAME_PATTERN, table):
         raise ValueError(f"invalid table name: {table!r}")
     if partition_column:
         return spark.read.jdbc(url, table, column=partition_column, lowerBound=lower,
                                upperBound=upper, numPartitions=num_partitions,
                                properties=properties or {})
     return spark.read.jdbc(url, table, properties=properties or {})
-
-
-def cap_rows(df: DataFrame, sample_rows: int | None) -> DataFrame:
-    """Optional row cap (an arbitrary first-n sample); ``None`` profiles everything."""
-    return df if sample_rows is None else df.limit(int(sample_rows))

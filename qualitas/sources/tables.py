@@ -52,19 +52,3 @@ def dirty_payments(orders: DataFrame) -> DataFrame:
 
 def load_dirty_payments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dirty_payments(table(spark, sf_dir, "orders"))
-
-
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Round-robin the rows over the cluster when the source yields too few input splits.
-
-    A large table arrives in thousands of splits and is returned untouched;
-    a single-row-group file (one split) would otherwise run the whole
-    per-cell stage in one task.
-    """
-    spark = df.sparkSession
-    want = min_partitions or spark.sparkContext.defaultParallelism
-    try:
-        have = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001  (no RDD view, e.g. a remote session)
-        return df
-    return df.repartition(want) if have < want else df

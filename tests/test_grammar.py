@@ -26,6 +26,14 @@ def test_dates(spark):
                    "2024-01-02 00:00:00", "1995-01-01 00:00:00"]
 
 
+def test_slash_dates_with_a_time_of_day(spark):
+    vals = ["01/15/2024 10:30", "01/15/2024 10:30:05", "01/15/2024 1:05 PM", "12/31/1999 12:00 am", "01/15/2024 25:00",
+            "01/15/2024 13:00 PM", "01/15/2024abc", "01/15/2024 soon", "02/30/2024 10:00", "2024\n", "01/15/2024 10:30:05.25"]
+    got = _eval(spark, vals, lambda c: F.date_format(parse_timestamp(c), "yyyy-MM-dd HH:mm:ss.SS"))
+    assert got == ["2024-01-15 10:30:00.00", "2024-01-15 10:30:05.00", "2024-01-15 13:05:00.00", "1999-12-31 00:00:00.00",
+                   None, None, None, None, None, None, "2024-01-15 10:30:05.25"]
+
+
 def test_day_first(spark):
     got = _eval(spark, ["13/02/2024", "02/13/2024"],
                 lambda c: F.date_format(parse_timestamp(c, day_first=True), "yyyy-MM-dd"))

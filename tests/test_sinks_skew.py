@@ -10,7 +10,7 @@ from qualitas.operators import rules as R
 from qualitas.operators.windows import latest_per_key
 from qualitas.plans import document as D
 from qualitas.plans.audit import Audit
-from qualitas.plans.report import append_history, remediation_report, write_profile_json, write_reports
+from qualitas.plans.report import append_history, remediation_report, read_reports, write_profile_json, write_reports
 
 
 def _small(spark, name, bad):
@@ -36,8 +36,9 @@ def test_sinks_round_trip(spark):
     assert latest["a"].ingestion_timestamp == 2 and latest["b"].ingestion_timestamp == 1
     assert latest["a"].composite_dqs > latest["b"].composite_dqs
     assert spark.read.json(os.path.join(out, "profiles")).count() == 3
-    texts = spark.read.text(os.path.join(out, "reports"), wholetext=True).collect()
-    assert len(texts) == 3 and all(t.value.startswith("# Data Quality Remediation Report") for t in texts)
+    texts = read_reports(spark, os.path.join(out, "reports")).collect()
+    assert len(texts) == 3 and all(t.markdown.startswith("# Data Quality Remediation Report") for t in texts)
+    assert {t.dataset_name for t in texts} == {"a", "b"} and all(t.file_name.startswith("Audit_Report_") for t in texts)
 
 
 def test_hot_value_third_of_rows(spark):

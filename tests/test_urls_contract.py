@@ -12,14 +12,24 @@ def test_public_urls(spark):
              "http://172.32.0.1": True, "http://192.168.1.1": False, "http://169.254.169.254": False,
              "http://0.1.2.3": False, "HTTP://Example.com": True, "not a url": False,
              "https://example.org/a?b=1": True, "http://metadata.google.internal/x": False,
-             "http://127.0.0.1:8080/": False, "http://999.1.1.1": False}
+             "http://127.0.0.1:8080/": False, "http://999.1.1.1": False,
+             # other ways to write an address, ports, user information, odd hosts
+             "http://2130706433/": False, "http://0x7f000001/": False, "http://0177.0.0.1/": False, "http://127.1/": False,
+             "http://0xA.1.1.1": False, "http://192.11010049/": False, "http://134744072/": True, "http://8.8.8.8.": True,
+             "http://4294967296/": False, "http://1.2.3.4.5/": False, "http://089.1.1.1/": False,
+             "http://a.org:99999/": False, "http://a.org:65535/": True, "http://a.org:x/": False,
+             "http://user:pw@10.0.0.1/": False, "http://10.0.0.1@a.org/": True, "http://my_host.com/": True,
+             "http://a.org/a path": True, "http://a b.org/": False, "  https://a.org\n": True, "http:a.org": True,
+             "http:///a.org": True, "http://": False, "http://%31%30.0.0.1/": False, "http://[::1]/": False,
+             "http://[0:0:0:0:0:0:0:1]:80/": False, "http://[2001:db8::1]/": True, "http://LOCALHOST/": False,
+             "http://bücher.example/": True, "http://１0.0.0.1/": False, "javascript:alert(1)": False}
     df = spark.createDataFrame(list(cases.items()), "url string, want boolean")
     got = {r.url: r.ok for r in df.select("url", is_public_url(F.col("url")).alias("ok")).collect()}
     assert got == cases
 
 
 def test_table_names(spark):
-    cases = {"orders": True, "sales.orders": True, "_t1": True, "1abc": False, "a-b": False, "a b": False}
+    cases = {"abc\n": False, "orders": True, "sales.orders": True, "_t1": True, "1abc": False, "a-b": False, "a b": False}
     df = spark.createDataFrame(list(cases.items()), "n string, want boolean")
     assert {r.n: r.ok for r in df.select("n", is_valid_table_name(F.col("n")).alias("ok")).collect()} == cases
 
