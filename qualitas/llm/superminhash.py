@@ -40,7 +40,7 @@ from qualitas.session import remove, work_folder, written
 
 BANDS, ROWS = 42, 5
 PERCENT = 80
-HUB_ROUNDS = 2
+HUB_ROUNDS = 1
 #: Shingles of a bucket's members that one block holds, about.
 BLOCK_SHINGLES = 1 << 20
 #: Texts hashed at once, and elements ranked at once: bounds of a task's memory.
@@ -338,10 +338,12 @@ def components(links: DataFrame, folder: str) -> DataFrame:
             F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
         after = written(small.select("e.u", "e.v").where("u <> v").distinct(), f"{folder}/{step}")
         seen = after.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
-        remove(spark, f"{folder}/{step}-large")
+        for old in (f"{folder}/{step}-large", f"{folder}/{step - 1}"):
+            remove(spark, old)
+        edges = after
         if tuple(seen) == mark:
             break
-        edges, mark = after, tuple(seen)
+        mark = tuple(seen)
     nodes = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return nodes.unionAll(nodes.select(F.col("component").alias("node"), "component").distinct())
 
@@ -406,6 +408,10 @@ def near_duplicates(docs: DataFrame, words: int = 2, percent: int = PERCENT, ban
         classes = (classes.join(component, "node", "left")
                    .select("digest", F.coalesce("component", "node").alias("node")))
     classes = written(classes, f"{folder}/classes")
+    steps = [*range(hub_rounds + 1), "last"]
+    for used in ("groups", "hubs", "members", "texts", *(f"{kind}-{i}" for kind in (
+            "pairs", "links", "components", "component", "open") for i in steps)):
+        remove(spark, f"{folder}/{used}")                    # the result needs the features and the classes only
     linked = F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.col("node")).otherwise(F.col("doc_id"))
     return each.join(classes, "digest", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), linked.alias("component_id"))
