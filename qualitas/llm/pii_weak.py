@@ -1,8 +1,9 @@
 """Operator 3: personal data by weak supervision.
 
 Candidates are the spans of four base kinds (e-mail, IP address, card number, phone number in international
-form), which are always reported, and of further kinds that need a decision: spelled-out e-mail addresses, local
-phone numbers, national ids, bank accounts and names behind a title.  Labelers vote on every candidate (for,
+form), which are always reported, and of further kinds that need a decision: spelled-out e-mail addresses, phone
+numbers in groups, card numbers (both also where other numbers follow directly, which the base patterns run into),
+national ids, bank accounts and names behind a title.  Labelers vote on every candidate (for,
 against or not at all): its shape, its check digits or ranges, gazetteers, cue words around it and its borders.
 
 The votes of all candidates of the corpus are counted by pattern; there are at most ``kinds * 3 ** labelers``
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from qualitas.llm.batches import flat_map
 
 BASE_KINDS = ("email", "ip", "card", "phone")
-KINDS = (*BASE_KINDS, "email_spelled", "phone_local", "national_id", "iban", "person")
+KINDS = (*BASE_KINDS, "email_spelled", "phone_local", "card_apart", "national_id", "iban", "person")
 LABELERS = ("shape", "check", "gazetteer", "context", "border")
 
 #: Pseudo-counts of votes (against, none, for) on clean and on personal candidates, eleven each: a failed check is
@@ -46,7 +47,9 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _ANY_DIGIT_OR_AT = re.compile(r"[0-9@]")
 _SPELLED = re.compile(r"[A-Za-z0-9._%+-]{1,64}\s?(?:[\[({]\s?at\s?[\])}]|\sat\s)\s?[A-Za-z0-9-]{1,63}"
                       r"(?:\s?(?:[\[({]\s?dot\s?[\])}]|\sdot\s)\s?[A-Za-z0-9-]{1,63}){1,4}", re.IGNORECASE)
-_LOCAL_PHONE = re.compile(r"(?<![0-9+(.-])(?:\([0-9]{3}\)\s?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9-])")
+_LOCAL_PHONE = re.compile(r"(?<![0-9+(.-])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\)\s?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}"
+                          r"(?![0-9-])")
+_CARD_APART = re.compile(r"(?<![0-9])(?:[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}|[0-9]{14,19})(?![0-9])")
 _NATIONAL_ID = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 _PERSON = re.compile(r"(?<!\w)(?:Mrs?|Ms|Dr|Prof|Herr|Frau|Mme|Madame|Monsieur|Señora?)\.?[ ][A-ZÀ-Þ][\w'-]{1,30}"
@@ -137,7 +140,8 @@ def candidates(text: str) -> list[Candidate]:
     found = base_candidates(text)
     further = []
     if _ANY_DIGIT_OR_AT.search(text):
-        for kind, pattern in (("phone_local", _LOCAL_PHONE), ("national_id", _NATIONAL_ID), ("iban", _IBAN)):
+        for kind, pattern in (("phone_local", _LOCAL_PHONE), ("card_apart", _CARD_APART),
+                              ("national_id", _NATIONAL_ID), ("iban", _IBAN)):
             further += [Candidate(*m.span(), kind) for m in pattern.finditer(text)]
     if " dot " in text or "dot]" in text or "dot)" in text or "dot}" in text:
         further += [Candidate(*m.span(), "email_spelled") for m in _SPELLED.finditer(text)]
@@ -176,9 +180,9 @@ def votes(text: str, c: Candidate) -> tuple[int, ...]:
         shape = 1
         check = -1 if any(len(p) > 1 and p[0] == "0" for p in span.split(".")) else 1
         gazetteer = -1 if span.startswith(_PRIVATE_NETS) else 0
-    elif c.kind == "card":
+    elif c.kind in ("card", "card_apart"):
         shape = 1 if len(set(digits)) > 2 else -1
-        check = 1
+        check = 1 if luhn(digits) else -1
         gazetteer = 1 if digits.startswith(_CARD_PREFIXES) else -1
     elif c.kind in ("phone", "phone_local"):
         shape = 1 if re.search(r"[ ().-]", span) else 0

@@ -54,9 +54,10 @@ def test_op3_on_documents(spark):
 
 
 PRIVATE = ["mail me: jo [at] mail [dot] example now", "call (415) 555-2671 today", "ssn 219-09-9999, thanks",
+           "th +1 (269) 555-3296 4524132264652876 and", "n 4532015112830366 43 x",
            "iban GB82 WEST 1234 5698 7654 32 please", "said Dr. Maria Lopez here"]
 CLEAN = ["version 123-45-67890 of it", "isbn 978-3-16-148410-0", "we met at noon on the dot of it", "nothing here",
-         "chapter 000-00-0000", "GB00 WEST 1234 5698 7654 32 serial"]
+         "chapter 000-00-0000", "part no 1234567890123456", "GB00 WEST 1234 5698 7654 32 serial"]
 
 
 def test_method_finds_further_kinds_and_leaves_clean_texts(spark):
@@ -65,6 +66,8 @@ def test_method_finds_further_kinds_and_leaves_clean_texts(spark):
     model = pii.train(pii.vote_counts(docs))
     for text in PRIVATE:
         assert [s[0] for s in pii.spans_of(text, model)], text
+    masked = pii.masked("th +1 (269) 555-3296 4532015112830366 and", model)
+    assert masked == "th [PHONE_LOCAL] [CARD_APART] and"
     for text in CLEAN:
         assert not pii.spans_of(text, model), text
     assert pii.masked("a@b.com and 1.2.3.4!", model) == "[EMAIL] and [IP]!"
