@@ -96,6 +96,34 @@ def op6_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
+OP6_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(string_split_regex(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) < 2 THEN w ELSE
+           list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS s
+  FROM words),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared
+  FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (
+  SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+  WHERE 100 * shared >= 80 * (x.n + y.n - shared)),
+either AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reached AS (
+  SELECT doc_id, doc_id AS node FROM documents
+  UNION
+  SELECT r.doc_id, e.b FROM reached r JOIN either e ON r.node = e.a),
+least AS (SELECT doc_id, min(node) AS component_id FROM reached GROUP BY doc_id)
+SELECT l.doc_id, coalesce(n, 0) AS n_shingles, component_id, l.doc_id = component_id AS kept
+FROM least l LEFT JOIN sizes s ON l.doc_id = s.doc_id
+"""
+
+
 def op7_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and of its edited text, and their likeness."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
@@ -169,6 +197,20 @@ FROM near
 """
 
 
+_BASE32 = " || ".join(
+    f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(hex, {ten + 1}, 10))::BIGINT >> {shift}) & 31) + 1, 1)"
+    for ten in (0, 10, 20, 30) for shift in range(35, -1, -5))
+
+OP4_SQL = f"""
+WITH payloads AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages),
+firsts AS (SELECT *, min(page_id) OVER (PARTITION BY hex) AS first FROM payloads)
+SELECT page_id, payload_bytes, {_BASE32} AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM firsts
+"""
+
+
 #: The rules that op8 applies.
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
              ("com", "/fr/", "allow"), ("com", "/de/", "block")]
@@ -237,4 +279,5 @@ QUERIES = {
     "op10_token_files": op10_token_files,
 }
 
-SQL: dict[str, str] = {"op5_hamming_topk": OP5_SQL, "op7_imatch": OP7_SQL, "op8_url_filter": OP8_SQL}
+SQL: dict[str, str] = {"op4_warc": OP4_SQL, "op5_hamming_topk": OP5_SQL, "op6_superminhash": OP6_SQL,
+                      "op7_imatch": OP7_SQL, "op8_url_filter": OP8_SQL}
