@@ -615,3 +615,20 @@ SQL["issues_all_values"] = with_(
     SUMMARY.replace(AS_OF_ORDERS, "2031-01-01"), COLUMN_RULES, DUP_RULES,
     "rules AS (SELECT * FROM column_rules UNION ALL SELECT * FROM dup_rules)", TEXTS, FOUND) + \
     "SELECT dimension, rule, column_name, issue, description FROM found"
+
+# ------------------------------------------------ many datasets in one job
+MANY_COLUMNS = {
+    "region": ["r_regionkey", "r_name"], "nation": ["n_nationkey", "n_name", "n_regionkey"],
+    "customer": ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"],
+    "supplier": ["s_suppkey", "s_name", "s_nationkey", "s_acctbal"],
+    "part": ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"], "orders": ORDERS_COLUMNS}
+_MANY_CELLS = "cells AS (" + "\n  UNION ALL ".join(
+    f"SELECT {q(t)} AS dataset_name, {q(c)} AS column_name, CAST({c} AS VARCHAR) AS value FROM {t}"
+    for t, cols in MANY_COLUMNS.items() for c in cols) + ")"
+_MANY = with_(_MANY_CELLS, freq("dataset_name, "), facts("dataset_name, ")).rstrip() + ",\n"
+SQL["profile_datasets"] = _MANY + profile_group_sql("dataset_name, column_name") + """
+SELECT dataset_name, column_name, inferred_data_type, row_count, null_count, unique_count FROM prof"""
+SQL["rules_datasets"] = _MANY + SUMMARY.replace("SELECT column_name,", "SELECT dataset_name, column_name,").replace(
+    "GROUP BY column_name", "GROUP BY dataset_name, column_name") + ",\n" + COLUMN_RULES.replace(
+    "column_name, CAST(", "dataset_name, column_name, CAST(") + """
+SELECT dataset_name, dimension, rule, column_name, bad, eligible FROM column_rules"""

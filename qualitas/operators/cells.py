@@ -56,8 +56,12 @@ def value_key(value):
 
 def value_counts(df: DataFrame, columns=None, by=()) -> DataFrame:
     """``(*by, column_name, value, n)`` of present values, long ones as their keys: one shuffle, combined map-side."""
-    c = cells(df, columns, by)
-    return (c.where(is_present(F.col("value"))).select(*by, "column_name", value_key(F.col("value")).alias("value"))
+    return count_values(cells(df, columns, by), by)
+
+
+def count_values(cells: DataFrame, by=()) -> DataFrame:
+    """``value_counts`` of cells."""
+    return (cells.where(is_present(F.col("value"))).select(*by, "column_name", value_key(F.col("value")).alias("value"))
             .groupBy(*by, "column_name", "value").agg(F.count(F.lit(1)).alias("n")))
 
 

@@ -13,6 +13,7 @@ from qualitas.operators import crosscol, findings, profile as P, rules as R, sco
 from qualitas.operators.approx import approx_profile
 from qualitas.plans import document as D
 from qualitas.plans.audit import Audit
+from qualitas.plans.many import Datasets
 from qualitas.plans.report import (
     append_history, first_risk, read_reports, remediation_report as _report, write_profile_json, write_reports,
 )
@@ -319,6 +320,24 @@ def profile_orders_typed(spark, sf_dir):
                        F.round("mean", 6).alias("mean"))
 
 
+MANY = ("region", "nation", "customer", "supplier", "part", "orders")
+
+
+def _many(spark, sf_dir) -> Datasets:
+    return Datasets({name: table(spark, sf_dir, name) for name in MANY}, as_of=AS_OF_ORDERS)
+
+
+def profile_datasets(spark, sf_dir):
+    """Column profiles of six tables in one job."""
+    return _many(spark, sf_dir).columns.select("dataset_name", "column_name", "inferred_data_type", "row_count",
+                                               "null_count", "unique_count")
+
+
+def rules_datasets(spark, sf_dir):
+    """Column rules of six tables in one job."""
+    return _many(spark, sf_dir).rules.select("dataset_name", *RULE_COLUMNS)
+
+
 def profile_lineitem_approx(spark, sf_dir):
     """One-pass profile: its exact columns (the sketches are held against exact results by tests)."""
     return approx_profile(table(spark, sf_dir, "lineitem"), k=None).select(
@@ -398,6 +417,8 @@ QUERIES = {
     "audit_target_filter": audit_target_filter,
     "profile_lineitem": profile_lineitem,
     "profile_orders_typed": profile_orders_typed,
+    "profile_datasets": profile_datasets,
+    "rules_datasets": rules_datasets,
     "windowed_profile": windowed_profile,
     "profile_lineitem_approx": profile_lineitem_approx,
     "profile_document": profile_document,

@@ -112,12 +112,18 @@ def read_table(spark: SparkSession, name: str) -> DataFrame:
 
 def read_jdbc(spark: SparkSession, url: str, table: str, properties: dict | None = None,
               partition_column: str | None = None, lower: int | None = None,
-              upper: int | None = None, num_partitions: int | None = None) -> DataFrame:
-    """Relational table over JDBC; give a partition column to read in parallel."""
+              upper: int | None = None, num_partitions: int | None = None,
+              single_connection: bool = False) -> DataFrame:
+    """Relational table over JDBC, read in parallel by ranges of a partition column.
+
+    Without one the whole table comes over one connection into one task, which must be asked for.
+    """
     if not re.fullmatch(G.TABLE_NAME_PATTERN, table):
         raise ValueError(f"invalid table name: {table!r}")
     if partition_column:
         return spark.read.jdbc(url, table, column=partition_column, lowerBound=lower,
                                upperBound=upper, numPartitions=num_partitions,
                                properties=properties or {})
+    if not single_connection:
+        raise ValueError("give a partition column, or single_connection=True for a small table")
     return spark.read.jdbc(url, table, properties=properties or {})

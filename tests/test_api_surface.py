@@ -58,6 +58,8 @@ def test_fractional_weights(spark):
 def test_jdbc_name_gate(spark):
     with pytest.raises(ValueError):
         readers.read_jdbc(spark, "jdbc:postgresql://example.invalid/db", "orders; drop table x")
+    with pytest.raises(ValueError, match="partition column"):
+        readers.read_jdbc(spark, "jdbc:postgresql://example.invalid/db", "orders")
 
 
 def test_audit_with_column_subset(spark):
