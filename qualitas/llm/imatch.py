@@ -24,9 +24,13 @@ from pyspark.sql import functions as F
 #: Band of the inverse document frequency, in parts of log(N).
 LOW, HIGH = 0.1, 0.9
 BITS = 24
-#: Subsets as (first bit of the term's hash, number of bits, their value): 4 hold a quarter of the lexicon each,
-#: 4 a sixteenth and 4 a sixty-fourth.
-SUBSETS = [(24 + n * (n - 1), 2 * n, v) for n in (1, 2, 3) for v in range(4)]
+#: Each subset of the lexicon takes the terms in whose hash ``width`` bits from ``first`` on have a value, so a
+#: 2**width-th of them: 4 quarters, 16 sixteenths in the quarters, and in each of these a 64th, a 256th and a 1024th.
+FIRST = 24
+_SIXTEENTHS = [v + 4 * w for v in range(4) for w in range(4)]
+SUBSETS = [(FIRST, 2, v) for v in range(4)] + [(FIRST, width, v) for width in (4, 6, 8, 10) for v in _SIXTEENTHS]
+#: Hexadecimal digits of a part.
+DIGITS = 8
 NOT_TERMS = r"[\x00-/:-@\[-`{-\x7f]+"
 _NO_KEY = -(1 << 63)
 
@@ -70,15 +74,37 @@ def fingerprint(text: Column, words: Column, bits: int = BITS) -> Column:
     hashed = F.transform(terms(text), lambda t: F.struct(t.alias("term"), term_hash(t).alias("hash")))
     kept = F.array_sort(F.filter(hashed, known))
 
-    def part(subset, within):
-        first, width, value = subset
-        chosen = F.filter(within, lambda t: F.shiftright(t["hash"], first).bitwiseAND((1 << width) - 1) == value)
-        return F.when(F.size(chosen) > 0, F.substring(F.md5(F.array_join(chosen["term"], " ")), 1, 16)).otherwise("")
-
-    # a one-element array binds the kept terms once for all subsets
-    return F.element_at(F.transform(F.array(kept), lambda k: F.when(
-        F.size(k) > 0, F.concat_ws("-", *[part(s, k) for s in SUBSETS])).otherwise(
-        F.concat(F.lit("="), F.md5(text)))), 1)
+    def bits_are(t, first, value):
+        return F.shiftright(t["hash"], first).bitwiseAND(3) == value
+
+    def split(terms):
+        """The four subsets of a set by the next two bits ``first``."""
+        return lambda first: F.transform(F.array(*[F.lit(v) for v in range(4)]), lambda v: F.filter(
+            terms, lambda t: bits_are(t, first, v)))
+
+    def thinned(sets, first):
+        return F.transform(sets, lambda g: F.filter(g, lambda t: bits_are(t, first, 0)))
+
+    def bound(value, use):
+        """``use(value)`` with the value computed once: a lambda's variable stands for it."""
+        return F.element_at(F.transform(F.array(value), use), 1)
+
+    def part(chosen):
+        return F.when(F.size(chosen) > 0, F.substring(F.md5(F.array_join(
+            F.transform(chosen, lambda t: t["term"]), " ")), 1, DIGITS)).otherwise("")
+
+    def parts(quarters):
+        def deeper(sixteenths):
+            def deepest(s64):
+                def last(s256):
+                    return F.concat(quarters, sixteenths, s64, s256, thinned(s256, FIRST + 8))
+                return bound(thinned(s64, FIRST + 6), last)
+            return bound(thinned(sixteenths, FIRST + 4), deepest)
+        sixteenths = F.flatten(F.transform(quarters, lambda q: split(q)(FIRST + 2)))
+        return F.concat_ws("-", F.transform(bound(sixteenths, deeper), part))
+
+    return bound(kept, lambda k: F.when(F.size(k) > 0, bound(split(k)(FIRST), parts)).otherwise(
+        F.concat(F.lit("="), F.md5(text))))
 
 
 def likeness(one: Column, other: Column) -> Column:

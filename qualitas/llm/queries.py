@@ -163,7 +163,7 @@ places AS (
 subsets(subset, first, mask, value) AS (VALUES {", ".join(
     f"({i}, {first}, {(1 << width) - 1}, {value})" for i, (first, width, value) in enumerate(imatch.SUBSETS))}),
 parts AS (
-  SELECT doc_id, kind, subset, substr(md5(string_agg(term, ' ' ORDER BY term)), 1, 16) AS part
+  SELECT doc_id, kind, subset, substr(md5(string_agg(term, ' ' ORDER BY term)), 1, {imatch.DIGITS}) AS part
   FROM terms JOIN places ON hash & {(1 << imatch.BITS) - 1} = place
   JOIN subsets ON (hash >> first) & mask = value
   GROUP BY ALL),
