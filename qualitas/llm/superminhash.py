@@ -260,15 +260,17 @@ def block_links(outside: list[tuple[int, int, np.ndarray]], members: list[tuple[
             yield node, members[i][0]
 
 
-def compared(open_: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+def compared(open_: DataFrame, texts: DataFrame, words: int, percent: int, folder: str) -> DataFrame:
     """Links ``a, b`` between components within buckets: ``key, node, n, component, main`` of their members.
 
     Outside members and all members of a bucket are dealt into chunks by hash; every pair of chunks is a block.
     """
     outside = F.col("component") != F.col("main")
     chunks = lambda n: F.greatest(F.ceil(n / BLOCK_SHINGLES), F.lit(1)).cast("int")
-    sizes = open_.groupBy("key").agg(chunks(F.sum("n")).alias("of_members"),
-                                     chunks(F.sum(F.when(outside, F.col("n")))).alias("of_outside"))
+    # written, so that the join with it can split the rows of a large bucket
+    sizes = written(open_.groupBy("key").agg(chunks(F.sum("n")).alias("of_members"),
+                                             chunks(F.sum(F.when(outside, F.col("n")))).alias("of_outside")),
+                    f"{folder}/sizes")
     mine = lambda of, salt: F.pmod(F.xxhash64("node", F.lit(salt)), F.col(of)).cast("int")
     every = lambda of: F.sequence(F.lit(0), F.col(of) - 1)
     block = lambda o, m, role: F.struct(o.alias("o"), m.alias("m"), F.lit(role).alias("outside"))
@@ -398,7 +400,7 @@ def near_duplicates(docs: DataFrame, words: int = 2, percent: int = PERCENT, ban
             break
         open_ = within.join(largest, "key")
         if turn == hub_rounds:
-            links.append(written(compared(open_, texts, words, percent), f"{folder}/links-last"))
+            links.append(written(compared(open_, texts, words, percent, folder), f"{folder}/links-last"))
             component = written(components(reduce(DataFrame.unionAll, links), f"{folder}/components-last"),
                                 f"{folder}/component-last")
         else:
@@ -409,7 +411,7 @@ def near_duplicates(docs: DataFrame, words: int = 2, percent: int = PERCENT, ban
                    .select("digest", F.coalesce("component", "node").alias("node")))
     classes = written(classes, f"{folder}/classes")
     steps = [*range(hub_rounds + 1), "last"]
-    for used in ("groups", "hubs", "members", "texts", *(f"{kind}-{i}" for kind in (
+    for used in ("groups", "hubs", "members", "texts", "sizes", *(f"{kind}-{i}" for kind in (
             "pairs", "links", "components", "component", "open") for i in steps)):
         remove(spark, f"{folder}/{used}")                    # the result needs the features and the classes only
     linked = F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.col("node")).otherwise(F.col("doc_id"))
