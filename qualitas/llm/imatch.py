@@ -6,7 +6,7 @@ The lexicon is made of the terms whose inverse document frequency lies in a band
 subsets of the lexicon: the hash of the document's distinct terms in the subset, in sorted order.  Subsets of
 different density react to changes of different size, so the share of equal parts grades how alike two texts are.
 
-Whether a term is in the lexicon is looked up in a bitmap of ``2**bits`` bits (2 MB as it stands, whatever the
+Whether a term is in the lexicon is looked up in a bitmap of ``2**bits`` bits (512 KB as it stands, whatever the
 corpus), so that no text or term has to be shuffled for it.  A term outside the band counts as inside if it shares
 its place with one inside, which for a lexicon of L terms happens with a chance of L / 2**bits.
 
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 #: Band of the inverse document frequency, in parts of log(N).
 LOW, HIGH = 0.1, 0.9
-BITS = 24
+BITS = 22
 #: Each subset of the lexicon takes the terms in whose hash ``width`` bits from ``first`` on have a value, so a
 #: 2**width-th of them: 4 quarters, 16 sixteenths in the quarters, and in each of these a 64th, a 256th and a 1024th.
 FIRST = 24
