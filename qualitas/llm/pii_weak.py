@@ -143,7 +143,7 @@ def candidates(text: str) -> list[Candidate]:
         for kind, pattern in (("phone_local", _LOCAL_PHONE), ("card_apart", _CARD_APART),
                               ("national_id", _NATIONAL_ID), ("iban", _IBAN)):
             further += [Candidate(*m.span(), kind) for m in pattern.finditer(text)]
-    if " dot " in text or "dot]" in text or "dot)" in text or "dot}" in text:
+    if "dot" in text.lower():                           # every match has it, in some case
         further += [Candidate(*m.span(), "email_spelled") for m in _SPELLED.finditer(text)]
     further += [Candidate(*m.span(), "person") for m in _PERSON.finditer(text)]
     if not further:

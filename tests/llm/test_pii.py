@@ -74,6 +74,27 @@ def test_method_finds_further_kinds_and_leaves_clean_texts(spark):
     assert pii.masked(PRIVATE[1], model) == "call [PHONE_LOCAL] today"
 
 
+SPELLED = ["Jane.Doe [AT] example [DOT] com", "jane (At) example (Dot) com", "jane [at] example [dot ] com",
+           "JANE { AT } EXAMPLE { DOT } COM", "jane [at] mail\tDOT\texample\nDot\norg"]
+
+
+def test_spelled_addresses_in_any_case_and_spacing(spark):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(PRIVATE * 3 + CLEAN * 3)], "doc_id long, text string")
+    model = pii.train(pii.vote_counts(docs))
+    for text in SPELLED:
+        assert [(c.start, c.end, c.kind) for c in pii.candidates(text)] == [(0, len(text), "email_spelled")], text
+        assert pii.masked(f"mail {text}, or call", model) == "mail [EMAIL_SPELLED], or call", text
+
+
+SPELLED_BITS = ["jane", " ", "\t", "[", "(", "{", "]", ")", "}", "at", "AT", "aT", "dot", "DOT", "dOt", "com", "ſ", "İ", "K"]
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.lists(st.sampled_from(SPELLED_BITS), max_size=20).map("".join))
+def test_no_spelled_address_is_passed_over(text):
+    assert [(c.start, c.end) for c in pii.candidates(text)] == [m.span() for m in pii._SPELLED.finditer(text)]
+
+
 def test_em_recovers_reliabilities():
     rng = random.Random(4)
     counts = {}
