@@ -6,12 +6,13 @@ encoder layer turns that into a hidden vector; gated attention, tanh times sigmo
 mean of the hidden vectors gives the document's score.  Encoder, attention and score are trained together from
 document labels only, with no label for any passage.
 
-Training takes at most ``train_docs`` labelled documents of at most ``train_chars`` code points, those with the least
-hash of the id, and runs in numpy on the driver over their passages; scoring runs in Spark over every passage of
+Training takes at most ``train_docs`` label rows of documents of at most ``train_chars`` code points, those with the
+least hash of the id, and runs in numpy on the driver over their passages; scoring runs in Spark over every passage of
 every document.  Neither labels nor ids nor other columns enter a score.
 
 Null and empty texts are one empty passage and get a score.  Rows are scored one by one, so repeated rows and extra
-columns don't matter.  Labels that are null are ignored; several labels of one id all count.  Without any labelled
+columns don't matter.  An id with several rows is learnt from one of them, the text with the least hash.  Labels that
+are null are ignored; several labels of one id all count.  Without any labelled
 row, or with labels of one class only, the score is the share of label 1 (0.5 without rows).
 """
 from __future__ import annotations
@@ -147,19 +148,24 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", train_
     """Train from the labelled documents with the least hashes of the id; ``labels`` holds the rows to learn from."""
     sample = (labels.where(F.col(label_col).isNotNull() & F.col("doc_id").isNotNull())
               .select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label"))
-              .orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(train_docs))
-    schema = pa.schema([("doc_id", pa.int64()), ("label", pa.int32()), ("bag", pa.binary())])
+              .orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(train_docs)
+              .groupBy("doc_id").agg(F.array_sort(F.collect_list("label")).alias("labels")))
+    schema = pa.schema([("doc_id", pa.int64()), ("labels", pa.list_(pa.int32())), ("bag", pa.binary())])
 
     def bags(batches):
-        yield from flat_map(batches, schema, lambda doc_id, label, text: (
-            (doc_id, label, passages(text.encode()).astype(np.float16).tobytes()),))
+        yield from flat_map(batches, schema, lambda doc_id, labels, text: (
+            (doc_id, labels, passages(text.encode()).astype(np.float16).tobytes()),))
 
-    # the sample has ``train_docs`` small rows at most, so it goes to every task; documents are not shuffled
+    # the sample has ``train_docs`` small rows at most, so it goes to every task; only the sample's texts are
+    # shuffled, one of each id and task, so ``train_docs`` bags at most are collected however often a row is repeated
     rows = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
             .where(F.length("text") <= train_chars).join(F.broadcast(sample), "doc_id")
-            .select("doc_id", "label", "text").mapInArrow(bags, "doc_id long, label int, bag binary").collect())
-    rows.sort(key=lambda r: (r["doc_id"], r["label"], bytes(r["bag"])))
-    return fit([np.frombuffer(r["bag"], np.float16).reshape(-1, SIZE) for r in rows], [r["label"] for r in rows])
+            .groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("least"),
+                                   F.first("labels").alias("labels"))
+            .select("doc_id", "labels", "least.text").mapInArrow(bags, "doc_id long, labels array<int>, bag binary").collect())
+    rows.sort(key=lambda r: r["doc_id"])
+    learnt = [(np.frombuffer(r["bag"], np.float16).reshape(-1, SIZE), label) for r in rows for label in r["labels"]]
+    return fit([bag for bag, _ in learnt], [label for _, label in learnt])
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -69,3 +69,21 @@ def test_odd_rows(spark, monkeypatch):
     kept = mil.accepted(docs, mil.Model(constant=0.8), 0.7)
     assert kept.columns == docs.columns and kept.count() == 6
     assert mil.accepted(docs, mil.Model(constant=0.5), 0.7).count() == 0
+
+
+def test_repeated_rows_are_learnt_once(spark, monkeypatch):
+    learnt = []
+    monkeypatch.setattr(mil, "fit", lambda bags, labels: learnt.append((bags, labels)))
+    once = [(1, "good words here"), (2, "BAD!! " * 400), (3, None), (5, "x")]
+    twice = once * 40 + [(2, f"BAD!! {i} " * 300) for i in range(40)]
+    labels = spark.createDataFrame([(1, 1), (2, 0), (2, 1), (2, 0), (3, 0), (4, 1)], "doc_id long, quality int")
+    for rows in (once, twice, twice[::-1]):
+        mil.train(spark.createDataFrame(rows, "doc_id long, text string"), labels, train_docs=6)
+    (bags, ys), (more, same), (again, as_well) = learnt
+    # every label row counts once, however often its document is repeated, and which copy is taken is fixed
+    assert ys == same == as_well and len(bags) == len(more) == len(again) == 5
+    assert all(np.array_equal(a, b) for a, b in zip(more, again, strict=True))
+    assert [np.array_equal(a, b) for a, b, y in zip(bags, more, ys, strict=True) if len(a) == 1] == [True] * 2
+    raw = {t for d, t in twice if d == 2}
+    taken = {bytes(b.tobytes()) for b in more if len(b) > 1}
+    assert len(taken) == 1 and taken <= {mil.passages(t.encode()).astype(np.float16).tobytes() for t in raw}
