@@ -339,12 +339,17 @@ def rules_datasets(spark, sf_dir):
 
 
 def profile_lineitem_approx(spark, sf_dir):
-    """One-pass profile: its exact columns (the sketches are held against exact results by tests)."""
+    """One-pass profile: its exact columns, for SQL (``profile_lineitem_sketches`` has the whole result)."""
     return approx_profile(table(spark, sf_dir, "lineitem"), k=None).select(
         "column_name", "inferred_data_type", "null_count", "null_ratio", "numeric_count",
         "min_value", "max_value", "negative_value_ratio", "row_count")
 
 
+def profile_lineitem_sketches(spark, sf_dir):
+    """One-pass profile, the whole result: with its distinct estimates and top values, which no SQL can state."""
+    return approx_profile(table(spark, sf_dir, "lineitem"))
+
+
 def profile_document(spark, sf_dir):
     """The nested profile document of the fixture, written by the profile sink, read back and flattened."""
     a = _dirty_audit(spark, sf_dir)
@@ -362,13 +367,18 @@ def windowed_profile(spark, sf_dir):
 
 
 def windowed_profile_stream(spark, sf_dir):
+    """The exact columns of ``windowed_profile_stream_sketches``, for SQL."""
+    return windowed_profile_stream_sketches(spark, sf_dir).select(
+        "window_start", "column_name", "row_count", "null_count", "min_value", "max_value", "negative_count")
+
+
+def windowed_profile_stream_sketches(spark, sf_dir):
     """X1 as a Structured Streaming job: daily windows of ``events`` streamed into a history table, the last state
-    of each (its exact columns)."""
+    of each, with mean and distinct estimate."""
     folder = _land(spark, "windowed-profile")
     stream_profile_to_history(spark, f"{sf_dir.rstrip('/')}/events.parquet", table(spark, sf_dir, "events").schema, "ts",
                               f"{folder}/history", f"{folder}/checkpoint", dataset_name="events").awaitTermination()
-    return latest_windows(spark.read.parquet(f"{folder}/history")).select(
-        "window_start", "column_name", "row_count", "null_count", "min_value", "max_value", "negative_count")
+    return latest_windows(spark.read.parquet(f"{folder}/history"))
 
 
 QUERIES = {
@@ -421,6 +431,8 @@ QUERIES = {
     "rules_datasets": rules_datasets,
     "windowed_profile": windowed_profile,
     "profile_lineitem_approx": profile_lineitem_approx,
+    "profile_lineitem_sketches": profile_lineitem_sketches,
     "profile_document": profile_document,
     "windowed_profile_stream": windowed_profile_stream,
+    "windowed_profile_stream_sketches": windowed_profile_stream_sketches,
 }

@@ -50,3 +50,34 @@ def test_approx_plan_has_no_value_shuffle(spark, dirty01):
     plan = a.columns._jdf.queryExecution().executedPlan().toString()
     keys = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan)
     assert keys and all(k.startswith("column_name#") and "value#" not in k for k in keys), keys
+
+
+def test_registered_sketches_against_exact_results(spark):
+    import __spark_entry__ as E
+    sf = "/root/testdata/sf0.001"
+    got = {r.column_name: r for r in E.queries()["profile_lineitem_sketches"](spark, sf).collect()}
+    df = spark.read.parquet(f"{sf}/lineitem.parquet")
+    assert set(got) == set(df.columns)
+    for name, r in got.items():
+        counts = {row[0]: row[1] for row in df.groupBy(df[name].cast("string")).count().collect() if row[0] not in (None, "")}
+        assert abs(r.approx_unique_count - len(counts)) <= max(2, 0.1 * len(counts)), name     # five times rsd
+        assert r.unique_ratio == r.approx_unique_count / r.row_count
+        top = sorted(counts.values(), reverse=True)[:3]
+        if len(counts) <= 600:                  # the sketch of 1,000 items has not dropped any
+            assert [(e.n, counts[e.value]) for e in r.top_values] == [(n, n) for n in top], name
+        error = 3.5 / 1000 * r.row_count        # bound of a frequent-items sketch; a rarer item may be left out
+        assert all(abs(e.n - counts[e.value]) <= error for e in r.top_values), name
+        assert len(r.top_values) >= sum(n > 2 * error for n in top), name
+
+
+def test_registered_stream_has_mean_and_distinct_estimate(spark):
+    import __spark_entry__ as E
+    sf = "/root/testdata/sf0.001"
+    key = lambda r: (r.window_start, r.column_name)
+    want = {key(r): r for r in E.queries()["windowed_profile"](spark, sf).collect()}
+    got = {key(r): r for r in E.queries()["windowed_profile_stream_sketches"](spark, sf).collect()}
+    assert set(got) == set(want)
+    for k, r in got.items():
+        w = want[k]
+        assert (r.mean is None) == (w.mean is None) and (r.mean is None or abs(r.mean - w.mean) < 1e-5 * max(1, abs(w.mean)))
+        assert abs(r.approx_distinct - w.unique_count) <= max(2, 0.25 * w.unique_count)     # five times rsd
