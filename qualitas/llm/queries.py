@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators, and DuckDB SQL where it can express them."""
+"""The registered queries of the thirteen operators, and DuckDB SQL where it can express them."""
 from __future__ import annotations
 
 import functools
@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from qualitas.llm import (
-    best_fit_packing, bpe_tree, hamming_topk, imatch, mil_quality, pii_weak, superminhash, token_files, url_filter, warc,
+    best_fit_packing, bpe_tree, hamming_topk, imatch, importance_resampling, license_rules, mil_quality, pii_weak,
+    ranked_search, superminhash, token_files, url_filter, warc,
 )
 from qualitas.llm.bpe import ID, encoder
 from qualitas.session import work_folder
@@ -266,6 +267,152 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op11_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License labels of every document: the base phrases' places, and the labels of all detections that stay."""
+    found = license_rules.scan(table(spark, sf_dir, "documents"))
+    starts = F.transform("base", lambda d: d["start"])
+    every = F.concat("base", "detections")
+    return found.select(
+        "doc_id", "n_words", F.size("base").cast("long").alias("n_base"), F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"), F.array_join(license_rules.labels(F.col("base")), ",").alias("base_labels"),
+        F.array_join(license_rules.labels(every), ",").alias("labels"),
+        F.coalesce(F.array_max(F.transform(every, lambda d: d["weight"])), F.lit(0.0)).alias("score"))
+
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_blanks = lambda x: f"(length({x}) - length(replace({x}, ' ', '')))"
+
+OP11_SQL = rf"""
+WITH RECURSIVE words AS (
+  SELECT row_number() OVER () AS row, doc_id, trim(regexp_replace({_LOWER}, '{_SEPARATORS}', '  ', 'g'), ' ') AS w
+  FROM documents),
+sized AS (
+  SELECT row, doc_id, ' ' || w || ' ' AS t, CASE WHEN w = '' THEN 0 ELSE {_blanks("w")} // 2 + 1 END AS n_words FROM words),
+rules(rule, label, keyword, pattern, weight, base) AS (VALUES {", ".join(
+    f"({i}, '{r.label}', '{license_rules.literal(r.keyword)}', '{license_rules.spaced(r.pattern)}', "
+    f"{r.weight}::DOUBLE, {r.base})" for i, r in enumerate(license_rules.signature_rules()))}),
+hits AS (
+  SELECT row, rule, regexp_extract_all(t, pattern) AS m, string_split_regex(t, pattern) AS p
+  FROM sized JOIN rules ON contains(t, keyword)),
+places AS (
+  SELECT row, rule, m[i] AS m, list_sum(list_transform(p[1:i] || m[1:i - 1], lambda x: {_blanks("x")}))::BIGINT AS before
+  FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM hits)),
+found AS (SELECT row, rule, before // 2 AS s, (before + {_blanks("m")}) // 2 AS e FROM places),
+reached AS (
+  SELECT *, max(e) OVER (PARTITION BY row ORDER BY s, e DESC, rule ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r
+  FROM found),
+opened AS (
+  SELECT row, rule, s, e, row_number() OVER (PARTITION BY row ORDER BY s, e DESC, rule) AS n
+  FROM reached WHERE r IS NULL OR e > r),
+sweep AS (
+  SELECT row, n, rule, e, NULL::INTEGER AS closed FROM opened WHERE n = 1
+  UNION ALL
+  SELECT o.row, o.n, CASE WHEN o.s >= w.e OR o.rule < w.rule THEN o.rule ELSE w.rule END,
+         CASE WHEN o.s >= w.e OR o.rule < w.rule THEN o.e ELSE w.e END, CASE WHEN o.s >= w.e THEN w.rule END
+  FROM sweep w JOIN opened o ON o.row = w.row AND o.n = w.n + 1),
+stays AS (
+  SELECT row, closed AS rule FROM sweep WHERE closed IS NOT NULL
+  UNION ALL
+  SELECT row, arg_max(rule, n) FROM sweep GROUP BY row
+  UNION ALL
+  SELECT row, rule FROM found JOIN rules USING (rule) WHERE base),
+marks AS (
+  SELECT row, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(weight) AS score
+  FROM stays JOIN rules USING (rule) GROUP BY row),
+bases AS (
+  SELECT row, count(*) AS n_base, min(s) AS first_word, max(s) AS last_word,
+         string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels
+  FROM found JOIN rules USING (rule) WHERE base GROUP BY row)
+SELECT doc_id, n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels,
+       coalesce(labels, '') AS labels, coalesce(score, 0.0) AS score
+FROM sized LEFT JOIN bases USING (row) LEFT JOIN marks USING (row)
+"""
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weight, score and rank of every document, drawn towards the benchmark's n-grams."""
+    drawn = importance_resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"),
+                                           percent=5, min_words=20, seed=42)
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+_CRC_TABLE = "[" + ", ".join(map(str, importance_resampling._STEP.tolist())) + "]"
+
+OP12_SQL = rf"""
+WITH texts AS (
+  SELECT 'raw' AS side, doc_id AS id, {_LOWER} AS t FROM documents
+  UNION ALL
+  SELECT 'target', item_id, {_LOWER} FROM benchmark),
+words AS (
+  SELECT side, id, row_number() OVER () AS row,
+         list_filter(string_split_regex(t, '{_SEPARATORS}'), lambda x: x <> '') AS w
+  FROM texts),
+grams AS (
+  SELECT side, row, unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])
+                  || list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS gram
+  FROM words),
+counted AS (SELECT side, row, gram, count(*) AS n FROM grams GROUP BY ALL),
+hexed AS (SELECT gram, hex(encode(gram)) AS h FROM (SELECT DISTINCT gram FROM counted)),
+crcs AS (
+  SELECT gram, xor(list_reduce(list_transform(range(0, length(h) // 2),
+      lambda i: ('0x' || substr(h, 2 * i::INTEGER + 1, 2))::BIGINT),
+    lambda c, b: xor(c >> 8, ({_CRC_TABLE}::BIGINT[])[(xor(c, b) & 255) + 1]), 4294967295::BIGINT), 4294967295) % 10000 AS bucket
+  FROM hexed),
+buckets AS (
+  SELECT bucket, coalesce(sum(n) FILTER (side = 'raw'), 0) AS s, coalesce(sum(n) FILTER (side = 'target'), 0) AS t
+  FROM counted JOIN crcs USING (gram) GROUP BY bucket),
+gains AS (
+  SELECT bucket, floor(1000 * ln((t::DOUBLE + 1) * ((SELECT sum(s) FROM buckets)::DOUBLE + 10000)
+                            / ((s::DOUBLE + 1) * ((SELECT sum(t) FROM buckets)::DOUBLE + 10000))))::BIGINT AS gain
+  FROM buckets),
+weighed AS (
+  SELECT row, sum(n)::BIGINT AS n_features, sum(n * gain)::BIGINT AS weight
+  FROM counted JOIN crcs USING (gram) JOIN gains USING (bucket) WHERE side = 'raw' GROUP BY row),
+scored AS (
+  SELECT id AS doc_id, row, len(w) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+         coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || id), 1, 8))::BIGINT + 0.5::DOUBLE)
+                                                    / 4294967296)))::BIGINT AS score
+  FROM words LEFT JOIN weighed USING (row) WHERE side = 'raw'),
+ranked AS (
+  SELECT row, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM scored WHERE n_words >= 20)
+SELECT doc_id, n_features, weight, score,
+       CASE WHEN rank <= 5 * (SELECT count(*) FROM ranked) // 100 THEN rank END AS rank
+FROM scored LEFT JOIN ranked USING (row)
+"""
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 highest-scoring documents for every benchmark item."""
+    return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
+
+
+OP13_SQL = rf"""
+WITH doc_terms AS (
+  SELECT doc_id, row, term, count(*) AS tf
+  FROM (SELECT doc_id, row_number() OVER () AS row, unnest(string_split_regex({_LOWER}, '{_SEPARATORS}')) AS term
+        FROM documents)
+  WHERE term <> '' GROUP BY ALL),
+sizes AS (SELECT row, sum(tf)::BIGINT AS n FROM doc_terms GROUP BY row),
+totals AS (SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM sizes),
+asked AS (
+  SELECT item_id, term, count(*) AS times
+  FROM (SELECT item_id, unnest(string_split_regex({_LOWER}, '{_SEPARATORS}')) AS term FROM benchmark)
+  WHERE term <> '' GROUP BY ALL),
+weights AS (
+  SELECT term, floor(1000 * ln((2 * any_value(docs) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w
+  FROM doc_terms, totals GROUP BY term),
+scores AS (
+  SELECT item_id, doc_id, row, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // terms))))::BIGINT AS score
+  FROM asked JOIN doc_terms USING (term) JOIN weights USING (term) JOIN sizes USING (row), totals
+  GROUP BY item_id, doc_id, row),
+ranked AS (
+  SELECT *, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INTEGER AS rank
+  FROM scores WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 20
+"""
+
+
 QUERIES = {
     "op1_mil_quality": op1_mil_quality,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -277,7 +424,11 @@ QUERIES = {
     "op8_url_filter": op8_url_filter,
     "op9_bpe_tree": op9_bpe_tree,
     "op10_token_files": op10_token_files,
+    "op11_license_rules": op11_license_rules,
+    "op12_importance_resampling": op12_importance_resampling,
+    "op13_ranked_search": op13_ranked_search,
 }
 
 SQL: dict[str, str] = {"op4_warc": OP4_SQL, "op5_hamming_topk": OP5_SQL, "op6_superminhash": OP6_SQL,
-                      "op7_imatch": OP7_SQL, "op8_url_filter": OP8_SQL}
+                      "op7_imatch": OP7_SQL, "op8_url_filter": OP8_SQL, "op11_license_rules": OP11_SQL,
+                      "op12_importance_resampling": OP12_SQL, "op13_ranked_search": OP13_SQL}
