@@ -48,6 +48,7 @@ DEFAULT_DOMAIN = "Unknown"
 API_DOMAIN = "API Source"
 
 # ----------------------------------------------------------------- OURS values
+CORRUPT_COLUMN = "_corrupt_record"   # where the readers put malformed rows; no column of the dataset
 # Decimal number grammar (no hex, no Infinity/NaN, no thousands separators).
 NUMBER_PATTERN = r"^\s*[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?\s*$"
 ISO_DATE_PREFIX = r"^\d{4}-\d{2}-\d{2}"

@@ -45,6 +45,8 @@ RULE_TEXT = (
      "Flag and reconcile duplicates", "Flag duplicate records and reconcile them through the source system."),
     ("duplicate_key", "Duplicate keys", "a duplicated key {column}", "duplicated",
      "Flag and reconcile duplicate keys", "Flag records sharing a key in {columns} and validate them through the source system."),
+    ("malformed_rows", "Malformed records", "fields that do not fit the header", "malformed",
+     "Flag and correct malformed records", "Flag records that do not fit the columns and validate them through the source system."),
     ("orphan_keys", "Orphan references", "a {column} without a matching parent record", "without a parent record",
      "Flag and correct orphan references", "Validate {columns} against the parent table through the source system."),
 )

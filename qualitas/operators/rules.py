@@ -173,6 +173,15 @@ def duplicate_rule(df: DataFrame, keys=None) -> DataFrame:
                     F.col("distinct_rows").alias("distinct_values"))
 
 
+def malformed_rule(rows: DataFrame) -> DataFrame:
+    """Validity: rows that a reader couldn't fit to the columns; no rule row where there are none."""
+    bad = F.count(G.CORRUPT_COLUMN)
+    return (rows.agg(bad.cast("bigint").alias("bad"), F.count(F.lit(1)).cast("bigint").alias("eligible"))
+            .where("bad > 0")
+            .select(F.lit("Validity").alias("dimension"), F.lit("malformed_rows").alias("rule"),
+                    F.lit("*").alias("column_name"), "bad", "eligible", F.lit(0).cast("bigint").alias("distinct_values")))
+
+
 def orphan_rule(df: DataFrame, column: str, parent: DataFrame, parent_column: str) -> DataFrame:
     """Integrity (R11): present child keys with no parent key.
 

@@ -36,8 +36,11 @@ class Audit:
                  pan_columns=("card_brand", "card_number"), dependent_null_columns=None,
                  freshness_years: int = G.FRESHNESS_YEARS, weights: dict | None = None,
                  dataset_id: str | None = None, checkpoint_rules: bool = True, approx: bool = False):
-        src = df.select(*[F.col(f"`{c}`") for c in columns]) if columns else df
-        self.source = src if sample_fraction is None else src.sample(float(sample_fraction), int(sample_seed))
+        read = df if sample_fraction is None else df.sample(float(sample_fraction), int(sample_seed))
+        # malformed rows as the readers keep them are counted (see rules); the column is none of the dataset's
+        self.malformed = read.select(G.CORRUPT_COLUMN) if G.CORRUPT_COLUMN in df.columns and not columns else None
+        names = list(columns) if columns else [c for c in df.columns if c != G.CORRUPT_COLUMN]
+        self.source = read.select(*[F.col(f"`{c}`") for c in names])
         self.name = name
         self.as_of = as_of
         self.domain = domain
@@ -157,6 +160,8 @@ class Audit:
     def rules(self) -> DataFrame:
         out = R.with_distinct(R.column_rules(self.summary), self.distinct).unionByName(
             R.row_rules(self.source, keys=self.keys, parents=self.parents, pan_columns=self.pan_columns))
+        if self.malformed is not None:
+            out = out.unionByName(R.malformed_rule(self.malformed))
         return self._small(out) if self.checkpoint_rules else out
 
     @cached_property

@@ -1,7 +1,7 @@
 """Readers for the audit sources: CSV files, JSON payloads and documents, tables.
 
-Every reader returns a lazy DataFrame; of the data only headers and first
-characters are looked at beforehand.
+Every reader returns a DataFrame.  Of CSV files only headers are looked at
+beforehand; JSON payloads are split into their records once when they are read.
 """
 from __future__ import annotations
 
@@ -12,69 +12,112 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from qualitas.functions import grammar as G
+from qualitas.session import exists, work_folder
+from qualitas.sources.splits import BYTE_ORDER_MARK, SPLIT_BYTES, csv_rows, files, json_elements
 
-#: Column that holds a CSV row whose number of fields differs from the header's; NULL for sound rows.
-CORRUPT = "_corrupt_record"
+#: Column that holds a malformed row as it was found; NULL for sound rows.
+CORRUPT = G.CORRUPT_COLUMN
 
 
 class NotCsvError(ValueError):
     pass
 
 
-def data_files(spark: SparkSession, path: str) -> list[str]:
-    """The data files at or below ``path`` (hidden and marker files left out), from the store's listing."""
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    found, files = fs.listFiles(jvm_path, True), []
-    while found.hasNext():
-        at = found.next().getPath()
-        if not at.getName().startswith(("_", ".")):
-            files.append(at.toString())
-    return sorted(files)
+def _not_csv(spark: SparkSession, path: str) -> str | None:
+    """A data file at or below ``path`` whose name doesn't end in ``.csv``, found by one job over the store's listing."""
+    name = F.lower(F.element_at(F.split("path", "/"), -1))
+    return files(spark, path).where(~name.endswith(".csv")).agg(F.min("path")).first()[0]
 
 
-def read_csv(spark: SparkSession, path: str, multiline: bool = False, schema: T.StructType | None = None) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, multiline: bool = False, schema: T.StructType | None = None,
+             split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """Header row gives the names; every value stays text; all rows kept.
 
     A path or a folder holding anything but ``.csv`` files is refused.  All
     files must have the same header (a clash fails when the file is read),
     which ``schema`` can state beforehand.  Rows with more or fewer fields
     than the header keep what they have and are kept whole in
-    ``_corrupt_record``, which an audit reports like any other column.
-    Quotes are escaped by doubling them (RFC 4180).  ``multiline=True``
-    accepts line breaks inside quoted fields, at the price of reading each
-    file in one task (such a file cannot be split), so it is off by default.
+    ``_corrupt_record``, which an audit counts as malformed rows and doesn't
+    profile.  Quotes are escaped by doubling them (RFC 4180).
+    ``multiline=True`` accepts line breaks inside quoted fields; such files
+    are read in ranges of ``split_bytes`` too (``splits.py``), empty fields
+    as NULL.
     """
-    other = [f for f in data_files(spark, path) if not f.lower().endswith(".csv")]
+    other = _not_csv(spark, path)
     if other:
-        raise NotCsvError(f"not a .csv file: {other[0]}")
+        raise NotCsvError(f"not a .csv file: {other}")
     options = dict(header=True, quote='"', escape='"', multiLine=multiline)
     names = schema.fieldNames() if schema else spark.read.csv(path, inferSchema=False, **options).columns
+    if multiline:
+        return _csv_by_ranges(spark, path, list(names), split_bytes)
     strings = T.StructType([T.StructField(n, T.StringType()) for n in (*names, CORRUPT)])
     return spark.read.schema(strings).csv(path, enforceSchema=False, mode="PERMISSIVE",
                                           columnNameOfCorruptRecord=CORRUPT, **options)
 
 
+def _csv_by_ranges(spark: SparkSession, path: str, names: list[str], split_bytes: int) -> DataFrame:
+    rows, fields = csv_rows(spark, path, split_bytes), F.col("fields")
+    first = F.col("offset") <= len(BYTE_ORDER_MARK)              # a file's first row begins at 0 or behind the mark
+    head = (F.col("offset") == 0) | (first & (F.col("offset") == len(BYTE_ORDER_MARK)) & (fields == F.array(*map(F.lit, names))))
+    clash = F.raise_error(F.concat(F.lit("the CSV header of "), F.col("file"), F.lit(" is "), F.array_join(fields, ",")))
+    data = rows.where(F.when(head & (fields != F.array(*map(F.lit, names))), clash.cast("boolean")).otherwise(~head))
+    quoted = F.transform(fields, lambda f: F.when(f.rlike('[",\r\n]'), F.concat(
+        F.lit('"'), F.replace(f, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(f))
+    value = lambda i: F.nullif(F.get(fields, F.lit(i)), F.lit(""))
+    return data.select(*[value(i).alias(n) for i, n in enumerate(names)],
+                       F.when(F.size(fields) != len(names), F.array_join(quoted, ",")).alias(CORRUPT))
+
+
 class NotAnArrayError(ValueError):
     pass
 
 
-def read_json_array(spark: SparkSession, paths, schema: T.StructType | None = None) -> DataFrame:
-    """Landed REST payloads: each file must hold one JSON array of records.
+def read_json_array(spark: SparkSession, paths, schema: T.StructType | None = None, bad: str = "refuse",
+                    split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """Landed REST payloads: each file holds JSON arrays of records (one, or several after one another).
 
     Values keep their text form (``primitivesAsString``); nested objects stay
-    structs and are profiled through ``to_json``.  If any file's first
-    character is not ``[`` the read is refused, as a non-array response is;
-    one job looks at all files.  ``schema`` saves the pass that infers it.
+    structs and are profiled through ``to_json``.  Files are read in ranges,
+    so one large array is read by many tasks, and a record at a time is
+    parsed.  An empty file has no records.
+
+    What isn't a record is found with its file and offset: elements that
+    aren't JSON or no objects, text outside arrays (a file that isn't an
+    array), an array that its file cuts off.  ``bad="refuse"`` refuses the
+    read with the first of them, whether ``schema`` is given or not;
+    ``bad="keep"`` gives them as rows that have ``_corrupt_record`` alone
+    (``file``, ``offset``, ``problem`` and ``text``, as JSON).
+
+    The elements are written once into the shared folder, as JSON lines: the
+    schema's inference and all later scans read those.
     """
-    paths = [paths] if isinstance(paths, str) else list(paths)
-    first = F.regexp_extract("value", r"^\s*(\S)", 1)
-    bad = (spark.read.text(paths, wholetext=True).select(first.alias("c"), F.col("_metadata.file_path").alias("f"))
-           .where("c NOT IN ('[', '')").agg(F.min("f")).first()[0])
-    if bad:
-        raise NotAnArrayError(f"{bad}: payload is not a JSON array")
-    reader = spark.read.schema(schema) if schema else spark.read
-    return reader.json(paths, multiLine=True, primitivesAsString=True)
+    if bad not in ("refuse", "keep"):
+        raise ValueError(f"bad must be refuse or keep, not {bad!r}")
+    folder = work_folder(spark, "json-elements")
+    elements = json_elements(spark, [paths] if isinstance(paths, str) else list(paths), split_bytes)
+    broken = F.col("problem").isNotNull()
+    # line breaks in a record stand between its tokens; within strings JSON has none
+    value = F.when(broken, F.to_json(F.struct("file", "offset", "problem", "text"))).otherwise(
+        F.translate("text", "\r\n", "  "))
+    elements.select(value.alias("value"), broken.alias("broken")).write.partitionBy("broken").text(folder)
+    problems = None
+    if exists(spark, f"{folder}/broken=true"):
+        problems = spark.read.text(f"{folder}/broken=true")
+        if bad == "refuse":
+            first = problems.select(F.from_json("value", "file string, offset long, problem string").alias("p")).agg(
+                F.min(F.struct("p.file", "p.offset", "p.problem"))).first()[0]
+            raise NotAnArrayError(f"{first['file']}: at byte {first['offset']}: {first['problem']}")
+    if exists(spark, f"{folder}/broken=false"):
+        reader = spark.read.schema(schema) if schema else spark.read
+        records = reader.json(f"{folder}/broken=false", primitivesAsString=True)
+    else:
+        records = spark.createDataFrame([], schema or T.StructType())
+    if bad == "refuse":
+        return records
+    lost = T.StructType([*records.schema.fields, T.StructField(CORRUPT, T.StringType())])
+    kept = records.withColumn(CORRUPT, F.lit(None).cast("string"))
+    return kept if problems is None else kept.unionByName(problems.select(
+        *[F.lit(None).cast(f.dataType).alias(f.name) for f in records.schema.fields], F.col("value").alias(CORRUPT))).to(lost)
 
 
 def read_json_documents(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
