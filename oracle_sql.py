@@ -632,3 +632,138 @@ SQL["rules_datasets"] = _MANY + SUMMARY.replace("SELECT column_name,", "SELECT d
     "GROUP BY column_name", "GROUP BY dataset_name, column_name") + ",\n" + COLUMN_RULES.replace(
     "column_name, CAST(", "dataset_name, column_name, CAST(") + """
 SELECT dataset_name, dimension, rule, column_name, bad, eligible FROM column_rules"""
+
+
+# ------------------------------------------------ sources audited as read, long values, samples, discovery, states
+SQL["source_csv_scores"] = SQL["dimension_scores"]
+
+
+def top3_sql(prefix: str) -> str:
+    return prefix + f""", p AS (SELECT column_name, value, n FROM freq WHERE value IS NOT NULL AND value <> ''),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY column_name ORDER BY n DESC, value) AS rank FROM p),
+d AS (SELECT column_name, count(*) AS distinct_values FROM p GROUP BY column_name)
+SELECT column_name, CAST(distinct_values AS BIGINT) AS distinct_values, CAST(rank AS BIGINT) AS rank, value,
+  CAST(n AS BIGINT) AS n
+FROM ranked JOIN d USING (column_name) WHERE rank <= {G.TOP_K}"""
+
+
+SQL["source_csv_multiline"] = top3_sql(with_("""notes AS (SELECT CAST(o_orderkey AS VARCHAR) AS order_id,
+  CASE WHEN o_orderkey % 7 <> 0 THEN 'said "' || o_orderstatus || '",' || chr(10) || 'then' || chr(13) || chr(10) || '"'
+       || CAST(o_orderkey % 100 AS VARCHAR) || '"' END AS note, o_orderpriority AS priority FROM orders)""",
+                                             cells("notes", ["order_id", "note", "priority"]), freq()).rstrip())
+SQL["categorical_documents"] = top3_sql(with_(
+    """texts AS (SELECT text, repeat('All of these texts begin with one and the same long sentence. ', 4) || text AS opened, lang
+  FROM documents)""", cells("texts", ["text", "opened", "lang"]), freq()).rstrip())
+
+
+def _valued(column: str) -> str:
+    return f"strlen(CAST({column} AS VARCHAR)) || ':' || CAST({column} AS VARCHAR)"
+
+
+SQL["sample_rows"] = f"""SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem
+ORDER BY md5('7;' || {_valued("l_orderkey")} || {_valued("l_linenumber")}) LIMIT 1000"""
+
+#: Columns of whole numbers, the unique ones first.
+_WHOLE = {"region": ["r_regionkey"], "nation": ["n_nationkey", "n_regionkey"], "customer": ["c_custkey", "c_nationkey"],
+          "supplier": ["s_suppkey", "s_nationkey"], "part": ["p_partkey", "p_size"], "orders": ["o_orderkey", "o_custkey"],
+          "lineitem": ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]}
+_WHOLE_COLUMNS = [(t, c) for t, cs in _WHOLE.items() for c in cs]
+SQL["find_references"] = "SELECT * FROM (" + "\nUNION ALL ".join(
+    f"""SELECT '{t}' AS child_table, '{c}' AS child_column, '{pt}' AS parent_table, '{pc}' AS parent_column,
+  (SELECT count(DISTINCT {c}) FROM {t}) AS child_values, (SELECT count(DISTINCT {pc}) FROM {pt}) AS parent_values
+WHERE NOT EXISTS (SELECT 1 FROM {t} x ANTI JOIN {pt} y ON x.{c} = y.{pc} WHERE x.{c} IS NOT NULL)
+  AND (SELECT count(DISTINCT {pc}) = count({pc}) FROM {pt})"""
+    for t, c in _WHOLE_COLUMNS for pt, pc in _WHOLE_COLUMNS if (t, c) != (pt, pc)) + ")"
+
+_COLUMNS = {"region": ["r_regionkey", "r_name"], "nation": ["n_nationkey", "n_name", "n_regionkey"],
+            "customer": ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"],
+            "supplier": ["s_suppkey", "s_name", "s_nationkey", "s_acctbal"],
+            "part": ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"],
+            "orders": ORDERS_COLUMNS, "lineitem": LINEITEM_COLUMNS}
+
+
+def keys_sql(table: str, columns: list[str]) -> str:
+    """Minimal keys of one or two columns: a pair counts if neither column is a key."""
+    single = {c: f"(SELECT count(DISTINCT {c}) = count(*) FROM {table})" for c in columns}
+    parts = [f"SELECT '{table}' AS table_name, '{c}' AS key_columns WHERE {single[c]}" for c in columns]
+    parts += [f"SELECT '{table}', '{a},{b}' WHERE NOT {single[a]} AND NOT {single[b]} AND "
+              f"(SELECT count(*) FROM (SELECT DISTINCT {a}, {b} FROM {table})) = (SELECT count(*) FROM {table})"
+              for i, a in enumerate(columns) for b in columns[i + 1:]]
+    return "\nUNION ALL ".join(parts)
+
+
+SQL["find_keys"] = "\nUNION ALL ".join(keys_sql(t, cs) for t, cs in _COLUMNS.items())
+
+SQL["audit_incremental"] = table_facts("orders", ORDERS_COLUMNS).rstrip() + ",\n" + numeric_group_sql("column_name") + f""",
+t AS (SELECT column_name,
+  CASE WHEN coalesce(bool_and(CASE WHEN present THEN is_num END), true) THEN 'numeric'
+       WHEN coalesce(bool_and(CASE WHEN present THEN ts IS NOT NULL END), true) THEN 'datetime'
+       ELSE 'string' END AS inferred_data_type,
+  CAST(sum(n) AS BIGINT) AS row_count, CAST(sum(CASE WHEN present THEN 0 ELSE n END) AS BIGINT) AS null_count,
+  sum(CASE WHEN present THEN 0 ELSE n END) / sum(n) AS null_ratio,
+  CAST(sum(CASE WHEN is_num THEN n ELSE 0 END) AS BIGINT) AS numeric_count,
+  CAST(sum(CASE WHEN {TDATE} THEN n ELSE 0 END) AS BIGINT) AS date_count,
+  strftime(min(CASE WHEN {TDATE} THEN ts END), {ISO_FMT}) AS min_timestamp,
+  strftime(max(CASE WHEN {TDATE} THEN ts END), {ISO_FMT}) AS max_timestamp,
+  CAST(sum(CASE WHEN is_code THEN n ELSE 0 END) AS BIGINT) AS match_count
+FROM facts GROUP BY column_name)
+SELECT column_name, inferred_data_type, row_count, null_count, null_ratio, numeric_count, min_value, max_value, mean,
+  coalesce(negative_count, 0) AS negative_count, date_count, min_timestamp, max_timestamp, match_count
+FROM t LEFT JOIN num_stats USING (column_name)"""
+
+_CLASSED = ("regexp_replace(translate(substr(value, 1, 64), "
+            "'ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789', "
+            "'AAAAAAAAAAAAAAAAAAAAAAAAAAaaaaaaaaaaaaaaaaaaaaaaaaaa9999999999'), '[^\\x00-\\x7f]', 'u', 'g')")
+SQL["column_formats"] = with_(DIRTY, cells("dirty", DIRTY_COLUMNS), f"""counts AS (
+  SELECT column_name, exact, count(*) AS n FROM (SELECT column_name, {_CLASSED} AS exact FROM cells
+    WHERE value IS NOT NULL AND value <> '') GROUP BY ALL),
+named AS (SELECT *, sum(n) OVER (PARTITION BY column_name) AS everything,
+    regexp_replace(regexp_replace(regexp_replace(regexp_replace(exact, 'A+', 'A+', 'g'), 'a+', 'a+', 'g'), '9+', '9+', 'g'),
+                   'u+', 'u+', 'g') AS general FROM counts),
+groups AS (
+  SELECT column_name, general, everything, sum(n) AS total, sum(8 * length(exact) + n * log2(everything / n)) AS one_by_one,
+    sum(n * coalesce(list_sum(list_transform(regexp_extract_all(exact, 'A+|a+|9+|u+'),
+                                             lambda r: 2 * floor(log2(length(r))) + 1)), 0)) AS lengths
+  FROM named GROUP BY ALL),
+chosen AS (SELECT *, lengths + 8 * length(general) + total * log2(everything / total) < one_by_one AS merged FROM groups),
+rendered AS (
+  SELECT column_name, general AS format, total AS n, everything FROM chosen WHERE merged
+  UNION ALL
+  SELECT column_name, array_to_string(list_transform(regexp_extract_all(exact, '(?s)A+|a+|9+|u+|.'),
+      lambda r: CASE WHEN length(r) > 1 THEN substr(r, 1, 1) || '{{' || length(r) || '}}' ELSE r END), ''), n, named.everything
+  FROM named JOIN chosen USING (column_name, general) WHERE NOT merged)""").rstrip() + """
+SELECT column_name, format, CAST(sum(n) AS BIGINT) AS values, round(sum(n) / any_value(everything), 9) AS share
+FROM rendered GROUP BY column_name, format"""
+
+_DIGITS = "list_reverse(string_split(d, ''))"
+_LUHN = (f"list_sum(list_transform({_DIGITS}, lambda c, i: CASE WHEN i % 2 = {{odd}} THEN TRY_CAST(c AS INTEGER) "
+         "ELSE (2 * TRY_CAST(c AS INTEGER)) // 10 + (2 * TRY_CAST(c AS INTEGER)) % 10 END))")
+_NUMBERED = ("TRY_CAST(array_to_string(list_transform(string_split(d, ''), lambda c: CASE WHEN c >= 'A' "
+             "THEN CAST(ascii(c) - 55 AS VARCHAR) ELSE c END), '') AS HUGEINT) % 97")
+SQL["personal_data_evidence"] = f"""WITH base AS (
+  SELECT o_orderkey AS k, o_orderpriority AS c6, '4' || lpad(CAST(o_orderkey AS VARCHAR), 14, '0') AS card,
+    lpad(CAST(o_orderkey * 7919 + 13 AS VARCHAR), 16, '0') AS account FROM orders),
+payments AS (
+  SELECT card || (SELECT CAST((10 - ({_LUHN.format(odd=0)}) % 10) % 10 AS VARCHAR) FROM (SELECT card AS d)) AS c1,
+    'DE' || (SELECT lpad(CAST(98 - {_NUMBERED} AS VARCHAR), 2, '0') FROM (SELECT account || 'DE00' AS d)) || account AS c2,
+    CASE WHEN k % 5 <> 0 THEN 'u' || CAST(k AS VARCHAR) || '@mail.example' ELSE 'none' END AS c3,
+    '4' || lpad(CAST(k AS VARCHAR), 15, '0') AS c4, 'DE00' || account AS c5, c6 FROM base),
+{cells("payments", ["c1", "c2", "c3", "c4", "c5", "c6"])},
+kinds AS (
+  SELECT column_name, CASE
+    WHEN regexp_full_match(value, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)+') THEN 'email'
+    WHEN regexp_full_match(value, '[A-Z]{{2}}[0-9]{{2}}( ?[A-Z0-9]){{11,30}}')
+      AND (SELECT {_NUMBERED} FROM (SELECT substr(value, 5) || substr(value, 1, 4) AS d)) = 1 THEN 'iban'
+    WHEN regexp_full_match(value, '[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}') THEN 'national_id'
+    WHEN regexp_full_match(value, '[0-9]([ -]?[0-9]){{12,18}}')
+      AND (SELECT ({_LUHN.format(odd=1)}) % 10 FROM (SELECT value AS d)) = 0 THEN 'card'
+    WHEN regexp_full_match(value, '\\+[0-9][0-9 ().-]{{6,20}}[0-9]') THEN 'phone' END AS kind
+  FROM cells WHERE value IS NOT NULL AND value <> ''),
+counted AS (SELECT column_name, kind, count(*) AS n, sum(count(*)) OVER (PARTITION BY column_name) AS total
+  FROM kinds GROUP BY column_name, kind)
+SELECT column_name, kind, n AS values, CAST(total AS BIGINT) AS present_values, round(n / total, 9) AS share,
+  n / total >= 0.5 AS personal_data FROM counted WHERE kind IS NOT NULL"""
+
+SQL["source_bson"] = column_profile_sql(with_(
+    "open_orders AS (SELECT * FROM orders WHERE o_orderstatus = 'O')",
+    cells("open_orders", ORDERS_COLUMNS, cast=True), freq(), facts()))

@@ -44,14 +44,14 @@ def frequency(df: DataFrame, columns=None, by=()) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("n")))
 
 
-#: Values up to this many bytes are their own key.
-KEY_BYTES = 64
+#: Values up to this many bytes are their own key; of longer ones the key has so many first characters.
+KEY_BYTES, KEY_CHARS = 64, 40
 
 
 def value_key(value):
     """A value's key: itself, or for a long one its first characters and a digest, so no long text is shuffled."""
     return F.when(F.octet_length(value) <= KEY_BYTES, value).otherwise(
-        F.concat(F.substring(value, 1, 40), F.lit("\u0000"), F.sha2(value, 256)))
+        F.concat(F.substring(value, 1, KEY_CHARS), F.lit("\u0000"), F.sha2(value, 256)))
 
 
 def value_counts(df: DataFrame, columns=None, by=()) -> DataFrame:
@@ -71,12 +71,13 @@ def distinct_counts(counts: DataFrame, by=()) -> DataFrame:
     return counts.groupBy(*by, "column_name").agg(F.count_if(F.col("n") > 0).cast("bigint").alias("distinct_values"))
 
 
-def long_values(df: DataFrame, keys: DataFrame, columns=None) -> DataFrame:
-    """The texts of long keys: ``(column_name, key, text)``; ``keys`` holds k values a column, so it is broadcast."""
-    wanted = keys.where(F.octet_length("value") > KEY_BYTES).select("column_name", F.col("value").alias("key"))
-    long = cells(df, columns).where(F.octet_length("value") > KEY_BYTES).withColumn("key", value_key(F.col("value")))
-    return (long.join(F.broadcast(wanted), ["column_name", "key"]).groupBy("column_name", "key")
-            .agg(F.first("value").alias("text")))
+def long_texts(cells: DataFrame, keys: DataFrame, by=()) -> DataFrame:
+    """The texts of long keys: ``(*by, column_name, value, text)``; ``keys`` holds k values a column, so it is broadcast."""
+    names = [*by, "column_name", "value"]
+    wanted = keys.where(F.octet_length("value") > KEY_BYTES).select(*names)
+    long = (cells.where(F.octet_length("value") > KEY_BYTES)
+            .select(*by, "column_name", value_key(F.col("value")).alias("value"), F.col("value").alias("text")))
+    return long.join(F.broadcast(wanted), names).groupBy(*names).agg(F.first("text").alias("text"))
 
 
 _KINDS = (("i", (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.DecimalType)),

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from qualitas.functions import grammar as G
 from qualitas.functions.predicates import is_id_column, is_year_column, name_has_any
+from qualitas.operators import cells as C
+from qualitas.session import written
 
 
 def _n_if(cond) -> "F.Column":
@@ -174,15 +176,64 @@ def categorical_stats(facts: DataFrame, by=(), k: int = G.TOP_K) -> DataFrame:
         *by, "column_name", "distinct_values", "rank", "value", F.col("n").cast("bigint").alias("n"))
 
 
-def top_values(counts: DataFrame, by=(), k: int = G.TOP_K) -> DataFrame:
-    """The k most frequent values of each column from ``cells.value_counts`` (ties: value ascending).
+#: The first refinement of tied long values looks at so many characters, each further one at four times as many.
+REFINED_CHARS = 160
 
-    ``(*by, column_name, rank, value, n)``; a WindowGroupLimit keeps k rows
-    per column in each task before the shuffle.
+
+def top_values(cells: DataFrame, folder: str, by=(), k: int = G.TOP_K) -> DataFrame:
+    """The k most frequent present values of each column, ties by value ascending, and the distinct counts.
+
+    ``(*by, column_name, distinct_values, rank, value, n)`` of ``cells``.  Values are counted by their keys, so long
+    texts aren't shuffled, and ranked by count and first characters.  A key's digest says nothing about the order of
+    texts that share these, so ties at the k-th place are refined: of the tied values alone, longer and longer
+    prefixes are compared until the order is decided.  Steps are tables in ``folder``.
     """
-    w = Window.partitionBy(*by, "column_name").orderBy(F.col("n").desc(), F.col("value").asc())
-    return (counts.withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= k)
-            .select(*by, "column_name", "rank", "value", F.col("n").cast("bigint").alias("n")))
+    keys = [*by, "column_name"]
+    counts = C.count_values(cells, by)
+    head = F.substring("value", 1, C.KEY_CHARS)
+    w = Window.partitionBy(*keys).orderBy(F.col("n").desc(), "head")
+    # rank() keeps all that tie with the k-th; a WindowGroupLimit drops the rest in each task before the shuffle
+    first = written(counts.withColumn("head", head).withColumn("place", F.rank().over(w)).where(F.col("place") <= k)
+                    .join(C.distinct_counts(counts, by), keys), f"{folder}/first")
+    long = F.octet_length("value") > C.KEY_BYTES
+    last = Window.partitionBy(*keys)
+    groups = (first.withColumn("_last", F.max("place").over(last)).where("place = _last").groupBy(*keys)
+              .agg(F.count(F.lit(1)).alias("tied"), F.max(long).alias("long"), F.first("head").alias("head"),
+                   F.first("place").alias("place"))
+              .where("long").withColumn("need", F.lit(k + 1) - F.col("place")).where("tied > need"))
+    groups = written(groups.select(*keys, "head", "place", "need"), f"{folder}/open")      # a row a column at most
+    chosen = first
+    if not groups.isEmpty():
+        tied = first.join(F.broadcast(groups.select(*keys, "place", "need")), [*keys, "place"])
+        chosen = first.join(F.broadcast(groups.select(*keys, "place")), [*keys, "place"], "left_anti").unionByName(
+            _refined(cells, tied, groups, keys, folder).select(*first.columns))
+    chosen = chosen.select(*keys, "distinct_values", "value", "n")
+    # few of the chosen are long: k a column, once ties are refined
+    texts = C.long_texts(cells, chosen, by)
+    value = F.coalesce("text", "value")
+    order = Window.partitionBy(*keys).orderBy(F.col("n").desc(), value.asc())
+    return (chosen.join(texts, [*keys, "value"], "left").withColumn("rank", F.row_number().over(order).cast("bigint"))
+            .where(F.col("rank") <= k).select(*keys, "distinct_values", "rank", value.alias("value"),
+                                              F.col("n").cast("bigint").alias("n")))
+
+
+def _refined(cells: DataFrame, tied: DataFrame, groups: DataFrame, keys: list, folder: str) -> DataFrame:
+    """The first ``need`` of the tied values of each column, by their texts."""
+    chars = REFINED_CHARS
+    head = F.substring("value", 1, C.KEY_CHARS)
+    while True:
+        near = (cells.withColumn("head", head).join(F.broadcast(groups.select(*keys, "head")), [*keys, "head"])
+                .select(*keys, C.value_key(F.col("value")).alias("value"), F.substring("value", 1, chars).alias("prefix"),
+                        F.length("value").alias("size"))
+                .groupBy(*keys, "value").agg(F.first("prefix").alias("prefix"), F.first("size").alias("size")))
+        place = F.rank().over(Window.partitionBy(*keys).orderBy("prefix"))
+        tied = written(tied.join(near, [*keys, "value"]).withColumn("at", place).where("at <= need"), f"{folder}/tied-{chars}")
+        left = tied.groupBy(*keys).agg((F.count(F.lit(1)) > F.first("need")).alias("open"), F.max("size").alias("size"))
+        state = left.agg(F.max("open"), F.max("size")).first()
+        tied = tied.drop("prefix", "size", "at")
+        if not state[0] or chars >= state[1]:
+            return tied
+        chars *= 4
 
 
 #: Items that a frequent-items sketch tracks in a column, and how many more than k it is asked for, so that ties at
@@ -263,6 +314,9 @@ def temporal_aggregates(as_of) -> dict:
             "stale_count": _n_if(is_date & (F.col("ts") < as_of_c - F.expr(f"INTERVAL {G.STALE_DAYS} DAYS")))}
 
 
+ISO = "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"
+
+
 def temporal_finish(agg: DataFrame, by=(), min_coverage: float = G.TEMPORAL_MIN_COVERAGE) -> DataFrame:
     by = list(by)
     # coverage test in exact integer arithmetic: dates / rows >= min_coverage
@@ -270,11 +324,10 @@ def temporal_finish(agg: DataFrame, by=(), min_coverage: float = G.TEMPORAL_MIN_
     need = int(round(min_coverage * scale))
     agg = agg.where((F.col("date_count") > 0)
                     & (F.col("date_count") * scale >= F.col("row_count") * need))
-    iso = "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"
     return agg.select(
         *by, "column_name", "row_count", "date_count",
-        F.date_format("min_ts", iso).alias("min_timestamp"),
-        F.date_format("max_ts", iso).alias("max_timestamp"),
+        F.date_format("min_ts", ISO).alias("min_timestamp"),
+        F.date_format("max_ts", ISO).alias("max_timestamp"),
         (F.col("future_count") / F.col("date_count")).alias("future_timestamp_ratio"),
         (F.col("stale_count") / F.col("date_count")).alias("stale_record_ratio"),
         "future_count", "stale_count", "min_ts", "max_ts",

@@ -173,10 +173,12 @@ def duplicate_rule(df: DataFrame, keys=None) -> DataFrame:
                     F.col("distinct_rows").alias("distinct_values"))
 
 
-def malformed_rule(rows: DataFrame) -> DataFrame:
+def malformed_rule(df: DataFrame) -> DataFrame:
     """Validity: rows that a reader couldn't fit to the columns; no rule row where there are none."""
-    bad = F.count(G.CORRUPT_COLUMN)
-    return (rows.agg(bad.cast("bigint").alias("bad"), F.count(F.lit(1)).cast("bigint").alias("eligible"))
+    # file readers refuse to give that column alone, so the condition also reads another one
+    others = [F.col(f"`{c}`") for c in df.columns if c != G.CORRUPT_COLUMN][:1]
+    bad = F.count_if(F.col(G.CORRUPT_COLUMN).isNotNull() & (F.length(F.concat_ws("", *[c.cast("string") for c in others])) >= 0))
+    return (df.agg(bad.cast("bigint").alias("bad"), F.count(F.lit(1)).cast("bigint").alias("eligible"))
             .where("bad > 0")
             .select(F.lit("Validity").alias("dimension"), F.lit("malformed_rows").alias("rule"),
                     F.lit("*").alias("column_name"), "bad", "eligible", F.lit(0).cast("bigint").alias("distinct_values")))

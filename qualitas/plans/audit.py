@@ -26,19 +26,21 @@ from pyspark.sql import functions as F
 from qualitas.functions import grammar as G
 from qualitas.operators import cells as C
 from qualitas.operators import crosscol, findings, profile as P, rules as R, score as S
-from qualitas.session import ensure_checkpoint_dir
+from qualitas.operators.sampling import bottom_k
+from qualitas.session import ensure_checkpoint_dir, work_folder
 
 
 class Audit:
     def __init__(self, df: DataFrame, name: str, *, as_of, columns=None, domain: str = G.DEFAULT_DOMAIN,
-                 sample_fraction: float | None = None, sample_seed: int = 0, blank_as_zero: bool = False, day_first: bool = False,
+                 sample_fraction: float | None = None, sample_rows: int | None = None, sample_seed: int = 0, blank_as_zero: bool = False, day_first: bool = False,
                  range_rules=G.DEFAULT_RANGE_RULES, keys=None, parents: dict | None = None,
                  pan_columns=("card_brand", "card_number"), dependent_null_columns=None,
                  freshness_years: int = G.FRESHNESS_YEARS, weights: dict | None = None,
                  dataset_id: str | None = None, checkpoint_rules: bool = True, approx: bool = False):
         read = df if sample_fraction is None else df.sample(float(sample_fraction), int(sample_seed))
+        read = read if sample_rows is None else bottom_k(read, int(sample_rows), int(sample_seed))
         # malformed rows as the readers keep them are counted (see rules); the column is none of the dataset's
-        self.malformed = read.select(G.CORRUPT_COLUMN) if G.CORRUPT_COLUMN in df.columns and not columns else None
+        self.malformed = read if G.CORRUPT_COLUMN in df.columns and not columns else None
         names = list(columns) if columns else [c for c in df.columns if c != G.CORRUPT_COLUMN]
         self.source = read.select(*[F.col(f"`{c}`") for c in names])
         self.name = name
@@ -111,14 +113,12 @@ class Audit:
 
     @cached_property
     def categorical(self) -> DataFrame:
-        """Top values and distinct counts; long texts are fetched for the top values alone."""
+        """Top values and distinct counts; of long values only ties are compared, and only top ones fetched.
+
+        Values are counted when this is first used (the counts' top is a written table)."""
         if self.approx:
             return P.approx_categorical_finish(self.per_column)
-        top = P.top_values(self.counts).join(C.distinct_counts(self.counts), "column_name")
-        texts = C.long_values(self.source, top)
-        return (top.join(texts, (top["column_name"] == texts["column_name"]) & (top["value"] == texts["key"]), "left")
-                .select(top["column_name"], "distinct_values", "rank",
-                        F.coalesce("text", "value").alias("value"), "n"))
+        return P.top_values(C.cells(self.source), work_folder(self.spark, "top-values"))
 
     @cached_property
     def temporal(self) -> DataFrame:

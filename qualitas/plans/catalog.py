@@ -5,12 +5,21 @@ full and returns a flat DataFrame whose column names match the oracle SQL.
 """
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from qualitas.functions.urls import is_public_url, is_valid_table_name
 from qualitas.operators import crosscol, findings, profile as P, rules as R, score as S, windows as W
 from qualitas.operators.approx import approx_profile
+from qualitas.operators.cells import cells, column_kinds
+from qualitas.operators.discovery import candidate_keys, inclusion_dependencies
+from qualitas.operators.evidence import evidence, iban_digits, luhn_digit
+from qualitas.operators.formats import formats
+from qualitas.operators.sampling import bottom_k
+from qualitas.operators.states import merged_profile, write_states
 from qualitas.plans import document as D
 from qualitas.plans.audit import Audit
 from qualitas.plans.many import Datasets
@@ -18,7 +27,8 @@ from qualitas.plans.report import (
     append_history, first_risk, read_reports, remediation_report as _report, write_profile_json, write_reports,
 )
 from qualitas.session import work_folder
-from qualitas.sources.readers import CORRUPT, read_csv, read_json_array, read_json_documents
+from qualitas.sources.bson import read_bson, write_bson
+from qualitas.sources.readers import read_csv, read_json_array, read_json_documents
 from qualitas.sources.tables import load_dirty_payments, table
 from qualitas.streaming.windowed import latest_windows, stream_profile_to_history, windowed_profile as _windowed
 
@@ -236,8 +246,116 @@ def source_csv(spark, sf_dir):
     """The fixture landed as CSV files and profiled through the CSV reader."""
     folder = _land(spark, "csv")
     _dirty(spark, sf_dir).write.csv(folder, header=True, quote='"', escape='"')
-    read = read_csv(spark, folder)
-    return _profile_flat(Audit(read, "csv", as_of=AS_OF_ORDERS, columns=[c for c in read.columns if c != CORRUPT]).columns)
+    return _profile_flat(Audit(read_csv(spark, folder), "csv", as_of=AS_OF_ORDERS).columns)
+
+
+def source_csv_scores(spark, sf_dir):
+    """Dimension scores of the fixture landed as CSV files and audited as they are read."""
+    folder = _land(spark, "csv")
+    _dirty(spark, sf_dir).write.csv(folder, header=True, quote='"', escape='"')
+    a = Audit(read_csv(spark, folder), "csv", as_of=AS_OF_ORDERS, keys=["txn_id"],
+              parents={"client_id": (table(spark, sf_dir, "customer"), "c_custkey")})
+    return a.scores.select("dimension", "bad", "eligible", "score")
+
+
+def order_notes(orders: DataFrame) -> DataFrame:
+    """Orders with a text of several lines, quotes and separators."""
+    key = F.col("o_orderkey")
+    note = F.concat(F.lit('said "'), F.col("o_orderstatus"), F.lit('",\nthen\r\n"'), (key % 100).cast("string"), F.lit('"'))
+    return orders.select(key.cast("string").alias("order_id"), F.when(key % 7 != 0, note).alias("note"),
+                         F.col("o_orderpriority").alias("priority"))
+
+
+def source_csv_multiline(spark, sf_dir):
+    """Texts of several lines landed as CSV files, read by ranges and audited."""
+    folder = _land(spark, "csv-multiline")
+    order_notes(table(spark, sf_dir, "orders")).write.csv(folder, header=True, quote='"', escape='"')
+    a = Audit(read_csv(spark, folder, multiline=True, split_bytes=1 << 20), "notes", as_of=AS_OF_ORDERS)
+    return a.categorical
+
+
+def categorical_documents(spark, sf_dir):
+    """Top values of the documents' texts, also under a common opening that is longer than a value's key."""
+    docs = table(spark, sf_dir, "documents")
+    opened = docs.select("text", F.concat(F.lit("All of these texts begin with one and the same long sentence. " * 4), "text")
+                         .alias("opened"), "lang")
+    return Audit(opened, "texts", as_of=AS_OF_ORDERS).categorical
+
+
+def sample_rows(spark, sf_dir):
+    """Exactly 1000 rows of ``lineitem``, the ones of the least priorities."""
+    return bottom_k(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity"), 1000, seed=7,
+                    keys=["l_orderkey", "l_linenumber"])
+
+
+#: Tables whose references are looked for.
+REFERRING = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
+
+
+def find_references(spark, sf_dir):
+    """Columns of whole numbers whose values all occur in a unique column: the candidates for foreign keys."""
+    frames = {name: table(spark, sf_dir, name) for name in REFERRING}
+    whole = {name: [c for c, kind in column_kinds(df).items() if kind == "i"] for name, df in frames.items()}
+    return inclusion_dependencies(frames, whole).where("parent_unique").drop("parent_unique")
+
+
+def find_keys(spark, sf_dir):
+    """Minimal keys of one or two columns of each table."""
+    found = [candidate_keys(table(spark, sf_dir, name)).select(F.lit(name).alias("table_name"),
+                                                               F.array_join("columns", ",").alias("key_columns"))
+             for name in REFERRING]
+    return reduce(DataFrame.unionAll, found)
+
+
+def column_formats(spark, sf_dir):
+    """The formats of the values of each column of the fixture."""
+    return formats(cells(_dirty(spark, sf_dir))).withColumn("share", F.round("share", 9))
+
+
+def evidence_payments(orders: DataFrame) -> DataFrame:
+    """Personal data under column names that say nothing: card numbers and accounts with right check digits, mail
+    addresses, and numbers that only look alike."""
+    key = F.col("o_orderkey")
+    card = F.concat(F.lit("4"), F.lpad(key.cast("string"), 14, "0"))
+    account = F.lpad((key * 7919 + 13).cast("string"), 16, "0")
+    return orders.select(
+        F.concat(card, luhn_digit(card)).alias("c1"),
+        F.concat(F.lit("DE"), iban_digits(F.lit("DE"), account), account).alias("c2"),
+        F.when(key % 5 != 0, F.concat(F.lit("u"), key.cast("string"), F.lit("@mail.example"))).otherwise("none").alias("c3"),
+        F.concat(F.lit("4"), F.lpad(key.cast("string"), 15, "0")).alias("c4"),
+        F.concat(F.lit("DE00"), account).alias("c5"), F.col("o_orderpriority").alias("c6"))
+
+
+def personal_data_evidence(spark, sf_dir):
+    """What the values of neutrally named columns say about personal data."""
+    return evidence(cells(evidence_payments(table(spark, sf_dir, "orders")))).withColumn("share", F.round("share", 9))
+
+
+def source_bson(spark, sf_dir):
+    """Orders landed as collection dumps, read back by ranges with a filter on a top-level field, and profiled."""
+    folder = _land(spark, "bson")
+    orders = table(spark, sf_dir, "orders")
+    write_bson(orders, folder)
+    schema = T.StructType([f for f in orders.schema.fields])
+    read = read_bson(spark, folder, schema, split_bytes=1 << 20, equals={"o_orderstatus": "O"})
+    return _profile_flat(Audit(read, "orders", as_of=AS_OF_ORDERS).columns)
+
+
+def audit_incremental(spark, sf_dir):
+    """Orders profiled by years into a history of states, the last year later than the others, and merged; without
+    the estimates, for SQL."""
+    whole = audit_incremental_sketches(spark, sf_dir).drop("distinct_estimate", "top_values")
+    return whole.withColumn("mean", F.round("mean", 6))
+
+
+def audit_incremental_sketches(spark, sf_dir):
+    """The whole merged profile, with its distinct estimates and top values."""
+    folder, orders = _land(spark, "states"), table(spark, sf_dir, "orders")
+    year = F.year("o_orderdate")
+    last = orders.agg(F.max(year)).first()[0]
+    write_states(orders.where((year < last) | year.isNull()), folder, "orders", year)
+    write_states(orders.where(year == last), folder, "orders", str(last))
+    return merged_profile(spark.read.parquet(folder), "orders")
 
 
 def source_json_documents(spark, sf_dir):
@@ -416,6 +534,17 @@ QUERIES = {
     "remediation_report": remediation_report,
     "issues_all_values": issues_all_values,
     "source_csv": source_csv,
+    "source_csv_scores": source_csv_scores,
+    "source_csv_multiline": source_csv_multiline,
+    "categorical_documents": categorical_documents,
+    "sample_rows": sample_rows,
+    "find_references": find_references,
+    "find_keys": find_keys,
+    "column_formats": column_formats,
+    "personal_data_evidence": personal_data_evidence,
+    "source_bson": source_bson,
+    "audit_incremental": audit_incremental,
+    "audit_incremental_sketches": audit_incremental_sketches,
     "source_json_documents": source_json_documents,
     "source_json_array": source_json_array,
     "sink_audit_history": sink_audit_history,

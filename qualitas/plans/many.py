@@ -10,6 +10,7 @@ from qualitas.functions import grammar as G
 from qualitas.operators import cells as C
 from qualitas.operators import profile as P
 from qualitas.operators import rules as R
+from qualitas.session import work_folder
 
 BY = ("dataset_name",)
 
@@ -49,8 +50,9 @@ class Datasets:
 
     @property
     def categorical(self) -> DataFrame:
-        """Top values, long ones by their key."""
-        return P.top_values(C.count_values(self._all(C.cells), BY), BY)
+        """Top values and distinct counts."""
+        spark = next(iter(self.frames.values())).sparkSession
+        return P.top_values(self._all(C.cells), work_folder(spark, "top-values"), BY)
 
     @property
     def rules(self) -> DataFrame:
