@@ -94,7 +94,7 @@ SELECT query_id, rank, neighbour_id, distance FROM ranked WHERE rank <= 10
 def op6_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate class of every document, by 2-word shingles at a similarity of 0.8."""
     found = superminhash.near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
-    return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    return found.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
 
 
 OP6_SQL = r"""

@@ -1,15 +1,16 @@
 """Operator 6: near-duplicate detection with SuperMinHash.
 
 A document is its set of distinct shingles (runs of ``words`` words; A-Z in lower case, words between ASCII white
-space; a shorter document is one shingle), as 64-bit hashes.  Two documents are linked if
-``100 * |intersection| >= percent * |union|``; a class is what links connect.
+space; a shorter document is one shingle).  Two documents are linked if
+``100 * |intersection| >= percent * |union|``; a class is what links connect.  Sets are handled as 64-bit hashes (of
+xxhash values of the words), and a link counts once the shingles themselves confirm it.
 
 1. Every set gives a SuperMinHash signature of ``bands * rows`` places.  Element x deals the places out in a random
    order of its own; as the j-th it offers the place the value j + random fraction, and each place keeps its least
    offer.  Ranks of one element are correlated, so the estimate varies less than with independent hashes.  Elements
    are handled rank by rank, all at once, and a document stops as soon as no place can fall any further: one rank
    for long documents, some for short ones.  (The order of the offers doesn't matter to the minimum.)
-2. Equal sets form one group, represented by its smallest document id; only these go on.
+2. Equal sets form one group, represented by one of its texts; only these go on.
 3. Each run of ``rows`` places is a band; documents with an equal band share a bucket.  In each bucket all members
    are paired with one hub.  Pairs are verified on the full sets, links are joined into components, and buckets
    whose members are still in several components get another hub out of the largest one, for the others only.  In
@@ -21,11 +22,12 @@ space; a shorter document is one shingle), as 64-bit hashes.  Two documents are
 With 42 bands of 5 rows a pair at a similarity of 0.8 shares no bucket once in 18 million.
 
 Null and empty texts and texts without words have no shingles and no links, and neither do rows without an id.
-Repeated rows are in one class.  A document id is expected to name one text; texts that share their smallest id
-count as one.  An empty table gives an empty result.  Other columns are ignored.
+Repeated rows are in one class; different texts under one id are documents of their own.  An empty table gives an
+empty result.  Other columns are ignored.
 """
 from __future__ import annotations
 
+import functools
 import re
 from functools import reduce
 
@@ -42,14 +44,15 @@ BANDS, ROWS = 42, 5
 PERCENT = 80
 HUB_ROUNDS = 1
 #: Shingles of a bucket's members that one block holds, about.
-BLOCK_SHINGLES = 1 << 20
+BLOCK_SHINGLES = 1 << 18
+#: Nodes that union-find holds at once.
+FOREST_NODES = 1 << 19
 #: Texts hashed at once, and elements ranked at once: bounds of a task's memory.
 TEXT_BYTES = 1 << 19
 ELEMENTS = 1 << 16
 
 _U = np.uint64
 _GOLDEN, _MIX1, _MIX2 = _U(0x9E3779B97F4A7C15), _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB)
-_BASE = 0xD1342543DE82EF95                       # odd, so that powers can be undone
 _LOW = _U(0xFFFFFFFF)
 _UNSET = np.uint32(0xFFFFFFFF)
 _SPACE = re.compile(rb"[ \t-\r]")
@@ -62,37 +65,10 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-_BYTE_VALUES = mixed(np.arange(1, 257, dtype=np.uint64) * _GOLDEN)
-_IN_WORD = np.array([not (b == 32 or 9 <= b <= 13) for b in range(256)])
-
-
-class _Powers:
-    """Powers of the base and of its inverse, as far as the longest run of text needed so far."""
-
-    def __init__(self):
-        self.up, self.down = np.ones(1, _U), np.ones(1, _U)
-
-    def upto(self, n: int):
-        while len(self.up) < n:
-            size = len(self.up)
-            step, back = pow(_BASE, size, 1 << 64), pow(pow(_BASE, -1, 1 << 64), size, 1 << 64)
-            self.up = np.concatenate([self.up, self.up * _U(step)])
-            self.down = np.concatenate([self.down, self.down * _U(back)])
-        return self.up[:n], self.down
-
-
-_POWERS = _Powers()
-
-
-def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Start and 64-bit hash of every word in ``raw`` (already in lower case)."""
-    text = np.frombuffer(raw, np.uint8)
-    inside = _IN_WORD[text]
-    edges = np.flatnonzero(np.diff(inside, prepend=False, append=False))
-    starts, ends = edges[::2], edges[1::2]
-    up, down = _POWERS.upto(len(text))
-    sums = np.concatenate([np.zeros(1, _U), np.cumsum(_BYTE_VALUES[text] * up, dtype=np.uint64)])
-    return starts, mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(_U) * _GOLDEN)
+def word_hashes(raw: bytes) -> np.ndarray:
+    """64-bit hash of every word in ``raw`` (already in lower case)."""
+    words = raw.split()                                         # at ASCII white space
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), _U, len(words))
 
 
 def _pieces(raw: bytes):
@@ -108,15 +84,19 @@ def _pieces(raw: bytes):
 
 def shingle_sets(texts: list[str], words: int) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
-    raws = [t.encode().lower() for t in texts]
-    if sum(map(len, raws)) <= 2 * TEXT_BYTES:
-        starts, hashes = word_hashes(b" ".join(raws))
-        begins = np.cumsum([0] + [len(r) + 1 for r in raws])
-        cuts = np.searchsorted(starts, begins)
-        each = [hashes[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
-    else:
-        each = [np.concatenate([word_hashes(p)[1] for p in _pieces(r)]) for r in raws]
-    return [_shingles(h, words) for h in each]
+    return [_shingles(np.concatenate([word_hashes(p) for p in _pieces(t.encode().lower())]), words) for t in texts]
+
+
+def shingles_of(text: str, words: int) -> set[tuple[bytes, ...]]:
+    """The shingles of a text themselves."""
+    w = text.encode().lower().split()
+    return set(zip(*(w[i:] for i in range(words)), strict=False)) if len(w) >= words else {tuple(w)} if w else set()
+
+
+def confirmed(a: set, b: set, percent: int) -> bool:
+    """Whether two sets of shingles are linked."""
+    common = len(a & b)
+    return bool(a and b) and 100 * common >= percent * (len(a) + len(b) - common)
 
 
 def _shingles(hashes: np.ndarray, words: int) -> np.ndarray:
@@ -183,33 +163,35 @@ def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def features(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
-    """``doc_id, n, digest, keys`` of every row: set size, digest of the set, band keys."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("keys", pa.list_(pa.int64()))])
+    """``doc_id, text_hash, n, digest, keys`` of every row: set size, digest of the set, band keys."""
+    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()),
+                        ("keys", pa.list_(pa.int64()))])
 
-    def made(ids, texts):
+    def made(ids, hashes, texts):
         sets = shingle_sets(texts, words)
         keys = band_keys(signatures(sets, bands * rows), bands, rows)
         return pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
+            [pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
              pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
              pa.array([k if len(s) else [] for s, k in zip(sets, keys, strict=True)], pa.list_(pa.int64()))], schema=schema)
 
     def run(batches):
         for batch in batches:
-            ids, texts, size = [], [], 0
+            ids, hashes, texts, size = [], [], [], 0
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                for doc_id, text in zip(part["doc_id"].to_pylist(), part["text"].to_pylist(), strict=True):
+                for doc_id, text_hash, text in zip(*(part[c].to_pylist() for c in ("doc_id", "text_hash", "text")), strict=True):
                     ids.append(doc_id)
+                    hashes.append(text_hash)
                     texts.append(text)
                     size += len(text)
                     if size >= TEXT_BYTES:
-                        yield made(ids, texts)
-                        ids, texts, size = [], [], 0
+                        yield made(ids, hashes, texts)
+                        ids, hashes, texts, size = [], [], [], 0
             if ids:
-                yield made(ids, texts)
+                yield made(ids, hashes, texts)
 
-    return docs.mapInArrow(run, "doc_id long, n long, digest binary, keys array<long>")
+    return docs.mapInArrow(run, "doc_id long, text_hash long, n long, digest binary, keys array<long>")
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -221,18 +203,21 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs ``a, b`` whose full sets are similar enough; ``texts`` has ``node, text``."""
+    """The pairs ``a, b`` whose full sets are similar enough, by the shingles themselves; ``texts`` has ``node, text``."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def check(batches):
-        last: tuple[int | None, np.ndarray] = (None, np.array([], _U))
+        last: tuple = (None, np.array([], _U), set())
 
         def rows(a, b, text_a, text_b):
             nonlocal last
             if last[0] != b:                                    # pairs of one hub follow one another
-                last = (b, shingle_sets([text_b], words)[0])
+                last = (b, shingle_sets([text_b], words)[0], None)
             if similar(shingle_sets([text_a], words)[0], last[1], percent):
-                yield a, b
+                if last[2] is None:
+                    last = (*last[:2], shingles_of(text_b, words))
+                if confirmed(shingles_of(text_a, words), last[2], percent):
+                    yield a, b
         yield from flat_map(batches, schema, rows)
 
     both = (pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
@@ -240,8 +225,12 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Da
     return both.select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long")
 
 
-def block_links(outside: list[tuple[int, int, np.ndarray]], members: list[tuple[int, int, np.ndarray]], percent: int):
-    """Links of a block: for each ``(node, component, set)`` outside, one to each other component it is similar to."""
+def block_links(outside: list[tuple[int, int, np.ndarray]], members: list[tuple[int, int, np.ndarray]], percent: int,
+                sure=lambda i, j: True):
+    """Links of a block: for each ``(node, component, set)`` outside, one to each other component it is similar to.
+
+    ``sure(i, j)`` confirms a link between an outside member and another one by their shingles.
+    """
     if not members:
         return
     sizes = np.array([len(x) for _, _, x in members])
@@ -249,15 +238,17 @@ def block_links(outside: list[tuple[int, int, np.ndarray]], members: list[tuple[
     hashes = np.concatenate([x for _, _, x in members])
     order = np.argsort(hashes, kind="stable")
     hashes, owner = hashes[order], np.repeat(np.arange(len(members)), sizes)[order]
-    for node, component, x in outside:
+    for place, (node, component, x) in enumerate(outside):
         first, last = np.searchsorted(hashes, x, "left"), np.searchsorted(hashes, x, "right")
         many = last - first
         at = np.repeat(first - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())
         common = np.bincount(owner[at], minlength=len(members))
         linked = np.flatnonzero((100 * common >= percent * (len(x) + sizes - common)) & (components != component))
-        _, one = np.unique(components[linked], return_index=True)
-        for i in linked[one].tolist():
-            yield node, members[i][0]
+        done = set()
+        for i in linked.tolist():
+            if members[i][1] not in done and sure(place, i):
+                done.add(members[i][1])
+                yield node, members[i][0]
 
 
 def compared(open_: DataFrame, texts: DataFrame, words: int, percent: int, folder: str) -> DataFrame:
@@ -284,11 +275,15 @@ def compared(open_: DataFrame, texts: DataFrame, words: int, percent: int, folde
 
     def links(block: pa.Table) -> pa.Table:
         sides: dict[bool, list] = {True: [], False: []}
+        texts_of: dict[bool, list] = {True: [], False: []}
         for part in block.to_batches(max_chunksize=500):
             rows = [part[c].to_pylist() for c in ("outside", "node", "component", "text")]
-            for role, node, component, x in zip(*rows[:3], shingle_sets(rows[3], words), strict=True):
+            for role, node, component, text, x in zip(*rows, shingle_sets(rows[3], words), strict=True):
                 sides[role].append((node, component, x))
-        found = list(block_links(sides[True], sides[False], percent))
+                texts_of[role].append(text)
+        shingles = functools.cache(lambda role, i: shingles_of(texts_of[role][i], words))
+        found = list(block_links(sides[True], sides[False], percent, lambda i, j: confirmed(
+            shingles(True, i), shingles(False, j), percent)))
         return pa.Table.from_pydict({"a": [a for a, _ in found], "b": [b for _, b in found]}, schema=schema)
 
     return rows.groupBy("key", "o", "m").applyInArrow(links, "a long, b long")
@@ -297,7 +292,7 @@ def compared(open_: DataFrame, texts: DataFrame, words: int, percent: int, folde
 # -- components -----------------------------------------------------------------------------------------------
 
 def _forest(batches):
-    """Union-find over the links of one partition: a link from every node to its root."""
+    """Union-find over runs of a partition's links, of bounded size: a link from every node to its root in the run."""
     parent: dict[int, int] = {}
 
     def root(x):
@@ -308,16 +303,22 @@ def _forest(batches):
             parent[x], x = top, parent[x]
         return top
 
+    def links():
+        found = [(x, root(x)) for x in parent]
+        found = [(x, r) for x, r in found if x != r]
+        parent.clear()
+        for at in range(0, len(found), 10_000):
+            part = found[at:at + 10_000]
+            yield pa.RecordBatch.from_pydict({"u": [x for x, _ in part], "v": [r for _, r in part]},
+                                             schema=pa.schema([("u", pa.int64()), ("v", pa.int64())]))
+
     for batch in batches:
         for a, b in zip(batch["u"].to_pylist(), batch["v"].to_pylist(), strict=True):
             a, b = root(a), root(b)
             parent[max(a, b)] = min(a, b)
-    links = [(x, root(x)) for x in parent]
-    links = [(x, r) for x, r in links if x != r]
-    for at in range(0, len(links), 10_000):
-        part = links[at:at + 10_000]
-        yield pa.RecordBatch.from_pydict({"u": [x for x, _ in part], "v": [r for _, r in part]},
-                                         schema=pa.schema([("u", pa.int64()), ("v", pa.int64())]))
+            if len(parent) >= FOREST_NODES:                      # the star steps join the runs
+                yield from links()
+    yield from links()
 
 
 def components(links: DataFrame, folder: str) -> DataFrame:
@@ -354,21 +355,28 @@ def components(links: DataFrame, folder: str) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, words: int = 2, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS,
                     hub_rounds: int = HUB_ROUNDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_shingles, component_id`` of every row."""
+    """``doc_id, n_shingles, component_id, text_hash, first`` of every row.
+
+    ``first`` marks the row of each class that stays: of the smallest id, and of its texts, the one of the least hash
+    (``text_hash``, the same for repeated rows).
+    """
     spark = docs.sparkSession
     folder = work_folder(spark, "near-duplicates")
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    source = source.withColumn("text_hash", F.xxhash64("text"))
     each = written(features(source, words, bands, rows), f"{folder}/features")
+    # a group's number is its own, as one id may have several texts; once written it doesn't change
     groups = written(each.where("n > 0 AND doc_id IS NOT NULL").groupBy("digest")
-                     .agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("keys").alias("keys")),
-                     f"{folder}/groups")
+                     .agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), F.first("n").alias("n"),
+                          F.first("keys").alias("keys"))
+                     .withColumn("node", F.monotonically_increasing_id()), f"{folder}/groups")
     banded = groups.select("node", "n", F.explode("keys").alias("key"))
     hubs = written(banded.groupBy("key").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("members"))
                    .where("members > 1"), f"{folder}/hubs")
     members = written(banded.join(hubs, "key"), f"{folder}/members")
-    involved = members.select("node").distinct()
-    texts = written(source.withColumnRenamed("doc_id", "node").join(involved, "node", "left_semi")
-                    .dropDuplicates(["node"]), f"{folder}/texts")
+    involved = groups.join(members.select("node").distinct(), "node", "left_semi").select("node", "first.*")
+    texts = written(source.join(involved, ["doc_id", "text_hash"]).select("node", "text").dropDuplicates(["node"]),
+                    f"{folder}/texts")
 
     tested, links = [], []
 
@@ -405,15 +413,18 @@ def near_duplicates(docs: DataFrame, words: int = 2, percent: int = PERCENT, ban
                                 f"{folder}/component-last")
         else:
             try_pairs(open_.where("component <> main").select(F.col("node").alias("a"), F.col("hub").alias("b")))
-    classes = groups.select("digest", "node")
+    classes = groups.select("digest", "node", "first")
     if component is not None:
         classes = (classes.join(component, "node", "left")
-                   .select("digest", F.coalesce("component", "node").alias("node")))
-    classes = written(classes, f"{folder}/classes")
+                   .select("digest", F.coalesce("component", "node").alias("node"), "first"))
+    least = classes.groupBy("node").agg(F.min("first").alias("least"))
+    classes = written(classes.select("digest", "node").join(least, "node").select("digest", "least"), f"{folder}/classes")
     steps = [*range(hub_rounds + 1), "last"]
     for used in ("groups", "hubs", "members", "texts", "sizes", *(f"{kind}-{i}" for kind in (
             "pairs", "links", "components", "component", "open") for i in steps)):
         remove(spark, f"{folder}/{used}")                    # the result needs the features and the classes only
-    linked = F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.col("node")).otherwise(F.col("doc_id"))
+    able = F.col("doc_id").isNotNull() & (F.col("n") > 0)
     return each.join(classes, "digest", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), linked.alias("component_id"))
+        "doc_id", F.col("n").alias("n_shingles"), F.when(able, F.col("least.doc_id")).otherwise(F.col("doc_id"))
+        .alias("component_id"), "text_hash",
+        F.when(able, F.struct("doc_id", "text_hash") == F.col("least")).otherwise(True).alias("first"))
