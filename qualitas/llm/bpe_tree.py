@@ -1,108 +1,111 @@
 """Operator 9: BPE encoding by tree concatenation, and decoding.
 
-Long texts are cut into parts which many tasks encode at once.  Cuts fall on pre-token borders as long as there
-are any.  A single pre-token longer than a leaf ("unsplit" text: a run of letters, marks or spaces) is halved
-again and again; its halves are encoded apart and joined pairwise up the tree.  At each join a window of ids on
-both sides is decoded and encoded again, and doubled until its first id equals the left side's id and its last
-id the right side's id at the same places.  A sequence of BPE tokens is the encoding of its string exactly if
-each neighbouring pair encodes to itself; every pair then lies inside a side or inside the window, so the joined
-ids equal those of the whole.
-
-Nulls and empty texts encode to no ids.  Rows are never merged: repeated rows and repeated or null ids each give
-their own row.  Columns other than the id and the text are ignored.
+A long text is halved, as it is, until its parts are leaves, which many tasks encode at once.  Parts are joined
+pairwise up the tree.  At each join the last ids of the left side and the first ones of the right side are decoded to
+the text around the cut, and encoded again, pre-tokenizer and all.  The window grows until both sides agree with it: a
+pre-token border lies in it on either side (white space behind a character that is none, where every text has one,
+whatever stands around), and the ids between that border and the next are those which the side has there.  Left of the
+first border and right of the last one the sides' ids stand; a side without such a border (an unsplit run of letters)
+is taken into the window whole.
+
+Texts with special tokens or white space of unsettled classes in them are encoded in one piece, as both may depend on
+more than the window.  Nulls and empty texts encode to no ids.  Rows are never merged: repeated rows and repeated or
+null ids each give their own row.  Columns other than the id and the text are ignored.
 """
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from qualitas.llm.batches import flat_map
-from qualitas.llm.bpe import ID, encoder, unlettered
+from qualitas.llm.bpe import ID, encoder
 
 #: Texts with more code points are cut into parts of about this many.
 LEAF_CHARS = 16_384
 
+#: Ids on either side of a cut that the first window has.
+WINDOW_IDS = 16
+
 _IDS = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
-_PARTS = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("part", pa.int32()), ("run", pa.int32()),
-                    ("kind", pa.string()), ("chunk", pa.binary())])
-_ENCODED = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("part", pa.int32()), ("run", pa.int32()),
-                      ("ids", pa.binary())])
+_PARTS = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("part", pa.int32()), ("chunk", pa.string())])
+_ENCODED = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("part", pa.int32()), ("ids", pa.binary())])
+
+#: The character before a border.
+_BORDER = re.compile(r"\S(?=\s)")
+
+
+def halves(text: str, leaf: int) -> list[str]:
+    """The leaves of the binary tree over ``text``."""
+    if len(text) <= leaf:
+        return [text]
+    middle = len(text) // 2
+    return halves(text[:middle], leaf) + halves(text[middle:], leaf)
 
 
-def halves(raw: bytes, leaf: int) -> list[bytes]:
-    """The leaves of the binary tree over ``raw``."""
-    if len(raw) <= leaf:
-        return [raw]
-    middle = len(raw) // 2
-    return halves(raw[:middle], leaf) + halves(raw[middle:], leaf)
+def _text(ids: np.ndarray, bytes_of) -> str | None:
+    """The text of ids, or None if they begin or end within a character."""
+    try:
+        return b"".join([bytes_of[i] for i in ids.tolist()]).decode()
+    except UnicodeDecodeError:
+        return None
 
 
-def join_sides(left: np.ndarray, right: np.ndarray, merge, bytes_of) -> np.ndarray:
-    """Ids of the string whose two sides have the ids ``left`` and ``right``."""
-    width = 2
-    while len(left) and len(right):
+def _ids(enc, text: str) -> np.ndarray:
+    return np.frombuffer(enc.encode(text), ID)
+
+
+def join_sides(left: np.ndarray, right: np.ndarray, enc) -> np.ndarray:
+    """Ids of the text whose two sides have the ids ``left`` and ``right``."""
+    width = WINDOW_IDS
+    while True:
         a, b = left[-width:], right[:width]
-        again = np.array(merge(b"".join([bytes_of[i] for i in (*a.tolist(), *b.tolist())])), ID)
-        starts_alike = len(a) == len(left) or again[0] == a[0]
-        ends_alike = len(b) == len(right) or again[-1] == b[-1]
-        if starts_alike and ends_alike:
-            return np.concatenate([left[: len(left) - len(a)], again, right[len(b):]])
+        all_left, all_right = len(a) == len(left), len(b) == len(right)
+        before, after = _text(a, enc.bytes_of), _text(b, enc.bytes_of)
         width *= 2
-    return np.concatenate([left, right])
+        if before is None or after is None:
+            continue
+        first = [m.end() for m in _BORDER.finditer(before)][:2]
+        last = [m.end() for m in _BORDER.finditer(after)][-2:]
+        if (len(first) < 2 and not all_left) or (len(last) < 2 and not all_right):
+            continue
+        start, stop = 0 if all_left else first[0], len(after) if all_right else last[1]
+        again = _ids(enc, before[start:] + after[:stop])
+        head = tail = 0                                          # ids of the sides that the window replaces
+        if not all_left:
+            agreed = _ids(enc, before[first[0]:first[1]])
+            head = len(left) - (len(a) - _count(a, before[:start], enc))
+            if not (np.array_equal(left[head:head + len(agreed)], agreed) and np.array_equal(again[:len(agreed)], agreed)):
+                continue
+        if not all_right:
+            agreed = _ids(enc, after[last[0]:last[1]])
+            tail = _count(b, after[:stop], enc)
+            if not (np.array_equal(right[tail - len(agreed):tail], agreed)
+                    and np.array_equal(again[len(again) - len(agreed):], agreed)):
+                continue
+        return np.concatenate([left[:head], again, right[len(right) if all_right else tail:]])
+
 
+def _count(ids: np.ndarray, text: str, enc) -> int:
+    """How many of the ids make ``text``, which ends where a token does."""
+    sizes = np.cumsum([len(enc.bytes_of[i]) for i in ids.tolist()])
+    return int(np.searchsorted(sizes, len(text.encode()), "left")) + 1 if text else 0
 
-def join_tree(leaves: list[np.ndarray], merge, bytes_of) -> np.ndarray:
+
+def join_tree(leaves: list[np.ndarray], enc) -> np.ndarray:
     """Join the ids of neighbouring leaves pairwise until one sequence is left."""
     while len(leaves) > 1:
-        leaves = [join_sides(*leaves[i:i + 2], merge, bytes_of) if i + 1 < len(leaves) else leaves[i]
+        leaves = [join_sides(*leaves[i:i + 2], enc) if i + 1 < len(leaves) else leaves[i]
                   for i in range(0, len(leaves), 2)]
     return leaves[0] if leaves else np.array([], ID)
 
 
-def groups(strings: list[str], leaf: int):
-    """Consecutive strings in lists of about ``leaf`` characters; a string longer than that comes alone."""
-    held, size = [], 0
-    for s in strings:
-        if held and size + len(s) > leaf:
-            yield held
-            held, size = [], 0
-        held.append(s)
-        size += len(s)
-    if held:
-        yield held
-
-
-def cut(text: str, enc, leaf: int) -> list[tuple[int, str, bytes]]:
-    """Parts (run, kind, bytes) of a long text, to be encoded apart.
-
-    "text" is encoded as a text, "tokens" are pre-tokens in byte letters with spaces between; parts of one run
-    above 0 are halves of one unsplit pre-token.
-    """
-    parts: list[tuple[int, str, bytes]] = []
-    run = 0
-    for kind, segment in enc.segments(text):
-        units = [[segment]] if kind != "plain" else groups(enc.units(segment), leaf)
-        for held in units:
-            piece = "".join(held)
-            if len(piece) <= leaf or kind == "special":
-                parts.append((0, "text", piece.encode()))
-                continue
-            for tokens in groups([t for t, _ in enc.tokenizer.pre_tokenizer.pre_tokenize_str(piece)], leaf):
-                if len(tokens) > 1 or len(tokens[0]) <= leaf:
-                    parts.append((0, "tokens", " ".join(tokens).encode()))
-                else:
-                    run += 1
-                    parts += [(run, "half", half) for half in halves(unlettered(tokens[0]), leaf)]
-    return parts
-
-
-def leaf_ids(enc, kind: str, chunk: bytes) -> bytes:
-    if kind == "text":
-        return enc.encode(chunk.decode())
-    tokens = [chunk] if kind == "half" else map(unlettered, chunk.decode().split(" "))
-    return b"".join(np.array(enc.merge(t), ID).tobytes() for t in tokens)
+def cut(text: str, enc, leaf: int) -> list[str]:
+    """The parts of a long text that are encoded apart."""
+    return halves(text, leaf) if enc.segments(text) == [("plain", text)] else [text]
 
 
 def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text",
@@ -117,34 +120,26 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     def parts(batches):
         enc = encoder(tokenizer)
         yield from flat_map(batches, _PARTS, lambda row, doc_id, text: (
-            (row, doc_id, i, *part) for i, part in enumerate(cut(text, enc, leaf_chars))))
+            (row, doc_id, i, part) for i, part in enumerate(cut(text, enc, leaf_chars))))
 
     def leaves(batches):
         enc = encoder(tokenizer)
 
-        yield from flat_map(batches, _ENCODED, lambda row, doc_id, part, run, kind, chunk: (
-            (row, doc_id, part, run, leaf_ids(enc, kind, chunk)),))
+        yield from flat_map(batches, _ENCODED, lambda row, doc_id, part, chunk: ((row, doc_id, part, enc.encode(chunk)),))
 
     def joined(batches):
         enc = encoder(tokenizer)
-
-        def ids(doc_id, parts):
-            runs: list[tuple[int, list[np.ndarray]]] = []
-            for part in parts:                                        # sorted by part
-                if not runs or part["run"] == 0 or runs[-1][0] != part["run"]:
-                    runs.append((part["run"], []))
-                runs[-1][1].append(np.frombuffer(part["ids"], ID))
-            yield doc_id, b"".join(join_tree(r, enc.merge, enc.bytes_of).tobytes() for _, r in runs)
-        yield from flat_map(batches, _IDS, ids)
+        yield from flat_map(batches, _IDS, lambda doc_id, parts: (
+            (doc_id, join_tree([np.frombuffer(p["ids"], ID) for p in parts], enc).tobytes()),))      # sorted by part
 
     short = rows.where(F.length("text") <= leaf_chars).mapInArrow(whole, "doc_id long, ids binary")
     long = (rows.where(F.length("text") > leaf_chars)
             .select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-            .mapInArrow(parts, "row long, doc_id long, part int, run int, kind string, chunk binary")
+            .mapInArrow(parts, "row long, doc_id long, part int, chunk string")
             .repartition("row", "part")
-            .mapInArrow(leaves, "row long, doc_id long, part int, run int, ids binary")
+            .mapInArrow(leaves, "row long, doc_id long, part int, ids binary")
             .groupBy("row", "doc_id")
-            .agg(F.sort_array(F.collect_list(F.struct("part", "run", "ids"))).alias("parts"))
+            .agg(F.sort_array(F.collect_list(F.struct("part", "ids"))).alias("parts"))
             .select("doc_id", "parts")
             .mapInArrow(joined, "doc_id long, ids binary"))
     return short.unionAll(long)

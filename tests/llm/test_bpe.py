@@ -71,6 +71,34 @@ def test_tree_concatenation_of_unsplit_text(spark):
     assert sorted((r.text for r in back)) == sorted(t or "" for _, t, _ in rows)
 
 
+def test_long_documents_are_joined_in_windows(spark, monkeypatch):
+    """Every long text of the documents goes through joins, most of which look at a small window only."""
+    joins, encoded = [], []
+    join, encode = bpe_tree.join_sides, bpe_tree._ids
+    monkeypatch.setattr(bpe_tree, "join_sides", lambda *a: joins.append(1) or join(*a))
+    monkeypatch.setattr(bpe_tree, "_ids", lambda enc, text: encoded.append(len(text)) or encode(enc, text))
+    enc = bpe.encoder(BYTE)
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    for text in texts:
+        parts = bpe_tree.cut(text, enc, 500)
+        before = len(joins)
+        got = bpe_tree.join_tree([np.frombuffer(enc.encode(p), bpe.ID) for p in parts], enc)
+        assert got.tolist() == library(BYTE, [text])[0] and len(joins) - before == len(parts) - 1
+    assert len(joins) > 500 and sum(encoded) < 0.5 * sum(map(len, texts))
+    long = [t for t in texts if len(t) > bpe_tree.LEAF_CHARS]
+    assert long and all(len(bpe_tree.cut(t, enc, bpe_tree.LEAF_CHARS)) > 1 for t in long)
+
+
+def test_cuts_within_words_spaces_and_characters():
+    enc = bpe.encoder(BYTE)
+    rng = random.Random(8)
+    for _ in range(300):
+        text = "".join(rng.choice(["don't", " ", "  ", "\n", "a", "we'll", "12", "é", "漢字", "😀", "...", "x" * 40]) for _ in range(60))
+        parts = bpe_tree.halves(text, rng.randrange(3, 40))
+        got = bpe_tree.join_tree([np.frombuffer(enc.encode(p), bpe.ID) for p in parts], enc)
+        assert got.tolist() == library(BYTE, [text])[0], parts
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert bpe_tree.decode(bpe_tree.encode(docs, BYTE), BYTE).count() == 0
