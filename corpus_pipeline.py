@@ -25,15 +25,22 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, the one with the smallest id; repeated rows stay once."""
+    """One document of each group of near duplicates, the one with the smallest id; repeated rows stay once.
+
+    Different texts under one id are documents of their own.
+    """
     classes = superminhash.near_duplicates(docs, words=WORDS, percent=PERCENT)
-    kept = written(classes.where("doc_id = component_id").select("doc_id").distinct(), work_folder(spark, "kept-ids"))
-    first = (docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    return first.unionByName(docs.where("doc_id IS NULL")).select(docs.columns)
+    kept = written(classes.where("first AND doc_id IS NOT NULL").select("doc_id", F.col("text_hash").alias("_text"))
+                   .distinct(), work_folder(spark, "kept-texts"))
+    rows = docs.where("doc_id IS NOT NULL").withColumn("_text", F.xxhash64(F.coalesce("text", F.lit(""))))
+    first = rows.join(kept, ["doc_id", "_text"], "left_semi").dropDuplicates(["doc_id", "_text"]).select(docs.columns)
+    return first.unionByName(docs.where("doc_id IS NULL"))
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with personal data replaced by its kind, and their new lengths."""
+    if "n_chars" not in docs.columns:
+        raise ValueError("documents need the column n_chars, which is set to the masked texts' lengths")
     masked = pii_weak.mask(docs, pii_weak.train(pii_weak.vote_counts(docs)))
     return masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 
