@@ -74,5 +74,9 @@ def test_odd_rows_pass_every_stage(spark):
             assert out.columns == docs.columns and out.count() <= len(rows), name
     single = cp.drop_near_duplicates(spark, docs, SF)
     assert sorted(str(r.doc_id) for r in single.collect()) == ["1", "2", "3", "5", "None"]
+    two = spark.createDataFrame([(1, "one text of the id", "en", "s", 5), (1, "another text altogether", "en", "s", 5),
+                                 (1, "one text of the id", "en", "s", 5)], docs.drop("node").schema)
+    assert sorted(r.text for r in cp.drop_near_duplicates(spark, two, SF).collect()) == [
+        "another text altogether", "one text of the id"]
     assert cp.pack_sequences(spark, docs.limit(0), SF).count() == 0
     assert sum(r.length for r in cp.pack_sequences(spark, docs, SF).collect()) > 0
