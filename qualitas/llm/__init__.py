@@ -1 +1 @@
-"""Training-data operators: ten operators, their registered queries and the SQL that checks them."""
+"""Training-data operators: thirteen operators, their registered queries and the SQL that checks them."""
