@@ -1,14 +1,16 @@
 """Operator 7: I-Match document fingerprints, in DataFrame functions only.
 
 The terms of a text are its distinct runs of ASCII letters, digits and non-ASCII characters, A-Z in lower case.
-The lexicon is made of the terms whose inverse document frequency lies in a band: log(N / df) between ``low`` and
-``high`` times log(N), df counted over all documents.  A fingerprint has one part for each of several random
-subsets of the lexicon: the hash of the document's distinct terms in the subset, in sorted order.  Subsets of
-different density react to changes of different size, so the share of equal parts grades how alike two texts are.
+The lexicon is made of the terms whose inverse document frequency log(N / df), df counted over all documents, lies in
+a band.  Its lower edge is ``low`` times log(N).  Its upper edge is log(``most`` / m), m being the mean number of
+distinct terms of a document: a term needs at least one of ``most`` of all pairs of a document and a term.  So there
+are at most ``most`` lexicon terms over any corpus, of any size, and the edge doesn't move as a corpus grows.
+A fingerprint has one part for each of several random subsets of the lexicon: the hash of the document's distinct
+terms in the subset, in sorted order.  Subsets of different density react to changes of different size, so the share
+of equal parts grades how alike two texts are.
 
-Whether a term is in the lexicon is looked up in a bitmap of ``2**bits`` bits (512 KB as it stands, whatever the
-corpus), so that no text or term has to be shuffled for it.  A term outside the band counts as inside if it shares
-its place with one inside, which for a lexicon of L terms happens with a chance of L / 2**bits.
+Whether a term is in the lexicon is decided by the whole term (by its MD5 beyond 32 characters): the lexicon is a
+constant array of buckets, each a string of its terms, so no text or term has to be shuffled for it.
 
 A text without lexicon terms (an empty one, say) gets the hash of the whole text after "=", so equal texts, and
 only these, have equal fingerprints then too.  Null texts are empty.  Repeated rows get the same fingerprint.  An
@@ -21,9 +23,13 @@ import string
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Band of the inverse document frequency, in parts of log(N).
-LOW, HIGH = 0.1, 0.9
-BITS = 22
+from qualitas.session import work_folder, written
+
+#: Lower edge of the band of the inverse document frequency, in parts of log(N).
+LOW = 0.1
+#: The lexicon has this many terms at most.
+MOST = 1 << 18
+BUCKETS = 1 << 16
 #: Each subset of the lexicon takes the terms in whose hash ``width`` bits from ``first`` on have a value, so a
 #: 2**width-th of them: 4 quarters, 16 sixteenths in the quarters, and in each of these a 64th, a 256th and a 1024th.
 FIRST = 24
@@ -46,30 +52,42 @@ def term_hash(term: Column) -> Column:
     return F.conv(F.substring(F.md5(term), 1, 15), 16, 10).cast("long")
 
 
-def lexicon(docs: DataFrame, low: float = LOW, high: float = HIGH, bits: int = BITS) -> Column:
-    """The bitmap of the terms in the band, as a constant: an array of 2**bits / 64 words."""
-    size = docs.agg(F.count(F.lit(1)).alias("n")).scalar()
-    in_band = (docs.select(F.explode(terms(F.col("text"))).alias("term")).groupBy("term")
-               .agg(F.count(F.lit(1)).alias("df"))
-               .where(F.col("df").between(F.pow(size, F.lit(1 - high)), F.pow(size, F.lit(1 - low)))))
-    place = term_hash(F.col("term")).bitwiseAND((1 << bits) - 1)
-    found = (in_band.select(place.alias("place"))
-             .groupBy(F.shiftright("place", 6).cast("int").alias("word"))
-             .agg(F.bit_or(F.expr("shiftleft(1L, CAST(place & 63 AS INT))")).alias("set"))
-             .collect())                        # 2**bits / 64 rows at most, over any corpus
-    words = ["0"] * ((1 << bits) // 64)
+def _name(term: Column) -> Column:
+    """What a term is called in its bucket: itself, or its MD5 behind a character that no term has."""
+    return F.concat(F.lit(";"), F.when(F.length(term) > 32, F.concat(F.lit("."), F.md5(term))).otherwise(term), F.lit(";"))
+
+
+def _bucket(term_hash: Column) -> Column:
+    return term_hash.bitwiseAND(BUCKETS - 1).cast("int")
+
+
+def document_frequencies(docs: DataFrame) -> DataFrame:
+    """``term, df`` of every term, written."""
+    return written(docs.select(F.explode(terms(F.col("text"))).alias("term")).groupBy("term")
+                   .agg(F.count(F.lit(1)).alias("df")), work_folder(docs.sparkSession, "document-frequencies"))
+
+
+def in_band(frequencies: DataFrame, documents: int, low: float = LOW, most: int = MOST) -> DataFrame:
+    """The lexicon's terms, at most ``most``: frequencies that are each 1 / ``most`` of their sum can't be more."""
+    pairs = frequencies.agg(F.coalesce(F.sum("df"), F.lit(0))).scalar()
+    return frequencies.where((F.col("df") * most >= pairs) & (F.col("df") <= F.pow(F.lit(documents), F.lit(1 - low))))
+
+
+def lexicon(docs: DataFrame, low: float = LOW, most: int = MOST) -> Column:
+    """The terms in the band by buckets, as a constant: an array of strings."""
+    found = in_band(document_frequencies(docs), docs.count(), low, most).select(
+        _bucket(term_hash(F.col("term"))).alias("bucket"), _name(F.col("term")).alias("name")).collect()
+    buckets = [""] * BUCKETS                    # ``most`` names at most, of 35 characters at most
     for row in found:
-        words[row["word"]] = str(row["set"])
+        buckets[row["bucket"]] += row["name"]
     # a constant that Spark folds into an array once; it travels with the plan, so nothing is joined
-    return F.split(F.lit(",".join(words)), ",").cast("array<bigint>")
+    return F.split(F.lit(",".join(buckets)), ",")
 
 
-def fingerprint(text: Column, words: Column, bits: int = BITS) -> Column:
+def fingerprint(text: Column, buckets: Column) -> Column:
     """The fingerprint of a text for a lexicon: one hash for each subset, joined by "-"."""
     def known(t):
-        place = t["hash"].bitwiseAND((1 << bits) - 1)
-        word = F.element_at(words, (F.shiftright(place, 6) + 1).cast("int"))
-        return F.getbit(word, place.bitwiseAND(63).cast("int")) == 1
+        return F.contains(F.element_at(buckets, _bucket(t["hash"]) + 1), _name(t["term"]))
 
     hashed = F.transform(terms(text), lambda t: F.struct(t.alias("term"), term_hash(t).alias("hash")))
     kept = F.array_sort(F.filter(hashed, known))

@@ -128,11 +128,11 @@ FROM least l LEFT JOIN sizes s ON l.doc_id = s.doc_id
 def op7_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and of its edited text, and their likeness."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    words = imatch.lexicon(docs)
-    printed = docs.withColumn("fingerprint", imatch.fingerprint(F.col("text"), words))
+    buckets = imatch.lexicon(docs)
+    printed = docs.withColumn("fingerprint", imatch.fingerprint(F.col("text"), buckets))
     changed = (imatch.with_next(printed, ["text", "fingerprint"])
                .withColumn("edited", imatch.edited(F.col("text"), F.col("next_text")))
-               .withColumn("edited_fingerprint", imatch.fingerprint(F.col("edited"), words)))
+               .withColumn("edited_fingerprint", imatch.fingerprint(F.col("edited"), buckets)))
     return changed.select(
         "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
         "fingerprint", "edited_fingerprint",
@@ -156,19 +156,18 @@ terms AS (
           translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{imatch.NOT_TERMS}')) AS term
         FROM versions)
   WHERE term <> ''),
-places AS (
-  SELECT DISTINCT hash & {(1 << imatch.BITS) - 1} AS place
-  FROM (SELECT term, any_value(hash) AS hash, count(*) AS df FROM terms WHERE kind = 'own' GROUP BY term)
-  WHERE df BETWEEN pow((SELECT count(*) FROM documents), {1 - imatch.HIGH})
-               AND pow((SELECT count(*) FROM documents), {1 - imatch.LOW})),
+lexicon AS (
+  SELECT term FROM (SELECT term, count(*) AS df FROM terms WHERE kind = 'own' GROUP BY term)
+  WHERE df * {imatch.MOST} >= (SELECT count(*) FROM terms WHERE kind = 'own')
+    AND df <= pow((SELECT count(*) FROM documents), {1 - imatch.LOW})),
 subsets(subset, first, mask, value) AS (VALUES {", ".join(
     f"({i}, {first}, {(1 << width) - 1}, {value})" for i, (first, width, value) in enumerate(imatch.SUBSETS))}),
 parts AS (
   SELECT doc_id, kind, subset, substr(md5(string_agg(term, ' ' ORDER BY term)), 1, {imatch.DIGITS}) AS part
-  FROM terms JOIN places ON hash & {(1 << imatch.BITS) - 1} = place
+  FROM terms JOIN lexicon USING (term)
   JOIN subsets ON (hash >> first) & mask = value
   GROUP BY ALL),
-known AS (SELECT DISTINCT doc_id, kind FROM terms JOIN places ON hash & {(1 << imatch.BITS) - 1} = place),
+known AS (SELECT DISTINCT doc_id, kind FROM terms JOIN lexicon USING (term)),
 printed AS (
   SELECT v.doc_id, v.kind, CASE WHEN any_value(k.doc_id) IS NULL THEN '=' || md5(any_value(v.text))
          ELSE string_agg(coalesce(p.part, ''), '-' ORDER BY s.subset) END AS print

@@ -21,8 +21,8 @@ def test_oracle(spark):
 def printed(spark, rows):
     docs = spark.createDataFrame([(*r, "x", "y") for r in rows], "doc_id long, text string, next_text string, term string")
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    words = imatch.lexicon(docs)
-    out = imatch.with_next(docs.withColumn("fingerprint", imatch.fingerprint(F.col("text"), words)), ["text", "fingerprint"])
+    buckets = imatch.lexicon(docs)
+    out = imatch.with_next(docs.withColumn("fingerprint", imatch.fingerprint(F.col("text"), buckets)), ["text", "fingerprint"])
     return out.withColumn("edited", imatch.edited(F.col("text"), F.col("next_text")))
 
 
@@ -51,6 +51,30 @@ def test_small_tables(spark):
     assert [(r.next_text, r.edited) for r in only] == [("abcd", "abab")]
 
 
+def test_membership_is_exact_for_lexicons_of_any_size(spark):
+    """A band of few or very many terms: what is outside, or only shares a bucket or its beginning, isn't known."""
+    inside = [f"w{i}" for i in range(150_000)] + ["x" * 33, "x" * 5000, "é😀", "ab"]
+    once = spark.range(1, numPartitions=8).select(F.explode(F.array(F.array_join(F.transform(
+        F.sequence(F.lit(0), F.lit(149_999)), lambda i: F.concat(F.lit("w"), i.cast("string"))), " "),
+        F.lit(" ".join(inside[150_000:])))).alias("text"))
+    buckets = imatch.lexicon(once.unionAll(once).unionAll(once.limit(0)).select("text"))
+    asked = spark.createDataFrame([(t,) for t in ["w7", "w149999", "x" * 33, "x" * 5000, "é😀", "ab", "w", "w150000",
+                                                  "b", "a", "x" * 32, "x" * 4999, "é"]], "term string")
+    out = {r.term: r.print for r in asked.select("term", imatch.fingerprint(F.col("term"), buckets).alias("print")).collect()}
+    assert {t for t, p in out.items() if not p.startswith("=")} == set(out) & set(inside)
+
+
+def test_band_is_bounded_and_does_not_fade_with_the_corpus(spark):
+    """The same shares of terms give the same lexicon at ten times the rows, and never more than ``most`` terms."""
+    rows = [f"often{i % 3} some{i % 20} once{i}" for i in range(200)]
+    for times in (1, 10):
+        docs = spark.createDataFrame([(f"{t} copy{n}",) for n in range(times) for t in rows], "text string")
+        frequencies = imatch.document_frequencies(docs)
+        found = {r.term for r in imatch.in_band(frequencies, docs.count(), most=100).collect()}
+        assert {t for t in found if not t.startswith("copy")} == {f"often{i}" for i in range(3)} | {f"some{i}" for i in range(20)}
+        assert all(imatch.in_band(frequencies, docs.count(), most=m).count() <= m for m in (1, 3, 10, 25, 1000))
+
+
 def test_likeness(spark):
     pairs = [("a-b--", "a-c--"), ("a-b--", "a-b--"), ("=x", "=y"), ("=x", "a-b--"), ("--a-", "---a")]
     df = spark.createDataFrame(pairs, "a string, b string")
