@@ -14,7 +14,8 @@ Host: after the first ``://`` up to ``/``, ``?``, ``#`` or the end, with A-Z in
 ``?``, ``#`` or the end.  Null URLs and URLs without ``://`` have an empty host and path and fit no rule.  Rules without
 a host, or with a path that doesn't start with ``/``, are refused; of rules of one length the one with the longer host
 wins; equal rules with different verdicts count as "block".  Rows are judged one by
-one, so repeated rows and other columns don't matter; empty tables give empty results.
+one, so repeated rows and other columns don't matter, but for input columns named ``host``, ``path``, ``rule`` and
+``verdict``, which the results of these names replace; empty tables give empty results.
 """
 from __future__ import annotations
 

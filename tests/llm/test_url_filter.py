@@ -74,6 +74,14 @@ def test_odd_rules(spark):
             url_filter.build(spark.createDataFrame([rule], schema), work_folder(spark, "rules"))
 
 
+def test_input_columns_of_the_results_names_are_replaced(spark):
+    rules = url_filter.build(spark.createDataFrame([("a.org", "/", "block")], "host string, path string, verdict string"),
+                             work_folder(spark, "rules"))
+    pages = spark.createDataFrame([(1, "http://a.org/x", "own", 7)], "page_id long, url string, host string, rule int")
+    assert url_filter.judge(pages, rules).first().asDict() == {
+        "page_id": 1, "url": "http://a.org/x", "host": "a.org", "path": "/x", "rule": "a.org/", "verdict": "block"}
+
+
 def test_oracle(spark):
     import duckdb
     sf = "/root/testdata/sf0.001"
