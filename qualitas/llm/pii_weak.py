@@ -9,28 +9,39 @@ against or not at all): its shape, its check digits or ranges, gazetteers, cue w
 The votes of all candidates of the corpus are counted by pattern; there are at most ``kinds * 3 ** labelers``
 patterns, so the counts are small however large the corpus is.  Expectation-maximisation over them estimates how
 reliable each labeler is and how likely each pattern is personal data, without labels; mild priors say that labelers
-are better than chance.  A logistic regression on kind and votes, fitted to these probabilities, is the final span
-classifier: a candidate of a further kind is reported from 0.5 on.
+are better than chance.  The final span classifier is a logistic regression that doesn't see the votes but features
+of its own: the span's characters, length, digits and check digits, its neighbours, the words around it and its
+place in the text.  It is fitted to the patterns' probabilities on at most ``SAMPLE`` candidates of each pattern (those
+of the least hashes of their features, so the same for any partitioning), which together weigh as much as the
+pattern does among the candidates of its kind.  So what the labelers can't see, like a word that goes with rejected numbers, decides too.  A
+candidate of a further kind is reported from 0.5 on.
 
 Null texts are empty and have no spans.  All rules run in time linear in the text.  Rows are handled one by one:
 repeated rows and other columns don't matter.  An empty table trains on the priors alone.
 """
 from __future__ import annotations
 
+import heapq
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from dataclasses import dataclass, field
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from qualitas.llm.batches import flat_map
+from qualitas.session import remove, work_folder, written
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "email_spelled", "phone_local", "card_apart", "national_id", "iban", "person")
 LABELERS = ("shape", "check", "gazetteer", "context", "border")
+#: Candidates of each pattern of votes that the classifier learns from, and places of its weights.
+SAMPLE = 64
+PLACES = 1 << 12
 
 #: Pseudo-counts of votes (against, none, for) on clean and on personal candidates, eleven each: a failed check is
 #: rare on personal data, a good shape says little, and the others are right more often than wrong.
@@ -205,6 +216,50 @@ def votes(text: str, c: Candidate) -> tuple[int, ...]:
 
 # -- the model ------------------------------------------------------------------------------------------------
 
+_WORD = re.compile(r"[^\W\d_]+")
+
+
+def _class(char: str) -> str:
+    """What a neighbour of a span is."""
+    return ("edge" if not char else "line" if char in "\r\n" else "space" if char.isspace() else "digit" if char.isdigit()
+            else "letter" if char.isalpha() else char if char in ".,;:/=_-+#()[]\"'" else "other")
+
+
+def _outline(span: str) -> str:
+    """The span's characters by class, runs as one: ``Aa``, ``9`` and signs."""
+    return re.sub(r"(.)\1+", r"\1", "".join(
+        "9" if x.isdigit() else "A" if x.isupper() else "a" if x.isalpha() else x for x in span))[:24]
+
+
+def span_features(text: str, c: Candidate) -> list[int]:
+    """Places of the classifier's weights that a span has, in order; place 0 is every span's."""
+    span, kind = text[c.start:c.end], c.kind
+    digits = _digits(span)
+    valid = (luhn(digits) if kind in ("card", "card_apart") else _iban_check(span) if kind == "iban" else
+             digits[:3] not in ("000", "666") and digits[:1] != "9" and digits[3:5] != "00" and digits[5:] != "0000"
+             if kind == "national_id" else len(set(digits)) > 2 if digits else None)
+    before, after = text[max(0, c.start - 40):c.start], text[c.end:c.end + 30]
+    left, right = _class(before[-1:]), _class(after[:1])
+    place = 3 * c.start // max(1, len(text))
+    names = [kind, f"{kind} length {min(c.end - c.start, 60) // 4}", f"{kind} outline {_outline(span)}",
+             f"{kind} valid {valid}", f"{kind} digits {min(len(set(digits)), 4)}", f"{kind} head {span[:1]}",
+             f"left {left}", f"right {right}", f"{kind} left {left}", f"{kind} right {right}", f"place {place}",
+             f"digits near {sum(x.isdigit() for x in before + after) > 6}"]
+    names += [f"before {w}" for w in _WORD.findall(before.lower())[-3:]]
+    names += [f"after {w}" for w in _WORD.findall(after.lower())[:2]]
+    if kind == "person":
+        names += [f"name {w}" for w in _WORD.findall(span.lower())[1:]]
+    return sorted({0, *(1 + crc32(n.encode()) % (PLACES - 1) for n in names)})
+
+
+@dataclass
+class Evidence:
+    """What training gathers: counts of the patterns of votes, and ``(pattern, features)`` of sampled candidates."""
+
+    counts: dict[tuple[str, tuple[int, ...]], int]
+    sample: list[tuple[tuple[str, tuple[int, ...]], list[int]]]
+
+
 @dataclass
 class Model:
     """The span classifier, and the labelers' reliabilities that it was trained with."""
@@ -213,18 +268,8 @@ class Model:
     reliability: np.ndarray = field(repr=False)         # [personal or not, labeler, vote + 1]
     prior: float = 0.5
 
-    def score(self, kind: str, ballot: tuple[int, ...]) -> float:
-        return float(1 / (1 + np.exp(-_span_features(kind, ballot) @ self.weights)))
-
-
-def _span_features(kind: str, ballot) -> np.ndarray:
-    x = np.zeros(1 + len(KINDS) + 2 * len(LABELERS))
-    x[0] = 1
-    x[1 + KINDS.index(kind)] = 1
-    for i, v in enumerate(ballot):
-        if v:
-            x[1 + len(KINDS) + 2 * i + (v < 0)] = 1
-    return x
+    def score(self, text: str, c: Candidate) -> float:
+        return float(1 / (1 + np.exp(-self.weights[span_features(text, c)].sum())))
 
 
 def em(counts: dict[tuple[str, tuple[int, ...]], int], rounds: int = 50):
@@ -249,41 +294,70 @@ def em(counts: dict[tuple[str, tuple[int, ...]], int], rounds: int = 50):
     return patterns, n, p, reliability, float(prior)
 
 
-def train(counts: dict[tuple[str, tuple[int, ...]], int]) -> Model:
-    """Estimate reliabilities and fit the classifier to the pattern counts."""
-    patterns, n, p, reliability, prior = em(counts)
-    size = 1 + len(KINDS) + 2 * len(LABELERS)
-    weights = np.zeros(size)
-    if patterns:
-        x = np.array([_span_features(*pattern) for pattern in patterns])
-        n = n / n.sum() * len(n) + 1                      # frequent patterns count more, rare ones count
-        for _ in range(30):                               # Newton steps with a ridge
-            q = 1 / (1 + np.exp(-x @ weights))
-            slope = x.T @ (n * (p - q)) - 0.1 * weights
-            curve = (x * (n * q * (1 - q))[:, None]).T @ x + 0.1 * np.eye(size)
-            weights = weights + np.linalg.solve(curve, slope)
+def train(evidence: Evidence, steps: int = 300, ridge: float = 1e-4) -> Model:
+    """Estimate reliabilities, and fit the classifier to the sampled candidates with their patterns' probabilities."""
+    patterns, n, p, reliability, prior = em(evidence.counts)
+    weights = np.zeros(PLACES)
+    at = {pattern: i for i, pattern in enumerate(patterns)}
+    sample = sorted((at[pattern], places) for pattern, places in evidence.sample)
+    if sample:
+        of = np.array([i for i, _ in sample])
+        # a pattern weighs as its count within its kind, a kind as its root, so rare kinds count too
+        kind = np.array([KINDS.index(k) for k, _ in patterns])
+        each = (n / np.sqrt(np.bincount(kind, n))[kind] / np.maximum(np.bincount(of, minlength=len(n)), 1))[of]
+        each = each / each.sum()
+        target = p[of]
+        row = np.repeat(np.arange(len(sample)), [len(places) for _, places in sample])
+        place = np.concatenate([places for _, places in sample])
+        mean, square = np.zeros(PLACES), np.zeros(PLACES)
+        for step in range(1, steps + 1):                  # full gradients with adapted steps (Adam)
+            q = 1 / (1 + np.exp(-np.bincount(row, weights[place], len(sample))))
+            slope = np.bincount(place, (each * (q - target))[row], PLACES) + ridge * weights
+            mean, square = 0.9 * mean + 0.1 * slope, 0.99 * square + 0.01 * slope * slope
+            weights -= 0.05 * mean / (1 - 0.9 ** step) / (np.sqrt(square / (1 - 0.99 ** step)) + 1e-8)
     return Model(weights, reliability, prior)
 
 
-def vote_counts(docs: DataFrame, text_col: str = "text") -> dict[tuple[str, tuple[int, ...]], int]:
-    """How often each pattern of votes occurs over all candidates of all texts."""
-    schema = pa.schema([("kind", pa.string()), ("ballot", pa.string()), ("n", pa.int64())])
+def vote_counts(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> Evidence:
+    """How often each pattern of votes occurs over all candidates of all texts, and candidates to learn from.
+
+    A task gives a row for each of its patterns and at most ``sample`` candidates of each, whatever its texts hold.
+    """
+    schema = pa.schema([("kind", pa.string()), ("ballot", pa.string()), ("n", pa.int64()), ("hash", pa.int64()),
+                        ("places", pa.list_(pa.int32()))])
 
     def count(batches):
         seen: Counter = Counter()
+        least: dict = defaultdict(dict)                   # of each pattern: hash of the features -> features
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 for text in batch["text"].slice(at, 500).to_pylist():
-                    seen.update((c.kind, votes(text, c)) for c in candidates(text))
-        if seen:
-            yield pa.RecordBatch.from_pydict({
-                "kind": [k for k, _ in seen], "ballot": [",".join(map(str, b)) for _, b in seen], "n": [*seen.values()]},
-                schema=schema)
-
-    rows = (docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-            .mapInArrow(count, "kind string, ballot string, n long")
-            .groupBy("kind", "ballot").agg(F.sum("n").alias("n")).collect())      # at most kinds * 3 ** labelers
-    return {(r["kind"], tuple(map(int, r["ballot"].split(",")))): r["n"] for r in rows}
+                    for c in candidates(text):
+                        pattern = c.kind, votes(text, c)
+                        seen[pattern] += 1
+                        places = span_features(text, c)
+                        mine = least[pattern]
+                        mine[xxhash.xxh3_64_intdigest(np.array(places, "<u4").tobytes()) >> 1] = places
+                        if len(mine) > 8 * sample:
+                            least[pattern] = {h: mine[h] for h in heapq.nsmallest(sample, mine)}
+        rows = [(k, b, n, None, None) for (k, b), n in seen.items()]
+        rows += [(k, b, 0, h, mine[h]) for (k, b), mine in least.items() for h in heapq.nsmallest(sample, mine)]
+        for at in range(0, len(rows), 5_000):
+            kind, ballot, n, hashes, places = zip(*rows[at:at + 5_000], strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(
+                (kind, [",".join(map(str, b)) for b in ballot], n, hashes, places), schema, strict=True)], schema=schema)
+
+    folder = work_folder(docs.sparkSession, "votes")
+    rows = written(docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+                   .mapInArrow(count, "kind string, ballot string, n long, hash long, places array<int>"), folder)
+    pattern = lambda r: (r["kind"], tuple(map(int, r["ballot"].split(","))))
+    # at most kinds * 3 ** labelers patterns, and so many candidates of each
+    counts = rows.groupBy("kind", "ballot").agg(F.sum("n").alias("n")).collect()
+    first = F.row_number().over(Window.partitionBy("kind", "ballot").orderBy("hash"))
+    taken = (rows.where("hash IS NOT NULL").dropDuplicates(["kind", "ballot", "hash"]).withColumn("_at", first)
+             .where(F.col("_at") <= sample).collect())
+    remove(docs.sparkSession, folder)
+    return Evidence({pattern(r): r["n"] for r in counts}, [(pattern(r), r["places"]) for r in taken])
 
 
 # -- the operator ---------------------------------------------------------------------------------------------
@@ -292,7 +366,7 @@ def spans_of(text: str, model: Model) -> list[tuple[str, int, int, bool, float]]
     """The reported spans of a text: kind, start, end, base, score."""
     out = []
     for c in candidates(text):
-        score = model.score(c.kind, votes(text, c))
+        score = model.score(text, c)
         if c.base or score >= 0.5:
             out.append((c.kind, c.start, c.end, c.base, score))
     return out
