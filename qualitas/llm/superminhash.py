@@ -321,16 +321,25 @@ def _forest(batches):
     yield from links()
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether every node of ``edges`` (``u, v``, distinct) points to one other that points nowhere: the steps' end."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("out")),
+                                          F.struct(F.col("v").alias("node"), F.lit(0).alias("out")))).alias("e"))
+    nodes = ends.groupBy("e.node").agg(F.sum("e.out").alias("out"), F.min("e.out").alias("least"))
+    return nodes.where("out > 1 OR out = 1 AND least = 0").isEmpty()
+
+
 def components(links: DataFrame, folder: str) -> DataFrame:
     """``node, component`` for every node of ``links`` (``a, b``): the smallest node that it reaches.
 
-    Alternating large-star and small-star steps over written tables; each step ships a link at most twice.
+    Alternating large-star and small-star steps over written tables, until all links are stars (no node has two
+    centres, and no centre has one); each step ships a link at most twice.
     """
     spark = links.sparkSession
     edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v")
                     .mapInArrow(_forest, "u long, v long"), f"{folder}/0")
-    mark, step = None, 0
-    while True:
+    step = 0
+    while not _stars(edges):
         step += 1
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -340,13 +349,9 @@ def components(links: DataFrame, folder: str) -> DataFrame:
         small = large.join(least, "u").select(F.explode(F.array(
             F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
         after = written(small.select("e.u", "e.v").where("u <> v").distinct(), f"{folder}/{step}")
-        seen = after.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
         for old in (f"{folder}/{step}-large", f"{folder}/{step - 1}"):
             remove(spark, old)
         edges = after
-        if tuple(seen) == mark:
-            break
-        mark = tuple(seen)
     nodes = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return nodes.unionAll(nodes.select(F.col("component").alias("node"), "component").distinct())
 
