@@ -1,14 +1,17 @@
 """Finding what an audit otherwise has to be told: references between tables, and keys."""
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from qualitas.functions.predicates import as_text, is_present
 from qualitas.operators import cells as C
 from qualitas.operators.crosscol import row_digest
+from qualitas.session import shuffles_freed
 
 #: Columns that one word of a set of columns holds.
 WORD_BITS = 62
@@ -70,45 +73,95 @@ def inclusion_dependencies(frames: dict[str, DataFrame], columns: dict[str, list
 #: Size of the distinct sketches (2 ** LG_K buckets), their relative error, and how many times it a key's estimate may lie
 #: below the number of rows.
 LG_K, RSD, TIMES = 12, 0.0163, 10
-#: Column sets estimated, or confirmed, in one job.
-AT_ONCE = 100
+#: Column sets compared in one job, and the rows (one a set and a row of the table) that a job shuffles: a set at least.
+AT_ONCE, ROWS_AT_ONCE = 100, 1 << 24
+#: More rows than that are first looked through in one of so many slices of the values.
+SLICES = 256
+#: Types whose values differ where their texts do, but for the sign of a zero.
+_HASHED_AS_IS = (T.IntegralType, T.FractionalType, T.BooleanType, T.DateType, T.TimestampNTZType, T.StringType)
 
 
 def candidate_keys(df: DataFrame, max_columns: int = 2, columns=None) -> DataFrame:
     """The minimal column sets of at most ``max_columns`` whose values differ in every row: ``columns`` (by name).
 
     Sets are tried by size; one with a key in it is not minimal and is left out.  One scan estimates the distinct
-    values of all sets of a size, and only those whose estimate could be the number of rows are counted exactly, by
-    digests, in one shuffle.  Columns with missing values are in no key.  A table without rows has no keys.
+    values of each column, which leaves out the sets that have too few.  The others are compared by 64-bit hashes, and
+    hashes that come twice by digests of the values.  If that is much to shuffle, a first job takes the rows of
+    one slice of the hashes: what comes twice there is no key.  What is left is compared in all rows, a few sets at a
+    time, whose shuffle files go before the next.  Columns with missing values are in no key.  A table without rows
+    has no keys.
     """
     spark = df.sparkSession
     fields = {f.name: f for f in df.schema.fields}
-    text = {c: as_text(fields[c]) for c in (columns or df.columns)}
-    size = df.agg(F.count(F.lit(1)).alias("_n"), *[F.count_if(is_present(t)).alias(f"c{i}")
-                                                   for i, t in enumerate(text.values())]).first()
-    whole = [c for i, c in enumerate(text) if size[f"c{i}"] == size["_n"]] if size["_n"] else []
+    names = list(columns or df.columns)
+    text = {c: as_text(fields[c]) for c in names}
+    as_is = {c: isinstance(fields[c].dataType, _HASHED_AS_IS) for c in names}
+    value = {c: F.col(f"`{c}`") if as_is[c] else text[c] for c in names}
+    hashed = {c: [value[c], F.when(value[c] == 0, text[c])] if isinstance(fields[c].dataType, (T.DoubleType, T.FloatType))
+              else [value[c]] for c in names}
+    worded = {c: not as_is[c] or isinstance(fields[c].dataType, T.StringType) for c in names}     # may be empty texts
+    size = df.agg(F.count(F.lit(1)).alias("_n"), *[
+        F.count_if(is_present(text[c]) if worded[c] else value[c].isNotNull()).alias(f"c{i}") for i, c in enumerate(names)], *[
+        F.hll_sketch_estimate(F.hll_sketch_agg(F.xxhash64(*hashed[c]), F.lit(LG_K))).alias(f"v{i}")
+        for i, c in enumerate(names)]).first()
+    rows = size["_n"]
+    values = {c: size[f"v{i}"] for i, c in enumerate(names) if rows and size[f"c{i}"] == rows}     # of whole columns
     found: list[tuple[str, ...]] = []
-    values: dict[tuple[str, ...], float] = {}
     for n in range(1, max_columns + 1):
-        sets = [s for s in combinations(whole, n) if not any(set(k) <= set(s) for k in found)]
         # a set has no more values than the product of its columns'
-        sets = [s for s in sets if n == 1 or _product(values[c,] for c in s) >= size["_n"] * (1 - TIMES * RSD)]
-        for at in range(0, len(sets), AT_ONCE):
-            some = sets[at:at + AT_ONCE]
-            estimates = df.agg(*[F.hll_sketch_estimate(F.hll_sketch_agg(F.xxhash64(*[text[c] for c in s]), F.lit(LG_K)))
-                                 .alias(f"s{i}") for i, s in enumerate(some)]).first()
-            values |= {s: estimates[f"s{i}"] for i, s in enumerate(some)}
-            likely = [s for i, s in enumerate(some) if estimates[f"s{i}"] >= size["_n"] * (1 - TIMES * RSD)]
-            if not likely:
-                continue
-            digests = F.array(*[F.struct(F.lit(i).alias("s"), row_digest([text[c] for c in s]).alias("d"))
-                                for i, s in enumerate(likely)])
-            exact = (df.select(F.inline(digests)).groupBy("s", "d").agg(F.count(F.lit(1)).alias("n"))
-                     .groupBy("s").agg(F.max("n").alias("most")).where("most = 1").collect())      # a row a set
-            found += sorted(likely[r["s"]] for r in exact)
+        sets = [s for s in combinations(values, n) if not any(set(k) <= set(s) for k in found)
+                and _product(values[c] for c in s) >= rows * (1 - TIMES * RSD)]
+        if len(sets) * rows > ROWS_AT_ONCE:
+            for some in _batches(sets, AT_ONCE):
+                repeated = _repeated(df, some, text, hashed, SLICES)
+                sets = [s for s in sets if s not in repeated]
+        for some in _batches(sets, max(1, min(AT_ONCE, ROWS_AT_ONCE // max(rows, 1)))):
+            repeated = _repeated(df, some, text, hashed)
+            found += sorted(s for s in some if s not in repeated)
     return spark.createDataFrame([(list(k),) for k in found], "columns array<string>")
 
 
+def _repeated(df: DataFrame, sets, text, hashed, slices: int = 1) -> set:
+    """Those of ``sets`` with values that come twice, in the slice of the values whose hash is a multiple of ``slices``."""
+    hashes = [_hash([h for c in s for h in hashed[c]]) for s in sets]
+    digests = [row_digest([text[c] for c in s]) for s in sets]
+    with shuffles_freed(df.sparkSession):
+        doubled = (_of_sets(df, [h % slices == 0 for h in hashes] if slices > 1 else None, hashes).groupBy("s", "v")
+                   .agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+                   .groupBy("s").agg(F.min("v").alias("low"), F.max("v").alias("high"), F.count(F.lit(1)).alias("n"))
+                   .collect())                                                                     # a row a set
+        again = lambda chosen, values: {r["s"] for r in (
+            _of_sets(df, chosen, values).groupBy("s", "v").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+            .select("s").distinct().collect())}
+        if not doubled:
+            return set()
+        hit = {r["s"]: hashes[r["s"]].isin(r["low"], r["high"]) for r in doubled}
+        real = again([hit.get(i, F.lit(False)) for i in range(len(sets))], digests)
+        # different values under one hash, and more such hashes than were looked at: rare, and compared in full
+        open_ = {r["s"] for r in doubled if r["s"] not in real and r["n"] > 2}
+        if open_ and slices == 1:
+            for i in sorted(open_):
+                real |= {i} if again(None, [digests[i]]) else set()
+    return {sets[i] for i in real}
+
+
+def _of_sets(df: DataFrame, chosen, values) -> DataFrame:
+    """Rows (s, v): of every row the value ``v`` of each set ``s`` that is chosen in it (None: all)."""
+    of = [F.struct(F.lit(i).alias("s"), v.alias("v")) for i, v in enumerate(values)]
+    if chosen is None:
+        return df.select(F.inline(F.array(*of)))
+    return (df.where(reduce(Column.__or__, chosen))
+            .select(F.inline(F.array_compact(F.array(*[F.when(c, v) for c, v in zip(chosen, of, strict=True)])))))
+
+
+def _hash(columns) -> Column:
+    return F.xxhash64(*columns)
+
+
+def _batches(items: list, most: int) -> list[list]:
+    return [items[at:at + most] for at in range(0, len(items), most)]
+
+
 def _product(numbers) -> float:
     out = 1.0
     for x in numbers:

@@ -3,6 +3,7 @@ import datetime as dt
 import hashlib
 import random
 import struct
+import time
 from itertools import combinations
 
 import pytest
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from qualitas.operators import cells as C
+from qualitas.operators import discovery
 from qualitas.operators import evidence as E
 from qualitas.operators.discovery import candidate_keys, inclusion_dependencies
 from qualitas.operators.formats import formats
@@ -57,6 +59,62 @@ def test_keys_against_all_combinations(spark):
     assert candidate_keys(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(("at_once", "slices", "weak"), [
+    (1 << 24, 256, None),                                         # all sets in one job
+    (300, 4, None),                                               # a slice first, then a set or two a job
+    (1, 2, 7),                                                    # other values under nearly every hash
+    (1 << 24, 2, 1)])
+def test_keys_in_slices_and_under_equal_hashes(spark, monkeypatch, at_once, slices, weak):
+    monkeypatch.setattr(discovery, "ROWS_AT_ONCE", at_once)
+    monkeypatch.setattr(discovery, "SLICES", slices)
+    if weak:
+        monkeypatch.setattr(discovery, "_hash", lambda columns: F.pmod(F.xxhash64(*columns), F.lit(weak)) * slices)
+    rng = random.Random(4)
+    rows = [(i // 4, i % 4, rng.randrange(1 << 30) / 100, rng.randrange(150) / 4, f"{i % 50}-{rng.randrange(60)}",
+             None if i == 9 else i) for i in range(200)]
+    rows[7] = rows[7][:1] + rows[6][1:]                           # one pair of rows alike in all but a
+    rows[6] = rows[6][:1] + (9,) + rows[6][2:]
+    df = spark.createDataFrame(rows, "a int, b int, c double, d double, e string, f long")
+    assert sorted(r.columns for r in candidate_keys(df, 3).collect()) == minimal_keys(rows, "abcdef", 3)
+
+
+def test_keys_are_those_of_the_texts(spark):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Europe/Berlin")
+    try:                                                          # the hour that comes twice
+        df = spark.sql("""SELECT timestamp_seconds(1603585800 + 3600 * id) AS moment, CAST(1603585800 + id AS DECIMAL(20, 3)) AS amount,
+            date_from_unix_date(id) AS day, id = 0 AS first, CAST('' AS BINARY) AS nothing, named_struct('x', id) AS nested FROM range(2)""")
+        got = sorted(r.columns for r in candidate_keys(df).collect())
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert got == [["amount"], ["day"], ["first"], ["nested"]]
+    nan = float("nan")
+    signs = spark.createDataFrame([(0, 0.0, nan), (0, -0.0, 1.0), (1, 0.0, nan), (1, -0.0, nan)], "a int, zero double, x double")
+    assert [r.columns for r in candidate_keys(signs).collect()] == [["a", "zero"]]
+
+
+def test_key_search_leaves_no_shuffle_files(spark):
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled() -> dict[str, int]:
+        it, found = disk.getAllFiles().iterator(), {}
+        while it.hasNext():
+            f = it.next()
+            if f.getName().startswith("shuffle_"):
+                found[f.getName()] = f.length()
+        return found
+
+    # pairs that nearly all are keys: their digests took about 40 bytes a row and pair, all kept to the end
+    df = spark.range(100_000).select(*[F.pmod(F.xxhash64("id", F.lit(i)), F.lit(20_000)).alias(f"c{i}") for i in range(5)])
+    before = set(shuffled())
+    assert candidate_keys(df).count() == 0
+    until = time.time() + 10
+    while (left := sum(n for f, n in shuffled().items() if f not in before)) > 1_000_000 and time.time() < until:
+        time.sleep(0.2)
+    assert left <= 1_000_000
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) in (None, "false")
+
+
 def plain_priority(seed, row):
     parts = ["-" if v is None else f"{len(str(v).encode())}:{v}" for v in row]
     return hashlib.md5((f"{seed};" + "".join(parts)).encode()).hexdigest()
